@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starloom.llm import decontaminate, langid, mixing, simhash, toxicity
+import public_tokenizers
+
+from starloom.llm import decontaminate, langid, mixing, pii, simhash, tokens, toxicity, urlfilter
 from starloom.llm.common import table
 
 
@@ -14,10 +16,18 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -26,12 +36,30 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_toxicity, op5_source_mixing, op6_language_id, op8_decontamination)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii, op3_toxicity, op4_url_filter, op5_source_mixing, op6_language_id, op7_token_counts, op8_decontamination)}
+
+
+def _op4_sql() -> str:
+    longest_first = sorted(urlfilter.HOST_RULES, key=lambda r: -len(r.name))
+    fits = {r.name: f"(host = '{r.host}' OR suffix(host, '.{r.host}')) AND prefix(path, '{r.path}')" for r in longest_first}
+    rule = " ".join(f"WHEN {fits[r.name]} THEN '{r.name}'" for r in longest_first)
+    verdict = " ".join(f"WHEN {fits[r.name]} THEN '{r.verdict}'" for r in longest_first)
+    blocked = " OR ".join(f"regexp_matches(folded, '{r.pattern}')" for r in urlfilter.PATTERN_RULES if r.verdict == "block")
+    fold = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH u AS (SELECT page_id, {fold.format("url")} AS folded, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*', 0) ELSE '' END AS head FROM pages),
+h AS (SELECT page_id, folded, {fold.format("regexp_extract(head, '^[^/]*', 0)")} AS host, substr(head, length(regexp_extract(head, '^[^/]*', 0)) + 1) AS path FROM u)
+SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN strpos(folded, '://') > 0 AND ({blocked}) THEN 'block' ELSE 'allow' END AS verdict FROM h
+"""
 
 
 OP5_SQL = r"""
@@ -67,4 +95,4 @@ FROM dw LEFT JOIN nw USING (rid) LEFT JOIN it USING (rid)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": OP5_SQL, "op8_decontamination": OP8_SQL}
+    return {"op4_url_filter": _op4_sql(), "op5_source_mixing": OP5_SQL, "op8_decontamination": OP8_SQL}
