@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from starloom.llm import decontaminate, langid, mixing, pii, simhash, tokens, toxicity, urlfilter
+from starloom.llm import ann, decontaminate, html, langid, mixing, pii, simhash, tokens, toxicity, urlfilter
 from starloom.llm.common import table
 
 
@@ -44,8 +44,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii, op3_toxicity, op4_url_filter, op5_source_mixing, op6_language_id, op7_token_counts, op8_decontamination)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii, op3_toxicity, op4_url_filter, op5_source_mixing, op6_language_id, op7_token_counts, op8_decontamination, op9_html_extraction, op10_nearest_neighbours)}
 
 
 def _op4_sql() -> str:
