@@ -61,3 +61,15 @@ def hashed_below(key: Column, share: Column | float, seed: int) -> Column:
     """True for a seeded pseudo-random ``share`` of the keys, the same on every run."""
     share = share if isinstance(share, Column) else F.lit(float(share))
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < share * float(1 << 30)
+
+
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Column names from ``stems`` that ``df`` does not have, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for stem in stems:
+        name = f"__{stem}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        found.append(name)
+    return found

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import reliable
+from starloom.llm.common import reliable, unused
 
 WINDOW = 10
 SHINGLE = 3
@@ -115,7 +115,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 200_000, **options) -> DataFrame:
     """``docs`` without the rows that hold any benchmark window; kept texts are not shuffled up to ``broadcast_rows`` hits."""
-    bad = reliable(occurrences(_digest_docs(docs), benchmark, **options).select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct())
+    _id, _th = unused(docs, "id", "th")
+    bad = reliable(occurrences(_digest_docs(docs), benchmark, **options).select(F.col("id").alias(_id), F.col("th").alias(_th)).distinct())
     side = F.broadcast(bad) if bad.count() <= broadcast_rows else bad
     th = F.xxhash64(F.coalesce("text", F.lit("")), F.length("text"))
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (th == F.col("_th")), "left_anti")
+    return docs.join(side, F.col("doc_id").eqNullSafe(F.col(_id)) & (th == F.col(_th)), "left_anti")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import fold_of, hashed_below, map_arrow
+from starloom.llm.common import fold_of, hashed_below, map_arrow, unused
 
 BITS = 16
 CHUNK = 1 << 18
@@ -142,36 +142,31 @@ def train(docs: DataFrame, per_language: int = 600, max_rows: int = 20_000, bits
     return LanguageModel(languages, (w * idf * scale).astype(np.float32), np.zeros(len(languages)), bits)
 
 
-def predictions(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with lang_pred and score; one pass over whole texts, no shuffle."""
+def predictions(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of ``docs`` with ``names`` for language and score; one pass over whole texts, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema.fields if f.name in keep]
-    names = [c for c in keep if c != "text"]
 
     def make():
         model = shared.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [model.predict(t) for t in batch.column("_text").to_pylist()]
-            columns = [batch.column(c) for c in kept] + [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            return pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score"])
+            found = [model.predict(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*batch.schema.names, *names])
 
         return step
 
-    kept = [f.name for f in fields]
-    assert set(names) <= set(kept)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
-    return map_arrow(docs.select(*kept, F.col("text").cast("string").alias("_text")), make, schema)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{names[0]}` string", f"`{names[1]}` double"])
+    return map_arrow(docs, make, schema)
 
 
 def identify(docs: DataFrame, **training) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of ``docs``, learned from its own labelled rows."""
-    found = predictions(docs.select("doc_id", "text"), train(docs, **training), ["doc_id"])
+    found = predictions(docs.select("doc_id", F.col("text").cast("string").alias("text")), train(docs, **training))
     return found.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5, **training) -> DataFrame:
     """``docs`` without the rows whose language stays undetermined or is told with a score under ``min_score``."""
-    columns = docs.columns
-    found = predictions(docs, train(docs, **training), columns)
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(columns)
+    lang, score = unused(docs, "lang", "score")
+    found = predictions(docs, train(docs, **training), (lang, score))
+    return found.where((F.col(lang) != UNDETERMINED) & (F.col(score) >= min_score)).drop(lang, score)

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.common import reliable
+from starloom.llm.common import reliable, unused
 
 SPACE = r"[\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -62,10 +62,11 @@ def uniform(doc_id: Column, seed: int = SEED) -> Column:
 
 def _with_target(docs: DataFrame, id_col: str, weights: Sequence[int], max_epochs: int, seed: int, max_broadcast: int) -> DataFrame:
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = reliable(targets(sizes, weights, max_epochs).withColumnRenamed("source", "_source"))
+    key = unused(docs, "source")[0]
+    goal = reliable(targets(sizes, weights, max_epochs).select(F.col("source").alias(key), "source_size", "target"))
     side = F.broadcast(goal) if goal.count() <= max_broadcast else goal
     # more sources than that: a plain join, whose hot sources adaptive execution splits
-    joined = docs.join(side, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "weight")
+    joined = docs.join(side, F.col("source").eqNullSafe(F.col(key))).drop(key)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     most = F.col("size") * max_epochs
     return joined.withColumn("taken", F.least(F.floor(ratio * F.col("size") + uniform(F.col(id_col), seed)).cast("long"), most))
@@ -80,10 +81,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX
 def repeat_rows(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, max_broadcast: int = 50_000) -> DataFrame:
     """The mixture itself: ``docs`` with a row for every repetition of a document that the mix takes.
 
-    Adds size, source_size, target, taken, repetition (from 1) and words (of that repetition). Whole repetitions carry
+    Adds, or replaces, size, source_size, target, taken, repetition (from 1) and words (of that repetition). Whole repetitions carry
     the text as it is; the fractional one carries that many words from a seeded starting point, wrapping round.
     """
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "repetition", "words")]
+    names = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken", "repetition", "words")]
     sized = docs.select(*names, n_words(F.col("text")).alias("size"))
     taken = _with_target(sized, "doc_id", weights, max_epochs, seed, max_broadcast).where("taken > 0")
     rows = taken.select("*", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("repetition"))

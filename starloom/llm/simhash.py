@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from starloom.llm.common import map_arrow, reliable
+from starloom.llm.common import map_arrow, reliable, unused
 
 MAX_BITS = 3
 SHINGLE = 3
@@ -213,18 +213,19 @@ def keep_one(docs: DataFrame, broadcast_rows: int = 200_000, id_col: str = "doc_
     than ``broadcast_rows`` counted ids go. Rows that share an id, or have none, are told apart by their fingerprint;
     of several rows that qualify for one group the one with the smallest text stays.
     """
+    _u, _fp, _c, _g, _n = unused(docs, "u", "fp", "c", "g", "n")
     labels = reliable(near_duplicates(docs, id_col, text_col, shingle, **options))
-    unclear = reliable(labels.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_u")))
-    drop = labels.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_u")).where("_u is not null").unionByName(unclear).distinct()
+    unclear = reliable(labels.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias(_u)))
+    drop = labels.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(_u)).where(F.col(_u).isNotNull()).unionByName(unclear).distinct()
     drop = reliable(drop)
     side = F.broadcast(drop) if drop.count() <= broadcast_rows else drop
     key = F.col(id_col).cast("long")
-    clear = docs.join(side, key.eqNullSafe(F.col("_u")), "left_anti")
+    clear = docs.join(side, key.eqNullSafe(F.col(_u)), "left_anti")
     if unclear.isEmpty():
         return clear
     print_of = F.pandas_udf(lambda texts: texts.map(lambda t: f"{simhash64(t, shingle):016x}"), "string")
-    rows = docs.join(unclear, key.eqNullSafe(F.col("_u")), "left_semi").withColumn("_fp", print_of(F.col(text_col).cast("string")))
-    groups = labels.select(F.col("fingerprint").alias("_fp"), F.col("component_id").alias("_c"), F.col("group_fp").alias("_g")).distinct()
-    first = Window.partitionBy("_g").orderBy(F.col(text_col).asc_nulls_first())
-    one = rows.join(groups, "_fp").where(key.eqNullSafe(F.col("_c"))).withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    rows = docs.join(unclear, key.eqNullSafe(F.col(_u)), "left_semi").withColumn(_fp, print_of(F.col(text_col).cast("string")))
+    groups = labels.select(F.col("fingerprint").alias(_fp), F.col("component_id").alias(_c), F.col("group_fp").alias(_g)).distinct()
+    first = Window.partitionBy(_g).orderBy(F.col(text_col).asc_nulls_first())
+    one = rows.join(groups, _fp).where(key.eqNullSafe(F.col(_c))).withColumn(_n, F.row_number().over(first)).where(F.col(_n) == 1)
     return clear.unionByName(one.select(docs.columns))
