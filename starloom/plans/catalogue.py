@@ -1,4 +1,4 @@
 """All query modules of the library."""
 
-from starloom.plans import annotate, images, scalars, solving, spatial, streams, tables, web  # noqa: F401
+from starloom.plans import annotate, images, more, scalars, solving, sources, spatial, streams, tables, web  # noqa: F401
 from starloom.plans.registry import QUERIES, SQL  # noqa: F401
