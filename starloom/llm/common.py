@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -10,29 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starloom.operators.checkpoints import ensure_checkpoint_dir, reliable
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["ensure_checkpoint_dir", "fold_of", "fold_of_value", "hashed_below", "map_arrow", "reliable", "table", "unused"]
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only a local session may fall back to a temp folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="starloom-ckpt-"))
-    else:
-        raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
-
-
-def reliable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder: lineage is cut and a lost executor costs nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
