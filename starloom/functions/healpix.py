@@ -8,6 +8,7 @@ arrays for ``explode``.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -205,6 +206,7 @@ def np_radec_to_xyz(ra, dec) -> np.ndarray:
     return np.stack([np.cos(d) * np.cos(a), np.cos(d) * np.sin(a), np.sin(d)], axis=-1)
 
 
+@lru_cache(maxsize=100_000)
 def np_neighbours(cell: int, nside: int) -> list[int]:
     """The cells that share an edge or a corner with ``cell`` (seven or eight, six at some corners of large cells).
 

@@ -70,3 +70,39 @@ def line_intersection(p: tuple[C, C], q: tuple[C, C], r: tuple[C, C], s: tuple[C
     det = (x1 - x2) * (y3 - y4) - (y1 - y2) * (x3 - x4)
     a, b = x1 * y2 - y1 * x2, x3 * y4 - y3 * x4
     return F.when(det != 0, (a * (x3 - x4) - (x1 - x2) * b) / det), F.when(det != 0, (a * (y3 - y4) - (y1 - y2) * b) / det)
+
+
+def containing(points, polygons: list[tuple[str, np.ndarray]]):
+    """(id, name): for every position (id, ra, dec) the sky polygons, rows of (ra, dec) vertices, that hold it.
+
+    Polygons are projected about the position; those that reach the far hemisphere are skipped. Their list is a
+    parameter of bounded size, not data.
+    """
+    import pandas as pd
+
+    from starloom.functions.healpix import np_radec_to_xyz
+
+    if len(polygons) > 10_000:
+        raise ValueError("more than 10,000 polygons: join by cells first")
+    vertices = [(name, np_radec_to_xyz(p[:, 0], p[:, 1])) for name, p in polygons]
+
+    def run(batches):
+        for pdf in batches:
+            v = np_radec_to_xyz(pdf["ra"].to_numpy(), pdf["dec"].to_numpy())
+            east = np.stack([-v[:, 1], v[:, 0], np.zeros(len(v))], axis=1)
+            size = np.linalg.norm(east, axis=1)
+            east = np.where(size[:, None] > 1e-12, east / np.maximum(size, 1e-12)[:, None], np.array([1.0, 0.0, 0.0]))
+            north = np.cross(v, east)
+            rows = []
+            for name, p in vertices:
+                along, x, y = v @ p.T, east @ p.T, north @ p.T
+                near = (along > 0).all(axis=1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    x, y = x / along, y / along
+                    x2, y2 = np.roll(x, -1, axis=1), np.roll(y, -1, axis=1)
+                    cross = ((y > 0) != (y2 > 0)) & (0 < (x2 - x) * (0 - y) / (y2 - y) + x)
+                hit = near & (cross.sum(axis=1) % 2 == 1)
+                rows += [(i, name) for i in pdf["id"].to_numpy()[hit]]
+            yield pd.DataFrame(rows, columns=["id", "name"])
+
+    return points.select("id", "ra", "dec").mapInPandas(run, "id long, name string")

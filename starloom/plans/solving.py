@@ -6,12 +6,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from starloom.functions import healpix as hp
 from starloom.functions.wcs import Wcs, fit_sip, fit_tan
 from starloom.operators import geohash as gh
 from starloom.operators import verify as vf
+from starloom.operators.uniformize import sweeps
 from starloom.plans.registry import query, sky, sky_sql, table, xyz_sql
+from starloom.plans.scalars import cell_sql
 
-S = xyz_sql(sky_sql("supplier"))
+#: the brightest star of each cell: what an index is built from has an even density, however many rows there are
+S = f"(SELECT id, ra, dec, x, y, z FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY s_acctbal DESC, id) AS n FROM {cell_sql(xyz_sql(sky_sql('supplier', 's_acctbal')), 8)}) WHERE n = 1)"
 SEP = "degrees(2 * asin(least(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) / 2, 1)))"
 
 
@@ -21,7 +25,7 @@ def _plane_sql(x: str, y: str, z: str) -> tuple[str, str]:
 
 
 (PA, QA), (PB, QB), (PS, QS) = _plane_sql("ax", "ay", "az"), _plane_sql("bx", "by_", "bz"), _plane_sql("s.x", "s.y", "s.z")
-INNER = f"""WITH s AS (SELECT * FROM {S}), ab AS (SELECT a.id AS a, b.id AS b, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, a.x + b.x AS mx, a.y + b.y AS my, a.z + b.z AS mz FROM s a JOIN s b ON a.id < b.id AND {SEP} BETWEEN 8 AND 16),
+INNER = f"""WITH s AS (SELECT * FROM {S}), ab AS (SELECT a.id AS a, b.id AS b, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, a.x + b.x AS mx, a.y + b.y AS my, a.z + b.z AS mz FROM s a JOIN s b ON a.id < b.id AND {SEP} BETWEEN 15 AND 35),
 r AS (SELECT *, mx / sqrt(mx*mx + my*my + mz*mz) AS rx, my / sqrt(mx*mx + my*my + mz*mz) AS ry, mz / sqrt(mx*mx + my*my + mz*mz) AS rz FROM ab),
 e AS (SELECT *, -ry / sqrt(rx*rx + ry*ry) AS ex, rx / sqrt(rx*rx + ry*ry) AS ey FROM r), n AS (SELECT *, -rz * ey AS nx, rz * ex AS ny, rx * ey - ry * ex AS nz FROM e),
 p AS (SELECT a, b, s.id AS s, {QB} - {QA} AS fx, {PB} - {PA} AS fy, {QS} - {QA} AS sx, {PS} - {PA} AS sy FROM n JOIN s ON s.id <> a AND s.id <> b AND s.x * rx + s.y * ry + s.z * rz > 0.9),
@@ -33,7 +37,8 @@ f AS (SELECT CASE WHEN x + x2 > 1 THEN b ELSE a END AS a, CASE WHEN x + x2 > 1 T
 
 
 def _all(spark, d):
-    return gh.all_quads(sky(spark, d, "supplier"), 8.0, 16.0)
+    stars = sweeps(sky(spark, d, "supplier", "s_acctbal"), hp.radec_to_cell("ra", "dec", 8), [F.col("s_acctbal").desc(), F.col("id")], 1)
+    return gh.all_quads(stars, 15.0, 35.0)
 
 
 @query(f"{QUADS} SELECT a, b, c, d, list_transform(code, lambda v: round(v, 5) + 0) AS code FROM f")

@@ -32,7 +32,7 @@ def fits_table_roundtrip(spark, d):
     return files.mapInPandas(unpack, "id long, name string, balance double, nation int, solvent boolean")
 
 
-@query("SELECT c_custkey AS id, round(c_custkey % 360000 / 1000.0e0, 6) AS ra, round(c_custkey % 180000 / 1000.0e0 - 90, 6) + 0 AS dec, round((c_custkey % 20000) / 1000.0e0, 6) AS mag_v, CAST(c_custkey % 8 AS INT) AS astrometry_src, CAST(c_custkey // 8 % 2 AS INT) AS diffraction FROM customer")
+@query("SELECT c_custkey AS id, round(c_custkey % 360000 / 1000.0e0, 6) AS ra, round(c_custkey % 180000 / 1000.0e0 - 90, 6) + 0 AS dec, round((c_custkey % 20000) / 1000.0e0, 6) AS mag_v, CAST(c_custkey % 8 AS INT) AS position_src, CAST(c_custkey // 8 % 2 AS INT) AS diffraction FROM customer")
 def packed_catalogue_records(spark, d):
     """88-byte star records, packed and decoded."""
 
@@ -46,7 +46,7 @@ def packed_catalogue_records(spark, d):
 
     t = table(spark, d, "customer").select("c_custkey").mapInPandas(pack, cat.schema(cat.NOMAD))
     t = t.select("*", *cat.nomad_flags(F.col("flags")))
-    return t.select(F.col("usnob_id").alias("id"), F.round("ra", 6).alias("ra"), (F.round("dec", 6) + 0.0).alias("dec"), F.round("mag_v", 6).alias("mag_v"), "astrometry_src", "diffraction")
+    return t.select(F.col("usnob_id").alias("id"), F.round("ra", 6).alias("ra"), (F.round("dec", 6) + 0.0).alias("dec"), F.round("mag_v", 6).alias("mag_v"), "position_src", "diffraction")
 
 
 @query("SELECT CAST(s_suppkey AS INT) AS tyc2, round(s_suppkey % 360 + 0.25e0, 6) AS ra, CASE WHEN s_suppkey % 3 > 0 THEN round(5 + s_suppkey % 9 / 10.0e0, 6) END AS mag_bt, s_suppkey % 2 = 0 AS double_star FROM supplier")

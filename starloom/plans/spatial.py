@@ -73,14 +73,14 @@ EMB = "(SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)"
 def nd_range_join(spark, d):
     e = table(spark, d, "embeddings")
     left, right = e.select(F.col("vec_id").alias("l_id"), F.col("embedding").alias("p")), e.select(F.col("vec_id").alias("r_id"), F.col("embedding").alias("q"))
-    return sj.range_join(left, right, 1.15, "p", "q").where("l_id < r_id").select("l_id", "r_id", F.round("dist", 5).alias("dist"))
+    return sj.vector_range_join(left, right, 1.15, "p", "q").where("l_id < r_id").select("l_id", "r_id", F.round("dist", 5).alias("dist"))
 
 
 @query(f"SELECT a.vec_id AS l_id, arg_min(b.vec_id, (list_distance(a.e, b.e), b.vec_id)) AS r_id, round(min(list_distance(a.e, b.e)), 5) AS dist FROM {EMB} a JOIN {EMB} b ON a.vec_id <> b.vec_id AND list_distance(a.e, b.e) <= 1.2 GROUP BY a.vec_id")
 def nd_nearest(spark, d):
     e = table(spark, d, "embeddings")
     left, right = e.select(F.col("vec_id").alias("l_id"), F.col("embedding").alias("p")), e.select(F.col("vec_id").alias("r_id"), F.col("embedding").alias("q"))
-    pairs = sj.range_join(left, right, 1.2, "p", "q").where("l_id <> r_id").select("l_id", "r_id", "dist")
+    pairs = sj.vector_range_join(left, right, 1.2, "p", "q").where("l_id <> r_id").select("l_id", "r_id", "dist")
     return sj.nearest(pairs, dist="dist").select("l_id", "r_id", F.round("dist", 5).alias("dist"))
 
 

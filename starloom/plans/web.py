@@ -62,13 +62,13 @@ def best_job(spark, d):
     return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("image")).agg(F.max(key)["o_orderkey"].alias("job"))
 
 
-C8 = cell_sql(xyz_sql(sky_sql("customer")), 8)
+C64 = cell_sql(xyz_sql(sky_sql("customer")), 64)
 
 
-@query(f"WITH c AS (SELECT id, cell FROM {C8}) SELECT a.id, b.id AS other FROM c a JOIN c b ON a.cell = b.cell AND a.id <> b.id UNION SELECT a.id, b.id FROM c a JOIN c b ON a.cell // 64 * 16 + a.cell % 64 // 8 // 2 * 4 + a.cell % 8 // 2 = b.cell // 64 * 16 + b.cell % 64 // 8 // 2 * 4 + b.cell % 8 // 2 AND a.id <> b.id")
+@query(f"WITH c AS (SELECT id, cell FROM {C64}) SELECT a.id, b.id AS other FROM c a JOIN c b ON a.cell = b.cell AND a.id <> b.id UNION SELECT a.id, b.id FROM c a JOIN c b ON a.cell // 4096 * 1024 + a.cell % 4096 // 64 // 2 * 32 + a.cell % 64 // 2 = b.cell // 4096 * 1024 + b.cell % 4096 // 64 // 2 * 32 + b.cell % 64 // 2 AND a.id <> b.id")
 def nearby_images(spark, d):
     """Images in the same cell or the same coarser cell."""
-    t = sky(spark, d, "customer").select("id", hp.radec_to_cell("ra", "dec", 8).alias("cell")).withColumn("parent", hp.convert_nside("cell", 8, 4))
+    t = sky(spark, d, "customer").select("id", hp.radec_to_cell("ra", "dec", 64).alias("cell")).withColumn("parent", hp.convert_nside("cell", 64, 32))
     o = t.select(F.col("id").alias("other"), F.col("cell").alias("cell2"), F.col("parent").alias("parent2"))
     same = t.join(o, F.col("cell") == F.col("cell2")).where("id <> other").select("id", "other")
     wide = t.join(o, F.col("parent") == F.col("parent2")).where("id <> other").select("id", "other")

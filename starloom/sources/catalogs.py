@@ -22,8 +22,8 @@ NOMAD = [
     ("ucac2_id", "<u4", 1, 0), ("tycho2_id", "<u4", 1, 0), ("flags", "<u4", 1, 0),
 ]
 NOMAD_FLAGS = {
-    "astrometry_src": (0, 3), "blue_src": (3, 3), "visual_src": (6, 3), "red_src": (9, 3), "usnob_fail": (12, 1), "twomass_fail": (13, 1), "tycho_astrometry": (16, 1), "alt_radec": (17, 1), "alt_ucac": (19, 1),
-    "alt_tycho": (20, 1), "blue_o": (21, 1), "red_e": (22, 1), "twomass_only": (23, 1), "hipp_astrometry": (24, 1), "diffraction": (25, 1), "confusion": (26, 1), "bright_confusion": (27, 1), "bright_artifact": (28, 1), "standard": (29, 1),
+    "position_src": (0, 3), "blue_src": (3, 3), "visual_src": (6, 3), "red_src": (9, 3), "usnob_fail": (12, 1), "twomass_fail": (13, 1), "tycho_position": (16, 1), "alt_radec": (17, 1), "alt_ucac": (19, 1),
+    "alt_tycho": (20, 1), "blue_o": (21, 1), "red_e": (22, 1), "twomass_only": (23, 1), "hipp_position": (24, 1), "diffraction": (25, 1), "confusion": (26, 1), "bright_confusion": (27, 1), "bright_artifact": (28, 1), "standard": (29, 1),
 }
 UCAC3 = [
     ("ra", "<u4", MAS, 0), ("dec", "<u4", MAS, -90), ("mag", "<i2", 1e-3, 0), ("apmag", "<i2", 1e-3, 0), ("mag_err", "<i2", 1e-3, 0), ("objtype", "i1", 1, 0), ("doublestar", "i1", 1, 0), ("sigma_ra", "<u2", MAS, 0), ("sigma_dec", "<u2", MAS, 0),

@@ -33,7 +33,7 @@ def test_binary_catalogues(spark, tmp_path):
     (tmp_path / "n.cat").write_bytes(rec * 3)
     df = cat.read(spark, str(tmp_path / "n.cat"), cat.NOMAD)
     r = df.select("*", *cat.nomad_flags(df["flags"])).first()
-    assert df.count() == 3 and abs(r.ra - 180) < 1e-9 and abs(r.dec) < 1e-9 and r.pm_racosdec == -0.5 and r.mag_v == -1.5 and r.astrometry_src == 1 and r.visual_src == 1 and r.diffraction == 1 and r.standard == 0
+    assert df.count() == 3 and abs(r.ra - 180) < 1e-9 and abs(r.dec) < 1e-9 and r.pm_racosdec == -0.5 and r.mag_v == -1.5 and r.position_src == 1 and r.visual_src == 1 and r.diffraction == 1 and r.standard == 0
     u = np.zeros(20, "<u4")
     u[0], u[1], u[2], u[3], u[4], u[5], u[10] = 36000 * 1000, 32400000, 1350104990, 213004007, 321005006, 1123451234, 351004900
     (tmp_path / "u.cat").write_bytes(u.tobytes() * 2)
