@@ -180,7 +180,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = comp.join(classes, comp["node"] == classes["fp"]).select("node", "root", "first_id")
     ids = named.groupBy("root").agg(F.min("first_id").alias("linked_id"))
     linked = reliable(named.join(ids, "root").select(F.col("node").alias("fp"), "root", "linked_id"))
-    labels = classes.join(linked, "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("linked_id")).alias("component_id"), F.coalesce("root", "fp").alias("group_fp"))
+    # written out, so that the last join shuffles both sides anew and adaptive execution can split a hot fingerprint
+    labels = reliable(classes.join(linked, "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("linked_id")).alias("component_id"), F.coalesce("root", "fp").alias("group_fp")))
     return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_fp")
 
 
