@@ -13,20 +13,27 @@ from starloom.operators.checkpoints import ensure_checkpoint_dir, reliable
 
 __all__ = ["ensure_checkpoint_dir", "fold_of", "fold_of_value", "hashed_below", "map_arrow", "reliable", "table", "unused"]
 
+PIECE = 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a per-task factory, so that a model is built or unpacked once a task and not once a batch."""
+    """``mapInArrow`` with a per-task factory, so that a model is built or unpacked once a task and not once a batch.
+
+    A batch is worked off in pieces of about ``PIECE`` bytes, which bounds the Python objects that are alive at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            out = step(batch)
-            if out is not None:
-                yield out
+            rows = max(1, min(batch.num_rows, int(batch.num_rows * PIECE / max(1, batch.nbytes))))
+            for lo in range(0, max(1, batch.num_rows), rows):
+                out = step(batch.slice(lo, rows))
+                if out is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
