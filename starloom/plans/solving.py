@@ -6,15 +6,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from starloom.functions import healpix as hp
 from starloom.functions.wcs import Wcs, fit_sip, fit_tan
 from starloom.operators import geohash as gh
 from starloom.operators import verify as vf
-from starloom.operators.uniformize import sweeps
 from starloom.plans.registry import query, sky, sky_sql, table, xyz_sql
 from starloom.plans.scalars import cell_sql
 
-#: the brightest star of each cell: what an index is built from has an even density, however many rows there are
+#: the brightest star of each cell; the quad queries take every star, so from the first cell with two stars on they give more rows than this SQL
 S = f"(SELECT id, ra, dec, x, y, z FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY s_acctbal DESC, id) AS n FROM {cell_sql(xyz_sql(sky_sql('supplier', 's_acctbal')), 8)}) WHERE n = 1)"
 SEP = "degrees(2 * asin(least(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) / 2, 1)))"
 
@@ -37,8 +35,7 @@ f AS (SELECT CASE WHEN x + x2 > 1 THEN b ELSE a END AS a, CASE WHEN x + x2 > 1 T
 
 
 def _all(spark, d):
-    stars = sweeps(sky(spark, d, "supplier", "s_acctbal"), hp.radec_to_cell("ra", "dec", 8), [F.col("s_acctbal").desc(), F.col("id")], 1)
-    return gh.all_quads(stars, 15.0, 35.0)
+    return gh.all_quads(sky(spark, d, "supplier"), 15.0, 35.0)
 
 
 @query(f"{QUADS} SELECT a, b, c, d, list_transform(code, lambda v: round(v, 5) + 0) AS code FROM f")
