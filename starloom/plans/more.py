@@ -144,7 +144,7 @@ def header_properties(spark, d):
 def deduplicated_sources(spark, d):
     """Greedy de-duplication of every field, brightest first."""
     k = F.col("o_orderkey")
-    t = table(spark, d, "orders").where("o_custkey < 60").select((F.col("o_custkey") % 6).alias("field"), k.alias("id"), (k * 7919 % 211).cast("double").alias("x"), (k * 104729 % 199).cast("double").alias("y"), "o_totalprice")
+    t = table(spark, d, "orders").select(F.floor(F.col("o_custkey") / 10).alias("field"), k.alias("id"), (k * 7919 % 211).cast("double").alias("x"), (k * 104729 % 199).cast("double").alias("y"), "o_totalprice")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["o_totalprice", "id"], ascending=[False, True])

@@ -45,3 +45,18 @@ def test_quads_use_every_star(spark, stars):
     assert all(np.allclose(got[q], want[q], atol=1e-5) for q in want)
     per_star = {r.star: r.n for r in catalogue.QUERIES["quads_per_star"](spark, folder).collect()}
     assert per_star == {s: sum(s in q for q in want) for s in {s for q in want for s in q}}
+
+
+def test_every_order_is_deduplicated(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet").collect()
+    want = set()
+    for field in {r.o_custkey // 10 for r in orders}:
+        kept = []
+        for r in sorted((r for r in orders if r.o_custkey // 10 == field), key=lambda r: (-r.o_totalprice, r.o_orderkey)):
+            x, y = r.o_orderkey * 7919 % 211, r.o_orderkey * 104729 % 199
+            if all((x - p) ** 2 + (y - q) ** 2 > 144 for p, q in kept):
+                kept.append((x, y))
+                want.add((field, r.o_orderkey))
+    got = [(r.field, r.id) for r in catalogue.QUERIES["deduplicated_sources"](spark, sf).collect()]
+    assert len(got) == len(want) < len(orders) and set(got) == want
+    assert {f for f, _ in got} == {r.o_custkey // 10 for r in orders}
