@@ -77,9 +77,9 @@ def nearby_images(spark, d):
 
 @query("SELECT o_orderkey AS job, c_name AS owner, n_name AS place, list(l_linenumber ORDER BY l_linenumber) AS objects FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 200 GROUP BY 1, 2, 3")
 def job_info(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey < 200")
+    o = table(spark, d, "orders")
     j = o.join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(F.broadcast(table(spark, d, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
-    j = j.join(table(spark, d, "lineitem").where("l_orderkey < 200"), F.col("l_orderkey") == F.col("o_orderkey"))
+    j = j.join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
     return j.groupBy(F.col("o_orderkey").alias("job"), F.col("c_name").alias("owner"), F.col("n_name").alias("place")).agg(F.sort_array(F.collect_list("l_linenumber")).alias("objects"))
 
 

@@ -60,3 +60,16 @@ def test_every_order_is_deduplicated(spark, sf):
     got = [(r.field, r.id) for r in catalogue.QUERIES["deduplicated_sources"](spark, sf).collect()]
     assert len(got) == len(want) < len(orders) and set(got) == want
     assert {f for f, _ in got} == {r.o_custkey // 10 for r in orders}
+
+
+def test_job_info_joins_every_order(spark, sf):
+    lines = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").collect():
+        lines.setdefault(r.l_orderkey, []).append(r.l_linenumber)
+    owner = {r.c_custkey: (r.c_name, r.c_nationkey) for r in spark.read.parquet(f"{sf}/customer.parquet").collect()}
+    place = {r.n_nationkey: r.n_name for r in spark.read.parquet(f"{sf}/nation.parquet").collect()}
+    orders = spark.read.parquet(f"{sf}/orders.parquet").collect()
+    want = {r.o_orderkey: (owner[r.o_custkey][0], place[owner[r.o_custkey][1]], sorted(lines[r.o_orderkey])) for r in orders if r.o_custkey in owner and r.o_orderkey in lines}
+    got = catalogue.QUERIES["job_info"](spark, sf).collect()
+    assert max(want) >= 200 and len(got) == len(want)
+    assert {r.job: (r.owner, r.place, r.objects) for r in got} == want
