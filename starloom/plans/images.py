@@ -63,7 +63,7 @@ def image_kernels(spark, d):
 @query("SELECT l_suppkey AS id, list_transform(list_zip(list(l_quantity ORDER BY l_orderkey, l_partkey, l_linenumber, l_shipdate), list(l_tax ORDER BY l_orderkey, l_partkey, l_linenumber, l_shipdate)), lambda p: round(p[1] * 2 - p[2], 6)) AS pixels FROM lineitem WHERE l_orderkey < 300 GROUP BY 1")
 def image_arithmetic(spark, d):
     """Pixel-wise arithmetic of two image arrays."""
-    t = table(spark, d, "lineitem").where("l_orderkey < 300").groupBy(F.col("l_suppkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_partkey", "l_linenumber", "l_shipdate", "l_quantity", "l_tax"))).alias("p"))
+    t = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_partkey", "l_linenumber", "l_shipdate", "l_quantity", "l_tax"))).alias("p"))
     return t.select("id", F.zip_with("p.l_quantity", "p.l_tax", lambda a, b: F.round(a * 2 - b, 6)).alias("pixels"))
 
 

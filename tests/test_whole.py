@@ -73,3 +73,13 @@ def test_job_info_joins_every_order(spark, sf):
     got = catalogue.QUERIES["job_info"](spark, sf).collect()
     assert max(want) >= 200 and len(got) == len(want)
     assert {r.job: (r.owner, r.place, r.objects) for r in got} == want
+
+
+def test_image_arithmetic_takes_every_pixel(spark, sf):
+    want = {}
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").collect()
+    for r in sorted(rows, key=lambda r: (r.l_orderkey, r.l_partkey, r.l_linenumber, r.l_shipdate, r.l_quantity, r.l_tax)):
+        want.setdefault(r.l_suppkey, []).append(r.l_quantity * 2 - r.l_tax)
+    got = {r.id: r.pixels for r in catalogue.QUERIES["image_arithmetic"](spark, sf).collect()}
+    assert sum(map(len, got.values())) == len(rows) and got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
