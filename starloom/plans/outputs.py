@@ -12,7 +12,7 @@ from starloom.operators.checkpoints import ensure_checkpoint_dir
 from starloom.operators.polygons import containing
 from starloom.plans.registry import query, sky, sky_sql, table, xyz_sql
 from starloom.plans.scalars import cell_sql
-from starloom.plans.solving import HEADERS, local_sky, made_up_fields
+from starloom.plans.solving import all_correspondences, made_up_fields, patch_header, patches, stars_in_fields
 from starloom.sources import sinks
 
 CELLS = cell_sql(xyz_sql(sky_sql("customer")), 2)
@@ -81,8 +81,18 @@ def polygon_of_position(spark, d):
 
 @query()
 def field_solution_tables(spark, d):
-    """Rows of each table that a solved field gives."""
-    t = sinks.field_tables(made_up_fields(spark, d).where("field_id = 1"), local_sky(spark, d), HEADERS[1], 3.0)
+    """Rows of each table that the solved fields give, over all fields."""
+    zoom = patches(spark, d)[2]
+
+    def placed(batches):
+        for pdf in batches:
+            for f, own in pdf.groupby("field_id"):
+                ra, dec = patch_header((int(f) - 1) // 2, (int(f) - 1) % 2 + 1, zoom).np_pixel_to_radec(own["x"].to_numpy(), own["y"].to_numpy())
+                yield own[["field_id", "rank"]].assign(ra=ra, dec=dec)
+
+    inside = stars_in_fields(spark, d)
+    rdls = made_up_fields(spark, d).mapInPandas(placed, "field_id long, rank long, ra double, dec double")
+    t = {"rdls": rdls, "index_xyls": inside.select("id", "x", "y"), "index_rdls": inside.select("id", "ra", "dec"), "corr": all_correspondences(spark, d, 3.0)}
     out = None
     for name, df in t.items():
         one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from starloom.functions.wcs import Wcs, fit_sip, fit_tan
 from starloom.operators import geohash as gh
 from starloom.operators import verify as vf
+from starloom.operators.spatial import range_join
 from starloom.plans.registry import query, sky, sky_sql, table, xyz_sql
 from starloom.plans.scalars import cell_sql
 
@@ -69,51 +70,118 @@ def code_histograms(spark, d):
     return p.groupBy("dim", F.least(F.greatest(F.floor((F.col("v") + 0.5) / (2.0 / 20)).cast("int"), F.lit(0)), F.lit(19)).alias("bin")).agg(F.count("*").alias("n"))
 
 
+#: stars of a patch at most, and its sides in degrees of the equator and of declination
+PATCH, WIDE, HIGH = 700, 14.0 * np.cos(np.radians(25.0)), 12.0
+CENTRE = (210.0, 25.0)
+
+
+def _rows(zoom: int) -> tuple[np.ndarray, np.ndarray]:
+    """Declinations of the rows of patches, that of the first patch first, and how many patches each holds."""
+    step = HIGH / zoom
+    dec = CENTRE[1] + step * np.arange(-200 * zoom, 200 * zoom)
+    dec = dec[np.abs(dec) <= 75.0]
+    dec = dec[np.argsort(np.abs(dec - CENTRE[1]), kind="stable")]
+    return dec, np.floor(360.0 * np.cos(np.radians(dec)) * zoom / WIDE).astype(int)
+
+
+def patch_centres(patch: np.ndarray, zoom: int) -> tuple[np.ndarray, np.ndarray]:
+    dec, n = _rows(zoom)
+    row = np.searchsorted(np.cumsum(n), patch, side="right")
+    place = patch - (np.cumsum(n) - n)[row]
+    return (CENTRE[0] + place * 360.0 / n[row]) % 360.0, dec[row]
+
+
+def patches(spark, d) -> tuple[int, int, int]:
+    """Largest key, number of patches, and the zoom: how many times smaller all angles are, so that the patches fit on the sphere."""
+    last = table(spark, d, "customer").agg(F.max("c_custkey")).first()[0] or 0
+    n, zoom = last // PATCH + 1, 1
+    while _rows(zoom)[1].sum() < n:
+        zoom *= 2
+    return last, n, zoom
+
+
 def local_sky(spark, d):
-    """A patch of 14 by 12 degrees from the customer keys."""
+    """All customers, dealt by key to patches of 14 by 12 degrees or less that lie side by side on the sky."""
+    last, n, zoom = patches(spark, d)
     k = F.col("c_custkey")
-    return table(spark, d, "customer").where("c_custkey < 700").select(k.alias("id"), (203.0 + (k * 7919 % 14011) / 1000.8).alias("ra"), (19.0 + (k * 104729 % 12007) / 1000.6).alias("dec"), (k * 37 % 701).cast("double").alias("mag"))
+    spread = lambda seed, high: F.pmod(F.xxhash64(k, F.lit(seed)), F.lit(high * 100_000)) / 100_000.0
+    t = table(spark, d, "customer").where(k.isNotNull()).select(k.cast("long").alias("id"), F.floor(k * n / (last + 1)).alias("patch"), spread(1, 14).alias("u"), spread(2, 12).alias("v"), (k * 37 % 701).cast("double").alias("mag"))
+
+    def run(batches):
+        for pdf in batches:
+            ra, dec = patch_centres(pdf["patch"].to_numpy(), zoom)
+            ra = (ra + (pdf["u"] - 7.0) / 14.0 * WIDE / np.cos(np.radians(dec)) / zoom) % 360.0
+            yield pd.DataFrame({"id": pdf["id"], "ra": ra, "dec": dec + (pdf["v"] - 6.0) / zoom, "mag": pdf["mag"], "patch": pdf["patch"]})
+
+    return t.mapInPandas(run, "id long, ra double, dec double, mag double, patch long")
 
 
 HEADERS = {1: Wcs((210.0, 25.0), (500.5, 500.5), ((-0.004, 0.0008), (0.0008, 0.004)), 1000, 1000), 2: Wcs((207.5, 22.5), (500.5, 500.5), ((0.0036, 0.001), (-0.001, 0.0036)), 1000, 1000)}
 
 
+def patch_header(patch: int, h: int, zoom: int) -> Wcs:
+    """Header h moved from the first patch to another."""
+    w = HEADERS[h]
+    ra, dec = (float(c[0]) for c in patch_centres(np.array([patch]), zoom))
+    east = (w.crval[0] - CENTRE[0]) * np.cos(np.radians(CENTRE[1])) / np.cos(np.radians(dec))
+    cd = tuple(tuple(c / zoom for c in row) for row in w.cd)
+    return Wcs(((ra + east / zoom) % 360.0, dec + (w.crval[1] - CENTRE[1]) / zoom), w.crpix, cd, w.width, w.height)
+
+
+def stars_in_fields(spark, d):
+    """Stars on the two fields of every patch, at their pixels: field 2 p + h has header h of patch p."""
+    zoom = patches(spark, d)[2]
+
+    def run(batches):
+        for pdf in batches:
+            for p, own in pdf.groupby("patch"):
+                for h in HEADERS:
+                    w = patch_header(int(p), h, zoom)
+                    x, y = w.np_radec_to_pixel(own["ra"].to_numpy(), own["dec"].to_numpy())
+                    ok = (x >= 0.5) & (x <= w.width + 0.5) & (y >= 0.5) & (y <= w.height + 0.5)
+                    yield own.assign(x=x, y=y, header=h, field_id=2 * int(p) + h)[ok]
+
+    return local_sky(spark, d).mapInPandas(run, "id long, ra double, dec double, mag double, patch long, x double, y double, header int, field_id long")
+
+
 def made_up_fields(spark, d):
-    """Sources of two fields: the patch in two headers with a little noise, brightest first, and a few false sources."""
-    out = None
-    for f, w in HEADERS.items():
-        x, y = w.radec_to_pixel("ra", "dec")
-        seen = local_sky(spark, d).where(w.contains("ra", "dec")).select((x + (F.col("id") * 31 % 7 - 3) / 10).alias("x"), (y + (F.col("id") * 17 % 5 - 2) / 10).alias("y"), "mag")
-        false = spark.range(3).select((F.col("id") * 311 % 1000 + 50.5).alias("x"), (F.col("id") * 173 % 1000 + 77.5).alias("y"), (F.col("id") * 3 + 2.5).alias("mag"))
-        one = seen.unionByName(false).withColumn("field_id", F.lit(f).cast("long"))
-        out = one if out is None else out.unionByName(one)
+    """Sources of two fields a patch: its stars with a little noise, brightest first, and a few false sources."""
+    n = patches(spark, d)[1]
+    seen = stars_in_fields(spark, d).select("field_id", (F.col("x") + (F.col("id") * 31 % 7 - 3) / 10).alias("x"), (F.col("y") + (F.col("id") * 17 % 5 - 2) / 10).alias("y"), "mag")
+    i = F.col("id") % 3
+    false = spark.range(6 * n).select((F.floor(F.col("id") / 3) + 1).alias("field_id"), (i * 311 % 1000 + 50.5).alias("x"), (i * 173 % 1000 + 77.5).alias("y"), (i * 3 + 2.5).alias("mag"))
     from pyspark.sql import Window
 
-    return out.withColumn("rank", (F.row_number().over(Window.partitionBy("field_id").orderBy("mag", "x")) - 1).cast("long")).select("field_id", "rank", "x", "y")
+    return seen.unionByName(false).withColumn("rank", (F.row_number().over(Window.partitionBy("field_id").orderBy("mag", "x")) - 1).cast("long")).select("field_id", "rank", "x", "y")
+
+
+def all_correspondences(spark, d, radius_px: float):
+    """Sources and stars of the same field within a radius: the fields lie apart in a third coordinate."""
+    apart = (F.col("field_id") * 4 * radius_px).alias
+    src = made_up_fields(spark, d).select(F.col("field_id").alias("field"), F.col("rank").alias("field_id"), F.col("x").alias("field_x"), F.col("y").alias("field_y"), apart("field_z"))
+    ref = stars_in_fields(spark, d).select(F.col("id").alias("index_id"), F.col("x").alias("index_x"), F.col("y").alias("index_y"), apart("index_z"))
+    return range_join(src, ref, radius_px, ["field_x", "field_y", "field_z"], ["index_x", "index_y", "index_z"])
 
 
 @query()
 def index_quads(spark, d):
-    return gh.build_quads(local_sky(spark, d), 30, 0.8, 1.8).select(F.array_sort("stars").alias("stars"), "cell", "turn")
+    zoom = patches(spark, d)[2]
+    return gh.build_quads(local_sky(spark, d), 30 * zoom, 0.8 / zoom, 1.8 / zoom).select(F.array_sort("stars").alias("stars"), "cell", "turn")
 
 
 @query()
 def solved_fields(spark, d):
-    """Blind solution of two made-up fields against the index of the patch."""
-    stars = local_sky(spark, d)
-    quads = gh.build_quads(stars, 30, 0.8, 1.8, passes=6)
-    got = vf.solve(made_up_fields(spark, d), stars, quads, 1000, 1000, (12.0, 18.0), (0.8, 1.8), depth=24)
+    """Blind solution of all made-up fields against the index of all patches."""
+    stars, zoom = local_sky(spark, d), patches(spark, d)[2]
+    quads = gh.build_quads(stars, 30 * zoom, 0.8 / zoom, 1.8 / zoom, passes=6)
+    got = vf.solve(made_up_fields(spark, d), stars, quads, 1000, 1000, (12.0 / zoom, 18.0 / zoom), (0.8 / zoom, 1.8 / zoom), depth=24)
     return got.select("field_id", F.round("scale", 2).alias("scale"), F.round("crval0", 1).alias("ra"), F.round("crval1", 1).alias("dec"), (F.col("logodds") > 20.7).alias("solved"))
 
 
 @query()
 def plane_fits(spark, d):
     """TAN and SIP fits of every field from correspondences with known stars, as residuals."""
-    parts = None
-    for f, w in HEADERS.items():
-        x, y = w.radec_to_pixel("ra", "dec")
-        one = local_sky(spark, d).where(w.contains("ra", "dec")).select(F.lit(f).alias("field_id"), x.alias("x"), y.alias("y"), "ra", "dec")
-        parts = one if parts is None else parts.unionByName(one)
+    parts = stars_in_fields(spark, d).select(F.col("field_id").cast("int").alias("field_id"), "x", "y", "ra", "dec")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         v = [pdf[c].to_numpy() for c in ("x", "y", "ra", "dec")]
@@ -127,22 +195,16 @@ def plane_fits(spark, d):
 
 @query()
 def field_index_correspondences(spark, d):
-    f = made_up_fields(spark, d).where("field_id = 1")
-    return vf.correspondences(f, local_sky(spark, d), HEADERS[1], 3.0).select("field_id", "index_id", F.round("dist", 4).alias("dist"))
+    """Sources of every field (``field``) within three pixels of a star; ``field_id`` is the rank of the source."""
+    return all_correspondences(spark, d, 3.0).select("field", "field_id", "index_id", F.round("dist", 4).alias("dist"))
 
 
 @query()
 def verified_headers(spark, d):
-    """Log-odds of the true header of each field, and of the other field's."""
-    stars = local_sky(spark, d).select("id", "ra", "dec")
-    rows = None
-    for f in HEADERS:
-        for h, w in HEADERS.items():
-            px, py = w.radec_to_pixel("ra", "dec")
-            refs = stars.where(w.contains("ra", "dec")).agg(F.sort_array(F.collect_list(F.array(px, py))).alias("refs"))
-            tests = made_up_fields(spark, d).where(F.col("field_id") == f).agg(F.sort_array(F.collect_list(F.struct("rank", "x", "y"))).alias("tests"))
-            one = refs.join(F.broadcast(tests)).select(F.lit(f).alias("field_id"), F.lit(h).alias("header"), "refs", "tests")
-            rows = one if rows is None else rows.unionByName(one)
+    """Log-odds of the true header of each field, and of that of the other field of its patch."""
+    refs = stars_in_fields(spark, d).groupBy("patch", F.col("field_id").cast("int").alias("header")).agg(F.sort_array(F.collect_list(F.array("x", "y"))).alias("refs"))
+    tests = made_up_fields(spark, d).groupBy(F.floor((F.col("field_id") - 1) / 2).alias("patch"), F.col("field_id").cast("int").alias("field_id")).agg(F.sort_array(F.collect_list(F.struct("rank", "x", "y"))).alias("tests"))
+    rows = refs.join(tests, "patch").select("field_id", "header", "refs", "tests")
 
     def check(batches):
         for pdf in batches:

@@ -4,10 +4,12 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from starloom.functions import healpix as hp
 from starloom.operators import geohash as gh
-from starloom.plans import catalogue
+from starloom.plans import catalogue, solving
+from starloom.sources import sinks
 
 
 @pytest.fixture
@@ -83,3 +85,38 @@ def test_image_arithmetic_takes_every_pixel(spark, sf):
     got = {r.id: r.pixels for r in catalogue.QUERIES["image_arithmetic"](spark, sf).collect()}
     assert sum(map(len, got.values())) == len(rows) and got.keys() == want.keys()
     assert all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
+
+
+@pytest.mark.parametrize("n", [1500, 200_000])
+def test_every_customer_takes_part_in_the_patches(spark, tmp_path, n):
+    spark.range(1, n + 1).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    sky = solving.local_sky(spark, str(tmp_path)).toPandas()
+    last, count, zoom = solving.patches(spark, str(tmp_path))
+    assert sorted(sky["id"]) == list(range(1, n + 1)) and zoom == (1 if n < 10_000 else 2)
+    assert sky["patch"].nunique() == count and sky.groupby("patch").size().max() <= 700
+    v = hp.np_xyz_to_cell(np.stack([np.cos(np.radians(sky["dec"])) * np.cos(np.radians(sky["ra"])), np.cos(np.radians(sky["dec"])) * np.sin(np.radians(sky["ra"])), np.sin(np.radians(sky["dec"]))], axis=1), 8 * zoom)
+    assert np.bincount(v).max() < 600 and not sky.duplicated(["ra", "dec"]).any()
+
+
+def test_fields_of_all_patches(spark, tmp_path):
+    spark.range(1, 1501).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    d = str(tmp_path)
+    stars, sources = solving.local_sky(spark, d).cache(), solving.made_up_fields(spark, d).cache()
+    got = {f: set() for f in range(1, 7)}
+    for r in catalogue.QUERIES["field_index_correspondences"](spark, d).collect():
+        got[r.field].add((r.field_id, r.index_id, r.dist))
+    counts = dict.fromkeys(("rdls", "index_xyls", "index_rdls", "corr"), 0)
+    for f in got:
+        w = solving.patch_header((f - 1) // 2, (f - 1) % 2 + 1, 1)
+        tables = sinks.field_tables(sources.where(f"field_id = {f}"), stars, w, 3.0)
+        pairs = {(r.field_id, r.index_id, round(r.dist, 4)) for r in tables["corr"].collect()}
+        assert len(pairs) > 20 and {p[:2] for p in pairs} == {p[:2] for p in got[f]}
+        for name, t in tables.items():
+            counts[name] += t.count()
+    assert counts == {r.name: r.n for r in catalogue.QUERIES["field_solution_tables"](spark, d).collect()}
+    fits = catalogue.QUERIES["plane_fits"](spark, d).collect()
+    assert sorted(r.field_id for r in fits) == list(got) and all(r.sip_ok for r in fits)
+    seen = {(r.field_id, r.header): r.solved for r in catalogue.QUERIES["verified_headers"](spark, d).collect()}
+    assert seen == {(f, h): f == h for p in range(3) for f in (2 * p + 1, 2 * p + 2) for h in (2 * p + 1, 2 * p + 2)}
+    used = {s for r in catalogue.QUERIES["index_quads"](spark, d).collect() for s in r.stars}
+    assert {r.patch for r in stars.collect() if r.id in used} == {0, 1, 2}
