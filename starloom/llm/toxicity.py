@@ -7,7 +7,7 @@ most about ``false_tokens`` expected by chance) enter the lexicon; a token score
 forms of a known stem still count, and every token pays a constant drift. A linear scan
 over those scores finds all maximal-scoring segments of a text. Under Karlin-Altschul statistics a segment of score S
 in a text of n tokens is reached by chance about K n exp(-lambda S) times; the evidence of all significant segments is
-added up and a logistic link, fitted on the sample, turns it into a probability.
+added up and a logistic link, fitted on the sample weighted back to all labels, turns it into a probability.
 
 Edge cases: null, empty or wordless texts get the score of no evidence; several labels of one document are averaged;
 repeated rows are scored one by one; without labels of both kinds every score is the smoothed rate of toxic labels; an empty
@@ -124,14 +124,16 @@ def log_tail(toxic: int, clean: int, rate: float) -> float:
     return top + math.log(sum(math.exp(t - top) for t in terms))
 
 
-def _count_tokens(sample: DataFrame, min_docs: int, max_tokens: int) -> list:
-    """(token, stem?, toxic documents' count, clean ones'): the ``max_tokens`` most lopsided tokens of the sample."""
+def _count_tokens(sample: DataFrame, min_docs: int, max_tokens: int) -> tuple[list, int, int]:
+    """(token, stem?, toxic documents' count, clean ones') of the ``max_tokens`` most lopsided tokens of the sample, the number of all candidates, and the length of all clean documents in tokens."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            counts: dict[tuple[str, bool, bool], int] = Counter()
+            counts: dict[tuple[str | None, bool, bool], int] = Counter()
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = set(TOKEN.findall((text or "").lower()))
+                tokens = TOKEN.findall((text or "").lower())
+                counts[None, False, toxic] += len(tokens)  # the row of no token holds the lengths
+                own = set(tokens)
                 counts.update((t, False, toxic) for t in own)
                 counts.update((t, True, toxic) for t in {t[:n] for t in own for n in PREFIXES if n <= len(t)})
             keys = list(counts)
@@ -143,8 +145,10 @@ def _count_tokens(sample: DataFrame, min_docs: int, max_tokens: int) -> list:
         return step
 
     counted = map_arrow(sample.select("text", "toxic"), make, "token string, stem boolean, toxic long, clean long").groupBy("token", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    lopsided = counted.where(F.col("toxic") >= min_docs).orderBy((F.col("toxic") / (F.col("clean") + 1)).desc(), "token", "stem").limit(max_tokens)
-    return lopsided.collect()
+    kept = reliable(counted.where(F.col("token").isNull() | (F.col("toxic") >= min_docs)))
+    tested = kept.where(F.col("token").isNotNull())
+    lopsided = tested.orderBy((F.col("toxic") / (F.col("clean") + 1)).desc(), "token", "stem").limit(max_tokens)
+    return lopsided.collect(), tested.count(), kept.where(F.col("token").isNull()).first()["clean"]
 
 
 def _decay(p_hit: float, mean_score: float, drift: float) -> float:
@@ -157,14 +161,15 @@ def _decay(p_hit: float, mean_score: float, drift: float) -> float:
     return (low + high) / 2
 
 
-def _fit_link(x: np.ndarray, y: np.ndarray, penalty: float = 0.5) -> tuple[float, float]:
-    """Slope and offset of a ridge-penalised logistic fit, by Newton's method."""
+def _fit_link(x: np.ndarray, y: np.ndarray, penalty: float = 0.5, weights: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and offset of a ridge-penalised, weighted logistic fit, by Newton's method."""
     w = np.zeros(2)
+    each = np.ones(len(x)) if weights is None else weights
     features = np.column_stack([x, np.ones(len(x))])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
-        grad = features.T @ (p - y) + penalty * np.array([w[0], 0.0])
-        hess = (features * (p * (1 - p))[:, None]).T @ features + np.diag([penalty, 1e-6])
+        grad = features.T @ (each * (p - y)) + penalty * np.array([w[0], 0.0])
+        hess = (features * (each * p * (1 - p))[:, None]).T @ features + np.diag([penalty, 1e-6])
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -177,25 +182,26 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean:
     known = labels.where((fold_of(F.col("doc_id")) != 0) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("toxic"), F.lit(min(1.0, max_toxic / max(1, counts.get(True, 0))))).otherwise(F.lit(min(1.0, max_clean / max(1, counts.get(False, 0)))))
+    shares = {v: min(1.0, most / max(1, counts.get(v, 0))) for v, most in ((True, max_toxic), (False, max_clean))}
+    share = F.when(F.col("toxic"), F.lit(shares[True])).otherwise(F.lit(shares[False]))
     chosen = known.where(hashed_below(F.col("doc_id"), share, seed)).withColumnRenamed("doc_id", "_id")
     # the chosen ids are about max_toxic + max_clean at most, so they may be broadcast
     sample = reliable(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "toxic"))
     n_toxic, n_clean = (sample.where(F.col("toxic") == v).count() for v in (True, False))
     if not n_toxic or not n_clean:
         return ToxicityModel(slope=0.0, offset=math.log((n_toxic + 0.5) / (n_clean + 0.5)))
-    rows = _count_tokens(sample, min_docs, max_tokens)
+    rows, n_tested, clean_tokens = _count_tokens(sample, min_docs, max_tokens)
 
     toxic, clean = np.array([r["toxic"] for r in rows], float), np.array([r["clean"] for r in rows], float)
     delta = log_odds(toxic, clean, n_toxic, n_clean)
-    rate, limit = n_toxic / (n_toxic + n_clean), math.log(false_tokens / max(1, len(rows)))
+    rate, limit = n_toxic / (n_toxic + n_clean), math.log(false_tokens / max(1, n_tested))
     good = [d >= least and log_tail(r["toxic"], r["clean"], rate) <= limit for r, d in zip(rows, delta, strict=True)]
     words = {r["token"]: float(d) for r, d, g in zip(rows, delta, good, strict=True) if g and not r["stem"]}
     stems = {r["token"]: float(d) for r, d, g in zip(rows, delta, good, strict=True) if g and r["stem"]}
     clean_hits = float(sum(c for c, r, g in zip(clean, rows, good, strict=True) if g and not r["stem"]))
     mean = float(np.mean([*words.values(), *stems.values()] or [1.0]))
     model = ToxicityModel(words, stems, drift)
-    hit = (clean_hits + 0.5) / (200.0 * n_clean)
+    hit = (clean_hits + 0.5) / max(1, clean_tokens)
     model.decay = _decay(min(hit, 0.5 * drift / (mean + drift)), mean, drift)
 
     def make():
@@ -205,7 +211,8 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean:
         return step
 
     seen = map_arrow(sample, make, "x double, toxic boolean").collect()
-    model.slope, model.offset = _fit_link(np.array([r["x"] for r in seen]), np.array([r["toxic"] for r in seen], float))
+    # each sampled row stands for as many labelled ones as its label's share says
+    model.slope, model.offset = _fit_link(np.array([r["x"] for r in seen]), np.array([r["toxic"] for r in seen], float), weights=np.array([1.0 / shares[r["toxic"]] for r in seen]))
     return model
 
 

@@ -56,3 +56,20 @@ def test_odd_rows(spark):
     assert all(got[i].predicted == int(t) for i, _, t in rows)
     assert tx.detect(docs.limit(0), labels).count() == 0
     assert {r.score for r in tx.detect(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_scores_do_not_move_with_the_caps(spark):
+    text = lambda i, toxic: "you utter scumbag indeed" if (i // 5) % 20 < (12 if toxic else 1) else "a nice day for a walk"
+    rows = [(i, text(i, i % 5 == 0), int(i % 5 == 0)) for i in range(4000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    whole, capped = tx.train(docs, labels), tx.train(docs, labels, max_clean=400)
+    for words in ("a nice day for a walk", "you utter scumbag indeed"):
+        share = np.mean([t for i, x, t in rows if x == words and fold_of_value(i)])
+        assert abs(whole.score(words) - share) < 0.02 and abs(capped.score(words) - share) < 0.06
+
+
+def test_lengths_and_candidates_are_counted(spark):
+    sample = spark.createDataFrame([("bad bad worse", True), ("bad worse", True), ("one two three four", False), (None, False)], "text string, toxic boolean")
+    rows, tested, length = tx._count_tokens(sample, 2, 1)
+    assert len(rows) == 1 and length == 4 and tested == 6  # bad, worse, bad*, wor*, wors*, worse*
