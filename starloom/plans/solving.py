@@ -53,9 +53,9 @@ def code_invariants(spark, d):
 
 @query(f"{QUADS}, g AS (SELECT a, b, c, d, code FROM f WHERE (a + b + c + d) % 4 = 0) SELECT g.a AS ga, g.b AS gb, g.c AS gc, g.d AS gd, count(*) AS n FROM g JOIN f ON list_distance(g.code, f.code) <= 0.02 GROUP BY 1, 2, 3, 4")
 def code_range_match(spark, d):
-    """Similarity join of codes within a tolerance."""
+    """Similarity join of all codes with all codes within a tolerance."""
     q = _all(spark, d)
-    some = q.where("(a + b + c + d) % 4 = 0").select(F.col("a").alias("ga"), F.col("b").alias("gb"), F.col("c").alias("gc"), F.col("d").alias("gd"), F.col("code").alias("gcode"))
+    some = q.select(F.col("a").alias("ga"), F.col("b").alias("gb"), F.col("c").alias("gc"), F.col("d").alias("gd"), F.col("code").alias("gcode"))
     return gh.range_join(some, q, 0.02, "gcode", "code").groupBy("ga", "gb", "gc", "gd").agg(F.count("*").alias("n"))
 
 

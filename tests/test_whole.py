@@ -120,3 +120,12 @@ def test_fields_of_all_patches(spark, tmp_path):
     assert seen == {(f, h): f == h for p in range(3) for f in (2 * p + 1, 2 * p + 2) for h in (2 * p + 1, 2 * p + 2)}
     used = {s for r in catalogue.QUERIES["index_quads"](spark, d).collect() for s in r.stars}
     assert {r.patch for r in stars.collect() if r.id in used} == {0, 1, 2}
+
+
+def test_every_quad_gets_its_matches(spark, stars):
+    folder, v = stars
+    want = brute_quads(v, 15.0, 35.0)
+    codes = np.array(list(want.values()))
+    near = [int((np.linalg.norm(codes - c, axis=1) <= 0.02).sum()) for c in codes]
+    got = {(r.ga, r.gb, r.gc, r.gd): r.n for r in catalogue.QUERIES["code_range_match"](spark, folder).collect()}
+    assert any(sum(q) % 4 for q in want) and got == dict(zip(want, near, strict=True))
