@@ -180,7 +180,7 @@ def velocity_harmonics(spark, d):
 
 @query("SELECT doc_id, array_to_string(string_split(substr(source, 1, 4), 'r'), '|') AS parts, '''' || replace(lang, '''', '''\\''''') || '''' AS quoted FROM documents")
 def shell_words(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.split(F.substring("source", 1, 4), "r"), "|").alias("parts"), ph.shell_escape("lang").alias("quoted"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.split("source", "r"), "|").alias("parts"), ph.shell_escape("lang").alias("quoted"))
 
 
 @query()

@@ -129,3 +129,10 @@ def test_every_quad_gets_its_matches(spark, stars):
     near = [int((np.linalg.norm(codes - c, axis=1) <= 0.02).sum()) for c in codes]
     got = {(r.ga, r.gb, r.gc, r.gd): r.n for r in catalogue.QUERIES["code_range_match"](spark, folder).collect()}
     assert any(sum(q) % 4 for q in want) and got == dict(zip(want, near, strict=True))
+
+
+def test_shell_words_split_whole_sources(spark, tmp_path):
+    sources = ["src1", "src10", "src19", "", "rr", None]
+    spark.createDataFrame([(i, s, "it's") for i, s in enumerate(sources)], "doc_id long, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.parts for r in catalogue.QUERIES["shell_words"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if s is None else s.replace("r", "|") for i, s in enumerate(sources)}
