@@ -96,25 +96,28 @@ def obeys(c: list[float]) -> bool:
 # --- index build ------------------------------------------------------------------------------------------------
 
 
-def all_quads(stars: DataFrame, low_deg: float, high_deg: float) -> DataFrame:
-    """Every valid quad (a, b, c, d, code) with AB between two separations: joins only, no driver loop."""
-    s = stars.select("id", "ra", "dec")
-    ab = sky_join(s, s, high_deg, low_deg).where("l_id < r_id")
+def all_quads(stars: DataFrame, low_deg: float, high_deg: float, by: str) -> DataFrame:
+    """Every valid quad (by, a, b, c, d, code) with AB between two separations: joins only, no driver loop.
+
+    Stars meet within their own list ``by`` only, so the output grows with the number of lists.
+    """
+    s = stars.select("id", "ra", "dec", by)
+    ab = sky_join(s, s, high_deg, low_deg, by).where("l_id < r_id")
     vec = lambda p: [F.cos(F.radians(f"{p}dec")) * F.cos(F.radians(f"{p}ra")), F.cos(F.radians(f"{p}dec")) * F.sin(F.radians(f"{p}ra")), F.sin(F.radians(f"{p}dec"))]
     a, b = vec("l_"), vec("r_")
     mid = [p + q for p, q in zip(a, b, strict=True)]
-    frame = ab.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), F.array(*a).alias("va"), F.array(*b).alias("vb"), *[(m / F.sqrt(sum((k * k for k in mid), F.lit(0.0)))).alias(f"m{i}") for i, m in enumerate(mid)])
-    pts = s.select(F.col("id").alias("s"), *[v.alias(f"p{i}") for i, v in enumerate([F.cos(F.radians("dec")) * F.cos(F.radians("ra")), F.cos(F.radians("dec")) * F.sin(F.radians("ra")), F.sin(F.radians("dec"))])])
+    frame = ab.select(F.col(f"l_{by}").alias(by), F.col("l_id").alias("a"), F.col("r_id").alias("b"), F.array(*a).alias("va"), F.array(*b).alias("vb"), *[(m / F.sqrt(sum((k * k for k in mid), F.lit(0.0)))).alias(f"m{i}") for i, m in enumerate(mid)])
+    pts = s.select(F.col(by).alias("_list"), F.col("id").alias("s"), *[v.alias(f"p{i}") for i, v in enumerate(vec(""))])
     reach = 2 * math.sin(math.radians(high_deg / 2) / 2) * 1.05
-    near = range_join(frame, pts, reach, ["m0", "m1", "m2"], ["p0", "p1", "p2"]).where("s <> a AND s <> b")
+    near = range_join(frame, pts, reach, ["m0", "m1", "m2"], ["p0", "p1", "p2"], by=(by, "_list")).where("s <> a AND s <> b")
     placed = near.withColumn("c", code([F.col("va")[i] for i in range(3)], [F.col("vb")[i] for i in range(3)], [F.col(f"p{i}") for i in range(3)]))
-    inner = placed.where(inside(F.col("c.x"), F.col("c.y"))).select("a", "b", "s", F.col("c.x").alias("x"), F.col("c.y").alias("y"))
-    d = inner.select("a", "b", F.col("s").alias("s2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    both = inner.join(d, ["a", "b"]).where("x < x2 OR (x = x2 AND s < s2)")
+    inner = placed.where(inside(F.col("c.x"), F.col("c.y"))).select(by, "a", "b", "s", F.col("c.x").alias("x"), F.col("c.y").alias("y"))
+    d = inner.select(by, "a", "b", F.col("s").alias("s2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    both = inner.join(d, [by, "a", "b"]).where("x < x2 OR (x = x2 AND s < s2)")
     flip = F.col("x") + F.col("x2") > 1.0
     pick = lambda yes, no: F.when(flip, yes).otherwise(no)
     return both.select(
-        pick(F.col("b"), F.col("a")).alias("a"), pick(F.col("a"), F.col("b")).alias("b"), pick(F.col("s2"), F.col("s")).alias("c"), pick(F.col("s"), F.col("s2")).alias("d"),
+        by, pick(F.col("b"), F.col("a")).alias("a"), pick(F.col("a"), F.col("b")).alias("b"), pick(F.col("s2"), F.col("s")).alias("c"), pick(F.col("s"), F.col("s2")).alias("d"),
         pick(F.array(1 - F.col("x2"), 1 - F.col("y2"), 1 - F.col("x"), 1 - F.col("y")), F.array("x", "y", "x2", "y2")).alias("code"),
     )
 

@@ -28,11 +28,12 @@ def _buckets(dims: list[Column], size: float, spread: bool) -> Column:
     return F.array(*[F.array(*[o + s for o, s in zip(own, shift, strict=True)]) for shift in itertools.product((-1, 0, 1), repeat=len(own))])
 
 
-def range_join(left: DataFrame, right: DataFrame, radius: float, left_pos: list[str] | str, right_pos: list[str] | str, min_radius: float | None = None, dist: str = "dist") -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, radius: float, left_pos: list[str] | str, right_pos: list[str] | str, min_radius: float | None = None, dist: str = "dist", by: tuple[str, str] | None = None) -> DataFrame:
     """All pairs within ``radius`` (inclusive), and at least ``min_radius`` if given, with their Euclidean distance.
 
     Positions are lists of coordinate columns, or the name of an array column; the columns of both sides are kept, so
-    they must differ in name. Any number of dimensions: the grid uses the first three, the distance all.
+    they must differ in name. Any number of dimensions: the grid uses the first three, the distance all. ``by`` names a
+    column of either side, such as a field or a list, that has to be equal as well.
     """
     array = isinstance(left_pos, str)
     coords = lambda pos: [F.col(pos)[i].cast("double") for i in range(GRID_DIMS)] if array else [F.col(c).cast("double") for c in pos[:GRID_DIMS]]
@@ -43,7 +44,8 @@ def range_join(left: DataFrame, right: DataFrame, radius: float, left_pos: list[
         gap = F.aggregate(F.zip_with(F.col(left_pos), F.col(right_pos), lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double"))), F.lit(0.0), lambda s, v: s + v)
     else:
         gap = sum(((F.col(p) - F.col(q)) * (F.col(p) - F.col(q)) for p, q in zip(left_pos, right_pos, strict=True)), F.lit(0.0))
-    pairs = a.join(b, F.col("_bucket") == F.col("_near")).withColumn("_d2", gap).where(F.col("_d2") <= radius * radius)
+    same = F.col("_bucket") == F.col("_near")
+    pairs = a.join(b, same if by is None else same & (F.col(by[0]) == F.col(by[1]))).withColumn("_d2", gap).where(F.col("_d2") <= radius * radius)
     if min_radius is not None:
         pairs = pairs.where(F.col("_d2") >= min_radius * min_radius)
     return pairs.withColumn(dist, F.sqrt("_d2")).drop("_bucket", "_near", "_d2")
@@ -93,10 +95,13 @@ def _with_xyz(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*kept, x.alias(f"_{prefix}x"), y.alias(f"_{prefix}y"), z.alias(f"_{prefix}z"))
 
 
-def sky_join(left: DataFrame, right: DataFrame, radius_deg: float, min_deg: float | None = None) -> DataFrame:
-    """Pairs of sky positions within a radius; columns of the sides get the prefixes l_ and r_, ``sep`` is in degrees."""
+def sky_join(left: DataFrame, right: DataFrame, radius_deg: float, min_deg: float | None = None, by: str | None = None) -> DataFrame:
+    """Pairs of sky positions within a radius; columns of the sides get the prefixes l_ and r_, ``sep`` is in degrees.
+
+    ``by`` is a column that both sides have and that has to be equal.
+    """
     chord = lambda deg: 2.0 * math.sin(math.radians(deg) / 2.0)
-    pairs = range_join(_with_xyz(left, "l_"), _with_xyz(right, "r_"), chord(radius_deg), ["_l_x", "_l_y", "_l_z"], ["_r_x", "_r_y", "_r_z"], None if min_deg is None else chord(min_deg), "_chord")
+    pairs = range_join(_with_xyz(left, "l_"), _with_xyz(right, "r_"), chord(radius_deg), ["_l_x", "_l_y", "_l_z"], ["_r_x", "_r_y", "_r_z"], None if min_deg is None else chord(min_deg), "_chord", by and (f"l_{by}", f"r_{by}"))
     sep = F.degrees(2.0 * F.asin(F.least(F.col("_chord") / 2.0, F.lit(1.0))))
     return pairs.withColumn("sep", sep).drop("_l_x", "_l_y", "_l_z", "_r_x", "_r_y", "_r_z", "_chord")
 

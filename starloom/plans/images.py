@@ -60,7 +60,7 @@ def image_kernels(spark, d):
     return star_images(spark, d).mapInPandas(run, "image_id long, smooth double, median double, sigma double, regions double, lanczos double, nearest double, stretch double, blocks double, patched double")
 
 
-@query("SELECT l_suppkey AS id, list_transform(list_zip(list(l_quantity ORDER BY l_orderkey, l_partkey, l_linenumber, l_shipdate), list(l_tax ORDER BY l_orderkey, l_partkey, l_linenumber, l_shipdate)), lambda p: round(p[1] * 2 - p[2], 6)) AS pixels FROM lineitem WHERE l_orderkey < 300 GROUP BY 1")
+@query("SELECT l_suppkey AS id, list_transform(list_zip(list(l_quantity ORDER BY l_orderkey, l_partkey, l_linenumber, l_shipdate), list(l_tax ORDER BY l_orderkey, l_partkey, l_linenumber, l_shipdate)), lambda p: round(p[1] * 2 - p[2], 6)) AS pixels FROM lineitem GROUP BY 1")
 def image_arithmetic(spark, d):
     """Pixel-wise arithmetic of two image arrays."""
     t = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_partkey", "l_linenumber", "l_shipdate", "l_quantity", "l_tax"))).alias("p"))

@@ -178,7 +178,7 @@ def velocity_harmonics(spark, d):
     return table(spark, d, "supplier").select("s_suppkey").mapInPandas(run, "id long, first double, ratio double, e double")
 
 
-@query("SELECT doc_id, array_to_string(string_split(substr(source, 1, 4), 'r'), '|') AS parts, '''' || replace(lang, '''', '''\\''''') || '''' AS quoted FROM documents")
+@query("SELECT doc_id, array_to_string(string_split(source, 'r'), '|') AS parts, '''' || replace(lang, '''', '''\\''''') || '''' AS quoted FROM documents")
 def shell_words(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(F.split("source", "r"), "|").alias("parts"), ph.shell_escape("lang").alias("quoted"))
 

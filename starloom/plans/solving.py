@@ -10,11 +10,11 @@ from starloom.functions.wcs import Wcs, fit_sip, fit_tan
 from starloom.operators import geohash as gh
 from starloom.operators import verify as vf
 from starloom.operators.spatial import range_join
-from starloom.plans.registry import query, sky, sky_sql, table, xyz_sql
-from starloom.plans.scalars import cell_sql
+from starloom.plans.registry import query, table, xyz_sql
 
-#: the brightest star of each cell; the quad queries take every star, so from the first cell with two stars on they give more rows than this SQL
-S = f"(SELECT id, ra, dec, x, y, z FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY s_acctbal DESC, id) AS n FROM {cell_sql(xyz_sql(sky_sql('supplier', 's_acctbal')), 8)}) WHERE n = 1)"
+#: suppliers in lists of 25, the stars of each spread evenly over 24 by 24 degrees; quads have AB of 8 to 16 degrees
+LIST, LOW, HIGH_AB = 25, 8.0, 16.0
+S = xyz_sql(f"(SELECT s_suppkey AS id, CAST(floor((s_suppkey - 1) / {LIST}) AS BIGINT) AS list, 168.0e0 + ((s_suppkey * 0.7548776662466927e0) % 1.0e0) * 24.0e0 AS ra, ((s_suppkey * 0.5698402909980532e0) % 1.0e0) * 24.0e0 - 12.0e0 AS dec FROM supplier)")
 SEP = "degrees(2 * asin(least(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) / 2, 1)))"
 
 
@@ -24,10 +24,10 @@ def _plane_sql(x: str, y: str, z: str) -> tuple[str, str]:
 
 
 (PA, QA), (PB, QB), (PS, QS) = _plane_sql("ax", "ay", "az"), _plane_sql("bx", "by_", "bz"), _plane_sql("s.x", "s.y", "s.z")
-INNER = f"""WITH s AS (SELECT * FROM {S}), ab AS (SELECT a.id AS a, b.id AS b, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, a.x + b.x AS mx, a.y + b.y AS my, a.z + b.z AS mz FROM s a JOIN s b ON a.id < b.id AND {SEP} BETWEEN 15 AND 35),
+INNER = f"""WITH s AS (SELECT * FROM {S}), ab AS (SELECT a.list AS list, a.id AS a, b.id AS b, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, a.x + b.x AS mx, a.y + b.y AS my, a.z + b.z AS mz FROM s a JOIN s b ON a.list = b.list AND a.id < b.id AND {SEP} BETWEEN {LOW} AND {HIGH_AB}),
 r AS (SELECT *, mx / sqrt(mx*mx + my*my + mz*mz) AS rx, my / sqrt(mx*mx + my*my + mz*mz) AS ry, mz / sqrt(mx*mx + my*my + mz*mz) AS rz FROM ab),
 e AS (SELECT *, -ry / sqrt(rx*rx + ry*ry) AS ex, rx / sqrt(rx*rx + ry*ry) AS ey FROM r), n AS (SELECT *, -rz * ey AS nx, rz * ex AS ny, rx * ey - ry * ex AS nz FROM e),
-p AS (SELECT a, b, s.id AS s, {QB} - {QA} AS fx, {PB} - {PA} AS fy, {QS} - {QA} AS sx, {PS} - {PA} AS sy FROM n JOIN s ON s.id <> a AND s.id <> b AND s.x * rx + s.y * ry + s.z * rz > 0.9),
+p AS (SELECT a, b, s.id AS s, {QB} - {QA} AS fx, {PB} - {PA} AS fy, {QS} - {QA} AS sx, {PS} - {PA} AS sy FROM n JOIN s ON s.list = n.list AND s.id <> a AND s.id <> b AND s.x * rx + s.y * ry + s.z * rz > 0.9),
 c AS (SELECT a, b, s, (sx * (fy + fx) + sy * (fy - fx)) / (fx*fx + fy*fy) AS x, (sy * (fy + fx) - sx * (fy - fx)) / (fx*fx + fy*fy) AS y FROM p),
 i AS (SELECT * FROM c WHERE x*x - x + y*y - y <= 0)"""
 QUADS = f"""{INNER}, q AS (SELECT i.a, i.b, i.s, i.x, i.y, j.s AS s2, j.x AS x2, j.y AS y2 FROM i JOIN i j ON i.a = j.a AND i.b = j.b AND (i.x < j.x OR (i.x = j.x AND i.s < j.s))),
@@ -35,8 +35,15 @@ f AS (SELECT CASE WHEN x + x2 > 1 THEN b ELSE a END AS a, CASE WHEN x + x2 > 1 T
  CASE WHEN x + x2 > 1 THEN [1 - x2, 1 - y2, 1 - x, 1 - y] ELSE [x, y, x2, y2] END AS code FROM q)"""
 
 
+def star_lists(spark, d):
+    """Every supplier as a star of its list."""
+    k = F.col("s_suppkey")
+    place = lambda c: (k * F.lit(c)) % 1.0 * 24.0
+    return table(spark, d, "supplier").select(k.alias("id"), F.floor((k - 1) / LIST).alias("list"), (168.0 + place(0.7548776662466927)).alias("ra"), (place(0.5698402909980532) - 12.0).alias("dec"))
+
+
 def _all(spark, d):
-    return gh.all_quads(sky(spark, d, "supplier"), 15.0, 35.0)
+    return gh.all_quads(star_lists(spark, d), LOW, HIGH_AB, "list")
 
 
 @query(f"{QUADS} SELECT a, b, c, d, list_transform(code, lambda v: round(v, 5) + 0) AS code FROM f")
@@ -51,7 +58,7 @@ def code_invariants(spark, d):
     return q.agg(F.count("*").alias("n"), F.count_if((c(0) + c(2)) / 2 <= 0.5).alias("mean_ok"), F.count_if(c(0) <= c(2)).alias("order_ok"), (F.min(F.least(c(0), c(2))) >= -0.21).alias("inside"))
 
 
-@query(f"{QUADS}, g AS (SELECT a, b, c, d, code FROM f WHERE (a + b + c + d) % 4 = 0) SELECT g.a AS ga, g.b AS gb, g.c AS gc, g.d AS gd, count(*) AS n FROM g JOIN f ON list_distance(g.code, f.code) <= 0.02 GROUP BY 1, 2, 3, 4")
+@query(f"{QUADS} SELECT g.a AS ga, g.b AS gb, g.c AS gc, g.d AS gd, count(*) AS n FROM f g JOIN f ON list_distance(g.code, f.code) <= 0.02 GROUP BY 1, 2, 3, 4")
 def code_range_match(spark, d):
     """Similarity join of all codes with all codes within a tolerance."""
     q = _all(spark, d)
@@ -156,11 +163,10 @@ def made_up_fields(spark, d):
 
 
 def all_correspondences(spark, d, radius_px: float):
-    """Sources and stars of the same field within a radius: the fields lie apart in a third coordinate."""
-    apart = (F.col("field_id") * 4 * radius_px).alias
-    src = made_up_fields(spark, d).select(F.col("field_id").alias("field"), F.col("rank").alias("field_id"), F.col("x").alias("field_x"), F.col("y").alias("field_y"), apart("field_z"))
-    ref = stars_in_fields(spark, d).select(F.col("id").alias("index_id"), F.col("x").alias("index_x"), F.col("y").alias("index_y"), apart("index_z"))
-    return range_join(src, ref, radius_px, ["field_x", "field_y", "field_z"], ["index_x", "index_y", "index_z"])
+    """Sources and stars of the same field within a radius."""
+    src = made_up_fields(spark, d).select(F.col("field_id").alias("field"), F.col("rank").alias("field_id"), F.col("x").alias("field_x"), F.col("y").alias("field_y"))
+    ref = stars_in_fields(spark, d).select(F.col("field_id").alias("index_field"), F.col("id").alias("index_id"), F.col("x").alias("index_x"), F.col("y").alias("index_y"))
+    return range_join(src, ref, radius_px, ["field_x", "field_y"], ["index_x", "index_y"], by=("field", "index_field"))
 
 
 @query()

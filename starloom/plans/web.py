@@ -75,7 +75,7 @@ def nearby_images(spark, d):
     return same.union(wide).distinct()
 
 
-@query("SELECT o_orderkey AS job, c_name AS owner, n_name AS place, list(l_linenumber ORDER BY l_linenumber) AS objects FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 200 GROUP BY 1, 2, 3")
+@query("SELECT o_orderkey AS job, c_name AS owner, n_name AS place, list(l_linenumber ORDER BY l_linenumber) AS objects FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3")
 def job_info(spark, d):
     o = table(spark, d, "orders")
     j = o.join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(F.broadcast(table(spark, d, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))

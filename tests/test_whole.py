@@ -14,17 +14,25 @@ from starloom.sources import sinks
 
 @pytest.fixture
 def stars(spark, tmp_path):
-    """Forty suppliers, many in one cell: (folder, vectors by id)."""
-    keys = list(range(1, 41))
-    spark.createDataFrame([(k, float(k * 37 % 41)) for k in keys], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
-    dec, ra = np.arcsin(2 * (np.array(keys) * 0.6180339887498949 % 1) - 1), np.radians(np.array(keys) * 137.50776405003785 % 360)
-    v = np.stack([np.cos(dec) * np.cos(ra), np.cos(dec) * np.sin(ra), np.sin(dec)], axis=1)
-    assert len(set(hp.np_xyz_to_cell(v, 8).tolist())) < len(keys)
-    return str(tmp_path), dict(zip(keys, v, strict=True))
+    """Sixty suppliers in three lists: (folder, vectors by list and id)."""
+    keys = list(range(1, 61))
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    lists = {}
+    for k in keys:
+        ra, dec = np.radians(168 + k * 0.7548776662466927 % 1 * 24), np.radians(k * 0.5698402909980532 % 1 * 24 - 12)
+        lists.setdefault((k - 1) // 25, {})[k] = np.array([np.cos(dec) * np.cos(ra), np.cos(dec) * np.sin(ra), np.sin(dec)])
+    return str(tmp_path), lists
+
+
+def brute_quads(lists, low=8.0, high=16.0):
+    """Every quad of every list with its code by trying all pairs and all inner stars."""
+    out = {}
+    for stars in lists.values():
+        out |= brute_list(stars, low, high)
+    return out
 
 
-def brute_quads(stars, low, high):
-    """Every quad with its code by trying all pairs and all inner stars."""
+def brute_list(stars, low, high):
     out = {}
     for a, b in itertools.combinations(sorted(stars), 2):
         if not low <= np.degrees(2 * np.arcsin(np.linalg.norm(stars[a] - stars[b]) / 2)) <= high:
@@ -41,7 +49,7 @@ def brute_quads(stars, low, high):
 
 def test_quads_use_every_star(spark, stars):
     folder, v = stars
-    want = brute_quads(v, 15.0, 35.0)
+    want = brute_quads(v)
     got = {(r.a, r.b, r.c, r.d): r.code for r in catalogue.QUERIES["quad_codes"](spark, folder).collect()}
     assert len(want) > 100 and got.keys() == want.keys()
     assert all(np.allclose(got[q], want[q], atol=1e-5) for q in want)
@@ -124,7 +132,7 @@ def test_fields_of_all_patches(spark, tmp_path):
 
 def test_every_quad_gets_its_matches(spark, stars):
     folder, v = stars
-    want = brute_quads(v, 15.0, 35.0)
+    want = brute_quads(v)
     codes = np.array(list(want.values()))
     near = [int((np.linalg.norm(codes - c, axis=1) <= 0.02).sum()) for c in codes]
     got = {(r.ga, r.gb, r.gc, r.gd): r.n for r in catalogue.QUERIES["code_range_match"](spark, folder).collect()}
