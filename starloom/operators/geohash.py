@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from starloom.functions import healpix as hp
 from starloom.functions.base import let
+from starloom.functions.sphere import radec_to_xyz
 from starloom.operators.checkpoints import reliable
 from starloom.operators.spatial import range_join, sky_join
 
@@ -102,23 +103,30 @@ def all_quads(stars: DataFrame, low_deg: float, high_deg: float, by: str) -> Dat
     Stars meet within their own list ``by`` only, so the output grows with the number of lists.
     """
     s = stars.select("id", "ra", "dec", by)
+    cols = lambda p: [F.col(f"{p}{i}") for i in range(3)]
+    named = lambda v, p: [c.alias(f"{p}{i}") for i, c in enumerate(v)]
     ab = sky_join(s, s, high_deg, low_deg, by).where("l_id < r_id")
-    vec = lambda p: [F.cos(F.radians(f"{p}dec")) * F.cos(F.radians(f"{p}ra")), F.cos(F.radians(f"{p}dec")) * F.sin(F.radians(f"{p}ra")), F.sin(F.radians(f"{p}dec"))]
-    a, b = vec("l_"), vec("r_")
-    mid = [p + q for p, q in zip(a, b, strict=True)]
-    frame = ab.select(F.col(f"l_{by}").alias(by), F.col("l_id").alias("a"), F.col("r_id").alias("b"), F.array(*a).alias("va"), F.array(*b).alias("vb"), *[(m / F.sqrt(sum((k * k for k in mid), F.lit(0.0)))).alias(f"m{i}") for i, m in enumerate(mid)])
-    pts = s.select(F.col(by).alias("_list"), F.col("id").alias("s"), *[v.alias(f"p{i}") for i, v in enumerate(vec(""))])
+    ab = ab.select(F.col(f"l_{by}").alias(by), F.col("l_id").alias("a"), F.col("r_id").alias("b"), *named(radec_to_xyz("l_ra", "l_dec"), "a"), *named(radec_to_xyz("r_ra", "r_dec"), "b"))
+    mid = [p + q for p, q in zip(cols("a"), cols("b"), strict=True)]
+    ab = ab.select("*", *named([m / F.sqrt(sum((k * k for k in mid), F.lit(0.0))) for m in mid], "m"))
+    (ay, ax), (by_, bx) = _plane(cols("a"), cols("m")), _plane(cols("b"), cols("m"))
+    frame = ab.select(by, "a", "b", "m0", "m1", "m2", ax.alias("ax"), ay.alias("ay"), (bx - ax).alias("fx"), (by_ - ay).alias("fy"))
+    pts = s.select(F.col(by).alias("_list"), F.col("id").alias("s"), *named(radec_to_xyz("ra", "dec"), "p"))
     reach = 2 * math.sin(math.radians(high_deg / 2) / 2) * 1.05
     near = range_join(frame, pts, reach, ["m0", "m1", "m2"], ["p0", "p1", "p2"], by=(by, "_list")).where("s <> a AND s <> b")
-    placed = near.withColumn("c", code([F.col("va")[i] for i in range(3)], [F.col("vb")[i] for i in range(3)], [F.col(f"p{i}") for i in range(3)]))
-    inner = placed.where(inside(F.col("c.x"), F.col("c.y"))).select(by, "a", "b", "s", F.col("c.x").alias("x"), F.col("c.y").alias("y"))
-    d = inner.select(by, "a", "b", F.col("s").alias("s2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    both = inner.join(d, [by, "a", "b"]).where("x < x2 OR (x = x2 AND s < s2)")
-    flip = F.col("x") + F.col("x2") > 1.0
+    sy, sx = _plane(cols("p"), cols("m"))
+    near = near.select(by, "a", "b", "s", "fx", "fy", (sx - F.col("ax")).alias("sx"), (sy - F.col("ay")).alias("sy"))
+    x, y = (F.expr(e) for e in ("(sx * (fy + fx) + sy * (fy - fx)) / (fx * fx + fy * fy)", "(sy * (fy + fx) - sx * (fy - fx)) / (fx * fx + fy * fy)"))
+    placed = near.select(by, "a", "b", "s", x.alias("x"), y.alias("y"))
+    # the inner stars of one AB are as many as a list has within its circle
+    inner = placed.groupBy(by, "a", "b").agg(F.sort_array(F.collect_list(F.when(inside(F.col("x"), F.col("y")), F.struct("x", "s", "y")))).alias("inner"))
+    one = inner.select(by, "a", "b", "inner", F.posexplode("inner").alias("i", "p"))
+    both = one.select(by, "a", "b", "p", F.explode(F.slice("inner", F.col("i") + 2, F.size("inner"))).alias("q"))
+    flip = F.col("p.x") + F.col("q.x") > 1.0
     pick = lambda yes, no: F.when(flip, yes).otherwise(no)
     return both.select(
-        by, pick(F.col("b"), F.col("a")).alias("a"), pick(F.col("a"), F.col("b")).alias("b"), pick(F.col("s2"), F.col("s")).alias("c"), pick(F.col("s"), F.col("s2")).alias("d"),
-        pick(F.array(1 - F.col("x2"), 1 - F.col("y2"), 1 - F.col("x"), 1 - F.col("y")), F.array("x", "y", "x2", "y2")).alias("code"),
+        by, pick(F.col("b"), F.col("a")).alias("a"), pick(F.col("a"), F.col("b")).alias("b"), pick(F.col("q.s"), F.col("p.s")).alias("c"), pick(F.col("p.s"), F.col("q.s")).alias("d"),
+        pick(F.array(1 - F.col("q.x"), 1 - F.col("q.y"), 1 - F.col("p.x"), 1 - F.col("p.y")), F.array("p.x", "p.y", "q.x", "q.y")).alias("code"),
     )
 
 
@@ -245,7 +253,7 @@ def field_quads(sources: DataFrame, low_px: float, high_px: float, depth: int =
 
 def match_codes(field: DataFrame, quads: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Similarity join in code space."""
-    return range_join(quads.select("quad_id", "stars", "code"), field, tolerance, "code", "field_code", dist="code_err")
+    return range_join(quads.select("quad_id", "stars", "code"), field, tolerance, "code", "field_code", dist="code_err", dims=4)
 
 
 __all__ = ["all_quads", "build_quads", "code", "dereference", "enforce", "field_quads", "inside", "match_codes", "np_code", "np_sky_code", "obeys", "star_to_quads"]

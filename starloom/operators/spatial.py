@@ -21,26 +21,39 @@ GRID_DIMS = 3
 
 
 def _buckets(dims: list[Column], size: float, spread: bool) -> Column:
-    """The bucket of a point as an array of longs, or all buckets around it for ``explode``."""
+    """The bucket of a point as one long, or all buckets around it for ``explode``.
+
+    Each coordinate's cell keeps its last 21 bits: far cells may share a bucket, neighbours never do.
+    """
     own = [F.floor(d / size).cast("long") for d in dims]
+
+    def packed(shift: tuple[int, ...]) -> Column:
+        key = F.lit(0).cast("long")
+        for o, s in zip(own, shift, strict=True):
+            key = F.shiftleft(key, 21).bitwiseOR((o + s).bitwiseAND(F.lit((1 << 21) - 1)))
+        return key
+
     if not spread:
-        return F.array(*own)
-    return F.array(*[F.array(*[o + s for o, s in zip(own, shift, strict=True)]) for shift in itertools.product((-1, 0, 1), repeat=len(own))])
+        return packed((0,) * len(own))
+    return F.array(*[packed(shift) for shift in itertools.product((-1, 0, 1), repeat=len(own))])
 
 
-def range_join(left: DataFrame, right: DataFrame, radius: float, left_pos: list[str] | str, right_pos: list[str] | str, min_radius: float | None = None, dist: str = "dist", by: tuple[str, str] | None = None) -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, radius: float, left_pos: list[str] | str, right_pos: list[str] | str, min_radius: float | None = None, dist: str = "dist", by: tuple[str, str] | None = None, dims: int | None = None) -> DataFrame:
     """All pairs within ``radius`` (inclusive), and at least ``min_radius`` if given, with their Euclidean distance.
 
     Positions are lists of coordinate columns, or the name of an array column; the columns of both sides are kept, so
     they must differ in name. Any number of dimensions: the grid uses the first three, the distance all. ``by`` names a
-    column of either side, such as a field or a list, that has to be equal as well.
+    column of either side, such as a field or a list, that has to be equal as well;
+    ``dims`` is the length of the arrays where it is known.
     """
     array = isinstance(left_pos, str)
     coords = lambda pos: [F.col(pos)[i].cast("double") for i in range(GRID_DIMS)] if array else [F.col(c).cast("double") for c in pos[:GRID_DIMS]]
     size = radius * (1 + 1e-12) if radius > 0 else 1e-12
     a = left.withColumn("_bucket", _buckets(coords(left_pos), size, False))
     b = right.withColumn("_near", F.explode(_buckets(coords(right_pos), size, True)))
-    if array:
+    if array and dims:
+        gap = sum(((F.col(left_pos)[i] - F.col(right_pos)[i]) * (F.col(left_pos)[i] - F.col(right_pos)[i]) for i in range(dims)), F.lit(0.0))
+    elif array:
         gap = F.aggregate(F.zip_with(F.col(left_pos), F.col(right_pos), lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double"))), F.lit(0.0), lambda s, v: s + v)
     else:
         gap = sum(((F.col(p) - F.col(q)) * (F.col(p) - F.col(q)) for p, q in zip(left_pos, right_pos, strict=True)), F.lit(0.0))

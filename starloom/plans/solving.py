@@ -12,9 +12,18 @@ from starloom.operators import verify as vf
 from starloom.operators.spatial import range_join
 from starloom.plans.registry import query, table, xyz_sql
 
-#: suppliers in lists of 25, the stars of each spread evenly over 24 by 24 degrees; quads have AB of 8 to 16 degrees
-LIST, LOW, HIGH_AB = 25, 8.0, 16.0
-S = xyz_sql(f"(SELECT s_suppkey AS id, CAST(floor((s_suppkey - 1) / {LIST}) AS BIGINT) AS list, 168.0e0 + ((s_suppkey * 0.7548776662466927e0) % 1.0e0) * 24.0e0 AS ra, ((s_suppkey * 0.5698402909980532e0) % 1.0e0) * 24.0e0 - 12.0e0 AS dec FROM supplier)")
+#: suppliers in lists of 25, the stars of each scattered over 24 by 24 degrees; quads have AB of 8 to 13 degrees
+LIST, LOW, HIGH_AB, PRIME = 25, 8.0, 13.0, 1_000_003
+
+
+def _scatter(key, square: int, plain: int):
+    """An even scatter of keys over 24 degrees, as text for SQL and Spark alike."""
+    m = f"({key} % {PRIME})"
+    return f"(({m} * {m} * {square} + {m} * {plain}) % {PRIME}) * 24.0e0 / {PRIME}.0e0"
+
+
+RA, DEC = f"168.0e0 + {_scatter('s_suppkey', 31, 7919)}", f"{_scatter('s_suppkey', 57, 104729)} - 12.0e0"
+S = xyz_sql(f"(SELECT s_suppkey AS id, CAST(floor((s_suppkey - 1) / {LIST}) AS BIGINT) AS list, {RA} AS ra, {DEC} AS dec FROM supplier)")
 SEP = "degrees(2 * asin(least(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) / 2, 1)))"
 
 
@@ -38,8 +47,7 @@ f AS (SELECT CASE WHEN x + x2 > 1 THEN b ELSE a END AS a, CASE WHEN x + x2 > 1 T
 def star_lists(spark, d):
     """Every supplier as a star of its list."""
     k = F.col("s_suppkey")
-    place = lambda c: (k * F.lit(c)) % 1.0 * 24.0
-    return table(spark, d, "supplier").select(k.alias("id"), F.floor((k - 1) / LIST).alias("list"), (168.0 + place(0.7548776662466927)).alias("ra"), (place(0.5698402909980532) - 12.0).alias("dec"))
+    return table(spark, d, "supplier").select(k.alias("id"), F.floor((k - 1) / LIST).alias("list"), F.expr(RA).alias("ra"), F.expr(DEC).alias("dec"))
 
 
 def _all(spark, d):
@@ -63,7 +71,7 @@ def code_range_match(spark, d):
     """Similarity join of all codes with all codes within a tolerance."""
     q = _all(spark, d)
     some = q.select(F.col("a").alias("ga"), F.col("b").alias("gb"), F.col("c").alias("gc"), F.col("d").alias("gd"), F.col("code").alias("gcode"))
-    return gh.range_join(some, q, 0.02, "gcode", "code").groupBy("ga", "gb", "gc", "gd").agg(F.count("*").alias("n"))
+    return gh.range_join(some, q.select("code"), 0.02, "gcode", "code", dims=4).groupBy("ga", "gb", "gc", "gd").agg(F.count("*").alias("n"))
 
 
 @query(f"{QUADS}, u AS (SELECT unnest([a, b, c, d]) AS star FROM f) SELECT star, count(*) AS n FROM u GROUP BY star")

@@ -19,12 +19,12 @@ def stars(spark, tmp_path):
     spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
     lists = {}
     for k in keys:
-        ra, dec = np.radians(168 + k * 0.7548776662466927 % 1 * 24), np.radians(k * 0.5698402909980532 % 1 * 24 - 12)
+        ra, dec = (np.radians(low + (k * k * m + k * n) % 1_000_003 * 24 / 1_000_003) for low, m, n in ((168, 31, 7919), (-12, 57, 104729)))
         lists.setdefault((k - 1) // 25, {})[k] = np.array([np.cos(dec) * np.cos(ra), np.cos(dec) * np.sin(ra), np.sin(dec)])
     return str(tmp_path), lists
 
 
-def brute_quads(lists, low=8.0, high=16.0):
+def brute_quads(lists, low=8.0, high=13.0):
     """Every quad of every list with its code by trying all pairs and all inner stars."""
     out = {}
     for stars in lists.values():
