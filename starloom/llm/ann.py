@@ -1,10 +1,16 @@
 """Approximate nearest neighbours with a forest of random-projection trees and one priority queue across the trees.
 
-Trees are grown on a bounded, seeded sample: every inner node projects on a random direction and splits at the sample's
-median, down to leaves of about ``leaf_rows`` vectors and at most ``2**max_depth`` leaves a tree, so the forest that is
-sent to the executors has a fixed size bound. Every vector is then filed in one leaf of each tree. A query opens the
-leaves of all trees through a shared queue, ordered by the squared distances to the splits crossed so far, until it has
-opened ``share`` of them; the vectors in those leaves are ranked by their exact inner product in double precision.
+Trees are grown on a seeded sample of at most about ``sample_rows`` vectors: every inner node projects on a random
+direction and splits at the sample's median, down to leaves of about ``leaf_rows`` vectors of the sample, so the trees
+deepen with the table until the sample is at its bound, and the forest that is sent to the executors has a fixed size
+bound. Every vector is then filed in one leaf of each tree. A query opens the leaves of all trees through a shared
+queue, ordered by the squared distances to the splits crossed so far; the vectors in those leaves are ranked by their
+exact inner product in double precision.
+
+How deep the trees are used and how many leaves a query opens is measured on the sample: for some of its vectors the
+exact neighbours within it are looked up, and of several depths the cheapest is taken at which the least number of
+leaves gives ``recall`` of them. In a larger table neighbours are nearer than in its sample, so that this errs to the
+side of more. Vectors with structure need few leaves; those without any need many, whatever the index.
 
 Leaves are joined, not collected: vectors and queries meet per leaf in groups that are split again (``block_rows``) when
 the table grows, every group returns the best ``k + 1`` of each of its queries, and those are merged. For inner products
@@ -34,6 +40,7 @@ from pyspark.sql import functions as F
 from starloom.llm.common import hashed_below, map_arrow, reliable
 
 K = 20
+LEAF_COST = 64
 
 
 @dataclass
@@ -49,6 +56,11 @@ class Forest:
     def leaves(self) -> int:
         return 1 << self.depth
 
+    def cut(self, depth: int) -> Forest:
+        """The same trees, used down to a depth."""
+        inner = (1 << depth) - 1
+        return Forest(self.normals[:, :inner], self.cuts[:, :inner], depth, self.norm)
+
     def completed(self, x: np.ndarray) -> np.ndarray:
         """Vectors of equal length: one more coordinate lifts each to the largest norm."""
         return np.column_stack([x, np.sqrt(np.maximum(0.0, self.norm**2 - (x * x).sum(axis=1)))])
@@ -100,6 +112,33 @@ def grow(sample: np.ndarray, trees: int, depth: int, norm: float, seed: int) ->
     return forest
 
 
+def calibrate(forest: Forest, sample: np.ndarray, rows: int, k: int, recall: float, seed: int, queries: int = 192) -> tuple[int, int]:
+    """(depth, visits): the cheapest use of the forest that finds ``recall`` of the sample's own ``k`` neighbours."""
+    rng = np.random.default_rng(seed)
+    asked = rng.choice(len(sample), min(queries, len(sample)), replace=False)
+    s = sample[asked] @ sample.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    k = min(k, len(sample) - 1)
+    if k < 1 or not forest.depth:
+        return 0, 1
+    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    leaf = forest.file(sample)
+    best = (math.inf, 0, 1)
+    for depth in sorted({*range(4, forest.depth, 2), forest.depth}):
+        used = forest.cut(depth)
+        own = (leaf >> (forest.depth - depth)) + np.arange(len(leaf))[:, None] * used.leaves
+        place = np.empty(len(leaf) * used.leaves, int)
+        needed = []
+        for q, found in zip(asked, near, strict=True):
+            place[used.open(sample[q], len(place))] = np.arange(len(place))
+            needed.append(place[own[:, found]].min(axis=0))
+        visits = int(np.sort(np.concatenate(needed))[math.ceil(recall * len(asked) * k) - 1]) + 1
+        # a query costs the vectors that it ranks and, for every leaf, about as much as ``LEAF_COST`` of them
+        cost = visits / used.leaves * rows + LEAF_COST * visits
+        best = min(best, (cost, depth, visits))
+    return best[1:]
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
@@ -142,9 +181,12 @@ def _rank_leaf(k: int):
 
 
 def nearest(
-    vectors: DataFrame, every: int = 20, k: int = K, trees: int = 4, max_depth: int = 6, leaf_rows: int = 32, share: float = 0.32, sample_rows: int = 8192, block_rows: int = 20_000, seed: int = 29, id_col: str = "vec_id", vec_col: str = "embedding"
+    vectors: DataFrame, every: int = 20, k: int = K, trees: int = 4, leaf_rows: int = 32, recall: float = 0.96, share: float | None = None, sample_rows: int = 32_768, block_rows: int = 20_000, seed: int = 29, id_col: str = "vec_id", vec_col: str = "embedding"
 ) -> DataFrame:
-    """query_id, rank, vec_id, score: up to ``k`` neighbours of every row whose id is divisible by ``every``."""
+    """query_id, rank, vec_id, score: up to ``k`` neighbours of every row whose id is divisible by ``every``.
+
+    ``share`` opens that part of all leaves of the full depth instead of what ``recall`` needs.
+    """
     rows = valid(vectors, id_col, vec_col)
     top = Window.partitionBy("embedding").orderBy("vec_id")
     few = rows.withColumn("n", F.dense_rank().over(top)).where(F.col("n") <= k + 1)
@@ -154,14 +196,20 @@ def nearest(
     asked = reliable(asked)
     n, norm2 = classes.agg(F.count("*"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()
     n_asked = asked.select("q").distinct().count()
-    depth = max(0, min(max_depth, int(math.log2(max(1, n) / leaf_rows)) if n >= leaf_rows else 0))
+    seen = min(n, sample_rows)
+    depth = int(math.log2(seen / leaf_rows)) if seen >= leaf_rows else 0
     sample = classes.where(hashed_below(F.col("c"), min(1.0, sample_rows / max(1, n)), seed)).select("embedding").toArrow().column(0).combine_chunks() if n else None
     if sample is None or not len(sample):
         depth, grown = 0, Forest(np.zeros((1, 0, 1)), np.zeros((1, 0)), 0, math.sqrt(norm2 or 0.0))
     else:
-        grown = grow(_matrix(sample).astype(np.float64), trees if depth else 1, depth, math.sqrt(norm2), seed)
+        x = _matrix(sample).astype(np.float64)
+        grown = grow(x, trees if depth else 1, depth, math.sqrt(norm2), seed)
+        if share is None:
+            depth, visits = calibrate(grown, x, n, k, recall, seed)
+            grown = grown.cut(depth)
     n_trees, leaves = len(grown.normals), grown.leaves
-    visits = math.ceil(share * n_trees * leaves) if depth else 1
+    if share is not None or not depth:
+        visits = math.ceil((share or 1.0) * n_trees * leaves) if depth else 1
     blocks = max(1, math.ceil(n / leaves / block_rows))
     query_blocks = max(1, math.ceil(n_asked * visits / (n_trees * leaves) / block_rows))
     shared = classes.sparkSession.sparkContext.broadcast(grown)

@@ -4,10 +4,12 @@ A window of ``window`` consecutive item words is a set of shingles. Shingles are
 documents and all windows. As a whole window has to be contained, a prefix of one shingle is enough: a document can
 hold a window only if it holds the window's rarest shingle. Document shingles at every position are probed against
 those prefix shingles; the position of a hit fixes where the window would have to begin, so the length and positional
-bounds leave one alignment, and the words there are compared with the window's one by one.
+bounds leave one alignment, and the words there are compared with the window's, first by one hash and then one by one.
 
-The probed side is a broadcast of at most ``block_windows`` windows; a larger benchmark is worked off in blocks of that
-size against all documents, so nothing that grows is broadcast. Documents are never shuffled, only hits and digests.
+The probed side is a broadcast of at most ``block_windows`` rows of six numbers; a larger benchmark is worked off in
+blocks of that size against all documents, so nothing that grows is broadcast. Windows with their words and items are
+broadcast to their hits if all of them have no more than ``broadcast_chars`` characters, and else joined by a shuffle.
+Documents are never shuffled, only hits and digests.
 
 Edge cases: null texts have no words; an item with fewer words than a window, but not none, is one window; an item
 without words is none; repeated items count once per item_id; items with a null id mark hits but are not named; rows
@@ -72,7 +74,7 @@ def _probes(wins: DataFrame, docs: DataFrame, block: int, n_windows: int, length
     return reliable(best.where("b.cost > 0").select("wid", "w", "m", "k", F.col("b.s").alias("s_"), F.col("b.o").alias("o")))
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = 100_000) -> DataFrame:
+def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = 100_000, broadcast_chars: int = 16_000_000) -> DataFrame:
     """(id, th, start, m, items): every place where a window occurs in a document; th is the hash of the text."""
     wins = reliable(windows(benchmark, window, shingle))
     n = wins.count()
@@ -83,15 +85,18 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shi
         parts = max(1, -(-probes.count() // block_windows))
         for k in lengths:
             for part in range(parts):
-                side = F.broadcast(probes.where((F.col("k") == k) & (F.pmod("wid", F.lit(parts)) == part)).drop("k"))
+                side = F.broadcast(probes.where((F.col("k") == k) & (F.pmod("wid", F.lit(parts)) == part)).select("wid", "m", "s_", "o"))
                 hit = _positions(docs).withColumn("s", _shingle("ws", "p", k)).join(side, F.col("s") == F.col("s_"))
-                hit = hit.where((F.col("p") >= F.col("o")) & (F.col("p") - F.col("o") + F.col("m") <= F.size("ws"))).where(F.slice("ws", F.col("p") - F.col("o") + 1, F.col("m")) == F.col("w"))
-                hit = hit.select("id", "th", (F.col("p") - F.col("o")).alias("start"), "m", "wid")
+                hit = hit.where((F.col("p") >= F.col("o")) & (F.col("p") - F.col("o") + F.col("m") <= F.size("ws")))
+                hit = hit.withColumn("there", F.slice("ws", F.col("p") - F.col("o") + 1, F.col("m"))).where(F.xxhash64("there") == F.col("wid"))
+                hit = hit.select("id", "th", (F.col("p") - F.col("o")).alias("start"), "m", "wid", "there")
                 found = hit if found is None else found.unionByName(hit)
     if found is None:
-        found = docs.select("id", "th", F.lit(0).alias("start"), F.lit(0).alias("m"), F.lit(0).cast("long").alias("wid")).where(F.lit(False))
+        found = docs.select("id", "th", F.lit(0).alias("start"), F.lit(0).alias("m"), F.lit(0).cast("long").alias("wid"), F.array().cast("array<string>").alias("there")).where(F.lit(False))
     found = reliable(found)
-    return found.join(wins.select("wid", "items"), "wid").drop("wid")
+    named = wins.select("wid", "w", "items")
+    size = named.agg(F.sum(F.length(F.array_join("w", " ")) + F.length(F.array_join("items", ",")))).first()[0] or 0
+    return found.join(F.broadcast(named) if size <= broadcast_chars else named, "wid").where(F.col("w") == F.col("there")).drop("wid", "w", "there")
 
 
 def _digest_docs(docs: DataFrame) -> DataFrame:

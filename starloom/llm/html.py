@@ -9,9 +9,11 @@ The network is trained here, on seeded made-up pages: articles in many kinds of
 footers, sidebars, notices, adverts, forms, share bars and reader comments, nested inside and around each other, with
 broken markup. It is a function of its parameters and never of the table, and is trained once per process.
 
-Edge cases: null and empty pages give an empty text; scripts, styles, titles and HTML comments are no blocks, even when
-unclosed; unclosed and stray tags are tolerated; very long pages are read whole, one step a block; path features take
-the eight outermost and eight innermost elements; repeated rows are read one by one; null ids and URLs are carried; an
+Edge cases: null and empty pages give an empty text; scripts, styles, titles and HTML comments are no blocks; an unclosed
+script, style or comment takes the rest of the page, any other element whose content is left out only its own tag;
+unclosed and stray tags are tolerated; very long pages are read whole and in linear time, well formed or not; path
+features take the eight outermost and eight innermost elements; a block scored exactly 0.5 is main text; repeated rows
+are read one by one; null ids and URLs are carried; further columns, also ones named like the results, are left out; an
 empty table gives an empty result.
 """
 
@@ -21,6 +23,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -32,19 +35,22 @@ from pyspark.sql import functions as F
 from starloom.llm.common import map_arrow
 
 # fixed values: element kinds of the HTML standard
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|select"
+# elements whose content is no text of the page, and those of them that swallow the rest of the page when unclosed
+RAW = frozenset("script style noscript template textarea title iframe svg select".split())
+SWALLOWS = frozenset(("script", "style"))
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_LIKE = frozenset("li dt dd td th tr option p".split())
 
-PIECE = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:/>|>.*?(?:</\1\b[^>]*+>|\Z))|<(/?)([a-z][a-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>|([^<]++|<)", re.S | re.I
-)
+# a tag whose attributes hold no angle brackets, which is nearly every one; ``_Reader.tag_end`` finds the end of the others
+TAG = re.compile(r"<(/?)([a-z][a-z0-9:-]*+)((?:[^<>\"']++|\"[^<>\"]*+\"|'[^<>']*+')*+)>", re.I)
+OPENING = re.compile(r"<(/?)([a-z][a-z0-9:-]*+)", re.I)
+PLAIN = re.compile(r"[^>\"']*+")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"\w+")
-PATH_BINS, WORD_BINS, COUNTS = 1024, 256, 8
+PATH_BINS, WORD_BINS, COUNTS = 8192, 256, 8
 
 
 @dataclass
@@ -54,12 +60,86 @@ class Block:
     linked: int
 
 
+class _Reader:
+    """Tags, texts and skipped parts of a page in order, in time linear in its length however broken the markup is."""
+
+    def __init__(self, page: str):
+        self.page, self.size = page, len(page)
+        self.no_end = False  # no ``>`` follows
+        self.dead: set[int] = set()  # quotes from which no end of a tag is reached
+        self.unclosed: set[str] = set()  # raw elements without a further closing tag
+
+    def tag_end(self, at: int, attributes: int) -> int | None:
+        """Where the tag that begins at ``at`` ends: the first ``>`` outside quotes, else the first one at all."""
+        if self.no_end:
+            return None
+        page, pos, opened = self.page, attributes, []
+        while (pos := PLAIN.match(page, pos).end()) < self.size and page[pos] != ">" and pos not in self.dead:
+            opened.append(pos)
+            close = page.find(page[pos], pos + 1)
+            pos = (pos if close < 0 else close) + 1
+        if pos < self.size and page[pos] == ">":
+            return pos
+        self.dead.update(opened)
+        return self.next_end(at)
+
+    def next_end(self, at: int) -> int | None:
+        end = -1 if self.no_end else self.page.find(">", at)
+        self.no_end = end < 0
+        return None if self.no_end else end
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Where the content of a raw element ends, its closing tag included."""
+        if tag not in self.unclosed:
+            if m := re.compile(rf"</{tag}(?![a-z0-9:-])[^>]*+>?", re.I).search(self.page, at):
+                return m.end()
+            self.unclosed.add(tag)
+        return self.size if tag in SWALLOWS else at
+
+    def pieces(self):
+        """(text,) of a run of text; (closing?, tag, attributes) of a tag; () of a part that is left out."""
+        page, pos = self.page, 0
+        while pos < self.size:
+            at = page.find("<", pos)
+            if at != pos:
+                yield (page[pos : at if at >= 0 else self.size],)
+            if at < 0:
+                return
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 2)
+                pos = end + 3 if end >= 0 else self.size
+                continue
+            if m := TAG.match(page, at):
+                end = m.end() - 1
+            elif m := OPENING.match(page, at):
+                end = self.tag_end(at, m.end())
+            elif page[at + 1 : at + 2] in ("!", "?"):
+                end = self.next_end(at)
+            else:
+                end = None
+            if end is None:
+                yield ("<",)
+                pos = at + 1
+                continue
+            pos = end + 1
+            if m is None:
+                continue
+            closing, tag, attributes = bool(m[1]), m[2].lower(), page[m.end(2) : end]
+            if tag in RAW:
+                if not closing and not attributes.endswith("/"):
+                    pos = self.raw_end(tag, pos)
+                yield ()
+            else:
+                yield closing, tag, attributes
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks with text in page order."""
     found: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    open_tags: Counter[str] = Counter()
     pieces: list[str] = []
-    linked = links_open = 0
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
@@ -71,30 +151,32 @@ def blocks(page: str | None) -> list[Block]:
             pieces.clear()
         linked = 0
 
-    for m in PIECE.finditer(page or ""):
-        if m[5] is not None:
-            pieces.append(m[5])
-            if links_open:
-                linked += len(m[5])
+    def pop() -> str:
+        tag = stack.pop()[0]
+        open_tags[tag] -= 1
+        return tag
+
+    for piece in _Reader(page or "").pieces():
+        if len(piece) == 1:
+            pieces.append(piece[0])
+            if open_tags["a"]:
+                linked += len(piece[0])
             continue
-        if m[1] is not None:
+        if not piece:
             pieces.append(" ")
             continue
-        if m[3] is None:
-            continue
-        tag = m[3].lower()
-        if m[2]:
+        closing, tag, attributes = piece
+        if closing:
             if tag in BLOCK:
                 flush()
-                if any(t == tag for t, _ in stack):
-                    while stack.pop()[0] != tag:
+                if open_tags[tag]:
+                    while pop() != tag:
                         pass
-                    links_open = sum(t == "a" for t, _ in stack)
-            else:
+            elif open_tags[tag]:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
                         del stack[i]
-                        links_open -= tag == "a"
+                        open_tags[tag] -= 1
                         break
                     if stack[i][0] in BLOCK:
                         break
@@ -102,19 +184,18 @@ def blocks(page: str | None) -> list[Block]:
         if tag in BLOCK:
             flush()
             while stack and (stack[-1][0] not in BLOCK or stack[-1][0] == "p"):
-                stack.pop()
+                pop()
             if tag in CLOSES_LIKE and stack and stack[-1][0] == tag:
-                stack.pop()
-            links_open = sum(t == "a" for t, _ in stack)
+                pop()
         elif tag == "br":
             pieces.append(" ")
-        if tag in VOID or m[4].endswith("/") and tag not in BLOCK:
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             continue
         names: tuple[str, ...] = (f"<{tag}>",)
-        if m[4].strip():
-            names += tuple(w for a in NAMES.findall(m[4]) for w in re.split(r"[^a-z0-9]+", "".join(a).lower()) if w)
+        if attributes.strip():
+            names += tuple(w for a in NAMES.findall(attributes) for w in re.split(r"[^a-z0-9]+", "".join(a).lower()) if w)
         stack.append((tag, names))
-        links_open += tag == "a"
+        open_tags[tag] += 1
     flush()
     return found
 
@@ -275,8 +356,11 @@ class Labeller:
         m, v, t = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
         for epoch in range(epochs):
             order = rng.permutation(len(pages))
-            for lo in range(0, len(order), batch):
-                own, t = order[lo : lo + batch], t + 1
+            # pages of like length share a batch, so that little of it is padding
+            near = [sorted(order[lo : lo + 12 * batch], key=lambda i: len(pages[i].counts)) for lo in range(0, len(order), 12 * batch)]
+            batches = [own[lo : lo + batch] for own in near for lo in range(0, len(own), batch)]
+            for own in (batches[i] for i in rng.permutation(len(batches))):
+                t += 1
                 for k, g in self._step([pages[i] for i in own], [labels[i] for i in own]).items():
                     m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
                     self.p[k] -= rate * (0.5 if epoch > epochs // 2 else 1) * m[k] / (1 - 0.9**t) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
@@ -351,11 +435,30 @@ def made_up_page(rng: random.Random) -> tuple[str, list[str]]:
             return f"<blockquote>{text}</blockquote>"
         if kind < 0.3:
             return f"<p><b>{text}<br>"
+        if kind < 0.42:
+            more = [sentence(1, rng.choice([2, 6])) for _ in range(rng.randint(1, 7))]
+            main.extend(" ".join(t.split()) for t in more)
+            cells = [text, *more]
+            shape = rng.randint(0, 4)
+            if shape == 0:
+                wide = rng.randint(1, 3)
+                head = rng.choice(["th", "th", "td"])
+                rows = [cells[i : i + wide] for i in range(0, len(cells), wide)]
+                return "<table>" + "".join("<tr>" + "".join(f"<{head if not i else 'td'}>{c}</{head if not i else 'td'}>" for c in row) + "</tr>" for i, row in enumerate(rows)) + "</table>"
+            if shape == 1:
+                return "<dl>" + "".join(f"<{t}>{c}</{t}>" for c, t in zip(cells, ["dt", "dd"] * len(cells), strict=False)) + "</dl>"
+            if shape == 2:
+                return f"<figure><img src=x>{''.join(f'<figcaption>{c}</figcaption>' for c in cells)}</figure>"
+            kind_of = rng.choice(["ul", "ol"])
+            return f"<{kind_of}>{''.join(f'<li>{c}</li>' for c in cells)}</{kind_of}>"
+        if kind < 0.46:
+            return f"<pre>{text}</pre>"
         return f"<p>{text}</p>"
 
     around = ["menu", "head", "notice", "ad", "aside", "foot", "form", "share", "comments"]
     above = [beside(k) for k in rng.sample(around, rng.randint(0, 4))]
-    opening = rng.choice(ARTICLE)
+    # a third of the articles stand in containers that say nothing: plain ones, ones with names of no meaning, or none
+    opening = rng.choice(ARTICLE) if rng.random() < 0.67 else rng.choice(["", "<div>", "<div><div>", "<section>", f'<div class="{word()}">', f'<div id="{word()}"><div class="{word()}-{word()}">', "<table><tr><td>"])
     closing = "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", opening)))
     inner = []
     if rng.random() < 0.8:

@@ -8,7 +8,7 @@ the logits are divided by. Prediction reads every whole text, map-side, in one p
 
 Edge cases: a null text, or one without any letter, is ``und`` with score 0; a table without learnable labels makes
 every prediction ``und``; repeated rows are predicted one by one; rows with a null id or language are predicted but
-teach only if they have a language; an empty table gives an empty result. Other columns are never inputs.
+teach only if they have a language; an empty table gives an empty result; of equally likely languages the first in order is given. Other columns are never inputs.
 """
 
 from __future__ import annotations
@@ -25,10 +25,15 @@ from starloom.llm.common import fold_of, hashed_below, map_arrow, unused
 
 BITS = 16
 CHUNK = 1 << 18
-LETTER = re.compile(r"[^\W\d_]")
+WORDLIKE = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; number signs such as fractions and Roman numerals are none."""
+    return any(m[0].isalpha() for m in WORDLIKE.finditer(text))
+
+
 def ngram_ids(text: str, bits: int = BITS) -> np.ndarray:
     """Hashed ids of all 1- to 3-grams of the lower-cased text between two spaces, repeats included."""
     c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
@@ -53,7 +58,7 @@ class LanguageModel:
     bits: int = BITS
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return UNDETERMINED, 0.0
         total, n = np.zeros(len(self.languages)), 0
         for piece in _pieces(text):

@@ -11,7 +11,7 @@ Scanning is map-side over whole texts, linear in their length: every pattern sta
 no digit precedes, a ``+``) and never rescans a run.
 
 Edge cases: null and empty texts have no spans; positions are code points, end exclusive; candidates that touch a base
-span or a better candidate of any kind are not added; repeated rows are scanned one by one; null ids are carried; an
+span or a better candidate of any kind are not added; of equally good ones the one that starts first is; repeated rows are scanned one by one; null ids are carried; an
 empty table gives an empty result.
 """
 
@@ -90,7 +90,7 @@ def base_spans(text: str | None) -> list[Span]:
 
 WRITTEN_AT = re.compile(r"[\[({<]\x20?(?:at|AT|At)\x20?[\])}>]")
 WRITTEN_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?[\[({<]\x20?(?:at|AT|At)\x20?[\])}>]\x20?[A-Za-z0-9-]{1,63}(?:(?:\x20?[\[({<]\x20?(?:dot|DOT|Dot)\x20?[\])}>]\x20?|\.)[A-Za-z0-9-]{1,63}){1,5}")
-DIGIT_GROUPS = re.compile(r"(?<![\w.+-])\(?[0-9]++(?:[\x20().\-/]{1,2}[0-9]++){1,9}(?![\w])")
+DIGIT_GROUPS = re.compile(r"(?<![\w.+-])\(?[0-9]++(?:[\x20().\-/]{1,2}[0-9]++){1,9}(?!\w|:[0-9])")
 LONG_DIGITS = re.compile(r"(?<![\w.+-])[0-9]{9,19}(?![\w])")
 HEX_GROUPS = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:])")
 
@@ -118,7 +118,17 @@ CONTEXT = {
     "phone": ("tel", "phone", "call", "mobile", "fax", "cell", "dial", "ring"),
 }
 AGAINST = ("version", "page", "date", "isbn", "order", "invoice", "total", "price", "section", "no.", "id", "on", "from", "$")
-FEATURES = 22
+FEATURES = 25
+
+
+def calendar(lengths: list[int], groups: list[str]) -> float:
+    """Whether the first three groups read as a day of some calendar, year first or last."""
+    if len(groups) < 3:
+        return 0.0
+    a, b, c = (int(g) if n <= 4 else 10_000 for g, n in zip(groups[:3], lengths[:3], strict=True))
+    year_first = lengths[0] == 4 and 1000 <= a <= 2999 and 1 <= b <= 12 and 1 <= c <= 31 and lengths[2] <= 2
+    year_last = lengths[2] in (2, 4) and lengths[0] <= 2 and lengths[1] <= 2 and 1 <= min(a, b) <= 12 and 1 <= max(a, b) <= 31 and (lengths[2] == 2 or 1000 <= c <= 2999)
+    return float(year_first or year_last)
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -137,6 +147,7 @@ def features(text: str, span: Span) -> list[float]:
         float(body.count(".")), float(body.count("-")), float(body.count(" ")), float("(" in body), float(body.count(":")), float("/" in body),
         float(len(digits) >= 13 and luhn(digits)), float(max((int(g) for g in groups if len(g) < 5), default=0)), year, float(digits[:1] == "0"),
         near(CONTEXT[kind]), near(AGAINST), float(sum(c.isalpha() for c in body)), float("at" in body.lower() and "@" not in body),
+        calendar(lengths, groups), float(text[end : end + 1] in ("%", "$", "€") or text[end : end + 1] == "," and text[end + 1 : end + 2].isdigit()), float(len(groups) > 2 and max(lengths) <= 3 and len(set(lengths[1:])) == 1),
     ]
 
 
@@ -230,13 +241,18 @@ def examples(n: int, seed: int) -> list[tuple[str, Span, int]]:
 
     def phone() -> str:
         s = sep()
-        return rng.choice([f"({ds(3)}) {ds(3)}-{ds(4)}", f"{ds(3)}{s}{ds(3)}{s}{ds(4)}", f"00{ds(2)} {ds(2)} {ds(4)} {ds(4)}", f"0{ds(2)} {ds(4)} {ds(4)}", f"0{ds(1)} {ds(2)} {ds(2)} {ds(2)} {ds(2)}", f"1-{ds(3)}-{ds(3)}-{ds(4)}"])
+        return rng.choice([f"({ds(3)}) {ds(3)}-{ds(4)}", f"{ds(3)}{s}{ds(3)}{s}{ds(4)}", f"00{ds(2)} {ds(2)} {ds(4)} {ds(4)}", f"0{ds(2)} {ds(4)} {ds(4)}", f"0{ds(1)} {ds(2)} {ds(2)} {ds(2)} {ds(2)}", f"1-{ds(3)}-{ds(3)}-{ds(4)}", f"({rng.choice(['0', ''])}{ds(2)}) {ds(4)} {ds(4)}", f"00{ds(2)} {ds(3)} {ds(3)} {ds(3)}", f"{ds(2)} {ds(2)} {ds(4)} {ds(4)}", f"0{ds(3)} {ds(3)} {ds(3)}"])
+
+    def day() -> str:
+        y, m, d = f"{rng.choice(['19', '20'])}{ds(2)}", f"{rng.randint(1, 12):02d}", f"{rng.randint(1, 28):02d}"
+        s = rng.choice("-/.")
+        return rng.choice([s.join((y, m, d)), s.join((d, m, y)), s.join((m, d, y)), s.join((d, m, y[2:]))])
 
     hexes = lambda k: ":".join(f"{rng.getrandbits(16):x}" for _ in range(k))
     positive = {"email": email, "phone": phone, "card": lambda: card(True), "ip": lambda: rng.choice([hexes(8), f"2001:db8::{rng.getrandbits(16):x}", f"fe80::{hexes(3)}"])}
     negative = {
         "email": lambda: f"{word()} (at) {rng.choice(['1', '5', 'the'])}.{rng.choice(['x', '2', ds(2)])}",
-        "phone": lambda: rng.choice([f"20{ds(2)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"{rng.randint(1, 28):02d}.{rng.randint(1, 12):02d}.19{ds(2)}", f"{rng.randint(1, 28)}/{rng.randint(1, 12)}/20{ds(2)}", ds(rng.randint(9, 15)), f"978-{ds(1)}-{ds(4)}-{ds(4)}-{ds(1)}", f"1.{ds(2)}.{ds(4)}", f"{ds(5)}-{ds(4)}", f"{ds(1)} {ds(3)} {ds(3)}", f"19{ds(2)}-20{ds(2)}", f"{ds(2)}.{ds(3)}.{ds(3)}"]),
+        "phone": lambda: day() if rng.random() < 0.3 else rng.choice([f"20{ds(2)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"{rng.randint(1, 28):02d}.{rng.randint(1, 12):02d}.19{ds(2)}", f"{rng.randint(1, 28)}/{rng.randint(1, 12)}/20{ds(2)}", ds(rng.randint(9, 15)), f"978-{ds(1)}-{ds(4)}-{ds(4)}-{ds(1)}", f"1.{ds(2)}.{ds(4)}", f"{ds(5)}-{ds(4)}", f"{ds(1)} {ds(3)} {ds(3)}", f"19{ds(2)}-20{ds(2)}", f"{ds(2)}.{ds(3)}.{ds(3)}", f"{day()} {ds(2)}", f"{day()} {ds(2)}.{ds(2)}", f"{ds(1)} {ds(2)} {ds(2)} {ds(2)}", " ".join(ds(rng.randint(1, 2)) for _ in range(rng.randint(4, 8))), f"{ds(2)}.{ds(4)} {ds(2)}.{ds(4)}", f"{ds(3)} {ds(3)} {ds(3)}", f"{ds(1)}.{ds(3)}.{ds(3)}", f"20{ds(2)}/{ds(2)}/{ds(4)}"]),
         "card": lambda: rng.choice([card(False), ds(rng.randint(13, 19)), f"{ds(4)} {ds(3)} {ds(3)} {ds(3)}", f"978-{ds(1)}-{ds(4)}-{ds(4)}-{ds(1)}"]),
         "ip": lambda: rng.choice([f"{rng.randint(0, 23)}:{ds(2)}:{ds(2)}", f"{rng.randint(256, 999)}.{ds(2)}.{ds(1)}.{ds(3)}", f"{ds(1)}:{ds(2)}:{ds(2)}:{ds(2)}", f"{ds(2)}:{ds(1)}:{ds(1)}"]),
     }

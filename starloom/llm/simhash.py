@@ -175,14 +175,19 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket: int = 2048) -> DataF
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, bucket: int = 2048) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, group_fp (one value per component)."""
     fps = reliable(fingerprints(docs, id_col, text_col, shingle))
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    classes = reliable(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
     comp = components(links(classes.select("fp"), max_bits, bucket))
     named = comp.join(classes, comp["node"] == classes["fp"]).select("node", "root", "first_id")
     ids = named.groupBy("root").agg(F.min("first_id").alias("linked_id"))
     linked = reliable(named.join(ids, "root").select(F.col("node").alias("fp"), "root", "linked_id"))
-    # written out, so that the last join shuffles both sides anew and adaptive execution can split a hot fingerprint
-    labels = reliable(classes.join(linked, "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("linked_id")).alias("component_id"), F.coalesce("root", "fp").alias("group_fp")))
-    return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_fp")
+    labels = reliable(classes.join(linked, "fp", "left").select("fp", "copies", F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("linked_id")).alias("component_id"), F.coalesce("root", "fp").alias("group_fp")))
+    # fingerprints with more than a 2000th of all rows are 2000 at most: their labels are broadcast, so that no task gets all copies
+    common = F.col("copies") > labels.agg(F.sum("copies")).first()[0] / 2000 if not labels.isEmpty() else F.lit(False)
+    hot = F.broadcast(labels.where(common).drop("copies").select(F.col("fp").alias("hot_fp"), F.col("component_id").alias("hot_id"), F.col("group_fp").alias("hot_group")))
+    rows = fps.join(hot, F.col("fp") == F.col("hot_fp"), "left")
+    done = rows.where(F.col("hot_fp").isNotNull()).select("doc_id", "fp", F.col("hot_id").alias("component_id"), F.col("hot_group").alias("group_fp"))
+    rest = rows.where(F.col("hot_fp").isNull()).select("doc_id", "fp").join(labels.where(~common).drop("copies"), "fp").select("doc_id", "fp", "component_id", "group_fp")
+    return done.unionByName(rest).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_fp")
 
 
 def keep_one(docs: DataFrame, broadcast_rows: int = 200_000, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, **options) -> DataFrame:

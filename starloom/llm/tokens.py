@@ -1,7 +1,7 @@
 """Token counts of a byte-level BPE vocabulary with a whole-token shortcut.
 
 A text is split at the tokenizer's special strings, and the rest into pre-tokens by the vocabulary's pattern. Which
-vocabulary strings the merges encode as one token of their own is proved once, by running the merge procedure on each
+vocabulary strings the merges encode as one token of their own is proved once and offline, before any text is read, by running the merge procedure on each
 of them; a pre-token among those counts one without any merging. Only the other pre-tokens are merged, and their counts
 are remembered up to a bound. Prediction is map-side over whole texts.
 
@@ -36,15 +36,23 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class _Merged(dict):
-    """Token counts of pre-tokens, merged when first met and remembered up to a bound; whole tokens come first."""
+    """Token counts of pre-tokens, merged when first met; whole tokens come first.
+
+    Two generations are remembered: when the young one is full, it becomes the old one, from which what is met again
+    moves back. So a memory that overflows forgets what is rare and keeps what is common.
+    """
 
     def __init__(self, counter: TokenCounter):
         super().__init__()
-        self.counter = counter
+        self.counter, self.old = counter, {}
 
     def __missing__(self, piece: str) -> int:
-        n = 1 if piece in self.counter.whole else self.counter.merged(piece)
-        if len(self) >= REMEMBERED:
+        if piece in self.counter.whole:
+            n = 1
+        elif (n := self.old.get(piece)) is None:
+            n = self.counter.merged(piece)
+        if len(self) >= REMEMBERED // 2:
+            self.old = dict(self)
             self.clear()
         if len(piece) < 256:
             self[piece] = n
@@ -54,7 +62,7 @@ class _Merged(dict):
 class TokenCounter:
     """Counts tokens as the tokenizers library does for a byte-level BPE file without normaliser."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: frozenset[str] | None = None):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"]
@@ -66,19 +74,21 @@ class TokenCounter:
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.split = regex.compile(PATTERN).findall
-        back = {c: b for b, c in self.alphabet.items()}
-        self.whole = frozenset(text for text in self._proved(model["vocab"], back))
+        self.whole = self._proved(model["vocab"]) if whole is None else whole
         self.known = _Merged(self)
 
-    def _proved(self, vocab: dict[str, int], back: dict[str, int]):
-        """Vocabulary strings that are one pre-token and that merging turns into one token."""
+    def _proved(self, vocab: dict[str, int]) -> frozenset[str]:
+        """Vocabulary strings that merging turns into one token; those that are no pre-token are never asked for."""
+        back = {c: b for b, c in self.alphabet.items()}
+        found = set()
         for token in vocab:
             try:
                 text = bytes(back[c] for c in token).decode("utf-8")
             except (KeyError, UnicodeDecodeError):
                 continue
             if self._merge(list(token)) == 1:
-                yield text
+                found.add(text)
+        return frozenset(found)
 
     def _merge(self, parts: list[str]) -> int:
         """Number of tokens left when the best-ranked adjacent pairs have been merged, leftmost first."""
@@ -116,15 +126,18 @@ class TokenCounter:
 
 
 @lru_cache(maxsize=4)
-def counter(path: str) -> TokenCounter:
-    return TokenCounter(path)
+def counter(path: str, whole: frozenset[str] | None = None) -> TokenCounter:
+    return TokenCounter(path, whole)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row; ``path`` is a vocabulary file that every executor has."""
 
+    # proved once, in the driver: at most as many strings as the vocabulary has
+    proved = docs.sparkSession.sparkContext.broadcast(counter(path).whole)
+
     def make():
-        count = counter(path).count
+        count = counter(path, proved.value).count
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             n = [count(t) for t in batch.column(2).to_pylist()]

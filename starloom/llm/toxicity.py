@@ -2,11 +2,13 @@
 
 Training draws a bounded, seeded sample of labelled documents (``max_toxic`` and ``max_clean`` of either label), counts
 on the executors how many hold each token and each token prefix, and turns the counts into log-odds under a Dirichlet
-prior whose pseudo-counts follow a token's share of the sample. Those that an exact binomial test finds lopsided (at
-most about ``false_tokens`` expected by chance) enter the lexicon; a token scores as its longest entry says, so unseen
-forms of a known stem still count, and every token pays a constant drift. A linear scan
-over those scores finds all maximal-scoring segments of a text. Under Karlin-Altschul statistics a segment of score S
-in a text of n tokens is reached by chance about K n exp(-lambda S) times; the evidence of all significant segments is
+prior whose pseudo-counts follow a token's share of the sample. Every candidate, however many there are, goes through an
+exact binomial test; those that it finds lopsided (at most about ``false_tokens`` expected by chance) enter the lexicon.
+A token scores as its longest entry says, so unseen forms of a known stem still count; log-odds that the test cannot
+tell from none count as none, and every token pays a constant drift. A linear scan over those scores finds all
+maximal-scoring segments of a text. Under Karlin-Altschul statistics a segment of score S in a text of n tokens is
+reached by chance about K n exp(-lambda S) times: lambda solves the equation of the clean documents' hit rate, K is the
+most likely value for the best segments of the sample's clean documents. The evidence of all significant segments is
 added up and a logistic link, fitted on the sample weighted back to all labels, turns it into a probability.
 
 Edge cases: null, empty or wordless texts get the score of no evidence; several labels of one document are averaged;
@@ -86,8 +88,8 @@ class ToxicityModel:
     def __post_init__(self):
         self.known = _Scores(self.words, self.stems)
 
-    def segments(self, text: str | None) -> tuple[list[tuple[float, int, int]], int]:
-        """Significant toxic passages as (evidence, first token, last token), and the number of tokens."""
+    def _scan(self, text: str | None) -> tuple[list[tuple[float, int, int]], int]:
+        """All maximal-scoring segments as (score, first token, last token), and the number of tokens."""
         tokens = TOKEN.findall(text.lower()) if text else []
         scores: list[float] = []
         spans: list[tuple[int, int]] = []
@@ -98,9 +100,19 @@ class ToxicityModel:
                     scores.append(-self.drift * (i - at)), spans.append((at, i - 1))
                 scores.append(s - self.drift), spans.append((i, i))
                 at = i + 1
-        base = self.log_k + math.log(max(1, len(tokens)))
-        found = ((self.decay * s - base, a, b) for s, a, b in maximal_segments(scores, spans))
-        return [x for x in found if x[0] > 0], len(tokens)
+        return maximal_segments(scores, spans), len(tokens)
+
+    def best(self, text: str | None) -> tuple[float, int]:
+        """Score of the best segment, 0 without one, and the number of tokens."""
+        found, n = self._scan(text)
+        return max((s for s, _, _ in found), default=0.0), n
+
+    def segments(self, text: str | None) -> tuple[list[tuple[float, int, int]], int]:
+        """Significant toxic passages as (evidence, first token, last token), and the number of tokens."""
+        found, n = self._scan(text)
+        base = self.log_k + math.log(max(1, n))
+        scored = ((self.decay * s - base, a, b) for s, a, b in found)
+        return [x for x in scored if x[0] > 0], n
 
     def evidence(self, text: str | None) -> float:
         return math.log1p(sum(s for s, _, _ in self.segments(text)[0]))
@@ -124,8 +136,8 @@ def log_tail(toxic: int, clean: int, rate: float) -> float:
     return top + math.log(sum(math.exp(t - top) for t in terms))
 
 
-def _count_tokens(sample: DataFrame, min_docs: int, max_tokens: int) -> tuple[list, int, int]:
-    """(token, stem?, toxic documents' count, clean ones') of the ``max_tokens`` most lopsided tokens of the sample, the number of all candidates, and the length of all clean documents in tokens."""
+def _count_tokens(sample: DataFrame, min_docs: int) -> tuple[DataFrame, int]:
+    """(token, stem?, toxic documents' count, clean ones') of all candidates, and the length of all clean documents in tokens."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -146,9 +158,24 @@ def _count_tokens(sample: DataFrame, min_docs: int, max_tokens: int) -> tuple[li
 
     counted = map_arrow(sample.select("text", "toxic"), make, "token string, stem boolean, toxic long, clean long").groupBy("token", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     kept = reliable(counted.where(F.col("token").isNull() | (F.col("toxic") >= min_docs)))
-    tested = kept.where(F.col("token").isNotNull())
-    lopsided = tested.orderBy((F.col("toxic") / (F.col("clean") + 1)).desc(), "token", "stem").limit(max_tokens)
-    return lopsided.collect(), tested.count(), kept.where(F.col("token").isNull()).first()["clean"]
+    return kept.where(F.col("token").isNotNull()), kept.where(F.col("token").isNull()).first()["clean"]
+
+
+def _lexicon(candidates: DataFrame, n_toxic: int, n_clean: int, least: float, false_tokens: float) -> list:
+    """(token, stem?, clean documents' count, log-odds) of the candidates that the test finds lopsided; the test runs on the executors."""
+    rate, limit = n_toxic / (n_toxic + n_clean), math.log(false_tokens / max(1, candidates.count()))
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            toxic, clean = (batch.column(i).to_numpy().astype(float) for i in (2, 3))
+            delta = log_odds(toxic, clean, n_toxic, n_clean)
+            good = [i for i in np.flatnonzero(delta >= least).tolist() if log_tail(int(toxic[i]), int(clean[i]), rate) <= limit]
+            at = pa.array(good, pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(3).take(at), pa.array(delta[good], pa.float64())], names=["token", "stem", "clean", "delta"])
+
+        return step
+
+    return sorted(map_arrow(candidates.select("token", "stem", "toxic", "clean"), make, "token string, stem boolean, clean long, delta double").collect())
 
 
 def _decay(p_hit: float, mean_score: float, drift: float) -> float:
@@ -161,6 +188,24 @@ def _decay(p_hit: float, mean_score: float, drift: float) -> float:
     return (low + high) / 2
 
 
+def _log_k(clean: DataFrame, model: ToxicityModel) -> float:
+    """Log of the likeliest K when the best segment of n tokens is at most S with probability exp(-K n exp(-lambda S)).
+
+    Texts without a segment are censored at 0: they add to the expected number of segments and not to the found ones.
+    """
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            best = [model.best(t) for t in batch.column(0).to_pylist()]
+            expected = [n * math.exp(-model.decay * s) for s, n in best]
+            return pa.RecordBatch.from_arrays([pa.array([float(sum(s > 0 for s, _ in best))]), pa.array([float(sum(expected))])], names=["found", "expected"])
+
+        return step
+
+    found, expected = map_arrow(clean.select("text"), make, "found double, expected double").agg(F.sum("found"), F.sum("expected")).first()
+    return math.log(((found or 0.0) + 0.5) / ((expected or 0.0) + 1.0))
+
+
 def _fit_link(x: np.ndarray, y: np.ndarray, penalty: float = 0.5, weights: np.ndarray | None = None) -> tuple[float, float]:
     """Slope and offset of a ridge-penalised, weighted logistic fit, by Newton's method."""
     w = np.zeros(2)
@@ -177,7 +222,7 @@ def _fit_link(x: np.ndarray, y: np.ndarray, penalty: float = 0.5, weights: np.nd
     return float(w[0]), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: int = 15_000, min_docs: int = 3, max_tokens: int = 30_000, false_tokens: float = 1.0, least: float = 2.5, drift: float = 0.05, seed: int = 23) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: int = 15_000, min_docs: int = 3, false_tokens: float = 1.0, least: float = 2.5, drift: float = 0.05, seed: int = 23) -> ToxicityModel:
     """Learn from at most about ``max_toxic`` and ``max_clean`` labelled documents outside the held-out fold."""
     known = labels.where((fold_of(F.col("doc_id")) != 0) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).alias("toxic"))
@@ -190,20 +235,18 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean:
     n_toxic, n_clean = (sample.where(F.col("toxic") == v).count() for v in (True, False))
     if not n_toxic or not n_clean:
         return ToxicityModel(slope=0.0, offset=math.log((n_toxic + 0.5) / (n_clean + 0.5)))
-    rows, n_tested, clean_tokens = _count_tokens(sample, min_docs, max_tokens)
-
-    toxic, clean = np.array([r["toxic"] for r in rows], float), np.array([r["clean"] for r in rows], float)
-    delta = log_odds(toxic, clean, n_toxic, n_clean)
-    rate, limit = n_toxic / (n_toxic + n_clean), math.log(false_tokens / max(1, n_tested))
-    good = [d >= least and log_tail(r["toxic"], r["clean"], rate) <= limit for r, d in zip(rows, delta, strict=True)]
-    words = {r["token"]: float(d) for r, d, g in zip(rows, delta, good, strict=True) if g and not r["stem"]}
-    stems = {r["token"]: float(d) for r, d, g in zip(rows, delta, good, strict=True) if g and r["stem"]}
-    clean_hits = float(sum(c for c, r, g in zip(clean, rows, good, strict=True) if g and not r["stem"]))
+    candidates, clean_tokens = _count_tokens(sample, min_docs)
+    rows = _lexicon(candidates, n_toxic, n_clean, least, false_tokens)
+    words = {r["token"]: r["delta"] for r in rows if not r["stem"]}
+    stems = {r["token"]: r["delta"] for r in rows if r["stem"]}
+    clean_hits = float(sum(r["clean"] for r in rows if not r["stem"]))
     mean = float(np.mean([*words.values(), *stems.values()] or [1.0]))
     model = ToxicityModel(words, stems, drift)
     hit = (clean_hits + 0.5) / max(1, clean_tokens)
     model.decay = _decay(min(hit, 0.5 * drift / (mean + drift)), mean, drift)
 
+    model.log_k = _log_k(sample.where(~F.col("toxic")), model)
+
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([model.evidence(t) for t in batch.column(0).to_pylist()]), batch.column(1)], names=["x", "toxic"])
@@ -217,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean:
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_passages: one pass over whole texts, no shuffle."""
+    """doc_id, held_out, score, predicted: one pass over whole texts, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

@@ -1,15 +1,15 @@
 """URL filters: exact host/path rules, and pattern rules that are indexed by their rarest literal token.
 
-Host/path rules decide where one fits: the longest one does. Every other URL is judged by pattern rules. A pattern rule
-names literal tokens that any URL it matches must hold as whole tokens; it is filed under the one that the fewest rules
-share. A URL is cut into tokens once, its tokens fetch the candidate rules, and only the candidates' regular
+Host/path rules decide where one fits: the longest one does. Every other URL is judged by pattern rules. From a rule's
+pattern the literal tokens are derived that any URL it matches must hold as whole tokens (``required_tokens``); the rule
+is filed under the one that the fewest rules share, and a pattern from which no token follows is refused. A URL is cut into tokens once, its tokens fetch the candidate rules, and only the candidates' regular
 expressions run. Block rules win over allow rules; a URL that no rule matches gets ``default``.
 
 The rules are parameters of the job, not data: at most ``MAX_RULES`` of each kind, checked, are sent to the executors.
 
 Edge cases: null URLs and URLs without ``://`` have an empty host and path and get ``default``; very long URLs are
 judged whole; repeated rows are judged one by one; null ids are carried; an empty table gives an empty result; further
-columns, also ones named like the results, are left out.
+columns, also ones named like the results, are left out; of equally long host/path rules the first in order decides.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +29,7 @@ from starloom.llm.common import map_arrow
 MAX_RULES = 200_000
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TOKEN = re.compile(r"[a-z0-9]+")
+TOKEN_CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 
 @dataclass(frozen=True)
@@ -41,14 +43,99 @@ class HostRule:
         return self.host + self.path
 
 
+def _edges(parsed) -> tuple[bool, bool, bool]:
+    """Of all texts that a parsed pattern can take up: (some is empty, none begins with a token character, none ends with one)."""
+    parts = [_edge(op, value) for op, value in parsed]
+
+    def side(order, which: int) -> bool:
+        for p in order:
+            if not p[which]:
+                return False
+            if not p[0]:
+                return True
+        return True
+
+    return all(p[0] for p in parts), side(parts, 1), side(reversed(parts), 2)
+
+
+def _edge(op, value) -> tuple[bool, bool, bool]:
+    name = str(op)
+    if name == "LITERAL":
+        return (False, *[not TOKEN.match(chr(value))] * 2)
+    if name == "IN":
+        return (False, *[not any(_in_set(value, ord(c)) for c in TOKEN_CHARACTERS)] * 2)
+    if name == "SUBPATTERN":
+        return _edges(value[3])
+    if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+        empty, first, last = _edges(value[2])
+        return empty or value[0] == 0, first, last
+    if name == "BRANCH":
+        edges = [_edges(way) for way in value[1]]
+        return any(e[0] for e in edges), all(e[1] for e in edges), all(e[2] for e in edges)
+    if name == "AT" or name == "ASSERT_NOT" and len(value[1]) == 1 and str(value[1][0][0]) == "IN" and all(_in_set(value[1][0][1], ord(c)) for c in TOKEN_CHARACTERS):
+        return False, True, True  # beside a token character these stand where a token ends
+    return (True, True, True) if name.startswith("ASSERT") else (False, False, False)
+
+
+def _in_set(items, c: int) -> bool:
+    """Whether a parsed character set may hold a character; categories are taken to."""
+    hit = any(str(op) == "LITERAL" and v == c or str(op) == "RANGE" and v[0] <= c <= v[1] or str(op) == "CATEGORY" for op, v in items)
+    negated = str(items[0][0]) == "NEGATE"
+    return (not hit or any(str(op) == "CATEGORY" for op, _ in items)) if negated else hit
+
+
+def required_tokens(pattern: str) -> tuple[str, ...]:
+    """Tokens that every text in which ``pattern`` is found holds as whole tokens, proved from the parsed pattern.
+
+    Runs of token characters that the pattern always takes up count if what stands before and after them can only be
+    another character or an end; parts that may be left out are looked past.
+    """
+    flat: list[tuple] = []
+
+    def flatten(parsed) -> None:
+        for op, value in parsed:
+            if str(op) == "SUBPATTERN":
+                flatten(value[3])
+            else:
+                flat.append((op, value))
+
+    flatten(re._parser.parse(pattern))
+    character = [chr(v) if str(op) == "LITERAL" and TOKEN.match(chr(v)) else None for op, v in flat]
+    edges = [_edge(op, v) for op, v in flat]
+
+    def closed(order, which: int) -> bool:
+        for i in order:
+            if not edges[i][which]:
+                return False
+            if not edges[i][0]:
+                return True
+        return False  # the text may go on beyond the pattern
+
+    found, i = [], 0
+    while i < len(flat):
+        j = i
+        while j < len(flat) and character[j]:
+            j += 1
+        if j > i and closed(range(i - 1, -1, -1), 2) and closed(range(j, len(flat)), 1):
+            found.append("".join(character[i:j]))
+        i = j + 1
+    return tuple(dict.fromkeys(found))
+
+
 @dataclass(frozen=True)
 class PatternRule:
-    """``pattern`` is searched in the folded URL; each of ``literals`` stands in every matching URL as a whole token."""
+    """``pattern`` is searched in the folded URL; ``literals`` are tokens of every matching URL, all derived ones if not given."""
 
     pattern: str
-    literals: tuple[str, ...]
+    literals: tuple[str, ...] = ()
     verdict: str = "block"
 
+    def __post_init__(self):
+        proved = required_tokens(self.pattern)
+        if not proved or not set(self.literals) <= set(proved):
+            raise ValueError(f"{self.pattern}: a pattern rule needs literal tokens to be indexed by, proved are {proved}")
+        object.__setattr__(self, "literals", self.literals or proved)
+
 
 HOST_RULES = (
     HostRule("org", "/", "allow"),
@@ -57,17 +144,20 @@ HOST_RULES = (
     HostRule("com", "/fr/", "allow"),
     HostRule("com", "/de/", "block"),
 )
+# fixed values: labels of hosts and names of folders that training data leave out
+HOST_WORDS = (
+    "spam", "casino", "casinos", "poker", "betting", "bet", "slots", "jackpot", "lottery", "roulette", "porn", "porno", "xxx", "sex", "adult", "escort", "escorts", "nude", "hentai", "camgirls",
+    "malware", "phishing", "virus", "trojan", "botnet", "exploit", "ransomware", "viagra", "cialis", "pharmacy", "pills", "replica", "payday", "loans", "warez", "torrent", "torrents", "crack", "cracks", "keygen", "nulled", "doorway", "linkfarm", "clickbait",
+)
+PATH_WORDS = ("click", "banner", "popup", "popunder", "redirect", "track", "tracker", "impression", "doubleclick")
 PATTERN_RULES = (
-    PatternRule(r"://(?:[^/?#]*[.-])?spam[.-]", ("spam",)),
-    PatternRule(r"://(?:[^/?#]*[.-])?(?:www-)?casino[.-]", ("casino",)),
-    PatternRule(r"://(?:[^/?#]*[.-])?porn[.-]", ("porn",)),
-    PatternRule(r"://(?:[^/?#]*[.-])?xxx[.-]", ("xxx",)),
-    PatternRule(r"://(?:[^/?#]*[.-])?malware[.-]", ("malware",)),
-    PatternRule(r"://(?:[^/?#]*[.-])?phishing[.-]", ("phishing",)),
-    PatternRule(r"/(?:ads?|adserver)/(?:[^?#]*/)?click(?:[^a-z0-9]|$)", ("click",)),
-    PatternRule(r"/(?:ads?|adserver)/(?:[^?#]*/)?banner(?:[^a-z0-9]|$)", ("banner",)),
-    PatternRule(r"/wp-login\.php(?:[?#]|$)", ("wp", "login", "php")),
-    PatternRule(r"[?&]utm_medium=popunder(?:[&#]|$)", ("utm", "medium", "popunder")),
+    *(PatternRule(rf"://(?:[^/?#]*[.-])?{w}[.-]") for w in HOST_WORDS),
+    *(PatternRule(rf"/(?:ads?|adserver)/(?:[^?#]*/)?{w}(?:[^a-z0-9]|$)") for w in PATH_WORDS),
+    *(PatternRule(rf"[?&]utm_medium={w}(?:[&#]|$)") for w in ("popunder", "popup", "spam")),
+    PatternRule(r"/wp-login\.php(?:[?#]|$)"),
+    PatternRule(r"/wp-admin/(?:[^?#]*/)?install\.php(?:[?#]|$)"),
+    PatternRule(r"/(?:cgi-bin|scripts)/(?:[^?#]*/)?redirect\.(?:php|cgi|pl)(?:[?#]|$)"),
+    PatternRule(r"[?&](?:phpsessid|jsessionid|sid)=[0-9a-f]{16,}[^#]*&ref=spam(?:[&#]|$)"),
 )
 
 
@@ -81,8 +171,14 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(FOLD), slash + path
 
 
+@lru_cache(maxsize=MAX_RULES)
+def compiled(pattern: str) -> re.Pattern:
+    """A pattern, compiled when a URL first needs it and kept by the process."""
+    return re.compile(pattern)
+
+
 class UrlFilter:
-    """A compiled rule set."""
+    """An indexed rule set."""
 
     def __init__(self, host_rules: Sequence[HostRule] = HOST_RULES, pattern_rules: Sequence[PatternRule] = PATTERN_RULES, default: str = "allow"):
         if max(len(host_rules), len(pattern_rules)) > MAX_RULES:
@@ -92,12 +188,10 @@ class UrlFilter:
         for rule in host_rules:
             self.by_host.setdefault(rule.host.translate(FOLD), []).append(rule)
         shared = Counter(t for rule in pattern_rules for t in set(rule.literals))
-        self.by_token: dict[str, list[tuple[int, re.Pattern, str]]] = {}
+        self.by_token: dict[str, list[tuple[int, str, str]]] = {}
         for rank, rule in enumerate(pattern_rules):
-            if not rule.literals or any(not TOKEN.fullmatch(t) for t in rule.literals):
-                raise ValueError(f"{rule.pattern}: a pattern rule needs literal tokens to be indexed by")
             rarest = min(rule.literals, key=lambda t: (shared[t], -len(t), t))
-            self.by_token.setdefault(rarest, []).append((rank, re.compile(rule.pattern), rule.verdict))
+            self.by_token.setdefault(rarest, []).append((rank, rule.pattern, rule.verdict))
 
     def host_rule(self, host: str, path: str) -> HostRule | None:
         """The longest rule for the host or a parent domain whose path begins the URL's."""
@@ -109,14 +203,14 @@ class UrlFilter:
             name = name.partition(".")[2]
         return best
 
-    def candidates(self, url: str) -> list[tuple[int, re.Pattern, str]]:
+    def candidates(self, url: str) -> list[tuple[int, str, str]]:
         return sorted({c for t in set(TOKEN.findall(url)) & self.by_token.keys() for c in self.by_token[t]}, key=lambda c: c[0])
 
     def pattern_verdict(self, url: str | None) -> str:
         folded = (url or "").translate(FOLD)
         if "://" not in folded:
             return self.default
-        verdicts = {verdict for _, pattern, verdict in self.candidates(folded) if pattern.search(folded)}
+        verdicts = {verdict for _, pattern, verdict in self.candidates(folded) if compiled(pattern).search(folded)}
         return "block" if "block" in verdicts else "allow" if "allow" in verdicts else self.default
 
     def judge(self, url: str | None) -> tuple[str, str, str | None, str]:
@@ -126,12 +220,19 @@ class UrlFilter:
         return host, path, rule and rule.name, rule.verdict if rule else self.pattern_verdict(url)
 
 
+@lru_cache(maxsize=4)
+def url_filter(host_rules: tuple[HostRule, ...], pattern_rules: tuple[PatternRule, ...], default: str) -> UrlFilter:
+    return UrlFilter(host_rules, pattern_rules, default)
+
+
 def judge_pages(pages: DataFrame, host_rules: Sequence[HostRule] = HOST_RULES, pattern_rules: Sequence[PatternRule] = PATTERN_RULES, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict for every row; one map-side pass over the url column."""
-    UrlFilter(host_rules, pattern_rules, default)  # wrong rules fail here, not on an executor
+    given = (tuple(host_rules), tuple(pattern_rules), default)
+    url_filter(*given)  # wrong rules fail here, not on an executor
+    shared = pages.sparkSession.sparkContext.broadcast(given)
 
     def make():
-        rules = UrlFilter(host_rules, pattern_rules, default)
+        rules = url_filter(*shared.value)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [rules.judge(u) for u in batch.column(1).to_pylist()]

@@ -39,6 +39,39 @@ def test_ftrl_is_sparse_and_separates():
     assert np.mean([np.argmax(w[:, i] @ x) == c for (i, x), c in zip(rows, y, strict=True)]) > 0.95
 
 
+def test_number_signs_are_no_letters():
+    model = langid.LanguageModel(["a", "b"], np.ones((2, 1 << langid.BITS), np.float32), np.zeros(2))
+    for text in ("²", "½", "Ⅷ", "①", "½ ² 3", "\u0301", "_", "½" * 100_000):
+        assert not langid.has_letter(text) and model.predict(text) == ("und", 0.0)
+    for text in ("½a", "ª", "ß", "字", "x²"):
+        assert langid.has_letter(text) and model.predict(text)[0] == "a"
+
+
+def test_prediction_against_plain_counting(spark, sf):
+    """The same score from a dictionary of n-grams, one at a time."""
+    wrap, golden = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def column(gram):
+        h = (ord(gram[0]) + 1) * golden & wrap
+        if len(gram) == 1:
+            return h >> (64 - langid.BITS)
+        for c, (shift, factor) in zip(gram[1:], ((29, 0xBF58476D1CE4E5B9), (31, 0x94D049BB133111EB)), strict=False):
+            h = ((h ^ h >> shift) * factor + (ord(c) + 1) * golden) & wrap
+        return (h * 0xD6E8FEB86659FD93 & wrap) >> (64 - langid.BITS)
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(docs)
+    for r in docs.limit(30).collect():
+        if not r.text or len(r.text) > 3000 or not any(c.isalpha() for c in r.text):
+            continue
+        padded = f" {r.text.lower()} "
+        grams = [padded[i : i + size] for size in (1, 2, 3) for i in range(len(padded) - size + 1)]
+        total = sum(model.weights[:, column(g)].astype(float) for g in grams) / len(grams)
+        p = np.exp(total - total.max())
+        assert model.languages[int(p.argmax())] == model.predict(r.text)[0]
+        assert abs(p.max() / p.sum() - model.predict(r.text)[1]) < 1e-6
+
+
 def test_odd_rows(spark):
     rows = [(1, "the cat and the dog", "en"), (2, "der Hund und die Katze", "de"), (3, None, "en"), (4, "", "de"), (5, "12 !?", "en"), (None, "the the", None), (7, "the cat " * 40_000, "en"), (7, "the cat " * 40_000, "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as score", "2 as lang_pred")

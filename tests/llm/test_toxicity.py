@@ -69,7 +69,26 @@ def test_scores_do_not_move_with_the_caps(spark):
         assert abs(whole.score(words) - share) < 0.02 and abs(capped.score(words) - share) < 0.06
 
 
-def test_lengths_and_candidates_are_counted(spark):
+def test_every_candidate_is_counted_and_tested(spark):
     sample = spark.createDataFrame([("bad bad worse", True), ("bad worse", True), ("one two three four", False), (None, False)], "text string, toxic boolean")
-    rows, tested, length = tx._count_tokens(sample, 2, 1)
-    assert len(rows) == 1 and length == 4 and tested == 6  # bad, worse, bad*, wor*, wors*, worse*
+    rows, length = tx._count_tokens(sample, 2)
+    got = {(r.token, r.stem): (r.toxic, r.clean) for r in rows.collect()}
+    assert length == 4 and got == dict.fromkeys([("bad", False), ("worse", False), ("bad", True), ("wor", True), ("wors", True), ("worse", True)], (2, 0))
+    assert tx._lexicon(rows, 2, 2, 0.5, 1.0) == []  # two of two by chance: not lopsided enough for six tests
+    many = spark.createDataFrame([("bad", False, 40, 1), ("even", False, 40, 60), ("few", False, 3, 0)], "token string, stem boolean, toxic long, clean long")
+    assert [r.token for r in tx._lexicon(many, 100, 150, 1.0, 0.1)] == ["bad"]
+
+
+def test_k_is_the_likeliest(spark):
+    model = tx.ToxicityModel({"bad": 4.0}, {}, 0.05)
+    model.decay = 0.7
+    texts = ["fine " * n + "bad " * b for n, b in ((50, 0), (80, 1), (200, 1), (30, 0), (500, 2), (120, 0), (60, 1))]
+    log_k = tx._log_k(spark.createDataFrame([(t,) for t in texts], "text string"), model)
+    best = [model.best(t) for t in texts]
+
+    def likelihood(log_k):
+        k = math.exp(log_k)
+        return sum(-k * n * math.exp(-model.decay * s) + (log_k if s > 0 else 0.0) for s, n in best)
+
+    grid = np.linspace(log_k - 2, log_k + 2, 4001)
+    assert abs(grid[int(np.argmax([likelihood(g) for g in grid]))] - log_k) < 0.2

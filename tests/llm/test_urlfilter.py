@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from starloom.llm import urlfilter as uf
 
 
@@ -33,6 +35,20 @@ def test_index_agrees_with_running_every_rule():
         assert f.pattern_verdict(url) == ("block" if "block" in hit else "allow" if "allow" in hit else "default"), url
 
 
+def test_required_tokens_are_proved():
+    for pattern, want in ((r"spam", ()), (r"\bspam\b", ("spam",)), (r"^spam/", ("spam",)), (r"(?<![a-z0-9])a1[./-]b2(?![a-z0-9])", ("a1", "b2")), (r"x?spam.", ()), (r"(?:a|b)spam/", ()), (r"[^a-z0-9]spam[/]", ("spam",)), (r"/(?:x/)*spam(?:$|/)", ("spam",)), (r"/spam\d*/", ()), (r"/spam[^/]", ())):
+        assert uf.required_tokens(pattern) == want, pattern
+    for pattern, literals in ((r"spam", ()), (r"/spam/", ("ham",)), (r"/[a-z]+/", ())):
+        with pytest.raises(ValueError):
+            uf.PatternRule(pattern, literals)
+    rng = random.Random(8)
+    for rule in uf.PATTERN_RULES:
+        for _ in range(300):
+            url = "http://" + "".join(rng.choice(["spam", "ads/", "click", "/wp-login.php", "casino", rule.literals[0], rng.choice("./-?&=_#"), "a", "?utm_medium=popup"]) for _ in range(6))
+            if re.search(rule.pattern, url):
+                assert set(rule.literals) <= set(uf.TOKEN.findall(url)), (rule, url)
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "h"), (1, None, "h"), (None, "http://example.org/es/", "h"), (2, "http://a/" + "b" * 200_000, "h")]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string")
