@@ -25,3 +25,8 @@ def reliable(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder: lineage is cut and a lost executor costs nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by key over all shuffle partitions: small tables with costly kernels are not merged into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

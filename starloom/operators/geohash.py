@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from starloom.functions import healpix as hp
 from starloom.functions.base import let
 from starloom.functions.sphere import radec_to_xyz
-from starloom.operators.checkpoints import reliable
+from starloom.operators.checkpoints import reliable, spread
 from starloom.operators.spatial import range_join, sky_join
 
 Xyz = Sequence[Column]
@@ -154,28 +154,30 @@ def build_quads(stars: DataFrame, nside: int, low_deg: float, high_deg: float, p
     near = reliable(range_join(c, pts, reach, ["cx", "cy", "cz"], ["x", "y", "z"]).select("cell", "id", "mag", "x", "y", "z"))
     lo2, hi2 = ((2 * math.sin(math.radians(s) / 2)) ** 2 for s in (low_deg, high_deg))
 
-    def one_quad(pdf: pd.DataFrame) -> pd.DataFrame:
-        cell = int(pdf["cell"].iloc[0])
+    def one_quad(pdf: pd.DataFrame, built: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"cell": pd.Series([], dtype="int64"), "stars": pd.Series([], dtype=object), "code": pd.Series([], dtype=object)})
+        if len(pdf) < 4:
+            return none
+        cell, known = int(pdf["cell"].iloc[0]), {tuple(k) for k in built["k"]}
         pdf = pdf.sort_values(["mag", "id"])
-        v, ids, known = pdf[["x", "y", "z"]].to_numpy(), pdf["id"].tolist(), {tuple(k) for k in pdf["known"].iloc[0]}
-        for b in range(1, len(v)):
-            for a in range(b):
-                d2 = float(((v[a] - v[b]) ** 2).sum())
-                if not lo2 <= d2 <= hi2:
-                    continue
-                mid = v[a] + v[b]
-                if int(hp.np_xyz_to_cell(mid[None] / np.linalg.norm(mid), nside)[0]) != cell:
-                    continue
-                others = [i for i in range(len(v)) if i not in (a, b)]
-                if len(others) < 2:
-                    continue
-                codes = np_sky_code(np.stack([np.stack([v[a], v[b], v[i]]) for i in others]))
-                ok = [(i, k) for i, k in zip(others, codes, strict=True) if k[0] ** 2 - k[0] + k[1] ** 2 - k[1] <= 0]
-                for (i, ci), (j, cj) in itertools.combinations(ok, 2):
-                    q, k = enforce([ids[a], ids[b], ids[i], ids[j]], [*ci, *cj])
-                    if tuple(sorted(q)) not in known:
-                        return pd.DataFrame({"cell": [cell], "stars": [q], "code": [k]})
-        return pd.DataFrame({"cell": pd.Series([], dtype="int64"), "stars": pd.Series([], dtype=object), "code": pd.Series([], dtype=object)})
+        v, ids = pdf[["x", "y", "z"]].to_numpy(), pdf["id"].tolist()
+        a, b = np.triu_indices(len(v), 1)
+        turn = np.lexsort((a, b))  # the faintest star of a pair comes in last
+        a, b = a[turn], b[turn]
+        d2 = ((v[a] - v[b]) ** 2).sum(axis=1)
+        wide = (d2 >= lo2) & (d2 <= hi2)
+        a, b = a[wide], b[wide]
+        mid = v[a] + v[b]
+        own = hp.np_xyz_to_cell(mid / np.linalg.norm(mid, axis=1)[:, None], nside) == cell if len(a) else np.zeros(0, bool)
+        for p, q in zip(a[own].tolist(), b[own].tolist(), strict=True):
+            others = np.array([i for i in range(len(v)) if i not in (p, q)])
+            codes = np_sky_code(np.stack([np.broadcast_to(v[p], (len(others), 3)), np.broadcast_to(v[q], (len(others), 3)), v[others]], axis=1))
+            ok = codes[:, 0] ** 2 - codes[:, 0] + codes[:, 1] ** 2 - codes[:, 1] <= 0
+            for (i, ci), (j, cj) in itertools.combinations(zip(others[ok].tolist(), codes[ok].tolist(), strict=True), 2):
+                stars_, k = enforce([ids[p], ids[q], ids[i], ids[j]], [*ci, *cj])
+                if tuple(sorted(stars_)) not in known:
+                    return pd.DataFrame({"cell": [cell], "stars": [stars_], "code": [k]})
+        return none
 
     quads, missed = None, None
     for turn in range(passes + (loosen > 0)):
@@ -184,11 +186,8 @@ def build_quads(stars: DataFrame, nside: int, low_deg: float, high_deg: float, p
         if quads is not None:
             used = quads.select(F.explode("stars").alias("id")).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= (loosen if last else reuse))
             pool = pool.join(used, "id", "left_anti")
-            own = quads.groupBy("cell").agg(F.collect_list(F.array_sort("stars")).alias("known"))
-            pool = pool.join(own, "cell", "left").withColumn("known", F.coalesce("known", F.array().cast("array<array<bigint>>")))
-        else:
-            pool = pool.withColumn("known", F.array().cast("array<array<bigint>>"))
-        made = pool.groupBy("cell").applyInPandas(one_quad, "cell long, stars array<bigint>, code array<double>")
+        built = (quads if quads is not None else near.select("cell", F.array().cast("array<bigint>").alias("stars")).limit(0)).select("cell", F.array_sort("stars").alias("k"))
+        made = spread(pool, "cell").groupBy("cell").cogroup(spread(built, "cell").groupBy("cell")).applyInPandas(one_quad, "cell long, stars array<bigint>, code array<double>")
         if quads is not None:
             same = quads.select(F.array_sort("stars").alias("k"))
             made = made.join(same, F.array_sort("stars") == F.col("k"), "left_anti")
@@ -215,40 +214,44 @@ def dereference(matches: DataFrame, stars: DataFrame, ids: str = "stars") -> Dat
 # --- search -----------------------------------------------------------------------------------------------------
 
 
-def field_quads(sources: DataFrame, low_px: float, high_px: float, depth: int = 30) -> DataFrame:
+def field_quads(sources: DataFrame, low_px: float, high_px: float, depth: int = 30, newest: int = 0, margin: float = 0.015) -> DataFrame:
     """Candidate quads of every field (field_id, rank, x, y), the ``depth`` brightest sources each, with all codes.
 
-    Both labellings of A and B and both parities are written out, so each has an index-side partner that obeys the
-    invariants; the kernel works on one field's bounded list.
+    Only quads that hold a source from rank ``newest`` on are given, so that a deeper search adds to a shallower one.
+    Both labellings of A and B and both parities are written out where a code is within ``margin`` of the edges of the
+    invariants, where noise may have chosen the other form, so each has an index-side partner; the kernel works on one
+    field's bounded list.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
-        xy, out = pdf[["x", "y"]].to_numpy(), []
+        xy, ranks, out = pdf[["x", "y"]].to_numpy(), pdf["rank"].tolist(), []
         fid = pdf["field_id"].iloc[0]
         for b in range(1, len(xy)):
             for a in range(b):
                 if not low_px <= np.hypot(*(xy[a] - xy[b])) <= high_px:
                     continue
-                others = [i for i in range(len(xy)) if i not in (a, b)]
+                others = np.array([i for i in range(len(xy)) if i not in (a, b)], int)
+                if len(others) < 2:
+                    continue
                 for flip in (False, True):
                     pts = xy[:, ::-1] if flip else xy
-                    codes = np_code(np.stack([np.stack([pts[a], pts[b], pts[i]]) for i in others]))
-                    ok = [(i, k) for i, k in zip(others, codes, strict=True) if k[0] ** 2 - k[0] + k[1] ** 2 - k[1] <= 0.02]
-                    for (i, ci), (j, cj) in itertools.combinations(ok, 2):
-                        q, k = enforce([a, b, i, j], [*ci, *cj])
-                        out.append((fid, q, [float(c) for c in k], flip))
-                        # near the edges of the invariants noise may have chosen the other form
-                        if abs((k[0] + k[2]) / 2 - 0.5) < 0.015:
-                            q2 = [q[1], q[0], q[3], q[2]]
-                            out.append((fid, q2, [1 - k[2], 1 - k[3], 1 - k[0], 1 - k[1]], flip))
-                        if abs(k[0] - k[2]) < 0.015:
+                    codes = np_code(np.stack([np.broadcast_to(pts[a], (len(others), 2)), np.broadcast_to(pts[b], (len(others), 2)), pts[others]], axis=1))
+                    ok = codes[:, 0] ** 2 - codes[:, 0] + codes[:, 1] ** 2 - codes[:, 1] <= 0.02
+                    for (i, ci), (j, cj) in itertools.combinations(zip(others[ok].tolist(), codes[ok].tolist(), strict=True), 2):
+                        if max(ranks[b], ranks[i], ranks[j]) < newest:
+                            continue
+                        q, k = enforce([ranks[a], ranks[b], ranks[i], ranks[j]], [*ci, *cj])
+                        out.append((fid, q, k, flip))
+                        if abs((k[0] + k[2]) / 2 - 0.5) < margin:
+                            out.append((fid, [q[1], q[0], q[3], q[2]], [1 - k[2], 1 - k[3], 1 - k[0], 1 - k[1]], flip))
+                        if abs(k[0] - k[2]) < margin:
                             out.append((fid, [q[0], q[1], q[3], q[2]], [k[2], k[3], k[0], k[1]], flip))
         return pd.DataFrame(out, columns=["field_id", "field_stars", "field_code", "flipped"])
 
     kind = sources.schema["field_id"].dataType.simpleString()
     top = sources.where(F.col("rank") < depth)
-    return top.groupBy("field_id").applyInPandas(run, f"field_id {kind}, field_stars array<bigint>, field_code array<double>, flipped boolean")
+    return spread(top, "field_id").groupBy("field_id").applyInPandas(run, f"field_id {kind}, field_stars array<bigint>, field_code array<double>, flipped boolean")
 
 
 def match_codes(field: DataFrame, quads: DataFrame, tolerance: float = 0.01) -> DataFrame:

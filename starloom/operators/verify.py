@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,9 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starloom.functions import healpix as hp
 from starloom.functions.wcs import Wcs, fit_sip, fit_tan
+from starloom.operators.checkpoints import reliable, spread
 from starloom.operators.geohash import field_quads, match_codes
-from starloom.operators.checkpoints import reliable
 
 
 @dataclass
@@ -44,7 +47,7 @@ def verify(test: np.ndarray, refs: np.ndarray, area: float, sigma2: np.ndarray,
     matched = np.zeros(len(test), int)  # matches before each test star
     owner: dict[int, int] = {}
     distractor = lambda mu: math.log(distractors + (1 - distractors) * mu / n_ref) + log_bg
-    total, best, worst, best_at, mu = 0.0, -math.inf, math.inf, -1, 0
+    total, best, worst, best_at, mu, best_theta = 0.0, -math.inf, math.inf, -1, 0, theta[:0]
     for i, p in enumerate(test):
         matched[i] = mu
         lone = distractor(mu)
@@ -76,9 +79,10 @@ def verify(test: np.ndarray, refs: np.ndarray, area: float, sigma2: np.ndarray,
         total += value - log_bg
         worst = min(worst, total)
         if total > best:
-            best, best_at = total, i
+            best, best_at, best_theta = total, i, theta[: i + 1].copy()
         if total < bail or total > stop:
             break
+    theta[: best_at + 1] = best_theta  # a later hand-over is no part of the best prefix
     return Fold(best if best_at >= 0 else total, worst, best_at, theta)
 
 
@@ -88,12 +92,103 @@ def relevance_radius2(quad_r2: float, area: float, n_ref: int, pix2: float, dist
 
 
 def dedup_sources(xy: np.ndarray, radius: np.ndarray) -> np.ndarray:
-    """Indexes kept, brightest first, when later sources within ``radius`` of a kept one go."""
-    kept: list[int] = []
-    for i in range(len(xy)):
-        if not kept or (((xy[kept] - xy[i]) ** 2).sum(axis=1) > radius[i] ** 2).all():
-            kept.append(i)
-    return np.array(kept, int)
+    """Indexes kept, brightest first, when sources within the ``radius`` of a kept one go; a grid finds the neighbours."""
+    if not len(xy):
+        return np.zeros(0, int)
+    size = max(float(radius.max()), 1e-9)
+    cells: dict[tuple[int, int], list[int]] = {}
+    at = np.floor(xy / size).astype(int)
+    for i, c in enumerate(map(tuple, at.tolist())):
+        cells.setdefault(c, []).append(i)
+    gone = np.zeros(len(xy), bool)
+    for i, (cx, cy) in enumerate(at.tolist()):
+        if gone[i]:
+            continue
+        near = np.array([j for dx in (-1, 0, 1) for dy in (-1, 0, 1) for j in cells.get((cx + dx, cy + dy), ()) if j > i], int)
+        if len(near):
+            gone[near[((xy[near] - xy[i]) ** 2).sum(axis=1) <= radius[i] ** 2]] = True
+    return np.flatnonzero(~gone)
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Parameters of verification and decision; thresholds are log-odds."""
+
+    pix_err: float = 1.0
+    distractors: float = 0.25
+    tune: float = math.log(1e6)
+    keep: float = math.log(1e9)
+    solve: float = math.log(1e9)
+    bail: float = math.log(1e-100)
+    bin_arcmin: float | None = None  # side of the bins that spread the test stars evenly
+    tweak_order: int = 2
+
+
+def test_bins(xy: np.ndarray, width: float, height: float, nx: int, ny: int) -> np.ndarray:
+    """Bin of each position, row by row."""
+    bx, by = (np.clip((xy[:, i] / size * n).astype(int), 0, n - 1) for i, size, n in ((0, width, nx), (1, height, ny)))
+    return by * nx + bx
+
+
+def in_turns(bins: np.ndarray) -> np.ndarray:
+    """Order that takes the first of every bin, then the second of every bin, and so on."""
+    by_bin = np.argsort(bins, kind="stable")
+    own = bins[by_bin]
+    turn = np.arange(len(own)) - np.searchsorted(own, own)
+    return by_bin[np.lexsort((own, turn))]
+
+
+def verify_header(wcs: Wcs, xy: np.ndarray, ra: np.ndarray, dec: np.ndarray, rules: Rules, quad: list[int] | None = None) -> tuple[Fold, np.ndarray, np.ndarray]:
+    """Verification of a header: the fold, the test stars' positions in its order, and the reference stars' pixels.
+
+    With a matched ``quad`` (its A and B first) errors grow away from its centre, duplicates of brighter test stars go
+    and then the quad's own stars; test stars take turns over bins, and only the bins within the radius of relevance
+    count. A header from elsewhere is verified over the whole field with one error.
+    """
+    width, height = wcs.width, wcs.height
+    px, py = wcs.np_radec_to_pixel(ra, dec)
+    ref = np.stack([px, py], axis=1)
+    with np.errstate(invalid="ignore"):
+        ref = ref[(px >= 0.5) & (px <= width + 0.5) & (py >= 0.5) & (py <= height + 0.5)]
+    pix2, area = rules.pix_err**2, width * height
+    s2 = np.full(len(xy), pix2)
+    if quad is not None:
+        centre, q2 = (xy[quad[0]] + xy[quad[1]]) / 2, max(((xy[quad[0]] - xy[quad[1]]) ** 2).sum() / 4, 1e-9)
+        s2 = pix2 * (1 + ((xy - centre) ** 2).sum(axis=1) / q2)
+    order = dedup_sources(xy, np.sqrt(s2))
+    if quad is not None:
+        order = order[~np.isin(order, quad)]
+    side = rules.bin_arcmin and rules.bin_arcmin * 60 / wcs.pixel_scale
+    nx, ny = (max(1, round(n / side)) for n in (width, height)) if side else (1, 1)
+    if nx * ny > 1:
+        order = order[in_turns(test_bins(xy[order], width, height, nx, ny))]
+        if quad is not None and len(ref):
+            reach2 = relevance_radius2(q2, area, len(ref), pix2, rules.distractors)
+            mid = np.stack([(np.arange(nx * ny) % nx + 0.5) * width / nx, (np.arange(nx * ny) // nx + 0.5) * height / ny], axis=1)
+            good = ((mid - centre) ** 2).sum(axis=1) <= reach2
+            if good.any():
+                order = order[good[test_bins(xy[order], width, height, nx, ny)]]
+                ref = ref[good[test_bins(ref, width, height, nx, ny)]]
+                area *= good.mean()
+    return verify(xy[order], ref, area, s2[order], rules.distractors, rules.bail), xy[order], ref
+
+
+def decide(wcs: Wcs, xy: np.ndarray, ra: np.ndarray, dec: np.ndarray, rules: Rules, quad: list[int] | None) -> tuple[Fold, Wcs, bool, float] | None:
+    """The fold, header, whether it was refitted, and rms in arcsec of a header that is kept; one that is nearly good is refitted first."""
+    fold, test, ref = verify_header(wcs, xy, ra, dec, rules, quad)
+    tuned = False
+    if fold.logodds < rules.tune:
+        return None
+    if fold.logodds < rules.keep:
+        better = tweak(wcs, xy, ra, dec, rules.tweak_order, rules.pix_err)
+        again = verify_header(better, xy, ra, dec, rules)
+        if again[0].logodds > fold.logodds:
+            (fold, test, ref), wcs, tuned = again, better, True
+    if fold.logodds < rules.keep:
+        return None
+    hit = np.flatnonzero(fold.theta[: fold.best_at + 1] >= 0)
+    rms = math.sqrt(((test[hit] - ref[fold.theta[hit]]) ** 2).sum(axis=1).mean()) * wcs.pixel_scale if len(hit) else math.nan
+    return fold, wcs, tuned, rms
 
 
 def logodds_to_weight(logodds: np.ndarray) -> np.ndarray:
@@ -123,58 +218,112 @@ def tweak(wcs: Wcs, xy: np.ndarray, ra: np.ndarray, dec: np.ndarray, order: int
 WCS_FIELDS = "crval0 double, crval1 double, crpix0 double, crpix1 double, cd00 double, cd01 double, cd10 double, cd11 double"
 
 
-def solve(sources: DataFrame, stars: DataFrame, quads: DataFrame, width: float, height: float, scale: tuple[float, float], quad_deg: tuple[float, float], depth: int = 25, tolerance: float = 0.01, keep_logodds: float = math.log(1e9), pix_err: float = 1.0) -> DataFrame:
-    """Best solution of every field (field_id, rank, x, y): log-odds, counts, pixel scale and header.
+def header_values(w: Wcs) -> tuple[float, ...]:
+    return (*w.crval, *w.crpix, *w.cd[0], *w.cd[1])
+
+
+def header_of(values, width: float, height: float) -> Wcs:
+    v = [float(x) for x in values]
+    return Wcs((v[0], v[1]), (v[2], v[3]), ((v[4], v[5]), (v[6], v[7])), width, height)
 
-    Code matches are a similarity join; the stars of a matched quad are looked up by an equi-join, a plane is fitted to
-    the four correspondences, and hypotheses outside the scale bounds go before any verification. Reference stars near
-    a hypothesis come by a distance join on the sphere, so no catalogue is broadcast; a kernel per hypothesis verifies.
+
+def hypotheses(found: DataFrame, sources: DataFrame, stars: DataFrame, width: float, height: float, scale: tuple[float, float], within: tuple[float, float, float] | None = None) -> DataFrame:
+    """A plane for every code match whose pixel scale is in bounds: (hyp, field_id, code_err, quad, header).
+
+    ``within`` is a cone (ra, dec, degrees) that all stars of the matched quad have to be in.
     """
-    low_px, high_px = quad_deg[0] * 3600 / scale[1] * 0.9, quad_deg[1] * 3600 / scale[0] * 1.1
-    found = match_codes(field_quads(sources, low_px, high_px, depth), quads, tolerance)
     found = reliable(found.withColumn("hyp", F.monotonically_increasing_id()))
-    pos = found.select("hyp", "field_id", F.posexplode(F.arrays_zip(F.col("stars"), F.col("field_stars"))).alias("k", "s")).select("hyp", "field_id", "k", F.col("s.stars").alias("star"), F.col("s.field_stars").alias("rank"))
+    pos = found.select("hyp", "field_id", "code_err", F.posexplode(F.arrays_zip(F.col("stars"), F.col("field_stars"))).alias("k", "s")).select("hyp", "field_id", "code_err", "k", F.col("s.stars").alias("star"), F.col("s.field_stars").alias("rank"))
     pairs = pos.join(stars.select(F.col("id").alias("star"), "ra", "dec"), "star").join(sources.select("field_id", "rank", "x", "y"), ["field_id", "rank"])
+    four = pairs.groupBy("hyp", "field_id", "code_err").agg(F.sort_array(F.collect_list(F.struct("k", "rank", "x", "y", "ra", "dec"))).alias("p"))
+    if within is not None:
+        from starloom.functions.sphere import within_radius
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = fit_tan(*(pdf[c].to_numpy() for c in ("x", "y", "ra", "dec")), crpix=(0.5 + width / 2, 0.5 + height / 2))
-        if not scale[0] <= w.pixel_scale <= scale[1]:
-            return pd.DataFrame()
-        x, y = pdf["x"].to_numpy()[pdf["k"].to_numpy().argsort()], pdf["y"].to_numpy()[pdf["k"].to_numpy().argsort()]
-        q = {"qx": (x[0] + x[1]) / 2, "qy": (y[0] + y[1]) / 2, "qr2": ((x[0] - x[1]) ** 2 + (y[0] - y[1]) ** 2) / 4}
-        return pd.DataFrame([{"hyp": pdf["hyp"].iloc[0], "field_id": pdf["field_id"].iloc[0], "crval0": w.crval[0], "crval1": w.crval[1], "crpix0": w.crpix[0], "crpix1": w.crpix[1], "cd00": w.cd[0][0], "cd01": w.cd[0][1], "cd10": w.cd[1][0], "cd11": w.cd[1][1], **q}])
-
+        four = four.where(F.forall("p", lambda q: within_radius(q["ra"], q["dec"], *within)))
     kind = sources.schema["field_id"].dataType.simpleString()
-    hyps = reliable(pairs.groupBy("hyp").applyInPandas(fit, f"hyp long, field_id {kind}, {WCS_FIELDS}, qx double, qy double, qr2 double"))
+
+    def fit(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                v = [np.array([q[c] for q in r.p]) for c in ("x", "y", "ra", "dec")]
+                w = fit_tan(*v, crpix=(0.5 + width / 2, 0.5 + height / 2))
+                if scale[0] <= w.pixel_scale <= scale[1]:
+                    rows.append((r.hyp, r.field_id, r.code_err, [int(q["rank"]) for q in r.p], *header_values(w)))
+            yield pd.DataFrame(rows, columns=["hyp", "field_id", "code_err", "quad", *(f.split()[0] for f in WCS_FIELDS.split(", "))])
+
+    return reliable(four.mapInPandas(fit, f"hyp long, field_id {kind}, code_err double, quad array<bigint>, {WCS_FIELDS}"))
+
+
+def best_hypotheses(hyps: DataFrame, sources: DataFrame, stars: DataFrame, width: float, height: float, largest_scale: float, rules: Rules) -> DataFrame:
+    """The best kept hypothesis of every field.
+
+    Hypotheses meet their reference stars by the cell that the field's centre is in: the stars of a cell and of the
+    field's radius around it come by one distance join and are shipped once for all hypotheses of a field in that cell.
+    Those are verified in the order of their code errors, up to the first that reaches ``rules.solve``.
+    """
     from starloom.operators.spatial import sky_join
 
-    radius = scale[1] / 3600 * math.hypot(width, height) / 2 * 1.05
-    centres = hyps.select(F.col("hyp").alias("id"), F.col("crval0").alias("ra"), F.col("crval1").alias("dec"))
-    near = sky_join(stars.select("id", "ra", "dec"), centres, radius).groupBy(F.col("r_id").alias("hyp")).agg(F.collect_list(F.struct(F.col("l_id").alias("id"), F.col("l_ra").alias("ra"), F.col("l_dec").alias("dec"))).alias("refs"))
-    lists = sources.groupBy("field_id").agg(F.sort_array(F.collect_list(F.struct("rank", "x", "y"))).alias("tests"))
-    work = hyps.join(near, "hyp").join(lists, "field_id")
-    out = f"hyp long, field_id {kind}, logodds double, n_match int, n_distract int, n_conflict int, scale double, {WCS_FIELDS}"
+    radius = largest_scale / 3600 * math.hypot(width, height) / 2 * 1.05
+    nside = max(1, int(hp.side_length_arcmin(1) / 60 / radius))
+    side = hp.side_length_arcmin(nside) / 60
+    hyps = hyps.withColumn("cell", hp.radec_to_cell("crval0", "crval1", nside))
+
+    def centres(batches):
+        for pdf in batches:
+            v = hp.np_cell_to_xyz(pdf["cell"].to_numpy(), nside)
+            yield pd.DataFrame({"cell": pdf["cell"], "ra": np.degrees(np.arctan2(v[:, 1], v[:, 0])) % 360.0, "dec": np.degrees(np.arcsin(v[:, 2]))})
+
+    middle = hyps.select("cell").distinct().mapInPandas(centres, "cell long, ra double, dec double")
+    near = sky_join(stars.select("id", "ra", "dec"), middle, radius + side)
+    refs = near.groupBy(F.col("r_cell").alias("cell")).agg(F.sort_array(F.collect_list(F.struct(F.col("l_id").alias("id"), F.col("l_ra").alias("ra"), F.col("l_dec").alias("dec")))).alias("refs"))
+    tests = sources.groupBy("field_id").agg(F.sort_array(F.collect_list(F.struct("rank", "x", "y"))).alias("tests"))
+    header = [f.split()[0] for f in WCS_FIELDS.split(", ")]
+    tried = hyps.groupBy("field_id", "cell").agg(F.sort_array(F.collect_list(F.struct("code_err", "hyp", "quad", F.array(*header).alias("header")))).alias("tried"))
+    kind = sources.schema["field_id"].dataType.simpleString()
+    out = f"field_id {kind}, logodds double, n_match int, n_distract int, n_conflict int, rms double, tuned boolean, scale double, {WCS_FIELDS}, n_tried int"
 
     def check(batches):
         for pdf in batches:
             rows = []
             for r in pdf.itertuples():
-                w = Wcs((r.crval0, r.crval1), (r.crpix0, r.crpix1), ((r.cd00, r.cd01), (r.cd10, r.cd11)), width, height)
-                px, py = w.np_radec_to_pixel(np.array([s["ra"] for s in r.refs]), np.array([s["dec"] for s in r.refs]))
-                ref = np.stack([px, py], axis=1)
-                with np.errstate(invalid="ignore"):
-                    ref = ref[(px >= 0.5) & (px <= width + 0.5) & (py >= 0.5) & (py <= height + 0.5)]
+                ra, dec = (np.array([s[c] for s in r.refs]) for c in ("ra", "dec"))
                 xy = np.array([(t["x"], t["y"]) for t in r.tests])
-                r2 = ((xy - (r.qx, r.qy)) ** 2).sum(axis=1)
-                s2 = pix_err**2 * (1 + r2 / r.qr2)
-                f = verify(xy, ref, width * height, s2)
-                rows.append((r.hyp, r.field_id, f.logodds, *f.counts, w.pixel_scale, r.crval0, r.crval1, r.crpix0, r.crpix1, r.cd00, r.cd01, r.cd10, r.cd11))
+                place = {int(t["rank"]): i for i, t in enumerate(r.tests)}
+                best = None
+                for n, h in enumerate(r.tried, 1):
+                    got = decide(header_of(h["header"], width, height), xy, ra, dec, rules, [place[int(q)] for q in h["quad"]])
+                    if got and (best is None or got[0].logodds > best[0].logodds):
+                        best = (*got, n)
+                    if best and best[0].logodds >= rules.solve:
+                        break
+                if best:
+                    fold, w, tuned, rms, n = best
+                    rows.append((r.field_id, fold.logodds, *fold.counts, rms, tuned, w.pixel_scale, *header_values(w), n))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in out.split(", ")])
 
-    checked = work.mapInPandas(check, out).where(F.col("logodds") >= keep_logodds)
-    names = [c.split()[0] for c in out.split(", ") if c.split()[0] not in ("hyp", "field_id", "logodds")]
-    best = checked.groupBy("field_id").agg(F.max(F.struct("logodds", (-F.col("hyp")).alias("first"), *names)).alias("b"))
-    return best.select("field_id", "b.logodds", *[f"b.{c}" for c in names])
+    kept = spread(tried.join(refs, "cell").join(tests, "field_id"), "field_id", "cell").mapInPandas(check, out)
+    names = [c.split()[0] for c in out.split(", ")][1:]
+    return kept.groupBy("field_id").agg(F.max(F.struct(*names)).alias("b")).select("field_id", *[f"b.{c}" for c in names])
+
+
+def solve(sources: DataFrame, stars: DataFrame, quads: DataFrame, width: float, height: float, scale: tuple[float, float], quad_deg: tuple[float, float], depths: Sequence[int] = (12, 25), tolerance: float = 0.01, rules: Rules | None = None, within: tuple[float, float, float] | None = None) -> DataFrame:
+    """Best solution of every field (field_id, rank, x, y): log-odds, counts, rms, pixel scale and header.
+
+    Fields are tried with their brightest sources first: a stage adds the quads whose faintest star is new, code matches
+    are a similarity join, a plane is fitted to each, and the hypotheses are verified. Fields that a stage solves are
+    left out of the next one by an anti-join; the number of stages is a parameter.
+    """
+    rules = rules or Rules()
+    low_px, high_px = quad_deg[0] * 3600 / scale[1] * 0.9, quad_deg[1] * 3600 / scale[0] * 1.1
+    done: DataFrame | None = None
+    for newest, depth in itertools.pairwise((0, *depths)):
+        left = sources if done is None else sources.join(done.where(F.col("logodds") >= rules.solve).select("field_id"), "field_id", "left_anti")
+        found = match_codes(field_quads(left, low_px, high_px, depth, newest, 1.5 * tolerance), quads, tolerance)
+        got = reliable(best_hypotheses(hypotheses(found, left, stars, width, height, scale, within), left, stars, width, height, scale[1], rules).withColumn("depth", F.lit(depth)))
+        done = got if done is None else done.unionByName(got)
+    names = [c for c in done.columns if c != "field_id"]
+    return done.groupBy("field_id").agg(F.max(F.struct(*names)).alias("b")).select("field_id", *[f"b.{c}" for c in names])
 
 
 def correspondences(sources: DataFrame, stars: DataFrame, wcs: Wcs, radius_px: float) -> DataFrame:

@@ -183,13 +183,17 @@ def index_quads(spark, d):
     return gh.build_quads(local_sky(spark, d), 30 * zoom, 0.8 / zoom, 1.8 / zoom).select(F.array_sort("stars").alias("stars"), "cell", "turn")
 
 
+def field_rules(zoom: int) -> vf.Rules:
+    return vf.Rules(bin_arcmin=75.0 / zoom)
+
+
 @query()
 def solved_fields(spark, d):
     """Blind solution of all made-up fields against the index of all patches."""
     stars, zoom = local_sky(spark, d), patches(spark, d)[2]
     quads = gh.build_quads(stars, 30 * zoom, 0.8 / zoom, 1.8 / zoom, passes=6)
-    got = vf.solve(made_up_fields(spark, d), stars, quads, 1000, 1000, (12.0 / zoom, 18.0 / zoom), (0.8 / zoom, 1.8 / zoom), depth=24)
-    return got.select("field_id", F.round("scale", 2).alias("scale"), F.round("crval0", 1).alias("ra"), F.round("crval1", 1).alias("dec"), (F.col("logodds") > 20.7).alias("solved"))
+    got = vf.solve(made_up_fields(spark, d), stars, quads, 1000, 1000, (12.0 / zoom, 18.0 / zoom), (0.8 / zoom, 1.8 / zoom), depths=(12, 24), rules=field_rules(zoom))
+    return got.select("field_id", "depth", F.round("scale", 2).alias("scale"), F.round("crval0", 2).alias("ra"), F.round("crval1", 2).alias("dec"), F.round("logodds", 3).alias("logodds"), "n_match", "n_distract", "n_conflict", F.round("rms", 2).alias("rms"), "tuned")
 
 
 @query()
@@ -215,7 +219,7 @@ def field_index_correspondences(spark, d):
 
 @query()
 def verified_headers(spark, d):
-    """Log-odds of the true header of each field, and of that of the other field of its patch."""
+    """Log-odds and counts of the true header of each field, and of that of the other field of its patch."""
     refs = stars_in_fields(spark, d).groupBy("patch", F.col("field_id").cast("int").alias("header")).agg(F.sort_array(F.collect_list(F.array("x", "y"))).alias("refs"))
     tests = made_up_fields(spark, d).groupBy(F.floor((F.col("field_id") - 1) / 2).alias("patch"), F.col("field_id").cast("int").alias("field_id")).agg(F.sort_array(F.collect_list(F.struct("rank", "x", "y"))).alias("tests"))
     rows = refs.join(tests, "patch").select("field_id", "header", "refs", "tests")
@@ -226,7 +230,7 @@ def verified_headers(spark, d):
             for r in pdf.itertuples():
                 xy = np.array([(t["x"], t["y"]) for t in r.tests])
                 fold = vf.verify(xy, np.array([list(v) for v in r.refs]), 1e6, np.ones(len(xy)))
-                out.append((r.field_id, r.header, bool(fold.logodds > 20.7), fold.counts[0] > 20))
-            yield pd.DataFrame(out, columns=["field_id", "header", "solved", "many_matches"])
+                out.append((r.field_id, r.header, round(fold.logodds, 4), *fold.counts))
+            yield pd.DataFrame(out, columns=["field_id", "header", "logodds", "n_match", "n_distract", "n_conflict"])
 
-    return rows.mapInPandas(check, "field_id int, header int, solved boolean, many_matches boolean")
+    return rows.mapInPandas(check, "field_id int, header int, logodds double, n_match int, n_distract int, n_conflict int")
