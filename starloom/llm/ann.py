@@ -13,7 +13,9 @@ leaves gives ``recall`` of them. In a larger table neighbours are nearer than in
 side of more. Vectors with structure need few leaves; those without any need many, whatever the index.
 
 Leaves are joined, not collected: vectors and queries meet per leaf in groups that are split again (``block_rows``) when
-the table grows, every group returns the best ``k + 1`` of each of its queries, and those are merged. For inner products
+the table grows, every group returns the best ``k + 1`` of each of its queries, and those are merged. The sample goes
+along with the queries: what scores less than the ``k + 1``-th best vector of the sample in a query's open leaves is not
+among the nearest found, and leaves do not return it. For inner products
 of vectors of unequal length the trees see one more coordinate that completes every vector to the largest norm, which
 turns the search into one by angle; scores are taken on the original vectors.
 
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from starloom.llm.common import hashed_below, map_arrow, reliable
 
 K = 20
-LEAF_COST = 64
+LEAF_COST = 256
 
 
 @dataclass
@@ -154,6 +156,22 @@ def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.size("embedding") == (dims["d"] if dims else 0))
 
 
+def sample_bounds(q: np.ndarray, opened: list[list[int]], sample: np.ndarray, leaf: np.ndarray, leaves: int, k: int) -> np.ndarray:
+    """Score of the ``k``-th best vector of the sample in the opened leaves of each query, less what rounding may do; none if they hold fewer.
+
+    ``leaf`` is the sample's leaf in each tree, as tree * leaves + leaf.
+    """
+    out = np.full(len(q), -np.inf)
+    size = np.sqrt((sample**2).sum(axis=1).max(initial=0.0))
+    for i, own in enumerate(opened):
+        is_open = np.zeros(len(leaf) * leaves, bool)
+        is_open[own] = True
+        s = sample[is_open[leaf].any(axis=0)] @ q[i]
+        if len(s) >= k:
+            out[i] = np.partition(s, len(s) - k)[len(s) - k] - 1e-9 * size * math.sqrt(float((q[i] ** 2).sum()))
+    return out
+
+
 def _rank_leaf(k: int):
     """All queries of a leaf against its vectors: the best k classes of each, ties to the smaller id."""
     schema = pa.schema([("q", pa.int64()), ("c", pa.int64()), ("first_id", pa.int64()), ("score", pa.float64())])
@@ -163,12 +181,12 @@ def _rank_leaf(k: int):
             return schema.empty_table()
         x = _matrix(vectors.column("embedding").combine_chunks()).astype(np.float64)
         c, first = vectors.column("c").to_numpy(), vectors.column("first_id").to_numpy()
-        q, qs = queries.column("q").to_numpy(), queries.column("embedding").combine_chunks()
+        q, qs, bound = queries.column("q").to_numpy(), queries.column("embedding").combine_chunks(), queries.column("bound").to_numpy()
         parts = []
         for lo in range(0, len(q), 256):
             s = _matrix(qs.slice(lo, 256)).astype(np.float64) @ x.T
             least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -np.inf)
-            row, col = np.nonzero(s >= least[:, None])
+            row, col = np.nonzero(s >= np.maximum(least, bound[lo : lo + 256])[:, None])
             score = s[row, col]
             order = np.lexsort((first[col], -score, row))
             row, col, score = row[order], col[order], score[order]
@@ -181,7 +199,7 @@ def _rank_leaf(k: int):
 
 
 def nearest(
-    vectors: DataFrame, every: int = 20, k: int = K, trees: int = 4, leaf_rows: int = 32, recall: float = 0.96, share: float | None = None, sample_rows: int = 32_768, block_rows: int = 20_000, seed: int = 29, id_col: str = "vec_id", vec_col: str = "embedding"
+    vectors: DataFrame, every: int = 20, k: int = K, trees: int = 4, leaf_rows: int = 32, recall: float = 0.96, share: float | None = None, sample_rows: int = 16_384, block_rows: int = 20_000, seed: int = 29, id_col: str = "vec_id", vec_col: str = "embedding"
 ) -> DataFrame:
     """query_id, rank, vec_id, score: up to ``k`` neighbours of every row whose id is divisible by ``every``.
 
@@ -200,7 +218,7 @@ def nearest(
     depth = int(math.log2(seen / leaf_rows)) if seen >= leaf_rows else 0
     sample = classes.where(hashed_below(F.col("c"), min(1.0, sample_rows / max(1, n)), seed)).select("embedding").toArrow().column(0).combine_chunks() if n else None
     if sample is None or not len(sample):
-        depth, grown = 0, Forest(np.zeros((1, 0, 1)), np.zeros((1, 0)), 0, math.sqrt(norm2 or 0.0))
+        depth, grown, x = 0, Forest(np.zeros((1, 0, 1)), np.zeros((1, 0)), 0, math.sqrt(norm2 or 0.0)), np.zeros((0, 0))
     else:
         x = _matrix(sample).astype(np.float64)
         grown = grow(x, trees if depth else 1, depth, math.sqrt(norm2), seed)
@@ -212,11 +230,11 @@ def nearest(
         visits = math.ceil((share or 1.0) * n_trees * leaves) if depth else 1
     blocks = max(1, math.ceil(n / leaves / block_rows))
     query_blocks = max(1, math.ceil(n_asked * visits / (n_trees * leaves) / block_rows))
-    shared = classes.sparkSession.sparkContext.broadcast(grown)
+    shared = classes.sparkSession.sparkContext.broadcast((grown, x))
     vector_type = classes.schema["embedding"].dataType.simpleString()
 
     def filing():
-        forest = shared.value
+        forest, _ = shared.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             got = forest.file(_matrix(batch.column(2)).astype(np.float64)) if batch.num_rows else np.zeros((n_trees, 0), np.int64)
@@ -228,20 +246,23 @@ def nearest(
         return step
 
     def opening():
-        forest = shared.value
+        forest, seen = shared.value
+        seen_leaf = (forest.file(seen) + np.arange(n_trees)[:, None] * leaves) if len(seen) else np.zeros((n_trees, 0), np.int64)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = [forest.open(q, visits) for q in _matrix(batch.column(1)).astype(np.float64)]
-            again = pa.array(np.repeat(np.arange(batch.num_rows), [len(g) for g in got]))
-            buckets = np.array([b for g in got for b in g], np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(buckets), batch.column(0).take(again), batch.column(1).take(again)], names=["bucket", "q", "embedding"])
+            asked = _matrix(batch.column(1)).astype(np.float64)
+            got = [forest.open(q, visits) for q in asked]
+            again = np.repeat(np.arange(batch.num_rows), [len(g) for g in got])
+            buckets, bound = np.array([b for g in got for b in g], np.int64), sample_bounds(asked, got, seen, seen_leaf, leaves, k + 1) if len(seen) else np.full(len(got), -np.inf)
+            columns = [batch.column(i).take(pa.array(again)) for i in range(2)]
+            return pa.RecordBatch.from_arrays([pa.array(buckets), *columns, pa.array(bound[again], pa.float64())], names=["bucket", "q", "embedding", "bound"])
 
         return step
 
     filed = map_arrow(classes.select("c", "first_id", "embedding"), filing, f"bucket long, c long, first_id long, embedding {vector_type}")
     filed = filed.withColumn("block", F.pmod(F.xxhash64("c"), F.lit(blocks))).withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
     searchers = classes.join(asked.select("q").distinct(), F.col("c") == F.col("q"), "left_semi").select(F.col("c").alias("q"), "embedding")
-    opened = map_arrow(searchers, opening, f"bucket long, q long, embedding {vector_type}")
+    opened = map_arrow(searchers, opening, f"bucket long, q long, embedding {vector_type}, bound double")
     opened = opened.withColumn("query_block", F.pmod(F.xxhash64("q"), F.lit(query_blocks))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     keys = ("bucket", "block", "query_block")
     ranked = filed.groupBy(*keys).cogroup(opened.groupBy(*keys)).applyInArrow(_rank_leaf(k + 1), "q long, c long, first_id long, score double")
