@@ -14,7 +14,7 @@ from starloom.functions.wcs import box
 from starloom.operators import geohash as gh
 from starloom.operators import images as im
 from starloom.operators.checkpoints import ensure_checkpoint_dir
-from starloom.plans.registry import query, sky, sky_sql, table, xyz_sql
+from starloom.plans.registry import r6, query, sky, sky_sql, table, xyz_sql
 from starloom.streaming import jobs
 
 SUPP = sky_sql("supplier")
@@ -125,8 +125,12 @@ def survey_partitions(spark, d):
     return r.where("run = 1 AND camcol = 4")
 
 
-@query()
+#: three multiplicative hashes of the key below a prime, so that a row's draw needs no other row and no partition order
+DRAWS = tuple(f"((s_suppkey % 1000003 * (s_suppkey % 1000003) * {m} + s_suppkey % 1000003 * {n} + {c}) % 1000003 + 0.5e0) / 1000003e0" for m, n, c in ((97, 50021, 11), (193, 77773, 5003), (389, 15013, 70001)))
+RA_DRAW, DEC_DRAW, JITTER = f"360.0e0 * ({DRAWS[0]})", f"degrees(asin(2.0e0 * ({DRAWS[1]}) - 1.0e0))", f"sqrt(-2.0e0 * ln({DRAWS[2]})) * cos(2.0e0 * pi() * ({DRAWS[0]}))"
+
+
+@query(f"SELECT s_suppkey AS id, round({RA_DRAW}, 6) AS ra, round({DEC_DRAW}, 6) + 0 AS dec, round({JITTER}, 6) + 0 AS jitter FROM supplier")
 def random_sky(spark, d):
-    """Seeded positions, even over the sphere."""
-    n = table(spark, d, "supplier").count()
-    return spark.range(n).select("id", F.round(F.rand(5) * 360.0, 6).alias("ra"), F.round(F.degrees(F.asin(2.0 * F.rand(6) - 1.0)), 6).alias("dec"), F.round(F.randn(7), 6).alias("jitter"))
+    """Seeded positions, even over the sphere, and a normal deviate each: the same on every run, whatever the partitions."""
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.round(F.expr(RA_DRAW), 6).alias("ra"), r6(F.expr(DEC_DRAW), "dec"), r6(F.expr(JITTER), "jitter"))

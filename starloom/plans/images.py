@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from starloom.operators import images as im
+from starloom.operators import tables as tb
 from starloom.plans.registry import query, table
 
 SIZE = 48
@@ -69,10 +70,8 @@ def image_arithmetic(spark, d):
 
 @query("SELECT l_suppkey % 16 AS x, l_partkey % 16 AS y, sum(l_quantity) AS v, round(percent_rank() OVER (ORDER BY sum(l_quantity)), 6) AS rank FROM lineitem GROUP BY 1, 2")
 def rank_stretch(spark, d):
-    """Histogram equalisation of a pixel table: rank of each distinct value by counts, without sorting all pixels."""
-    from pyspark.sql import Window
-
+    """Histogram equalisation of a pixel table: rank of each distinct value by counts over range partitions."""
     p = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 16).alias("x"), (F.col("l_partkey") % 16).alias("y")).agg(F.sum("l_quantity").alias("v"))
-    values = p.groupBy("v").agg(F.count("*").alias("n"))
-    below = values.select("v", (F.sum("n").over(Window.orderBy("v")) - F.col("n")).alias("below"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    return p.join(below, "v").select("x", "y", "v", F.round(F.col("below") / (F.col("total") - 1), 6).alias("rank"))
+    below = tb.running_total(p.groupBy("v").agg(F.count("*").alias("n")), "v", "n")
+    total = p.agg(F.count("*").alias("total")).scalar()
+    return p.join(below, "v").select("x", "y", "v", F.round(F.col("below") / (total - 1), 6).alias("rank"))

@@ -11,6 +11,7 @@ from starloom.functions import survey as sv
 from starloom.functions.base import let
 from starloom.functions.wcs import box
 from starloom.operators import spatial as sj
+from starloom.operators import tables as tb
 from starloom.operators.verify import dedup_sources
 from starloom.plans.registry import query, r6, sky, sky_sql, table, xyz_sql
 
@@ -64,27 +65,7 @@ def mollweide_projection(spark, d):
 @query()
 def brightness_mode(spark, d):
     """Mode of a column: histogram between percentiles, a second finer one, a parabola through the logs of its counts."""
-    t = table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("v"))
-    lo, hi = t.agg(F.percentile("v", F.lit(0.01)), F.percentile("v", F.lit(0.70))).first()
-
-    def hist(a: float, b: float, n: int) -> np.ndarray:
-        rows = t.where((F.col("v") >= a) & (F.col("v") <= b)).groupBy(F.least(F.floor((F.col("v") - a) / ((b - a) / n)), F.lit(n - 1)).cast("int").alias("i")).agg(F.count("*").alias("n")).collect()
-        out = np.zeros(n)
-        for r in rows:
-            out[r["i"]] = r["n"]
-        return out
-
-    n, counts = 30, hist(lo, hi, 30)
-    centre = lo + (np.arange(n) + 0.5) * (hi - lo) / n
-    top = int(counts.argmax())
-    left = next((i for i in range(top - 1, -1, -1) if counts[i] < 0.5 * counts[top]), 0)
-    right = next((i for i in range(top + 1, n) if counts[i] < 0.8 * counts[top]), n - 1)
-    a, b = centre[left], centre[right]
-    fine = np.log10(np.maximum(1, hist(a, b, n - 1)))
-    x = (a + (np.arange(n - 1) + 0.5) * (b - a) / (n - 1) - (a + b) / 2) / (0.5 * (b - a))
-    c = np.polyfit(x, fine, 2)
-    mode = -c[1] / (2 * c[0]) * 0.5 * (b - a) + (a + b) / 2
-    return spark.createDataFrame([(round(float(mode), 3), bool(a < mode < b))], "mode double, bracketed boolean")
+    return tb.column_mode(table(spark, d, "lineitem"), "l_extendedprice").select(F.round("mode", 3).alias("mode"), "bracketed")
 
 
 @query(

@@ -11,23 +11,45 @@ from starloom.plans.registry import query, table
 from starloom.streaming import jobs
 
 
-def _drained(spark, d, make, mode):
+CHUNKS = 4
+
+
+def _arrived(spark, d, folder: str, flush: bool) -> str:
+    """The events as files that arrive one after another, in the order of time; ``flush`` adds one event far ahead, which closes every window before it."""
+    t = table(spark, d, "events")
+    cuts = t.agg(F.percentile_approx("ts", F.array(*[F.lit(i / CHUNKS) for i in range(1, CHUNKS)]), F.lit(1000))).first()[0] or []
+    low = None
+    for i, high in enumerate([*cuts, None]):
+        ts = F.col("ts")
+        part = t.where((F.lit(True) if low is None else ts > F.lit(low)) & (F.lit(True) if high is None else ts <= F.lit(high)) | (ts.isNull() if i == 0 else F.lit(False)))
+        part.coalesce(1).write.parquet(f"{folder}/in{i}")
+        low = high
+    if flush:
+        last = t.orderBy(F.desc_nulls_last("ts")).limit(1)
+        last.withColumn("ts", (F.col("ts") + F.expr("INTERVAL 400 DAYS")).cast(t.schema["ts"].dataType)).withColumn("event_type", F.lit(FLUSH)).withColumn("user_id", F.lit(-1).cast(t.schema["user_id"].dataType)).write.parquet(f"{folder}/in{CHUNKS}")
+    return f"{folder}/in*"
+
+
+FLUSH = "(flush)"
+
+
+def _drained(spark, d, make, mode, keys=None, flush=False):
     ensure_checkpoint_dir(spark)
-    name = f"s{uuid.uuid4().hex}"
-    schema = table(spark, d, "events").schema
-    stream = make(jobs.events(spark, d, schema))
-    return jobs.drain(stream, name, mode, f"{spark.sparkContext.getCheckpointDir()}/{name}")
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    arrived = _arrived(spark, d, folder, flush)
+    stream = make(jobs.events(spark, arrived, table(spark, d, "events").schema, glob="*.parquet"))
+    return jobs.drain(stream, folder, mode, keys)
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def tumbling_window(spark, d):
-    t = _drained(spark, d, jobs.tumbling, "complete")
+    t = _drained(spark, d, jobs.tumbling, "append", flush=True).where(F.col("event_type") != FLUSH)
     return t.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT s AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, unnest([time_bucket(INTERVAL '1 hour', ts), time_bucket(INTERVAL '1 hour', ts) - INTERVAL '1 hour']) AS s FROM events) GROUP BY 1, 2")
 def sliding_window(spark, d):
-    t = _drained(spark, d, lambda s: jobs.tumbling(s, "2 hours", "10 minutes", "1 hour"), "complete")
+    t = _drained(spark, d, lambda s: jobs.tumbling(s, "2 hours", "10 minutes", "1 hour"), "append", flush=True).where(F.col("event_type") != FLUSH)
     return t.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -36,14 +58,14 @@ def sliding_window(spark, d):
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, k"""
 )
 def session_windows(spark, d):
-    t = _drained(spark, d, jobs.sessions, "complete")
+    t = _drained(spark, d, jobs.sessions, "append", flush=True).where("user_id <> -1")
     return t.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "user_id", "n")
 
 
 @query("SELECT event_id % 32 AS x, user_id % 8 AS y, round(sum(value * (1 + event_id % 3)) / sum(1 + event_id % 3), 6) AS v FROM events GROUP BY 1, 2")
 def streaming_coadd(spark, d):
     pix = lambda s: jobs.incremental_coadd(s.select((F.col("event_id") % 32).alias("x"), (F.col("user_id") % 8).alias("y"), F.col("value").alias("v"), (1 + F.col("event_id") % 3).alias("w")))
-    return jobs.snapshot(_drained(spark, d, pix, "complete")).select("x", "y", F.round("v", 6).alias("v"))
+    return jobs.snapshot(_drained(spark, d, pix, "update", ["x", "y"])).select("x", "y", F.round("v", 6).alias("v"))
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'error')")
@@ -56,5 +78,5 @@ def chunk_ingest(spark, d):
 def streaming_enhance(spark, d):
     """Running rank image of each tile, state kept between batches."""
     tiles = lambda s: jobs.enhance(s.select((F.col("event_id") % 16).alias("tile"), F.array("value", F.col("event_id") % 7 * 1.0, F.col("user_id") % 5 * 1.0, F.lit(50.0)).alias("pixels"), F.lit(1.0).alias("weight")))
-    t = _drained(spark, d, tiles, "update")
-    return t.groupBy("tile").agg(F.max(F.struct("n", "pixels")).alias("b")).select("tile", "b.n", F.transform("b.pixels", lambda v: F.round(v, 4)).alias("pixels"))
+    t = _drained(spark, d, tiles, "update", ["tile"])
+    return t.select("tile", "n", F.transform("pixels", lambda v: F.round(v, 4)).alias("pixels"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from starloom.functions import healpix as hp
 from starloom.functions.sphere import radec_to_xyz
 from starloom.operators import tables as tb
+from starloom.operators.checkpoints import reliable
 from starloom.plans.registry import query, sky, sky_sql, table, xyz_sql
 from starloom.plans.scalars import cell_sql
 
@@ -67,12 +68,38 @@ C64 = cell_sql(xyz_sql(sky_sql("customer")), 64)
 
 @query(f"WITH c AS (SELECT id, cell FROM {C64}) SELECT a.id, b.id AS other FROM c a JOIN c b ON a.cell = b.cell AND a.id <> b.id UNION SELECT a.id, b.id FROM c a JOIN c b ON a.cell // 4096 * 1024 + a.cell % 4096 // 64 // 2 * 32 + a.cell % 64 // 2 = b.cell // 4096 * 1024 + b.cell % 4096 // 64 // 2 * 32 + b.cell % 64 // 2 AND a.id <> b.id")
 def nearby_images(spark, d):
-    """Images in the same cell or the same coarser cell."""
-    t = sky(spark, d, "customer").select("id", hp.radec_to_cell("ra", "dec", 64).alias("cell")).withColumn("parent", hp.convert_nside("cell", 64, 32))
-    o = t.select(F.col("id").alias("other"), F.col("cell").alias("cell2"), F.col("parent").alias("parent2"))
-    same = t.join(o, F.col("cell") == F.col("cell2")).where("id <> other").select("id", "other")
-    wide = t.join(o, F.col("parent") == F.col("parent2")).where("id <> other").select("id", "other")
-    return same.union(wide).distinct()
+    """Images in the same cell or the same coarser cell: the coarser cell holds the finer one, so one join does."""
+    t = sky(spark, d, "customer").select("id", hp.convert_nside(hp.radec_to_cell("ra", "dec", 64), 64, 32).alias("parent"))
+    return t.join(t.select(F.col("id").alias("other"), "parent"), "parent").where("id <> other").select("id", "other")
+
+
+@query()
+def nearby_images_by_level(spark, d):
+    """Images near an image of its own level of cells, over the levels as far as needed to find more than six.
+
+    First those in the same cell; if they, the image included, are six at most, those of the cells around as well; if
+    that is not enough either, those in the next coarser cell and in or around the four next finer ones.
+    """
+    at = lambda n: hp.radec_to_cell("ra", "dec", n)
+    kind = F.col("id") % 3
+    t = sky(spark, d, "customer").select("id", F.when(kind == 0, 8).when(kind == 1, 16).otherwise(32).cast("long").alias("nside"), F.when(kind == 0, at(8)).when(kind == 1, at(16)).otherwise(at(32)).alias("cell"))
+    levels = None
+    for n in (8, 16, 32):
+        own = t.where(F.col("nside") == n).select("cell").distinct()
+        base, x, y = hp.decompose("cell", n)
+        finer = [hp.compose(base, x * 2 + i, y * 2 + j, 2 * n) for i in (0, 1) for j in (0, 1)]
+        around = own.select("cell", hp.neighbours(n)("cell").alias("around"), hp.convert_nside("cell", n, n // 2).alias("parent"), *[hp.neighbours(2 * n)(f).alias(f"f{k}") for k, f in enumerate(finer)])
+        reach = lambda nside, stage, cells: F.transform(cells, lambda c: F.struct(F.lit(nside).cast("long").alias("nside2"), c.alias("cell2"), F.lit(stage).alias("stage")))
+        wide = F.array_distinct(F.concat("f0", "f1", "f2", "f3"))
+        rows = around.select(F.lit(n).cast("long").alias("nside"), "cell", F.explode(F.concat(reach(n, 0, F.array("cell")), reach(n, 1, F.col("around")), reach(n // 2, 2, F.array("parent")), reach(2 * n, 2, wide))).alias("to"))
+        rows = rows.select("nside", "cell", "to.nside2", "to.cell2", "to.stage")
+        levels = rows if levels is None else levels.unionByName(rows)
+    levels = reliable(levels)
+    there = t.select(F.col("id").alias("other"), F.col("nside").alias("nside2"), F.col("cell").alias("cell2"))
+    pairs = reliable(t.join(levels, ["nside", "cell"]).join(there, ["nside2", "cell2"]).select("id", "other", "stage"))
+    sizes = pairs.groupBy("id").agg(F.count_if(F.col("stage") == 0).alias("n0"), F.count_if(F.col("stage") <= 1).alias("n1"))
+    last = sizes.select("id", F.when(F.col("n0") > 6, 0).when(F.col("n1") > 6, 1).otherwise(2).alias("last"))
+    return pairs.join(last, "id").where("stage <= last AND id <> other").select("id", "other", "stage")
 
 
 @query("SELECT o_orderkey AS job, c_name AS owner, n_name AS place, list(l_linenumber ORDER BY l_linenumber) AS objects FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3")

@@ -43,11 +43,24 @@ def poll_queue(stream: DataFrame, work: Callable[[DataFrame, int], None], checkp
     return w.trigger(availableNow=True).start() if once else w.trigger(processingTime=every).start()
 
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all that is there into a memory table; for checks and small results."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, folder: str, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over all that is there into Parquet files under a shared ``folder``, each batch in a part of its own.
+
+    In ``append`` mode every row is written once. In ``update`` mode a key's row is written whenever it changes, and the
+    one of the last batch is read. Batches are written by the executors and written again whole if they are repeated.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    got = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, batch long").parquet(f"{folder}/out")
+    if keys is None:
+        return got.drop("batch")
+    rest = [c for c in stream.columns if c not in keys]
+    return got.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("b")).select(*keys, "b.*")
 
 
 def enhance(stream: DataFrame) -> DataFrame:

@@ -37,10 +37,21 @@ def test_top_k_is_limited_before_the_shuffle(spark, sf):
     assert "TakeOrderedAndProject" in plan(catalogue.QUERIES["brightest_k"](spark, sf))
 
 
+def test_equalisation_has_no_single_sorted_task(spark, sf):
+    p = plan(catalogue.QUERIES["rank_stretch"](spark, sf))
+    assert "rangepartitioning" in p or "Scan ExistingRDD" in p
+    assert "BroadcastNestedLoopJoin" not in p
+
+
+def test_streams_leave_rows_in_files(spark, sf):
+    df = catalogue.QUERIES["tumbling_window"](spark, sf)
+    assert all("/out/batch=" in f for f in df.inputFiles()) and len({re.search("batch=([0-9]+)", f)[1] for f in df.inputFiles()}) > 2
+
+
 def test_no_local_checkpoint_and_no_collect_in_operators():
     from pathlib import Path
 
     root = Path(__file__).resolve().parents[1] / "starloom"
-    for path in (root / "operators").glob("*.py"):
+    for path in [p for folder in ("operators", "plans", "streaming", "functions") for p in (root / folder).glob("*.py")]:
         text = path.read_text()
         assert "localCheckpoint" not in text and ".collect()" not in text and "crossJoin" not in text, path

@@ -1,6 +1,7 @@
 """Queries that once left rows out, on small tables and against brute force over all rows."""
 
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -144,3 +145,50 @@ def test_shell_words_split_whole_sources(spark, tmp_path):
     spark.createDataFrame([(i, s, "it's") for i, s in enumerate(sources)], "doc_id long, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.parts for r in catalogue.QUERIES["shell_words"](spark, str(tmp_path)).collect()}
     assert got == {i: None if s is None else s.replace("r", "|") for i, s in enumerate(sources)}
+
+
+def test_mode_against_numpy(spark):
+    from starloom.operators import tables as tb
+
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(50, 4, 6000), rng.uniform(0, 200, 3000)])
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,), (float("nan"),)], "v double")
+    got = tb.column_mode(df, "v", accuracy=1_000_000).first()
+
+    def hist(a, b):
+        inside = v[(v >= a) & (v <= b)]
+        return np.bincount(np.minimum(((inside - a) / (b - a) * 30).astype(int), 29), minlength=30)
+
+    a, b = (np.sort(v)[math.ceil(p * len(v)) - 1] for p in (0.01, 0.70))
+    n = hist(a, b)
+    peak = int(n.argmax())
+    poor = np.flatnonzero(n < 0.5 * n.max())
+    low, high = poor[poor < peak].max(initial=-1), poor[poor > peak].min(initial=30)
+    l, r = (a + (i + 0.5) * (b - a) / 30 for i in (max(low, 0), min(high, 29)))
+    x = (l + (np.arange(30) + 0.5) * (r - l) / 30 - (l + r) / 2) / (r - l)
+    c = np.polyfit(x, np.log10(np.maximum(1, hist(l, r))), 2)
+    assert abs(got["mode"] - ((l + r) / 2 - c[1] / (2 * c[0]) * (r - l))) < 1e-6 and abs(got["mode"] - 50) < 2 and got["bracketed"]
+    assert tuple(tb.column_mode(df.where("v = 1e9"), "v").collect()) in ((), ((None, False),))
+
+
+def test_nearby_images_by_level(spark, sf):
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()
+    image = {}
+    for k in (r[0] for r in rows):
+        dec, ra = math.asin(2 * (k * 0.6180339887498949 % 1) - 1), math.radians(k * 137.50776405003785 % 360)
+        n = (8, 16, 32)[k % 3]
+        image[k] = (n, int(hp.np_xyz_to_cell(np.array([[math.cos(dec) * math.cos(ra), math.cos(dec) * math.sin(ra), math.sin(dec)]]), n)[0]))
+    split = lambda n, c: (c // (n * n), c % (n * n) // n, c % n)
+    join = lambda n, b, x, y: b * n * n + x * n + y
+    want = set()
+    for k, (n, c) in image.items():
+        b, x, y = split(n, c)
+        stages = [{(n, c)}, {(n, m) for m in hp.np_neighbours(c, n)}, {(n // 2, join(n // 2, b, x // 2, y // 2))} | {(2 * n, m) for i in (0, 1) for j in (0, 1) for m in hp.np_neighbours(join(2 * n, b, 2 * x + i, 2 * y + j), 2 * n)}]
+        found = set()
+        for stage, cells in enumerate(stages):
+            found |= {(k, o, stage) for o, at in image.items() if at in cells}
+            if len(found) > 6:
+                break
+        want |= {f for f in found if f[1] != k}
+    got = [tuple(r) for r in catalogue.QUERIES["nearby_images_by_level"](spark, sf).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
