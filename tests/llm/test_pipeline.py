@@ -94,6 +94,7 @@ def test_odd_documents(spark, tmp_path):
     spark.createDataFrame([(None, None), (1, ""), (2, "never seen here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = cp.run(spark, str(tmp_path))
     assert {"doc_id", "__score", "__u", "taken", "repetition"} <= set(got.columns)
-    assert {r.text.split(" call ")[-1] for r in got.collect()} <= {prose, "[EMAIL]"} or got.count() > 0
+    found = [r.text for r in got.collect()]
+    assert found and all(set((t or "").split()) <= set(f"{prose} call [EMAIL]".split()) for t in found), found
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
