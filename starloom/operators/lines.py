@@ -14,13 +14,13 @@ def remove_axis_lines(df: DataFrame, coord: str, cut: float = 100.0, width: floa
     Bins of ``width`` from ``-offset`` with more than one source are occupied; with k = count - 1 and mean k over them,
     a bin is bad if k log(mean) - mean - k (k - 1) / 2 is under ``-cut``. (The last term stands where the logarithm of
     a factorial would; it defines the operator's results and is kept.) Counts are a partial aggregate over bins, the mean
-    one more row, and bad bins leave by an anti-join.
+    a scalar subquery, and bad bins leave by an anti-join.
     """
     b = F.floor((F.col(coord) + offset) / width).cast("long")
     counts = df.groupBy(b.alias("_bin")).agg((F.count("*") - 1).alias("_k")).where("_k > 0")
-    mean = counts.agg(F.avg("_k").alias("_mean"))
-    log_p = F.col("_k") * F.log("_mean") - F.col("_mean") - F.col("_k") * (F.col("_k") - 1) / 2
-    bad = counts.join(F.broadcast(mean)).where(log_p < -cut).select("_bin")
+    mean = counts.agg(F.avg("_k")).scalar()
+    log_p = F.col("_k") * F.log(mean) - mean - F.col("_k") * (F.col("_k") - 1) / 2
+    bad = counts.where(log_p < -cut).select("_bin")
     return df.join(bad, b == F.col("_bin"), "left_anti")
 
 
@@ -29,18 +29,18 @@ def remove_rotated_lines(df: DataFrame, x: str, y: str, width: float, height: fl
 
     Each source votes once an angle, so the table of votes is ``angles`` times the sources at most before the partial
     aggregate; an angle's bins are compared with the density over the image times the chord of the line in the image.
+    Bad lines, whose number the angles and the bins across the image bound, are one array that every source is tested
+    against in place: the sources are neither copied again nor shuffled.
     """
     theta = F.transform(F.sequence(F.lit(0), F.lit(angles - 1)), lambda i: i * (math.pi / angles))
-    spread = df.select("*", F.posexplode(theta).alias("_a", "_t"))
-    r = F.floor(((F.col(x) - width / 2) * F.cos("_t") + (F.col(y) - height / 2) * F.sin("_t")) / bin_size).cast("long")
-    votes = spread.groupBy("_a", r.alias("_r")).agg(F.count("*").alias("_n"), F.first("_t").alias("_t"))
-    total = df.agg(F.count("*").alias("_total"))
-    expect = F.col("_total") / (width * height) * bin_size * chord_length(F.col("_t"), (F.col("_r") + 0.5) * bin_size, width, height)
-    mean = F.greatest(expect, F.lit(1e-3))
+    r = lambda t: F.floor(((F.col(x) - width / 2) * F.cos(t) + (F.col(y) - height / 2) * F.sin(t)) / bin_size).cast("long")
+    votes = df.select(x, y, F.explode(theta).alias("_t")).groupBy("_t", r(F.col("_t")).alias("_r")).agg(F.count("*").alias("_n"))
+    total = df.agg(F.count("*")).scalar()
+    mean = F.greatest(total / (width * height) * bin_size * chord_length(F.col("_t"), (F.col("_r") + 0.5) * bin_size, width, height), F.lit(1e-3))
     log_p = F.col("_n") * F.log(mean) - mean - (F.col("_n") * F.log(F.col("_n").cast("double")) - F.col("_n"))
-    bad = votes.join(F.broadcast(total)).where((F.col("_n") > mean) & (log_p < -cut)).select("_a", "_r")
-    hit = spread.withColumn("_r", r).join(bad, ["_a", "_r"], "left_semi").select(*df.columns).distinct()
-    return df.join(hit, [df[c].eqNullSafe(hit[c]) for c in df.columns], "left_anti")
+    bad = votes.where((F.col("_n") > mean) & (log_p < -cut)).agg(F.collect_list(F.struct("_t", "_r"))).scalar()
+    on_line = F.exists("_bad", lambda line: r(line["_t"]) == line["_r"])
+    return df.withColumn("_bad", bad).where(~F.coalesce(on_line, F.lit(False))).drop("_bad")
 
 
 def chord_length(theta: Column, r: Column, width: float, height: float) -> Column:

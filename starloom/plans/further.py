@@ -57,7 +57,11 @@ def valid_fields(spark, d):
     return table(spark, d, "orders").where(F.col("o_custkey").between(1, 500)).select("o_orderkey")
 
 
-@query()
+@query(
+    """WITH g AS (SELECT exp(-0.5e0 * (i * i + j * j)) AS one, exp(-0.125e0 * (i * i + j * j)) AS two, exp(-(i * i + j * j) / 18.0e0) AS three, i, j FROM (SELECT unnest(range(-5, 6)) AS i), (SELECT unnest(range(-5, 6)) AS j)),
+w AS (SELECT s_suppkey AS id, 1 + 0.2e0 * (s_suppkey * 7 % 2048) / 1000 + 0.1e0 * (s_suppkey * 13 % 1489) / 1000 AS a, 0.05e0 + 0.01e0 * (s_suppkey * 7 % 2048) / 1000 * (s_suppkey * 13 % 1489) / 1000 AS b FROM supplier)
+SELECT id, round(sum(a * one + b * two), 5) AS psf_sum, round(sum(one + 0.1e0 * three) / 1.1e0, 5) AS gauss_sum, round(sum(CASE WHEN i = 0 AND j BETWEEN 0 AND 2 THEN 1 / ((100 * (a * one + b * two) + 50) / 4 + 1) END), 5) AS invvar FROM w, g GROUP BY id"""
+)
 def psf_models(spark, d):
     """Point-spread functions at positions: eigen-images, double Gaussians, inverse variances, as digests."""
 
@@ -82,7 +86,10 @@ def reference_catalogue_export(spark, d):
     return sky(spark, d, "customer", "c_acctbal").where("dec > 0").select("id", F.col("ra").alias("x_world"), F.col("dec").alias("y_world"), F.lit(1.0 / 3600).alias("err_a"), F.col("c_acctbal").alias("mag"))
 
 
-@query()
+@query(
+    f"""WITH m AS (SELECT id, dec < 0 AS south, CAST(floor(((ra % 360) + 360) % 360 / 15 * 3600000 + 0.5e0) AS BIGINT) % 86400000 AS a, CAST(floor(abs(dec) * 3600000 + 0.5e0) AS BIGINT) AS t FROM {SUPP} WHERE id > 0)
+SELECT id, format('{{}}\t{{:02d}}:{{:02d}}:{{:02d}}.{{:03d}}\t{{}}{{:02d}}:{{:02d}}:{{:02d}}.{{:03d}}', id, a // 3600000, a // 60000 % 60, a // 1000 % 60, a % 1000, CASE WHEN south THEN '-' ELSE '+' END, t // 3600000, t // 60000 % 60, t // 1000 % 60, t % 1000) AS line FROM m"""
+)
 def planetarium_export(spark, d):
     """Text lines of a planetarium catalogue."""
     t = sky(spark, d, "supplier").where("id > 0")
@@ -99,7 +106,11 @@ def queue_poll(spark, d):
     return spark.read.schema("event_id long").parquet(f"{folder}/done")
 
 
-@query()
+@query(
+    f"""WITH f AS (SELECT id, ra, radians(dec) AS t, radians(id % 90) AS o FROM {SUPP} WHERE abs(dec) < 70), k AS (SELECT unnest(range(-2, 3)) AS i), g AS (SELECT p.i * radians(0.5e0) AS u, q.i * radians(0.5e0) AS w FROM k p, k q WHERE greatest(abs(p.i), abs(q.i)) = 2),
+e AS (SELECT id, ra, t, w * sin(o) - u * cos(o) AS east, u * sin(o) + w * cos(o) AS north FROM f, g), x AS (SELECT id, ra, atan2(east, cos(t) - north * sin(t)) AS da, atan2(sin(t) + north * cos(t), sqrt(east * east + pow(cos(t) - north * sin(t), 2))) AS dd FROM e)
+SELECT id, round(ra + degrees(min(da)), 4) + 0 AS ramin, round(ra + degrees(max(da)), 4) + 0 AS ramax, round(degrees(min(dd)), 4) + 0 AS decmin, round(degrees(max(dd)), 4) + 0 AS decmax, round(sqrt(2.0e0), 4) AS radius, round(id % 90 * 1.0e0, 3) AS orientation, -1 AS parity FROM x GROUP BY id, ra"""
+)
 def footprint_bounds(spark, d):
     """RA and Dec bounds, radius and orientation of square footprints about positions."""
 
@@ -108,7 +119,7 @@ def footprint_bounds(spark, d):
             rows = []
             for r in pdf.itertuples():
                 w = box(r.ra, r.dec, 2.0, 200).rotated(float(r.id % 90))
-                rows.append((r.id, *[round(v, 4) for v in w.radec_bounds()], round(w.radius, 4), round(w.orientation, 3), w.parity))
+                rows.append((r.id, *[round(v, 4) + 0.0 for v in w.radec_bounds()], round(w.radius, 4), round(w.orientation, 3) + 0.0, w.parity))
             yield pd.DataFrame(rows, columns=["id", "ramin", "ramax", "decmin", "decmax", "radius", "orientation", "parity"])
 
     return sky(spark, d, "supplier").where("abs(dec) < 70").select("id", "ra", "dec").mapInPandas(run, "id long, ramin double, ramax double, decmin double, decmax double, radius double, orientation double, parity int")

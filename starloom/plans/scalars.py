@@ -170,10 +170,16 @@ def healpix_change_nside(spark, d):
     return t.select("id", "cell", hp.convert_nside("cell", 16, 2).alias("coarse"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS cell, CAST(i AS BIGINT) AS back_nested, CAST(i AS BIGINT) AS back_ring FROM range(768) t(i)")
+@query(
+    """WITH p AS (SELECT i AS cell, i // 64 AS b, i % 64 // 8 AS x, i % 8 AS y FROM range(768) t(i)), r AS (SELECT *, (b // 4 + 2) * 8 - x - y - 1 AS row, [1, 3, 5, 7, 0, 2, 4, 6, 1, 3, 5, 7][b + 1] AS turn FROM p),
+l AS (SELECT *, least(row, 8, 32 - row) AS len FROM r), s AS (SELECT *, (turn * len + x - y + 1 + CASE WHEN row BETWEEN 8 AND 24 THEN (row - 8) % 2 ELSE 0 END) // 2 AS along FROM l)
+SELECT CAST(cell AS BIGINT) AS cell, CAST(b * 64 + list_sum([(x // (1 << k)) % 2 * (1 << 2 * k) + (y // (1 << k)) % 2 * (2 << 2 * k) FOR k IN range(0, 3)]) AS BIGINT) AS nested, CAST(coalesce((SELECT sum(4 * least(q, 8, 32 - q)) FROM range(1, s.row) z(q)), 0) + (along - 1 + 4 * len) % (4 * len) AS BIGINT) AS ring,
+CAST(cell AS BIGINT) AS back_nested, CAST(cell AS BIGINT) AS back_ring FROM s"""
+)
 def healpix_numberings(spark, d):
+    """Nested and ring numbers of cells, and the way back."""
     t = spark.range(768).select(F.col("id").alias("cell"), hp.xy_to_nested("id", 8).alias("nested"), hp.xy_to_ring("id", 8).alias("ring"))
-    return t.select("cell", hp.nested_to_xy("nested", 8).alias("back_nested"), hp.ring_to_xy("ring", 8).alias("back_ring"))
+    return t.select("cell", "nested", "ring", hp.nested_to_xy("nested", 8).alias("back_nested"), hp.ring_to_xy("ring", 8).alias("back_ring"))
 
 
 @query()
@@ -188,7 +194,14 @@ def healpix_split_margin(spark, d):
     return sky(spark, d, "supplier").select("id", F.explode(hp.range_search(2, 5.0)("ra", "dec")).alias("cell"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE o AS (SELECT s_suppkey AS id, 1.0e0 + s_suppkey % 7 AS a, s_suppkey % 9 / 10.0e0 AS e, s_suppkey % 5 * 0.1e0 AS i, CAST(s_suppkey % 6 AS DOUBLE) AS m FROM supplier),
+k AS (SELECT id, m + e * sin(m) AS b, m + e * sin(m) AS seen, 0 AS n FROM o UNION ALL
+SELECT id, b - (b - e * sin(b) - m) / (1 - e * cos(b)), seen - (seen - e * sin(seen) - m + a * (1 - e * cos(seen)) * {ph.METRES_PER_AU / ph.LIGHT / 86400!r} * sqrt({ph.GM_SUN!r} / (a * a * a))) / (1 - e * cos(seen)), n + 1 FROM k JOIN o USING (id) WHERE n < 80),
+p AS (SELECT id, b, b - e * sin(b) - m AS left_over, i, a * (cos(seen) - e) AS px, a * sqrt(1 - e * e) * sin(seen) AS py FROM k JOIN o USING (id) WHERE n = 80),
+t AS (SELECT *, px * cos(1.1e0) - py * sin(1.1e0) AS u, px * sin(1.1e0) + py * cos(1.1e0) AS v FROM p), h AS (SELECT *, u * cos(0.3e0) - v * cos(i) * sin(0.3e0) AS x, u * sin(0.3e0) + v * cos(i) * cos(0.3e0) AS y, v * sin(i) AS z, radians(23.439281e0) AS t FROM t)
+SELECT id, round(b, 6) + 0 AS eccentric, round(left_over, 6) + 0 AS residual, round((degrees(atan2(y * cos(t) - z * sin(t), x)) + 360) % 360, 6) + 0 AS ra, round(degrees(asin((y * sin(t) + z * cos(t)) / sqrt(x * x + y * y + z * z))), 6) + 0 AS dec FROM h"""
+)
 def kepler_orbits(spark, d):
     t = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (1.0 + F.col("s_suppkey") % 7).alias("a"), ((F.col("s_suppkey") % 9) / 10.0).alias("e"), ((F.col("s_suppkey") % 5) * 0.1).alias("inc"), (F.col("s_suppkey") % 6).cast("double").alias("m"))
     t = t.withColumn("big", ph.kepler("m", "e")).withColumn("p", ph.orbit_radec("a", "e", "inc", F.lit(0.3), F.lit(1.1), "m"))

@@ -262,7 +262,13 @@ def remove_lines(spark, d):
     return remove_axis_lines(f, "x", 20.0)
 
 
-@query()
+@query(
+    """WITH p AS (SELECT c_custkey AS id, CAST(c_custkey * 7919 % 2048 AS DOUBLE) AS x, CAST(c_custkey * 104729 % 2048 AS DOUBLE) AS y FROM customer UNION ALL SELECT i + 100000, i * 3.0e0 + 200, i * 3.0e0 + 400 FROM range(300) r(i)),
+v AS (SELECT id, i * (pi() / 180) AS t, CAST(floor(((x - 1024) * cos(i * (pi() / 180)) + (y - 1024) * sin(i * (pi() / 180))) / 4) AS BIGINT) AS r FROM p, range(180) a(i)), c AS (SELECT t, r, count(*) AS n, abs((r + 0.5e0) * 4) AS far FROM v GROUP BY t, r),
+h AS (SELECT *, 1024 * (abs(cos(t)) + abs(sin(t))) AS half, 1024 * abs(abs(cos(t)) - abs(sin(t))) AS inside, 2048 / greatest(abs(sin(t)), abs(cos(t))) AS whole FROM c),
+e AS (SELECT *, greatest(1e-3, (SELECT count(*) FROM p) / (2048.0e0 * 2048) * 4 * CASE WHEN far >= half THEN 0 WHEN far <= inside THEN whole ELSE whole * (half - far) / (half - inside) END) AS m FROM h),
+bad AS (SELECT t, r FROM e WHERE n > m AND n * ln(m) - m - n * ln(n) + n < -100) SELECT id, x, y FROM p WHERE id NOT IN (SELECT id FROM v JOIN bad USING (t, r))"""
+)
 def remove_lines_any_angle(spark, d):
     line = spark.range(300).select((F.col("id") + 100000).alias("id"), (F.col("id") * 3.0 + 200).alias("x"), (F.col("id") * 3.0 + 400).alias("y"))
     points = _points(spark, d).select("id", "x", "y").unionByName(line)

@@ -19,7 +19,8 @@ def text_table(spark: SparkSession, path: str, schema: str, sep: str = ",", head
 
     Null tokens become SQL nulls, or ``int_null`` in whole-number columns where the sentinel is asked for.
     """
-    df = spark.read.csv(path, schema=schema, sep=sep, header=header, comment="#", mode="DROPMALFORMED", nullValue=null_values[0], nanValue="NaN", enforceSchema=True)
+    # lines are parsed whole whatever columns are asked for: a pruned parser cannot tell their arity
+    df = spark.read.option("columnPruning", "false").csv(path, schema=schema, sep=sep, header=header, comment="#", mode="DROPMALFORMED", nullValue=null_values[0], nanValue="NaN", enforceSchema=True)
     out = []
     for f in df.schema.fields:
         c = F.col(f.name)

@@ -59,6 +59,8 @@ def test_text_tables(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,x,name\n# comment\n1,2.5,a\n2,NaN,null\n3\n,4.5,b\n")
     got = text.text_table(spark, str(tmp_path / "a.csv"), "id int, x double, name string", int_null=text.INT_NULL).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, 2.5, "a"), (2, None, None), (text.INT_NULL, 4.5, "b")], key=str)
+    whole = text.text_table(spark, str(tmp_path / "a.csv"), "id int, x double, name string")
+    assert whole.count() == whole.select("x").count() == len(whole.select("id").collect()) == 3
     (tmp_path / "g.tbl").write_text("\\ comment\n|  ra    | n  | name |\n| double |int | char |\n   1.5     3    abc  \n   null    4    null \n")
     assert sorted(map(tuple, text.pipe_table(spark, str(tmp_path / "g.tbl")).collect()), key=str) == [(1.5, 3, "abc"), (None, 4, None)]
     (tmp_path / "v.xml").write_text('<VOTABLE><RESOURCE><TABLE><FIELD name="a" datatype="int"/><FIELD name="b" datatype="char" arraysize="*"/><DATA><TABLEDATA><TR><TD>1</TD><TD>x</TD></TR><TR><TD></TD><TD>y</TD></TR></TABLEDATA></DATA></TABLE></RESOURCE></VOTABLE>')
