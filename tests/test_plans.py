@@ -43,6 +43,11 @@ def test_equalisation_has_no_single_sorted_task(spark, sf):
     assert "BroadcastNestedLoopJoin" not in p
 
 
+@pytest.mark.parametrize("name", ["remove_lines", "remove_lines_any_angle"])
+def test_lines_leave_without_nested_loops(spark, sf, name):
+    assert "NestedLoop" not in plan(catalogue.QUERIES[name](spark, sf))
+
+
 def test_streams_leave_rows_in_files(spark, sf):
     df = catalogue.QUERIES["tumbling_window"](spark, sf)
     assert all("/out/batch=" in f for f in df.inputFiles()) and len({re.search("batch=([0-9]+)", f)[1] for f in df.inputFiles()}) > 2
