@@ -58,7 +58,7 @@ def _probes(wins: DataFrame, docs: DataFrame, block: int, n_windows: int, length
     """The windows with the offset o and the hash s of their rarest shingle."""
     at = wins.select("wid", "w", "m", "k", F.explode(F.sequence(F.lit(0), F.col("m") - F.col("k"))).alias("o"))
     hashed = F.coalesce(*[F.when(F.col("k") == k, _shingle("w", "o", k)) for k in lengths])
-    at = reliable(at.select("wid", "w", "m", "k", "o", hashed.alias("s")))
+    at = at.select("wid", "w", "m", "k", "o", hashed.alias("s"))
     wanted = reliable(at.groupBy("k", "s").agg(F.count("*").alias("in_windows")))
     counted = None
     for k in lengths:
@@ -88,12 +88,12 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shi
                 side = F.broadcast(probes.where((F.col("k") == k) & (F.pmod("wid", F.lit(parts)) == part)).select("wid", "m", "s_", "o"))
                 hit = _positions(docs).withColumn("s", _shingle("ws", "p", k)).join(side, F.col("s") == F.col("s_"))
                 hit = hit.where((F.col("p") >= F.col("o")) & (F.col("p") - F.col("o") + F.col("m") <= F.size("ws")))
-                hit = hit.withColumn("there", F.slice("ws", F.col("p") - F.col("o") + 1, F.col("m"))).where(F.xxhash64("there") == F.col("wid"))
+                # the optimiser may cut the words before it tests the bounds, so the cut has to be valid there, too
+                hit = hit.withColumn("there", F.slice("ws", F.greatest(F.col("p") - F.col("o") + 1, F.lit(1)), F.col("m"))).where(F.xxhash64("there") == F.col("wid"))
                 hit = hit.select("id", "th", (F.col("p") - F.col("o")).alias("start"), "m", "wid", "there")
                 found = hit if found is None else found.unionByName(hit)
     if found is None:
         found = docs.select("id", "th", F.lit(0).alias("start"), F.lit(0).alias("m"), F.lit(0).cast("long").alias("wid"), F.array().cast("array<string>").alias("there")).where(F.lit(False))
-    found = reliable(found)
     named = wins.select("wid", "w", "items")
     size = named.agg(F.sum(F.length(F.array_join("w", " ")) + F.length(F.array_join("items", ",")))).first()[0] or 0
     return found.join(F.broadcast(named) if size <= broadcast_chars else named, "wid").where(F.col("w") == F.col("there")).drop("wid", "w", "there")
@@ -110,7 +110,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     words = hits.select("id", "th", F.explode(F.sequence("start", F.col("start") + F.col("m") - 1)).alias("p")).distinct().groupBy("id", "th").agg(F.count("*").alias("n_hit"))
     items = hits.select("id", "th", F.explode("items").alias("item")).distinct().groupBy("id", "th").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list("item")).alias("items"))
     found = words.alias("a").join(items.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.th") == F.col("b.th")), "left")
-    found = reliable(found.select(F.col("a.id").alias("id_"), F.col("a.th").alias("th_"), "n_hit", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.array_join(F.coalesce("items", F.array().cast("array<string>")), ",").alias("named")))
+    found = found.select(F.col("a.id").alias("id_"), F.col("a.th").alias("th_"), "n_hit", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.array_join(F.coalesce("items", F.array().cast("array<string>")), ",").alias("named"))
     out = cut.select("id", "th", F.size("ws").cast("long").alias("n_words")).join(found, F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
