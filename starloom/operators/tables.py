@@ -186,3 +186,37 @@ def column_mode(df: DataFrame, column: str, low: float = 0.01, high: float = 0.7
     bend = (F.col("x2y") - F.col("x2") * F.col("y")) / (F.col("x4") - F.col("x2") * F.col("x2"))
     vertex = s.select("a", "b", (-(F.col("xy") / F.col("x2")) / (2 * bend)).alias("t"))
     return vertex.select(((F.col("a") + F.col("b")) / 2 + F.col("t") * (F.col("b") - F.col("a")) / 2).alias("mode"), F.coalesce(F.abs("t") < 1, F.lit(False)).alias("bracketed"))
+
+
+# --- linear algebra over rows -----------------------------------------------------------------------------------
+
+
+def transpose_product(entries: DataFrame, vector: DataFrame) -> DataFrame:
+    """(c, product): transpose of a sparse matrix (r, c, v) times a vector (r, value); columns without entries are left out.
+
+    One equi-join on the row and one partial aggregate over columns; a null value counts as nothing.
+    """
+    return entries.join(vector, "r").groupBy("c").agg(F.sum(F.col("v") * F.col("value")).alias("product"))
+
+
+def plane_fit(df: DataFrame, group: Column, x1: str, x2: str, targets: Sequence[str]) -> DataFrame:
+    """Least squares of several right-hand sides on two regressors and a constant, a row for each group.
+
+    One aggregate of moments about the means, whatever the number of right-hand sides: g, and for each target t the
+    columns t_1, t_2 and t_0. Rows with a null in a column that is used are left out; where the regressors are
+    linearly dependent, all coefficients are null.
+    """
+    used = df.select(group.alias("g"), *[F.col(c).cast("double").alias(c) for c in (x1, x2, *targets)]).na.drop(subset=[x1, x2, *targets])
+    moments = {"xx": F.var_pop(x1), "yy": F.var_pop(x2), "xy": F.covar_pop(x1, x2), "mx": F.avg(x1), "my": F.avg(x2)}
+    for i, t in enumerate(targets):
+        moments |= {f"xt{i}": F.covar_pop(x1, t), f"yt{i}": F.covar_pop(x2, t), f"mt{i}": F.avg(t)}
+    whole = F.col("xx") * F.col("yy")
+    det = whole - F.col("xy") * F.col("xy")
+    # rounding leaves a dependent pair with a tiny determinant rather than none
+    m = used.groupBy("g").agg(*[v.alias(k) for k, v in moments.items()]).withColumn("det", F.when(det > 1e-12 * whole, det))
+    out = [F.col("g")]
+    for i, t in enumerate(targets):
+        one = (F.col("yy") * F.col(f"xt{i}") - F.col("xy") * F.col(f"yt{i}")) / F.col("det")
+        two = (F.col("xx") * F.col(f"yt{i}") - F.col("xy") * F.col(f"xt{i}")) / F.col("det")
+        out += [one.alias(f"{t}_1"), two.alias(f"{t}_2"), (F.col(f"mt{i}") - one * F.col("mx") - two * F.col("my")).alias(f"{t}_0")]
+    return m.select(*out)

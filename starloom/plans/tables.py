@@ -327,3 +327,23 @@ def least_squares(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("g")).agg(F.round(F.regr_slope(y, x), 4).alias("slope"), F.round(F.regr_intercept(y, x), 3).alias("intercept"), F.round(F.regr_r2(y, x), 6).alias("r2"))
 
 
+@query("SELECT l_partkey AS c, round(sum(l_quantity * s_nationkey), 4) AS product FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1")
+def sparse_transpose_matvec(spark, d):
+    """Transpose of the supplier-by-part matrix times a vector over suppliers."""
+    entries = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("r"), F.col("l_partkey").alias("c")).agg(F.sum("l_quantity").alias("v"))
+    vector = table(spark, d, "supplier").select(F.col("s_suppkey").alias("r"), F.col("s_nationkey").alias("value"))
+    return tb.transpose_product(entries, vector).select("c", F.round("product", 4).alias("product"))
+
+
+@query(
+    """WITH m AS (SELECT l_suppkey AS g, var_pop(l_quantity) AS xx, var_pop(l_discount) AS yy, covar_pop(l_quantity, l_discount) AS xy, avg(l_quantity) AS mx, avg(l_discount) AS my,
+covar_pop(l_quantity, l_extendedprice) AS xp, covar_pop(l_discount, l_extendedprice) AS yp, avg(l_extendedprice) AS mp, covar_pop(l_quantity, l_tax) AS xt, covar_pop(l_discount, l_tax) AS yt, avg(l_tax) AS mt FROM lineitem GROUP BY 1),
+b AS (SELECT *, (yy * xp - xy * yp) / (xx * yy - xy * xy) AS p1, (xx * yp - xy * xp) / (xx * yy - xy * xy) AS p2, (yy * xt - xy * yt) / (xx * yy - xy * xy) AS t1, (xx * yt - xy * xt) / (xx * yy - xy * xy) AS t2 FROM m)
+SELECT g, round(p1, 3) AS price_1, round(p2, 2) AS price_2, round(mp - p1 * mx - p2 * my, 2) AS price_0, round(t1, 8) + 0 AS tax_1, round(t2, 7) + 0 AS tax_2, round(mt - t1 * mx - t2 * my, 7) + 0 AS tax_0 FROM b"""
+)
+def least_squares_many(spark, d):
+    """Two right-hand sides on two regressors and a constant, a fit for each supplier."""
+    t = tb.plane_fit(table(spark, d, "lineitem"), F.col("l_suppkey"), "l_quantity", "l_discount", ["l_extendedprice", "l_tax"])
+    digits = {"1": (3, 8), "2": (2, 7), "0": (2, 7)}
+    both = [((F.round(f"l_{c}_{k}", digits[k][i]) + 0.0) if i else F.round(f"l_{c}_{k}", digits[k][i])).alias(f"{'price' if c == 'extendedprice' else c}_{k}") for i, c in enumerate(("extendedprice", "tax")) for k in ("1", "2", "0")]
+    return t.select("g", *both)

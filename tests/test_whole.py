@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from starloom.functions import healpix as hp
 from starloom.operators import geohash as gh
+from starloom.operators import tables as tb
 from starloom.plans import catalogue, solving
 from starloom.sources import sinks
 
@@ -192,3 +193,17 @@ def test_nearby_images_by_level(spark, sf):
         want |= {f for f in found if f[1] != k}
     got = [tuple(r) for r in catalogue.QUERIES["nearby_images_by_level"](spark, sf).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_fits_with_nulls_and_dependent_regressors(spark):
+    rows = [(1, x, y, 2.0 * x - 3.0 * y + 5.0, x + 1.0) for x in range(4) for y in range(3)] + [(1, None, 1, 9.0, 9.0)] + [(2, x, 3 * x + 1, 1.0 * x, 0.0) for x in range(5)] + [(3, 1, 1, None, 1.0)]
+    t = spark.createDataFrame(rows, "k int, x int, y int, a double, b double")
+    got = {r["g"]: [None if v is None else round(v, 9) + 0.0 for v in r[1:]] for r in tb.plane_fit(t, F.col("k"), "x", "y", ["a", "b"]).collect()}
+    assert got == {1: [2.0, -3.0, 5.0, 1.0, 0.0, 1.0], 2: [None] * 6}
+    assert tb.plane_fit(t.limit(0), F.col("k"), "x", "y", ["a"]).count() == 0
+
+
+def test_transpose_product(spark):
+    entries = spark.createDataFrame([(1, 7, 2.0), (2, 7, 3.0), (2, 8, 1.0), (3, 9, None), (4, 9, 5.0)], "r int, c int, v double")
+    vector = spark.createDataFrame([(1, 10.0), (2, 1.0), (3, 1.0)], "r int, value double")
+    assert {r["c"]: r["product"] for r in tb.transpose_product(entries, vector).collect()} == {7: 23.0, 8: 1.0, 9: None}
