@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from starloom.operators.checkpoints import ensure_checkpoint_dir, reliable
 
-__all__ = ["ensure_checkpoint_dir", "fold_of", "fold_of_value", "hashed_below", "map_arrow", "reliable", "table", "unused"]
+__all__ = ["ensure_checkpoint_dir", "fold_of", "fold_of_value", "frequent", "hashed_below", "map_arrow", "reliable", "table", "unused"]
 
 PIECE = 8 << 20
 
@@ -53,6 +53,20 @@ def hashed_below(key: Column, share: Column | float, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < share * float(1 << 30)
 
 
+def frequent(rows: DataFrame, number: Column, most: int) -> Column:
+    """A condition on ``number`` (1 or more) that at most ``most`` rows meet, and about as many as that allows.
+
+    Numbers are counted by eighths of a power of two, so that the driver sees a few hundred rows at most.
+    """
+    eighth = F.floor(F.log2(number.cast("double")) * 8)
+    left, floor = most, None
+    for at, n in sorted(((r[0], r[1]) for r in rows.where(number > 0).groupBy(eighth.alias("e")).count().collect()), reverse=True):
+        if n > left:
+            break
+        left, floor = left - n, at
+    return F.lit(False) if floor is None else F.coalesce((number > 0) & (eighth >= floor), F.lit(False))
+
+
 def unused(df: DataFrame, *stems: str) -> list[str]:
     """Column names from ``stems`` that ``df`` does not have, whatever its columns are called."""
     taken = {c.lower() for c in df.columns}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from starloom.llm import ann, decontaminate, html, langid, mixing, pii, simhash, tokens, toxicity, urlfilter
+from starloom.llm import ann, decontaminate, html, importance, langid, linededup, mixing, periodic, pii, simhash, tokens, toxicity, urlfilter
 from starloom.llm.common import table
 
 
@@ -52,8 +52,26 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.summary(periodic.detect(table(spark, sf_dir, "documents"), rewrite=periodic.looped))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.summary(linededup.drop_lines(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii, op3_toxicity, op4_url_filter, op5_source_mixing, op6_language_id, op7_token_counts, op8_decontamination, op9_html_extraction, op10_nearest_neighbours)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_simhash_near_dedup, op2_pii, op3_toxicity, op4_url_filter, op5_source_mixing, op6_language_id, op7_token_counts, op8_decontamination, op9_html_extraction, op10_nearest_neighbours,
+            op11_importance_resampling, op12_periodic_runs, op13_line_dedup,
+        )
+    }
 
 
 def _op4_sql() -> str:
@@ -102,5 +120,33 @@ FROM dw LEFT JOIN nw USING (rid) LEFT JOIN it USING (rid)
 """
 
 
+OP11_SQL = r"""
+WITH steps AS (SELECT list_transform(range(256), lambda b: list_reduce([CAST(b AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS step),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+df AS (SELECT rid, unnest(ws) AS f FROM d),
+bf AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark),
+fs AS (SELECT f, count(*) AS s FROM df GROUP BY f), ft AS (SELECT f, count(*) AS t FROM bf GROUP BY f),
+e AS (SELECT f, coalesce(s, 0) AS s, coalesce(t, 0) AS t, hex(encode(f)) AS h FROM fs FULL JOIN ft USING (f)),
+k AS (SELECT f, s, t, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+  lambda c, b: xor(c >> 8, steps.step[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b FROM e, steps),
+b AS (SELECT b, sum(s) AS s, sum(t) AS t FROM k GROUP BY b), n AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM b),
+g AS (SELECT b.b, CAST(floor(1000 * ln(CAST(b.t + 1 AS DOUBLE) * CAST(n.s + 10000 AS DOUBLE) / (CAST(b.s + 1 AS DOUBLE) * CAST(n.t + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM b, n),
+w AS (SELECT df.rid, CAST(sum(g.gain) AS BIGINT) AS weight FROM df JOIN k USING (f) JOIN g USING (b) GROUP BY df.rid),
+r AS (SELECT d.rid, d.doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+  (CAST('0x' || substr(sha256('2024:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0))) AS BIGINT) AS score FROM d LEFT JOIN w USING (rid)),
+p AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id ASC NULLS LAST, rid) AS place, count(*) FILTER (n_features >= 20) OVER () AS fit FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * fit // 100 THEN place END AS rank FROM p
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT rid, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+o AS (SELECT key, max(doc_id) AS owner FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT rid) >= 3),
+m AS (SELECT k.*, o.owner IS NOT NULL AND (k.doc_id IS NULL OR k.doc_id < o.owner) AS gone FROM k LEFT JOIN o USING (key))
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY rid, doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": _op4_sql(), "op5_source_mixing": OP5_SQL, "op8_decontamination": OP8_SQL}
+    return {"op4_url_filter": _op4_sql(), "op5_source_mixing": OP5_SQL, "op8_decontamination": OP8_SQL, "op11_importance_resampling": OP11_SQL, "op13_line_dedup": OP13_SQL}
