@@ -74,3 +74,25 @@ def test_empty_tables(spark):
     assert [r.contaminated for r in dc.contamination(d, b.limit(0)).collect()] == [False] and dc.drop_contaminated(d, b.limit(0)).count() == 1
     assert dc.contamination(d.limit(0), b).count() == 0 and dc.drop_contaminated(d.limit(0), b).count() == 0
     assert [r.n_hit for r in dc.contamination(d, b).collect()] == [3]
+
+
+def test_one_window_in_many_items_and_documents(spark):
+    """Items are named once for a set of windows, not once a document."""
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(i, f"{text} {'x' * (i % 5)}") for i in range(3000)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"{text} y{i}") for i in range(3000)], "item_id long, text string")
+    out = dc.contamination(docs, items)
+    named = hashlib.sha256(",".join(sorted(map(str, range(3000)))).encode()).hexdigest()
+    assert {tuple(r) for r in out.select("n_hit", "n_items", "items_sha256", "contaminated").distinct().collect()} == {(10, 3000, named, True)}
+    assert out.count() == 3000
+    made = dc._named(spark.createDataFrame([(1, 0, [7, 8]), (2, 0, [7])], "s1 long, s2 long, wids array<long>"), spark.createDataFrame([(7, ["a", "b"]), (8, ["b", "c"])], "wid long, items array<string>"))
+    assert sorted((r.s1, r.n_items) for r in made.collect()) == [(1, 3), (2, 2)]
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "item_id long, text string")
+    empty = hashlib.sha256(b"").hexdigest()
+    assert sorted(map(tuple, dc.contamination(docs, none).collect()), key=str) == [(1, 2, 0, 0, empty, False), (None, 0, 0, 0, empty, False)]
+    assert dc.drop_contaminated(docs, none).count() == 2
+    assert dc.contamination(docs.limit(0), docs.withColumnRenamed("doc_id", "item_id")).count() == 0
