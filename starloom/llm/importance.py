@@ -79,7 +79,7 @@ def dictionary(docs: DataFrame, target: DataFrame, ngram: int, buckets: int) ->
 
 def bucket_gains(entries: DataFrame, buckets: int) -> DataFrame:
     """(bucket, gain) of at most ``buckets`` rows from the dictionary."""
-    sums = reliable(entries.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")).coalesce(1))
+    sums = reliable(entries.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")))
     total = sums.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("s"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
     ratio = (F.col("t") + 1.0) * F.lit(float(total["s"] + buckets)) / ((F.col("s") + 1.0) * F.lit(float(total["t"] + buckets)))
     return sums.select("bucket", F.floor(1000.0 * F.log(ratio)).cast("long").alias("gain"))

@@ -189,21 +189,21 @@ def _shards(keys: DataFrame, n: int) -> tuple[DataFrame, int]:
     return build(keys, shards), shards
 
 
-def _going(hashes: list[bytes | None], doc_id: int | None, shards: dict[int, Shard], n_shards: int, min_docs: int) -> set[bytes]:
-    """Hashes of the lines that the document loses to a larger id."""
-    asked = list({h for h in hashes if h is not None})
-    if not asked or not shards:
-        return set()
+def _owners(hashes: set[bytes], shards: dict[int, Shard], n_shards: int, min_docs: int) -> dict[bytes, int]:
+    """The largest id of every line that enough documents hold, among ``hashes``."""
+    asked = list(hashes)
+    found: dict[bytes, int] = {}
+    if not asked:
+        return found
     high, low = halves(asked)
     at = _shard_of(high, n_shards)
-    gone: set[bytes] = set()
-    for s in np.unique(at):
-        if (shard := shards.get(int(s))) is not None:
-            mine = np.flatnonzero(at == s)
+    by = np.argsort(at, kind="stable")
+    for mine in np.split(by, np.flatnonzero(np.diff(at[by])) + 1):
+        if (shard := shards.get(int(at[mine[0]]))) is not None:
             counts, owners = shard.probe(high[mine], low[mine])
-            lost = (counts >= min_docs) & (owners > (NO_ID if doc_id is None else doc_id))
-            gone.update(asked[i] for i in mine[lost])
-    return gone
+            known = counts >= min_docs
+            found.update(zip((asked[i] for i in mine[known]), owners[known].tolist(), strict=True))
+    return found
 
 
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, probe_keys: int = 2_000_000, hot_keys: int = 100_000) -> DataFrame:
@@ -233,12 +233,12 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts, totals, dropped = [], [], []
-            for doc_id, text, gone in zip(*(batch.column(i) for i in range(3)), strict=True):
-                lines, hashes = line_hashes(text.as_py(), min_chars)
-                lost = _going(hashes, doc_id.as_py(), shards, n_shards, min_docs)
-                far = set(gone.as_py() or ())
-                kept = [line for i, (line, h) in enumerate(zip(lines, hashes, strict=True)) if h not in lost and i not in far]
-                texts.append(None if text.as_py() is None else b"\n".join(kept))
+            cut = [line_hashes(text.as_py(), min_chars) for text in batch.column(1)]
+            owners = _owners({h for _, hashes in cut for h in hashes} - {None}, shards, n_shards, min_docs)
+            for doc_id, (lines, hashes), missing, gone in zip(batch.column(0).to_pylist(), cut, batch.column(1).is_null().to_pylist(), batch.column(2).to_pylist(), strict=True):
+                own, far = NO_ID if doc_id is None else doc_id, set(gone or ())
+                kept = [line for i, (line, h) in enumerate(zip(lines, hashes, strict=True)) if owners.get(h, own) <= own and i not in far]
+                texts.append(None if missing else b"\n".join(kept))
                 totals.append(len(lines))
                 dropped.append(len(lines) - len(kept))
             columns = [batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())]
