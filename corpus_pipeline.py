@@ -12,13 +12,12 @@ the shared checkpoint folder and read again, so a lost executor repeats a part o
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.llm import decontaminate, langid, mixing, pii, simhash
-from starloom.llm.common import ensure_checkpoint_dir, table
+from starloom.llm.common import table
+from starloom.operators.checkpoints import scratch_folder
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -55,8 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,11 +19,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared:
         sc.setCheckpointDir(shared)
     elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="starloom-ckpt-"))
+        own = tempfile.mkdtemp(prefix="starloom-ckpt-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     else:
         raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
 
 
+def scratch_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder's path beside the checkpoints, for tables that a run writes and reads again; it goes when the application ends."""
+    ensure_checkpoint_dir(spark)
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    parent = jvm.org.apache.hadoop.fs.Path(f"{sc.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}")
+    fs = parent.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.mkdirs(parent)
+    fs.deleteOnExit(parent)
+    return f"{parent.toString()}/data"
+
+
 def reliable(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder: lineage is cut and a lost executor costs nothing."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starloom.operators.checkpoints import ensure_checkpoint_dir
+from starloom.operators.checkpoints import scratch_folder
 from starloom.plans.registry import query, r6, table
 from starloom.sources import catalogs as cat
 from starloom.sources import text as tx
@@ -19,8 +17,7 @@ FILE_ROWS = 1000
 
 
 def _folder(spark) -> str:
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+    return scratch_folder(spark, "files")
 
 
 def _documents(t: DataFrame, key: str, row: Column, head: str, tail: str, sep: str, path: str) -> None:

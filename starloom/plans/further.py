@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
@@ -13,7 +11,7 @@ from starloom.functions.sphere import dec_to_dms, ra_to_hms, within_radius
 from starloom.functions.wcs import box
 from starloom.operators import geohash as gh
 from starloom.operators import images as im
-from starloom.operators.checkpoints import ensure_checkpoint_dir
+from starloom.operators.checkpoints import scratch_folder
 from starloom.plans.registry import r6, query, sky, sky_sql, table, xyz_sql
 from starloom.streaming import jobs
 
@@ -99,8 +97,7 @@ def planetarium_export(spark, d):
 @query("SELECT event_id FROM events WHERE event_type = 'signup'")
 def queue_poll(spark, d):
     """New rows handed over batch by batch by a polling stream, progress kept in its checkpoint."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/queue-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "queue")
     stream = jobs.events(spark, d, table(spark, d, "events").schema).where("event_type = 'signup'").select("event_id")
     jobs.poll_queue(stream, lambda df, _: df.write.mode("append").parquet(f"{folder}/done"), f"{folder}/state", once=True).awaitTermination()
     return spark.read.schema("event_id long").parquet(f"{folder}/done")
@@ -128,8 +125,7 @@ def footprint_bounds(spark, d):
 @query("SELECT o_orderkey, o_custkey % 3 AS run, o_orderkey % 6 + 1 AS camcol FROM orders WHERE o_custkey % 3 = 1 AND o_orderkey % 6 + 1 = 4")
 def survey_partitions(spark, d):
     """Survey objects stored by run and camera column; one partition is read."""
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/survey-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "survey")
     t = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 3).alias("run"), (F.col("o_orderkey") % 6 + 1).alias("camcol"))
     t.write.partitionBy("run", "camcol").parquet(path)
     r = spark.read.schema("o_orderkey long, run long, camcol long").parquet(path)

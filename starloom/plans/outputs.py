@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import functions as F
 
 from starloom.functions import healpix as hp
-from starloom.operators.checkpoints import ensure_checkpoint_dir
+from starloom.operators.checkpoints import scratch_folder
 from starloom.operators.polygons import containing
 from starloom.plans.registry import query, sky, sky_sql, table, xyz_sql
 from starloom.plans.scalars import cell_sql
@@ -19,8 +17,7 @@ CELLS = cell_sql(xyz_sql(sky_sql("customer")), 2)
 
 
 def _folder(spark) -> str:
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/out-{uuid.uuid4().hex}"
+    return scratch_folder(spark, "out")
 
 
 @query(f"SELECT id, CAST(cell AS INT) AS hp FROM {CELLS} WHERE cell % 3 = 0")

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from starloom.operators.checkpoints import ensure_checkpoint_dir
+from starloom.operators.checkpoints import scratch_folder
 from starloom.plans.registry import query, table
 from starloom.streaming import jobs
 
@@ -15,15 +13,15 @@ CHUNKS = 4
 
 
 def _arrived(spark, d, folder: str, flush: bool) -> str:
-    """The events as files that arrive one after another, in the order of time; ``flush`` adds one event far ahead, which closes every window before it."""
+    """The events as files that arrive one after another, in the order of time; ``flush`` adds one event far ahead, which closes every window before it.
+
+    Each arrival is a folder of its own, written by as many tasks as its rows are read by.
+    """
     t = table(spark, d, "events")
     cuts = t.agg(F.percentile_approx("ts", F.array(*[F.lit(i / CHUNKS) for i in range(1, CHUNKS)]), F.lit(1000))).first()[0] or []
-    low = None
-    for i, high in enumerate([*cuts, None]):
-        ts = F.col("ts")
-        part = t.where((F.lit(True) if low is None else ts > F.lit(low)) & (F.lit(True) if high is None else ts <= F.lit(high)) | (ts.isNull() if i == 0 else F.lit(False)))
-        part.coalesce(1).write.parquet(f"{folder}/in{i}")
-        low = high
+    arrival = sum((F.when(F.col("ts") > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    for i in range(CHUNKS):
+        t.where(arrival == i).write.parquet(f"{folder}/in{i}")
     if flush:
         last = t.orderBy(F.desc_nulls_last("ts")).limit(1)
         last.withColumn("ts", (F.col("ts") + F.expr("INTERVAL 400 DAYS")).cast(t.schema["ts"].dataType)).withColumn("event_type", F.lit(FLUSH)).withColumn("user_id", F.lit(-1).cast(t.schema["user_id"].dataType)).write.parquet(f"{folder}/in{CHUNKS}")
@@ -34,8 +32,7 @@ FLUSH = "(flush)"
 
 
 def _drained(spark, d, make, mode, keys=None, flush=False):
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "stream")
     arrived = _arrived(spark, d, folder, flush)
     stream = make(jobs.events(spark, arrived, table(spark, d, "events").schema, glob="*.parquet"))
     return jobs.drain(stream, folder, mode, keys)
