@@ -64,44 +64,6 @@ def range_join(left: DataFrame, right: DataFrame, radius: float, left_pos: list[
     return pairs.withColumn(dist, F.sqrt("_d2")).drop("_bucket", "_near", "_d2")
 
 
-def vector_range_join(left: DataFrame, right: DataFrame, radius: float, left_pos: str, right_pos: str, dist: str = "dist", block_rows: int = 20_000) -> DataFrame:
-    """``range_join`` of long vectors: (left columns, right columns, distance) by matrix products within groups.
-
-    A grid hardly prunes many dimensions, so the work is the pairs' dot products. Rows still meet by the grid buckets of
-    their first dimensions, and a bucket is split into blocks of about ``block_rows`` on either side, which bounds what
-    a task holds; every left block meets every right block of its bucket once. Only pairs within the radius come out.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    coords = lambda pos: [F.col(pos)[i].cast("double") for i in range(GRID_DIMS)]
-    size = radius * (1 + 1e-12)
-    blocks = [max(1, -(-df.count() // block_rows)) for df in (left, right)]
-    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    a = left.withColumn("_bucket", _buckets(coords(left_pos), size, False)).withColumn("_i", F.pmod(F.xxhash64(left_pos), F.lit(blocks[0]))).withColumn("_j", spread(blocks[1]))
-    b = right.withColumn("_bucket", F.explode(_buckets(coords(right_pos), size, True))).withColumn("_j", F.pmod(F.xxhash64(right_pos), F.lit(blocks[1]))).withColumn("_i", spread(blocks[0]))
-    ours, theirs = list(left.columns), list(right.columns)
-    names = [*ours, *theirs]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for df in (left, right) for f in df.schema.fields] + [f"`{dist}` double"])
-
-    def rank(p: pa.Table, q: pa.Table) -> pa.Table:
-        if not p.num_rows or not q.num_rows:
-            return pa.Table.from_arrays([c.slice(0, 0) for c in [*p.select(ours).columns, *q.select(theirs).columns]] + [pa.array([], pa.float64())], names=[*names, dist])
-        x, y = (np.asarray(t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(t.num_rows, -1) for t, c in ((p, left_pos), (q, right_pos)))
-        rows, cols, gaps = [], [], []
-        for lo in range(0, len(x), 512):
-            d2 = (x[lo : lo + 512] ** 2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None] - 2 * x[lo : lo + 512] @ y.T
-            i, j = np.nonzero(d2 <= radius * radius * (1 + 1e-9) + 1e-12)
-            exact = np.sqrt(((x[lo + i] - y[j]) ** 2).sum(axis=1))
-            ok = exact <= radius
-            rows.append(lo + i[ok]), cols.append(j[ok]), gaps.append(exact[ok])
-        i, j = pa.array(np.concatenate(rows)), pa.array(np.concatenate(cols))
-        return pa.Table.from_arrays([p.column(c).take(i) for c in ours] + [q.column(c).take(j) for c in theirs] + [pa.array(np.concatenate(gaps))], names=[*names, dist])
-
-    keys = ("_bucket", "_i", "_j")
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(rank, schema)
-
-
 def _with_xyz(df: DataFrame, prefix: str) -> DataFrame:
     x, y, z = radec_to_xyz("ra", "dec")
     kept = [F.col(c).alias(f"{prefix}{c}") for c in df.columns]
@@ -167,3 +129,13 @@ def box_point_distsq(dims: list[str], point: list[float]) -> tuple[Column, Colum
         far = F.greatest(F.abs(a - p), F.abs(b - p))
         low, high = low + near * near, high + far * far
     return low, high
+
+
+def box_box_distsq(dims: list[str], ours: str, theirs: str) -> tuple[Column, Column]:
+    """Least and greatest squared distance between two boxes of one row, whose columns have the given prefixes."""
+    low, high = F.lit(0.0), F.lit(0.0)
+    for d in dims:
+        a0, a1, b0, b1 = (F.col(f"{p}{n}_{d}") for p in (ours, theirs) for n in ("min", "max"))
+        near, far = F.greatest(a0 - b1, b0 - a1, F.lit(0.0)), F.greatest(a1 - b0, b1 - a0)
+        low, high = low + near * near, high + far * far
+    return low, high

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from starloom.functions.sphere import radec_to_xyz, within_radius
 from starloom.operators import spatial as sj
+from starloom.operators.metric import metric_join
 from starloom.plans.registry import query, r6, sky, sky_sql, table, xyz_sql
 
 CUST, SUPP = xyz_sql(sky_sql("customer")), xyz_sql(sky_sql("supplier"))
@@ -73,17 +74,51 @@ EMB = "(SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)"
 def nd_range_join(spark, d):
     e = table(spark, d, "embeddings")
     left, right = e.select(F.col("vec_id").alias("l_id"), F.col("embedding").alias("p")), e.select(F.col("vec_id").alias("r_id"), F.col("embedding").alias("q"))
-    return sj.vector_range_join(left, right, 1.15, "p", "q").where("l_id < r_id").select("l_id", "r_id", F.round("dist", 5).alias("dist"))
+    return metric_join(left, right, 1.15, "p", "q").where("l_id < r_id").select("l_id", "r_id", F.round("dist", 5).alias("dist"))
 
 
 @query(f"SELECT a.vec_id AS l_id, arg_min(b.vec_id, (list_distance(a.e, b.e), b.vec_id)) AS r_id, round(min(list_distance(a.e, b.e)), 5) AS dist FROM {EMB} a JOIN {EMB} b ON a.vec_id <> b.vec_id AND list_distance(a.e, b.e) <= 1.2 GROUP BY a.vec_id")
 def nd_nearest(spark, d):
     e = table(spark, d, "embeddings")
     left, right = e.select(F.col("vec_id").alias("l_id"), F.col("embedding").alias("p")), e.select(F.col("vec_id").alias("r_id"), F.col("embedding").alias("q"))
-    pairs = sj.vector_range_join(left, right, 1.2, "p", "q").where("l_id <> r_id").select("l_id", "r_id", "dist")
+    pairs = metric_join(left, right, 1.2, "p", "q").where("l_id <> r_id").select("l_id", "r_id", "dist")
     return sj.nearest(pairs, dist="dist").select("l_id", "r_id", F.round("dist", 5).alias("dist"))
 
 
+#: angle from the sum of the directions and their difference, which is as exact for small angles as for large ones
+TURN = "degrees(2 * atan2(list_distance(list_transform(a.e, lambda v: v / a.n), list_transform(b.e, lambda v: v / b.n)), list_distance(list_transform(a.e, lambda v: v / a.n), list_transform(b.e, lambda v: -v / b.n))))"
+
+
+@query(f"WITH u AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM {EMB}) SELECT l_id, r_id, round(turn, 4) AS turn FROM (SELECT a.vec_id AS l_id, b.vec_id AS r_id, {TURN} AS turn FROM u a JOIN u b ON a.vec_id < b.vec_id) WHERE turn <= 70")
+def nd_angle_join(spark, d):
+    """Pairs of vectors whose directions are at most 70 degrees apart."""
+    e = table(spark, d, "embeddings")
+    left, right = e.select(F.col("vec_id").alias("l_id"), F.col("embedding").alias("p")), e.select(F.col("vec_id").alias("r_id"), F.col("embedding").alias("q"))
+    return metric_join(left, right, 70.0, "p", "q", "angular", "turn").where("l_id < r_id").select("l_id", "r_id", F.round("turn", 4).alias("turn"))
+
+
+GRID = lambda t: f"(SELECT CAST(floor(x * 2) AS BIGINT) AS cell0, CAST(floor(y * 2) AS BIGINT) AS cell1, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, count(*) AS n FROM {t} GROUP BY 1, 2)"
+
+
+@query(
+    f"""SELECT a.cell0, a.cell1, b.cell0 AS other0, b.cell1 AS other1, round(pow(greatest(a.min_x - b.max_x, b.min_x - a.max_x, 0), 2) + pow(greatest(a.min_y - b.max_y, b.min_y - a.max_y, 0), 2), 6) AS low,
+round(pow(greatest(a.max_x - b.min_x, b.max_x - a.min_x), 2) + pow(greatest(a.max_y - b.min_y, b.max_y - a.min_y), 2), 6) AS high FROM {GRID(CUST)} a JOIN {GRID(SUPP)} b ON abs(a.cell0 - b.cell0) <= 1 AND abs(a.cell1 - b.cell1) <= 1"""
+)
+def bucket_pair_bounds(spark, d):
+    """Least and greatest squared distance between the boxes of neighbouring buckets of two tables."""
+    x, y, _ = radec_to_xyz("ra", "dec")
+
+    def boxes(name, spread):
+        t = sky(spark, d, name).select(x.alias("x"), y.alias("y"))
+        b = sj.box_bounds(t, [F.floor(F.col("x") * 2).cast("long"), F.floor(F.col("y") * 2).cast("long")], ["x", "y"])
+        near = F.explode(F.array(*[F.struct((F.col("cell0") + i).alias("k0"), (F.col("cell1") + j).alias("k1")) for i in spread for j in spread]))
+        return b.withColumn("k", near)
+
+    a, b = boxes("customer", (0,)), boxes("supplier", (-1, 0, 1)).withColumnsRenamed({c: f"o_{c}" for c in ("cell0", "cell1", "n", "min_x", "max_x", "min_y", "max_y")})
+    low, high = sj.box_box_distsq(["x", "y"], "", "o_")
+    return a.join(b, "k").select("cell0", "cell1", F.col("o_cell0").alias("other0"), F.col("o_cell1").alias("other1"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
 @query(f"SELECT l_id, rank, r_id, round(sep, 6) AS sep FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_id ORDER BY sep, r_id) AS INT) AS rank FROM {pairs_sql(SUPP, CUST, 12.0)}) WHERE rank <= 5")
 def sky_knn(spark, d):
     return sj.k_nearest(_pairs(spark, d, 12.0, "supplier", "customer"), 5).select("l_id", "rank", "r_id", r6("sep", "sep"))
