@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from starloom.operators import tables as tb
+from starloom.operators.selection import order_statistics, quantiles
 from starloom.operators.lines import remove_axis_lines, remove_rotated_lines
 from starloom.operators.uniformize import round_robin, sweeps, uniformize_catalogue
 from starloom.functions import healpix as hp
@@ -156,8 +157,24 @@ def hist2d_discard(spark, d):
 
 @query("SELECT l_returnflag AS flag, round(quantile_cont(l_extendedprice, 0.25), 6) AS q1, round(median(l_extendedprice), 6) AS q2, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95 FROM lineitem GROUP BY l_returnflag")
 def percentiles(spark, d):
-    p = lambda q: F.round(F.percentile("l_extendedprice", F.lit(q)), 6)
-    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(p(0.25).alias("q1"), p(0.5).alias("q2"), p(0.95).alias("p95"))
+    q = quantiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.25, 0.5, 0.95])
+    return q.select(F.col("l_returnflag").alias("flag"), *[F.round(f"q{i}", 6).alias(n) for i, n in enumerate(("q1", "q2", "p95"))])
+
+
+@query("SELECT o_custkey AS customer, count(*) AS n, round(quantile_cont(o_totalprice, 0.1), 6) AS low, round(median(o_totalprice), 6) AS middle, max(o_totalprice) AS high FROM orders GROUP BY o_custkey")
+def percentiles_of_groups(spark, d):
+    """Many small groups in the same plan as a few large ones."""
+    q = quantiles(table(spark, d, "orders"), ["o_custkey"], "o_totalprice", [0.1, 0.5, 1.0])
+    return q.select(F.col("o_custkey").alias("customer"), "n", F.round("q0", 6).alias("low"), F.round("q1", 6).alias("middle"), F.col("q2").alias("high"))
+
+
+@query("WITH o AS (SELECT l_quantity AS value, row_number() OVER (ORDER BY l_quantity) AS place, count(*) OVER () AS n FROM lineitem), k AS (SELECT unnest([1, 2, 3, 4]) AS nth, unnest([0.0e0, 0.2e0, 0.5e0, 1.0e0]) AS p) SELECT nth, value FROM o JOIN k ON place = greatest(ceil(p * n), 1)")
+def tied_order_statistics(spark, d):
+    """Order statistics of a column with fifty values, each of which fills many bins of a histogram."""
+    t = table(spark, d, "lineitem").select(F.lit("all").alias("g"), F.col("l_quantity").cast("double").alias("v")).where("v IS NOT NULL")
+    probs = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("nth"), F.lit(p).alias("p")) for i, p in enumerate((0.0, 0.2, 0.5, 1.0))]))
+    ranks = t.groupBy("g").agg(F.count("*").alias("n")).select("g", "n", probs.alias("k")).select("g", "n", "k.nth", F.greatest(F.ceil(F.col("k.p") * F.col("n")) - 1, F.lit(0)).cast("long").alias("rank"))
+    return order_statistics(t, ranks).join(ranks, ["g", "rank"]).select("nth", "value")
 
 
 @query("SELECT p_brand AS band, min(p_retailprice) AS low, max(p_retailprice) AS high, round(avg(p_retailprice), 6) AS mean, count(*) AS n FROM part GROUP BY p_brand")
