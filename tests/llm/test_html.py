@@ -29,6 +29,16 @@ def test_broken_markup_takes_linear_time():
         began = time.process_time()
         html.blocks(bad * (600_000 // len(bad)))
         assert time.process_time() - began < 12, bad
+    for parts in (("<a>", "<b>", "</a>"), ("<div>", "<i>", "</div>"), ("<i>", "<div>", "</i>"), ("<p>", "<li>", "</p>"), ("<a>", "<b>", "</a>", "</b>"), ("<td>", "<tr>", "</i>", "</tr>")):
+        began = time.process_time()
+        html.blocks("".join(p * 40_000 for p in parts))
+        html.blocks("".join(parts) * 40_000)
+        assert time.process_time() - began < 12, parts
+
+
+def test_inline_elements_end_with_their_block():
+    assert [(b.text, b.linked) for b in html.blocks("<p><a>one<p>two</a> <a><b>three</a>four")] == [("one", 3), ("two threefour", 5)]
+    assert [(b.text, b.linked) for b in html.blocks("<div><a>x<a>y</a>z</div>w</a>v")] == [("xyz", 3), ("wv", 0)]
 
 
 def slow_scores(model, s):
@@ -65,6 +75,9 @@ BY_HAND = [
     (f"<h1>Flood</h1><p>{SAID}</p><ol><li>First the mill.</li><li>Then the bridge.</li></ol>", ["Flood", SAID, "First the mill.", "Then the bridge."]),
     (f'<body><header><a href="/">The Paper</a></header><main><p>{SAID}</p><aside class="related"><h4>Related</h4><ul><li><a href="/x">Dry summer</a></li></ul></aside><p>{SAID}</p></main><footer><p>All rights reserved</p></footer>', [SAID, SAID]),
     (f'<body><div class="cookie-consent"><p>We use cookies.</p><button>Accept</button></div><section><h2>Flood</h2><p>{SAID}</p><svg class="icon"/><blockquote>We ran.</blockquote></section><div class="comments"><div class="comment"><p>So sad to read this.</p></div></div>', ["Flood", SAID, "We ran."]),
+    (f'<body><div id="nav"><a href="/">Home</a> <a href="/n">News</a></div><div><h1>Flood</h1><div>{SAID}</div><div>Then the bridge went.</div><div>{SAID}</div></div><div class="footer">&copy; 2021 The Paper</div></body>', ["Flood", SAID, "Then the bridge went.", SAID]),
+    (f'<body><div id="nav"><ul><li><a href="/">Home</a></li></ul></div><h1>Flood</h1><div>{SAID}</div><div>{SAID} {SAID}</div><div>{SAID}</div><div class="footer"><div>Contact us</div></div></body>', ["Flood", SAID, f"{SAID} {SAID}", SAID]),
+    (f'<body><div class="menu"><a href="/">Home</a></div><div class="x1"><div class="x2"><div>{SAID}</div><div>Nobody was hurt.</div></div></div><div id="sidebar"><div>Popular</div><div><a href="/q">Dry summer</a></div></div><div class="footer">All rights reserved</div></body>', [SAID, "Nobody was hurt."]),
     (f'<body><div id="page"><div id="main"><p>{SAID}</p><p>{SAID}</p></div><div id="sidebar"><p>Popular</p><ul><li><a href="/1">One</a></li></ul></div><form class="newsletter"><label>Mail</label><input><button>Go</button></form></div>', [SAID, SAID]),
 ]
 
