@@ -89,7 +89,7 @@ SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN strpos(
 
 
 OP5_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s),
 c AS (SELECT *, source_size * 3 AS cap, CAST(source_size * 3 AS DOUBLE) / w AS q FROM r),
@@ -98,11 +98,12 @@ f AS (SELECT *, sum(source_size) OVER () AS budget, sum(w) OVER () AS all_w,
   sum(w) OVER (ORDER BY q, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS w_upto FROM c),
 g AS (SELECT *, CAST(cap_upto AS DOUBLE) + q * CAST(all_w - w_upto AS DOUBLE) <= CAST(budget AS DOUBLE) AS clamped FROM f),
 t AS (SELECT source, source_size, CASE WHEN clamped THEN CAST(cap AS DOUBLE) ELSE w * (
-  CAST(budget - sum(CASE WHEN clamped THEN cap ELSE 0 END) OVER () AS DOUBLE) / CAST(sum(CASE WHEN clamped THEN 0 ELSE w END) OVER () AS DOUBLE)) END AS target FROM g)
-SELECT d.doc_id, d.size, t.source_size, t.target, least(CAST(floor(
-  CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END * d.size
-  + CAST(('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), 'null') || '|17'), 1, 8)) AS BIGINT) / 4294967296.0) AS BIGINT), d.size * 3) AS taken
-FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  CAST(budget - sum(CASE WHEN clamped THEN cap ELSE 0 END) OVER () AS DOUBLE) / CAST(sum(CASE WHEN clamped THEN 0 ELSE w END) OVER () AS DOUBLE)) END AS target FROM g),
+r2 AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target + 0.5e0) AS BIGINT) AS words,
+  sum(d.size) OVER (PARTITION BY d.source ORDER BY substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), 'null') || '|17|' || md5(coalesce(d.text, ''))), 1, 15), d.rid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS whole FROM r2)
+SELECT doc_id, size, source_size, target, CAST(whole * size + least(greatest(words - whole * source_size - before, 0), size) AS BIGINT) AS taken FROM e
 """
 
 OP8_SQL = r"""
