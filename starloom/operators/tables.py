@@ -156,36 +156,34 @@ def running_total(df: DataFrame, order: str, amount: str, name: str = "below") -
     return parts.withColumn(name, own).join(F.broadcast(before), "_p").withColumn(name, F.col(name) + F.col("_before")).drop("_p", "_before")
 
 
-def column_mode(df: DataFrame, column: str, low: float = 0.01, high: float = 0.70, bins: int = 30, floor: float = 0.5, accuracy: int = 10_000) -> DataFrame:
-    """(mode, bracketed): the most common value of a column, as one aggregate plan without driver steps.
-
-    Values between two approximate percentiles are counted in ``bins`` bins. Around the fullest bin, up to the nearest
-    ones on either side with less than ``floor`` of its count, the values are counted again, and the vertex of the
-    least-squares parabola through the logarithms of those counts is the mode; it is bracketed if it lies between the
-    two ends. Nulls and NaN take no part; without two distinct values the mode is null and not bracketed.
+def column_mode(df: DataFrame, column: str, low: float = 0.02, high: float = 0.98, bins: int = 64, share: float = 0.5) -> DataFrame:
+    """(mode, bracketed): the most common value of a column, from a bell curve fitted to one histogram.
+
+    Values between two exact quantiles are counted in ``bins`` bins. The logarithm of a bell curve is a parabola, so one is
+    fitted to the logarithms of all counts of at least ``share`` of the largest, each weighted by its count, as counts
+    scatter by their square root; its vertex is the mode. It is bracketed if the parabola opens downward and the vertex
+    lies among the bins used. Nulls and NaN take no part; with fewer than three such bins, or without two distinct
+    values between the quantiles, the mode is null and not bracketed.
     """
-    v = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
-    q = v.agg(F.percentile_approx("v", F.array(F.lit(low), F.lit(high)), F.lit(accuracy)).alias("q")).select(F.col("q")[0].alias("a"), F.col("q")[1].alias("b"))
-
-    def counted(ends: DataFrame) -> DataFrame:
-        """(a, b, n): counts of all bins between the ends, as one array."""
-        a, b = ends.select("a").scalar(), ends.select("b").scalar()
-        inside = v.withColumn("a", a).withColumn("b", b).where("a < b AND v BETWEEN a AND b")
-        at = F.least(F.floor((F.col("v") - F.col("a")) / (F.col("b") - F.col("a")) * bins), F.lit(bins - 1)).cast("int")
-        found = inside.groupBy("a", "b", at.alias("i")).agg(F.count("*").alias("n")).groupBy("a", "b").agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("m"))
-        return found.select("a", "b", F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0))).alias("n"))
-
-    coarse = counted(q).withColumn("top", F.array_max("n")).withColumn("peak", F.array_position("n", F.col("top")).cast("int") - 1)
-    poor = F.filter(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.get("n", i) < F.col("top") * floor)
-    left, right = F.array_max(F.filter(poor, lambda i: i < F.col("peak"))), F.array_min(F.filter(poor, lambda i: i > F.col("peak")))
-    middle = lambda i: F.col("a") + (i + 0.5) * (F.col("b") - F.col("a")) / bins
-    ends = coarse.select(middle(F.coalesce(left, F.lit(0))).alias("l"), middle(F.coalesce(right, F.lit(bins - 1))).alias("r")).select(F.col("l").alias("a"), F.col("r").alias("b"))
-    fine = counted(ends).select("a", "b", F.posexplode("n").alias("i", "n")).select("a", "b", ((F.col("i") + 0.5) * 2.0 / bins - 1.0).alias("x"), F.log10(F.greatest(F.lit(1), "n")).alias("y"))
-    # x lies evenly on both sides of 0, so that odd powers of it add up to nothing
-    s = fine.agg(F.first("a").alias("a"), F.first("b").alias("b"), F.avg(F.col("x") ** 2).alias("x2"), F.avg(F.col("x") ** 4).alias("x4"), F.avg("y").alias("y"), F.avg(F.col("x") * F.col("y")).alias("xy"), F.avg(F.col("x") ** 2 * F.col("y")).alias("x2y"))
-    bend = (F.col("x2y") - F.col("x2") * F.col("y")) / (F.col("x4") - F.col("x2") * F.col("x2"))
-    vertex = s.select("a", "b", (-(F.col("xy") / F.col("x2")) / (2 * bend)).alias("t"))
-    return vertex.select(((F.col("a") + F.col("b")) / 2 + F.col("t") * (F.col("b") - F.col("a")) / 2).alias("mode"), F.coalesce(F.abs("t") < 1, F.lit(False)).alias("bracketed"))
+    from starloom.operators.selection import quantiles
+
+    none = df.sparkSession.createDataFrame([(None, False)], "mode double, bracketed boolean")
+    ends = quantiles(df, [], column, [low, high]).first()
+    if ends is None or not ends["q0"] < ends["q1"]:
+        return none
+    a, b = ends["q0"], ends["q1"]
+    v = F.col(column).cast("double")
+    counts = df.where(v.between(a, b)).groupBy(F.least(F.floor((v - a) / (b - a) * bins), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"))
+    x = (F.col("bin") + 0.5) * (2.0 / bins) - 1.0
+    used = counts.select(x.alias("x"), F.col("n").cast("double").alias("w"), F.log("n").alias("y"), F.max("n").over(Window.partitionBy()).alias("top")).where(F.col("w") >= share * F.col("top"))
+    power = lambda of, k: F.sum(F.col("w") * of * F.pow("x", F.lit(float(k))))
+    sums = used.agg(*[power(F.lit(1.0), k).alias(f"s{k}") for k in range(5)], *[power(F.col("y"), k).alias(f"t{k}") for k in range(3)], F.count("*").alias("n"), F.min("x").alias("left"), F.max("x").alias("right"))
+    # the slope and twice the bend at the middle, up to a common positive factor
+    slope = F.expr("s0 * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s3 * s2) + s2 * (s1 * t2 - t1 * s2)")
+    bend = F.expr("s0 * (s2 * t2 - t1 * s3) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s3 - s2 * s2)")
+    vertex = sums.select("left", "right", F.when(F.col("n") >= 3, -slope / (2.0 * F.nullif(bend, F.lit(0.0)))).alias("t"), (bend < 0).alias("down"))
+    mode = a + (F.col("t") + 1.0) / 2.0 * (b - a)
+    return vertex.select(mode.alias("mode"), F.coalesce(F.col("down") & F.col("t").between(F.col("left"), F.col("right")), F.lit(False)).alias("bracketed"))
 
 
 # --- linear algebra over rows -----------------------------------------------------------------------------------

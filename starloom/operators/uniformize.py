@@ -19,21 +19,38 @@ def sweeps(df: DataFrame, cell: Column, order: Sequence[Column], n: int) -> Data
     return df.withColumn("cell", cell).withColumn("sweep", F.row_number().over(w) - 1).where(F.col("sweep") < n)
 
 
-def grid_shape(width: float, height: float, n: int) -> tuple[int, int]:
-    nx = int(max(1, np.round(width / math.sqrt(width * height / n))))
-    return nx, int(max(1, np.round(n / nx)))
-
-
-def round_robin(df: DataFrame, x: str, y: str, order: str, n: int) -> DataFrame:
-    """``place``: sources in turns, one from each box of a grid of about ``n`` boxes, each round in ``order``."""
-    b = df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
-    if b[0] is None or b[1] == b[0] or b[3] == b[2]:
-        return df.withColumn("turn", F.lit(1)).withColumn("box", F.lit(0))
-    nx, ny = grid_shape(b[1] - b[0], b[3] - b[2], n)
-    bx = F.least(F.greatest(F.floor((F.col(x) - b[0]) / (b[1] - b[0]) * nx), F.lit(0)), F.lit(nx - 1))
-    by = F.least(F.greatest(F.floor((F.col(y) - b[2]) / (b[3] - b[2]) * ny), F.lit(0)), F.lit(ny - 1))
-    boxed = df.withColumn("box", (by * nx + bx).cast("int"))
-    return boxed.withColumn("turn", F.row_number().over(Window.partitionBy("box").orderBy(order)))
+def grid_shape(width: float, height: float, boxes: int) -> tuple[int, int]:
+    """Columns and rows of a grid of about ``boxes`` boxes over a rectangle, the boxes as square as whole numbers allow.
+
+    Square boxes would need this many columns; of the two whole numbers beside it, the one with the squarer boxes wins.
+    """
+    wish = math.sqrt(boxes * width / height)
+    shapes = []
+    for columns in {max(1, math.floor(wish)), max(1, math.ceil(wish))}:
+        rows = max(1, math.floor(boxes / columns + 0.5))
+        shapes.append((abs(math.log(width / columns) - math.log(height / rows)), columns, rows))
+    return min(shapes)[1:]
+
+
+def round_robin(df: DataFrame, x: str, y: str, order: str, boxes: int) -> DataFrame:
+    """Sources in turns, one from each box of an even grid: their box, their ``turn`` in it by ``order``, and ``place``, the place from 0 in the list that takes the first of every box, then the second of every box.
+
+    Positions that are null or not finite are left out. Without any extent in x or y there is one box.
+    """
+    from starloom.operators.tables import row_index
+
+    at = df.where(" AND ".join(f"abs(`{c}`) < double('infinity')" for c in (x, y)))
+    span = at.agg(*[f(c).cast("double").alias(f"{n}_{k}") for k, c in (("x", x), ("y", y)) for n, f in (("low", F.min), ("high", F.max))]).first()
+    flat = span["low_x"] is None or span["low_x"] == span["high_x"] or span["low_y"] == span["high_y"]
+    if flat:
+        boxed = at.withColumn("box", F.lit(0))
+    else:
+        columns, rows = grid_shape(span["high_x"] - span["low_x"], span["high_y"] - span["low_y"], boxes)
+        # the upper edge itself counts as beyond the last box
+        cell = lambda c, k, n: F.least(F.width_bucket(F.col(c).cast("double"), F.lit(span[f"low_{k}"]), F.lit(span[f"high_{k}"]), F.lit(n)), F.lit(n)) - 1
+        boxed = at.withColumn("box", (cell(y, "y", rows) * columns + cell(x, "x", columns)).cast("int"))
+    turned = boxed.withColumn("turn", F.row_number().over(Window.partitionBy("box").orderBy(order)))
+    return row_index(turned, ["turn", "box"], "place")
 
 
 def greedy_dedup(x: np.ndarray, radius: float) -> np.ndarray:

@@ -208,12 +208,14 @@ def _points(spark, d):
 
 @query(
     f"""WITH p AS ({P}), b AS (SELECT *, min(x) OVER () AS x0, max(x) OVER () - min(x) OVER () AS w, min(y) OVER () AS y0, max(y) OVER () - min(y) OVER () AS h FROM p),
-g AS (SELECT *, CAST(greatest(1, round_even(w / sqrt(w * h / 100.0e0), 0)) AS INT) AS nx FROM b), g2 AS (SELECT *, CAST(greatest(1, round_even(100.0e0 / nx, 0)) AS INT) AS ny FROM g),
-c AS (SELECT *, CAST(least(greatest(floor((y - y0) / h * ny), 0), ny - 1) * nx + least(greatest(floor((x - x0) / w * nx), 0), nx - 1) AS INT) AS box FROM g2)
-SELECT id, box, CAST(row_number() OVER (PARTITION BY box ORDER BY src) AS INT) AS turn FROM c"""
+k AS (SELECT CAST(unnest([greatest(1, floor(sqrt(100 * w / h))), greatest(1, ceil(sqrt(100 * w / h)))]) AS INT) AS nx, w, h FROM (SELECT DISTINCT w, h FROM b)),
+g AS (SELECT nx, CAST(greatest(1, floor(100.0e0 / nx + 0.5e0)) AS INT) AS ny FROM k ORDER BY abs(ln(w / nx) - ln(h / greatest(1, floor(100.0e0 / nx + 0.5e0)))), nx LIMIT 1),
+c AS (SELECT id, src, CAST(least(floor((y - y0) / h * ny), ny - 1) * nx + least(floor((x - x0) / w * nx), nx - 1) AS INT) AS box FROM b, g),
+t AS (SELECT id, box, CAST(row_number() OVER (PARTITION BY box ORDER BY src) AS INT) AS turn FROM c)
+SELECT id, box, turn, row_number() OVER (ORDER BY turn, box) - 1 AS place FROM t"""
 )
 def uniformize_grid(spark, d):
-    return round_robin(_points(spark, d), "x", "y", "src", 100).select("id", "box", "turn")
+    return round_robin(_points(spark, d), "x", "y", "src", 100).select("id", "box", "turn", "place")
 
 
 @query(

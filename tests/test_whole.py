@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from starloom.functions import healpix as hp
 from starloom.operators import geohash as gh
 from starloom.operators import tables as tb
+from starloom.operators.uniformize import grid_shape, round_robin
 from starloom.plans import catalogue, solving
 from starloom.sources import sinks
 
@@ -149,27 +150,39 @@ def test_shell_words_split_whole_sources(spark, tmp_path):
 
 
 def test_mode_against_numpy(spark):
-    from starloom.operators import tables as tb
-
-    rng = np.random.default_rng(3)
-    v = np.concatenate([rng.normal(50, 4, 6000), rng.uniform(0, 200, 3000)])
+    rng = np.random.default_rng(1)
+    v = np.concatenate([rng.normal(50, 5, 4000), rng.uniform(0, 200, 800)])
     df = spark.createDataFrame([(float(x),) for x in v] + [(None,), (float("nan"),)], "v double")
-    got = tb.column_mode(df, "v", accuracy=1_000_000).first()
-
-    def hist(a, b):
-        inside = v[(v >= a) & (v <= b)]
-        return np.bincount(np.minimum(((inside - a) / (b - a) * 30).astype(int), 29), minlength=30)
-
-    a, b = (np.sort(v)[math.ceil(p * len(v)) - 1] for p in (0.01, 0.70))
-    n = hist(a, b)
-    peak = int(n.argmax())
-    poor = np.flatnonzero(n < 0.5 * n.max())
-    low, high = poor[poor < peak].max(initial=-1), poor[poor > peak].min(initial=30)
-    l, r = (a + (i + 0.5) * (b - a) / 30 for i in (max(low, 0), min(high, 29)))
-    x = (l + (np.arange(30) + 0.5) * (r - l) / 30 - (l + r) / 2) / (r - l)
-    c = np.polyfit(x, np.log10(np.maximum(1, hist(l, r))), 2)
-    assert abs(got["mode"] - ((l + r) / 2 - c[1] / (2 * c[0]) * (r - l))) < 1e-6 and abs(got["mode"] - 50) < 2 and got["bracketed"]
-    assert tuple(tb.column_mode(df.where("v = 1e9"), "v").collect()) in ((), ((None, False),))
+    got = tb.column_mode(df, "v").first()
+    a, b = np.quantile(v, [0.02, 0.98])
+    n, edges = np.histogram(v[(v >= a) & (v <= b)], bins=64, range=(a, b))
+    mid = (edges[1:] + edges[:-1]) / 2
+    use = n >= 0.5 * n.max()
+    c = np.polyfit(mid[use], np.log(n[use]), 2, w=np.sqrt(n[use]))
+    assert abs(got["mode"] + c[1] / (2 * c[0])) < 1e-6 and abs(got["mode"] - 50) < 1 and got["bracketed"]
+    for odd in ([], [3.0] * 9, [1.0, 2.0]):
+        row = tb.column_mode(spark.createDataFrame([(x,) for x in odd], "v double"), "v").first()
+        assert (row["mode"], row["bracketed"]) == (None, False)
+
+
+@pytest.mark.parametrize(("width", "height", "boxes", "want"), [(10, 10, 100, (10, 10)), (400, 1, 9, (60, 1)), (1, 400, 9, (1, 9)), (3, 1, 12, (6, 2)), (1, 3, 12, (2, 6)), (7, 5, 1, (1, 1)), (2048, 1024, 50, (10, 5))])
+def test_shape_of_even_grids(width, height, boxes, want):
+    columns, rows = grid_shape(width, height, boxes)
+    assert (columns, rows) == want
+    best = min(abs(np.log(width / c) - np.log(height / max(1, round(boxes / c)))) for c in range(1, boxes * 10) if max(1, boxes / c) * c <= 1.5 * boxes)
+    assert width / height > boxes or height / width > boxes or abs(np.log(width / columns) - np.log(height / rows)) <= best + 0.5
+
+
+def test_sources_in_turns(spark):
+    rng = np.random.default_rng(8)
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 100, (300, 2)))] + [(900, None, 1.0), (901, float("nan"), 1.0), (902, float("inf"), 2.0)]
+    got = sorted(round_robin(spark.createDataFrame(pts, "id long, x double, y double"), "x", "y", "id", 25).collect(), key=lambda r: r.place)
+    assert [r.place for r in got] == list(range(300)) and [(r.turn, r.box) for r in got] == sorted((r.turn, r.box) for r in got)
+    xs, ys = ([p[k] for p in pts[:300]] for k in (1, 2))
+    box = lambda v, all_v: min(int((v - min(all_v)) / (max(all_v) - min(all_v)) * 5), 4)
+    assert all(r.box == box(r.y, ys) * 5 + box(r.x, xs) for r in got)
+    line = spark.createDataFrame([(1, 2.0, 1.0), (2, 2.0, 5.0)], "id long, x double, y double")
+    assert sorted((r.id, r.box, r.place) for r in round_robin(line, "x", "y", "id", 9).collect()) == [(1, 0, 0), (2, 0, 1)]
 
 
 def test_nearby_images_by_level(spark, sf):
