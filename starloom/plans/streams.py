@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from starloom.operators.checkpoints import scratch_folder
 from starloom.plans.registry import query, table
 from starloom.streaming import jobs
+from starloom.streaming import stateful as sf
 
 
 CHUNKS = 4
@@ -71,9 +72,52 @@ def chunk_ingest(spark, d):
     return _drained(spark, d, lambda s: s.where(F.col("event_type").isin("click", "error")).select("event_id", "event_type"), "append")
 
 
+TONES = 6
+
+
+def frames(s):
+    """Events as frames over four of the six pixels of a tile."""
+    value = lambda j: F.pmod(F.floor(F.col("value") * 1000) * (7 * j + 3) + F.col("user_id") * j, F.lit(101)) / 101.0
+    at = F.array(*[((F.col("event_id") + j) % TONES).cast("int") for j in (0, 1, 3, 4)])
+    return s.select((F.col("event_id") % 16).alias("tile"), F.col("event_id").alias("frame"), "ts", at.alias("at"), F.array(*[value(j) for j in range(4)]).alias("v"), (1 + F.col("user_id") % 3).alias("weight"))
+
+
 @query()
 def streaming_enhance(spark, d):
-    """Running rank image of each tile, state kept between batches."""
-    tiles = lambda s: jobs.enhance(s.select((F.col("event_id") % 16).alias("tile"), F.array("value", F.col("event_id") % 7 * 1.0, F.col("user_id") % 5 * 1.0, F.lit(50.0)).alias("pixels"), F.lit(1.0).alias("weight")))
-    t = _drained(spark, d, tiles, "update", ["tile"])
-    return t.select("tile", "n", F.transform("pixels", lambda v: F.round(v, 4)).alias("pixels"))
+    """Consensus image of each tile by rank matching, frames blended in the order of their time."""
+    rows = _drained(spark, d, lambda s: sf.enhance(frames(s.where("user_id >= 0")).unionByName(frames(s.where("user_id < 0")).withColumn("tile", F.lit(-1).cast("long"))), TONES), "append", flush=True).where("tile >= 0")
+    last = rows.groupBy("tile").agg(F.max_by(F.struct("n", "tones", "weights"), "n").alias("b"))
+    return last.select("tile", "b.n", F.transform("b.tones", lambda v: F.round(v, 6)).alias("tones"), F.transform("b.weights", lambda v: F.round(v, 3)).alias("weights"))
+
+
+#: a job of four queues for each event; users are those of the events, the first of them anonymous
+FAILS = "({job} * 31 + {attempt} * 17) % 10 < 3"
+
+
+def succeeds(job: int, attempt: int) -> bool:
+    return not (job * 31 + attempt * 17) % 10 < 3
+
+
+def arrivals(s):
+    return s.select((F.col("event_id") % 4).alias("queue"), F.col("event_id").alias("job"), (F.col("user_id") % 40).alias("user"), "ts")
+
+
+def _starts(spark, d):
+    flushed = lambda s: arrivals(s.where("user_id >= 0")).unionByName(arrivals(s.where("user_id < 0")).withColumn("queue", F.lit(-1).cast("long")))
+    return _drained(spark, d, lambda s: sf.fair_queue(flushed(s), succeeds, slots=8, tick="1 hour", wait="3 hours", retries=2), "append", flush=True).where("queue >= 0")
+
+
+@query()
+def fair_queue(spark, d):
+    """Jobs of several users started in turns, with a share for the anonymous and with retries."""
+    return _starts(spark, d).select("queue", "started", "place", "job", "user", "attempt", "outcome")
+
+
+@query(
+    f"""WITH j AS (SELECT event_id AS job, event_id % 4 AS queue FROM events), a AS (SELECT queue, job, 0 AS attempt, {FAILS.format(job="job", attempt=0)} AS bad FROM j
+UNION ALL SELECT queue, job, 1, {FAILS.format(job="job", attempt=1)} FROM j WHERE {FAILS.format(job="job", attempt=0)} UNION ALL SELECT queue, job, 2, {FAILS.format(job="job", attempt=2)} FROM j WHERE {FAILS.format(job="job", attempt=0)} AND {FAILS.format(job="job", attempt=1)})
+SELECT queue, CAST(attempt AS INT) AS attempt, CASE WHEN NOT bad THEN 'done' WHEN attempt < 2 THEN 'retry' ELSE 'given up' END AS outcome, count(*) AS starts, count(DISTINCT job) AS jobs FROM a GROUP BY ALL"""
+)
+def fair_queue_outcomes(spark, d):
+    """Starts by queue, attempt and outcome: none is lost or done twice."""
+    return _starts(spark, d).groupBy("queue", "attempt", "outcome").agg(F.count("*").alias("starts"), F.count_distinct("job").alias("jobs"))

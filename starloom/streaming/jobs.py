@@ -1,11 +1,9 @@
-"""Streams: queue polling, chunked ingest, windows over events, incremental coadds and image enhancement."""
+"""Streams: queue polling, chunked ingest, windows over events, incremental coadds."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -61,24 +59,3 @@ def drain(stream: DataFrame, folder: str, mode: str, keys: list[str] | None = No
         return got.drop("batch")
     rest = [c for c in stream.columns if c not in keys]
     return got.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("b")).select(*keys, "b.*")
-
-
-def enhance(stream: DataFrame) -> DataFrame:
-    """Running weighted mean of rank images per tile: new images are turned into pixel ranks and blended into the state.
-
-    Input (tile, pixels array, weight); output (tile, n, pixels) after each image.
-    """
-
-    def run(key, frames, state):
-        ranks, weight, n = (np.array(state.get[0]), state.get[1], state.get[2]) if state.exists else (None, 0.0, 0)
-        for pdf in frames:
-            for r in pdf.itertuples():
-                v = np.asarray(r.pixels, float)
-                order = np.empty(len(v))
-                order[v.argsort(kind="stable")] = np.arange(len(v)) / max(1, len(v) - 1)
-                ranks = order if ranks is None else (ranks * weight + order * r.weight) / (weight + r.weight)
-                weight, n = weight + r.weight, n + 1
-        state.update((ranks.tolist(), float(weight), n))
-        yield pd.DataFrame([{"tile": key[0], "n": n, "pixels": ranks.tolist()}])
-
-    return stream.groupBy("tile").applyInPandasWithState(run, "tile long, n int, pixels array<double>", "ranks array<double>, weight double, n int", "update", "NoTimeout")
