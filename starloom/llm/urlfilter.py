@@ -26,6 +26,11 @@ from pyspark.sql import functions as F
 
 from starloom.llm.common import map_arrow
 
+try:  # the parser of the re module, whose place depends on the version of Python
+    from re import _parser as pattern_parser
+except ImportError:
+    import sre_parse as pattern_parser
+
 MAX_RULES = 200_000
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TOKEN = re.compile(r"[a-z0-9]+")
@@ -72,6 +77,8 @@ def _edge(op, value) -> tuple[bool, bool, bool]:
     if name == "BRANCH":
         edges = [_edges(way) for way in value[1]]
         return any(e[0] for e in edges), all(e[1] for e in edges), all(e[2] for e in edges)
+    if name == "AT" and str(value) == "AT_NON_BOUNDARY":
+        return True, True, True  # says nothing about what stands there, so one looks past it
     if name == "AT" or name == "ASSERT_NOT" and len(value[1]) == 1 and str(value[1][0][0]) == "IN" and all(_in_set(value[1][0][1], ord(c)) for c in TOKEN_CHARACTERS):
         return False, True, True  # beside a token character these stand where a token ends
     return (True, True, True) if name.startswith("ASSERT") else (False, False, False)
@@ -84,12 +91,41 @@ def _in_set(items, c: int) -> bool:
     return (not hit or any(str(op) == "CATEGORY" for op, _ in items)) if negated else hit
 
 
+def _folds_beyond_ascii(parsed, flags: int) -> bool:
+    """Whether some literal also stands for a letter beyond ASCII, such as the long s or the Kelvin sign."""
+    if flags & re.IGNORECASE and not flags & re.ASCII:
+        return True
+    for op, value in parsed:
+        name = str(op)
+        if name == "SUBPATTERN":
+            inner = [(value[3], (flags | value[1]) & ~value[2])]
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            inner = [(value[2], flags)]
+        elif name == "BRANCH":
+            inner = [(way, flags) for way in value[1]]
+        elif name in ("ASSERT", "ASSERT_NOT"):
+            inner = [(value[1], flags)]
+        elif name == "ATOMIC_GROUP":
+            inner = [(value, flags)]
+        elif name == "GROUPREF_EXISTS":
+            inner = [(way, flags) for way in value[1:] if way is not None]
+        else:
+            continue
+        if any(_folds_beyond_ascii(*i) for i in inner):
+            return True
+    return False
+
+
 def required_tokens(pattern: str) -> tuple[str, ...]:
     """Tokens that every text in which ``pattern`` is found holds as whole tokens, proved from the parsed pattern.
 
     Runs of token characters that the pattern always takes up count if what stands before and after them can only be
-    another character or an end; parts that may be left out are looked past.
+    another character or an end; parts that may be left out are looked past. Nothing is proved where case is ignored
+    beyond ASCII, as a letter may then stand for one that is no token character; URLs are folded anyway.
     """
+    tree = pattern_parser.parse(pattern)
+    if _folds_beyond_ascii(tree, tree.state.flags):
+        return ()
     flat: list[tuple] = []
 
     def flatten(parsed) -> None:
@@ -99,7 +135,7 @@ def required_tokens(pattern: str) -> tuple[str, ...]:
             else:
                 flat.append((op, value))
 
-    flatten(re._parser.parse(pattern))
+    flatten(tree)
     character = [chr(v) if str(op) == "LITERAL" and TOKEN.match(chr(v)) else None for op, v in flat]
     edges = [_edge(op, v) for op, v in flat]
 

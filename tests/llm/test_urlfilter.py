@@ -49,6 +49,51 @@ def test_required_tokens_are_proved():
                 assert set(rule.literals) <= set(uf.TOKEN.findall(url)), (rule, url)
 
 
+def test_anchors_and_flags():
+    for pattern, want in ((r"\Bspam[./]", ()), (r"\bspam\B", ()), (r"/spam\b", ("spam",)), (r"(?i)://spam\.", ()), (r"(?ia)://spam\.", ("spam",)), (r"/(?i:spam)/", ()), (r"/(?:x|(?i:y))/spam/", ()), (r"/\Bspam/", ("spam",)), (r"-(?=x)\Bspam/", ("spam",))):
+        assert uf.required_tokens(pattern) == want, pattern
+    assert re.search(r"\Bspam[./]", "http://antispam.com/") and re.search(r"(?i)://spam\.", "http://\u017fpam.com/")
+
+
+def random_pattern(rng, depth=2):
+    parts = ["spam", "ad", "k1", "[./-]", "[^a-z0-9]", "[a-z]", r"\b", r"\B", "^", "$", "/", r"\.", "x?", "[0-9]*", r"\d", r"\w", r"\W", "(?<![a-z0-9])", "(?![a-z0-9])", "(?=[./])", "(?<=/)", "."]
+    out = []
+    for _ in range(rng.randint(1, 5)):
+        kind = rng.random()
+        if depth and kind < 0.15:
+            out.append(f"(?:{random_pattern(rng, depth - 1)}|{random_pattern(rng, depth - 1)})" + rng.choice(["", "", "?", "*"]))
+        elif depth and kind < 0.22:
+            out.append(f"({random_pattern(rng, depth - 1)})" + rng.choice(["", "?", "+"]))
+        elif depth and kind < 0.27:
+            out.append(f"(?i:{random_pattern(rng, depth - 1)})")
+        else:
+            out.append(rng.choice(parts))
+    return "".join(out)
+
+
+def test_random_patterns_never_lose_a_match():
+    """Every URL that a pattern matches holds the tokens by which the pattern is filed."""
+    rng = random.Random(12)
+    pieces = ["spam", "ad", "k1", "k", "x", "1", "/", ".", "-", "_", "\u017f", "\u212a", "\u00e9", "pam", "S".lower(), "\n"]
+    urls = ["http://" + "".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) for _ in range(4000)]
+    proved = matched = 0
+    edge = ["", "/", "[./-]", r"\b", r"\B", "^", "$", "(?<![a-z0-9])", "(?![a-z0-9])", "(?:[^a-z]|$)", r"\W", "[./]?", "(?:-|x)"]
+    for _ in range(12_000):
+        around = [random_pattern(rng) if rng.random() < 0.4 else "" for _ in range(2)]
+        core = rng.choice(edge) + rng.choice(edge) + rng.choice(["spam", "ad", "k1", "k"]) + rng.choice(edge) + rng.choice(edge)
+        pattern = rng.choice(["", "", "", "(?i)", "(?ia)"]) + around[0] + core + around[1]
+        tokens = uf.required_tokens(pattern)
+        if not tokens:
+            continue
+        proved += 1
+        find = re.compile(pattern)
+        for url in rng.sample(urls, 150):
+            if find.search(url):
+                matched += 1
+                assert set(tokens) <= set(uf.TOKEN.findall(url)), (pattern, tokens, url)
+    assert proved > 100 and matched > 500
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "h"), (1, None, "h"), (None, "http://example.org/es/", "h"), (2, "http://a/" + "b" * 200_000, "h")]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string")
