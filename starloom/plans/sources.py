@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from starloom.sources import catalogs as cat
+from starloom.operators.checkpoints import scratch_folder
 from starloom.sources import fits
+from starloom.sources import fits_source as fs
 from starloom.sources import text as tx
 from starloom.plans.registry import query, table
 
@@ -32,6 +34,16 @@ def fits_table_roundtrip(spark, d):
     return files.mapInPandas(unpack, "id long, name string, balance double, nation int, solvent boolean")
 
 
+@query("SELECT o_orderkey AS orderkey, o_totalprice AS price, o_orderpriority AS priority FROM orders WHERE o_totalprice > 150000 AND o_custkey <= 700 AND o_orderpriority <> '5-LOW'")
+def fits_source_scan(spark, d):
+    """Orders written as binary tables by all tasks and scanned by row ranges, comparisons tested on the raw records."""
+    fs.register(spark)
+    path, t = scratch_folder(spark, "fits"), table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    t.repartition(4).write.format(fs.NAME).mode("append").option("rows", 500_000).save(path)
+    r = spark.read.format(fs.NAME).option("rows", 250_000).load(path).where("o_totalprice > 150000 AND o_custkey <= 700 AND o_orderpriority <> '5-LOW'")
+    return r.select(F.col("o_orderkey").alias("orderkey"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"))
+
+
 @query("SELECT c_custkey AS id, round(c_custkey % 360000 / 1000.0e0, 6) AS ra, round(c_custkey % 180000 / 1000.0e0 - 90, 6) + 0 AS dec, round((c_custkey % 20000) / 1000.0e0, 6) AS mag_v, CAST(c_custkey % 8 AS INT) AS position_src, CAST(c_custkey // 8 % 2 AS INT) AS diffraction FROM customer")
 def packed_catalogue_records(spark, d):
     """88-byte star records, packed and decoded."""

@@ -102,8 +102,8 @@ def spark_schema(cols: Sequence[tuple[str, int, str]], lower: bool = True) -> st
     return ", ".join(parts)
 
 
-def decode(h: dict[str, object], data: bytes, at: int, wanted: Sequence[str] | None = None, rows: tuple[int, int] | None = None, lower: bool = True) -> pd.DataFrame:
-    """Columns of one table extension; ``wanted`` names and a row range are honoured before any conversion."""
+def decode(h: dict[str, object], data: bytes, at: int, wanted: Sequence[str] | None = None, rows: tuple[int, int] | None = None, lower: bool = True, mask: np.ndarray | None = None) -> pd.DataFrame:
+    """Columns of one table extension; ``wanted`` names, a row range and a mask of its rows are honoured before any conversion."""
     cols = columns(h)
     fields = []
     for i, (_, n, atom) in enumerate(cols):
@@ -115,6 +115,8 @@ def decode(h: dict[str, object], data: bytes, at: int, wanted: Sequence[str] | N
     table = np.frombuffer(data, dtype, int(h["NAXIS2"]), at)
     if rows:
         table = table[rows[0] : rows[1]]
+    if mask is not None:
+        table = table[mask]
     out = {}
     for i, (name, n, atom) in enumerate(cols):
         key = name.lower() if lower else name
