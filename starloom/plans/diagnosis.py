@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from starloom.operators import align
 from starloom.operators import diagnose as dg
 from starloom.operators import geohash as gh
 from starloom.operators.verify import header_values
@@ -42,7 +43,8 @@ re AS (SELECT *, CASE WHEN n_inside < 4 THEN 'outside' WHEN n_found < 4 THEN 'no
   ELSE 'verify' END AS reason FROM er)"""
 
 
-def _stages(spark, d):
+def _fields(spark, d):
+    """Stars on the field of their list, and its sources."""
     stars = star_lists(spark, d)
     headers = stars.select("list").distinct().select("list", F.col("list").alias("field_id"), *[F.expr(v).cast("double").alias(k) for k, v in FIELD.items()])
     on = dg.stars_on_fields(stars, headers, 1000, 1000, 0.0162 * 3600, by="list")
@@ -50,6 +52,11 @@ def _stages(spark, d):
 
     rank = (F.row_number().over(Window.partitionBy("field_id").orderBy(F.col("star") * 37 % 701, "star")) - 1).cast("long")
     sources = on.where("star % 9 <> 0").select("field_id", rank.alias("rank"), (F.col("x") + F.expr(SHIFT_X)).alias("x"), (F.col("y") + F.expr(SHIFT_Y)).alias("y"))
+    return on, sources
+
+
+def _stages(spark, d):
+    on, sources = _fields(spark, d)
     quads = _all(spark, d).withColumn("stars", F.array("a", "b", "c", "d")).withColumn("quad_id", F.xxhash64("stars"))
     found = dg.geometric_stages(on, sources, quads.select("quad_id", "stars", "code"), 3.0, AB_PX, DEPTH, TOLERANCE).withColumn("reason", F.coalesce("reason", F.lit("verify")))
     return found.join(quads.select("quad_id", "a", "b", "c", "d"), "quad_id")
@@ -97,3 +104,37 @@ def agreeing_pixels(spark, d):
     second = first | {"crpix0": 500.5 + F.expr(MOVE[0]), "crpix1": 500.5 + F.expr(MOVE[1]), "cd00": -c, "cd01": s, "cd10": s, "cd11": c}
     pairs = table(spark, d, "customer").select(k.alias("id"), *[v.alias(f"{p}_{n}") for p, h in (("a", first), ("b", second)) for n, v in h.items()])
     return dg.agreeing_pixels(pairs, "id", 1000, 1000).select("id", r6(F.round("x", 4), "x"), r6(F.round("y", 4), "y"))
+
+
+#: headers that are off by hundreds of pixels, and sources that are a little off besides
+OFF_X, OFF_Y = "(list % 5 - 2) * 61.0e0 + 17.25e0", "(list % 3 - 1) * 83.0e0 - 40.5e0"
+
+
+@query(
+    f"""{SQL_HEAD}, off AS (SELECT o.list, sx + {OFF_X} - tx AS dx, sy + {OFF_Y} - ty AS dy FROM src JOIN onf o USING (list) WHERE pow(sx + {OFF_X} - tx, 2) + pow(sy + {OFF_Y} - ty, 2) <= 250.0 * 250.0),
+gr AS (SELECT g.i * 2 + h.i AS grid, g.i AS i, h.i AS j FROM (SELECT unnest([0, 1]) AS i) g, (SELECT unnest([0, 1]) AS i) h),
+vo AS (SELECT list, grid, floor((dx + i * 4.0e0) / 8.0e0) AS bx, floor((dy + j * 4.0e0) / 8.0e0) AS by_, count(*) AS votes, avg(dx) AS dx, avg(dy) AS dy FROM off, gr GROUP BY ALL)
+SELECT list AS field_id, round(dx, 5) AS dx, round(dy, 5) AS dy, votes FROM (SELECT *, row_number() OVER (PARTITION BY list ORDER BY votes DESC, grid, bx, by_) AS n FROM vo) WHERE n = 1"""
+)
+def voted_shifts(spark, d):
+    """The shift of every field's header, found by the vote of all pairs of sources and stars."""
+    on, sources = _fields(spark, d)
+    lists = {c: F.expr(e.replace("list", "field_id")) for c, e in (("x", OFF_X), ("y", OFF_Y))}
+    moved = sources.select("field_id", *[(F.col(c) + e).alias(c) for c, e in lists.items()])
+    return align.voted_shifts(moved, on, 250.0, 8.0).select("field_id", F.round("dx", 5).alias("dx"), F.round("dy", 5).alias("dy"), "votes")
+
+
+#: plane coefficients a customer: squares and cubes, which pixels can express exactly
+FIRST = {4: "c_custkey % 7 * 0.001e0", 5: "c_custkey % 5 * -0.0005e0", 7: "c_custkey % 3 * 0.0002e0"}
+SECOND = {4: "c_custkey % 4 * 0.0007e0", 6: "c_custkey % 6 * 0.0003e0"}
+
+
+@query(f"SELECT c_custkey AS id, round(({FIRST[4]}) * 0.01e0 * 1e6, 4) AS a20, round(({FIRST[5]}) * 0.01e0 * 1e6, 4) + 0 AS a11, round(({FIRST[7]}) * 0.0001e0 * 1e9, 4) AS a30, round(({SECOND[4]}) * 0.01e0 * 1e6, 4) AS b02, round(({SECOND[6]}) * 0.01e0 * 1e6, 4) AS b20, TRUE AS exact FROM customer")
+def plane_to_pixel_distortion(spark, d):
+    """Polynomials of the plane turned into distortion by pixels, in millionths and milliardths."""
+    coefficients = lambda given: F.create_map(*[v for k, e in given.items() for v in (F.lit(k), F.expr(e).cast("double"))])
+    numbers = {"crpix0": 500.5, "crpix1": 400.5, "cd00": 0.01, "cd01": 0.0, "cd10": 0.0, "cd11": 0.01, "width": 1000.0, "height": 800.0}
+    heads = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), *[F.lit(v).alias(k) for k, v in numbers.items()], coefficients(FIRST).alias("first"), coefficients(SECOND).alias("second"))
+    got = align.pixel_distortions(heads, "id", 3)
+    pick = lambda poly, p, q, unit: F.round(F.element_at(F.filter(poly, lambda t: (t["p"] == p) & (t["q"] == q)), 1)["c"] * unit, 4) + 0.0
+    return got.select("id", pick("a", 2, 0, 1e6).alias("a20"), pick("a", 1, 1, 1e6).alias("a11"), pick("a", 3, 0, 1e9).alias("a30"), pick("b", 0, 2, 1e6).alias("b02"), pick("b", 2, 0, 1e6).alias("b20"), (F.col("error") < 1e-3).alias("exact"))
