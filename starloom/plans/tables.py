@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from starloom.operators import tables as tb
+from starloom.operators.prefilter import prefilter
 from starloom.operators.selection import order_statistics, quantiles
 from starloom.operators.lines import remove_axis_lines, remove_rotated_lines
 from starloom.operators.uniformize import round_robin, sweeps, uniformize_catalogue
@@ -281,6 +282,30 @@ def remove_lines(spark, d):
     return remove_axis_lines(f, "x", 20.0)
 
 
+CHAIN_X, CHAIN_Y = "CASE WHEN o_orderkey % 17 = 0 THEN 512.0e0 ELSE CAST((o_orderkey * 31 + o_custkey * 17) % 2048 AS DOUBLE) END", "CAST((o_orderkey * 7 + o_custkey * 29) % 1024 AS DOUBLE)"
+
+
+@query(
+    f"""WITH s0 AS (SELECT o_custkey % 12 AS field_id, o_orderkey AS id, {CHAIN_X} AS x, {CHAIN_Y} AS y, o_totalprice AS flux, o_totalprice + o_orderkey % 1000 * 90 AS both_ FROM orders),
+x1 AS (SELECT field_id, CAST(floor(x + 0.5e0) AS BIGINT) AS b, count(*) - 1 AS k FROM s0 GROUP BY 1, 2 HAVING count(*) > 1), x2 AS (SELECT *, avg(k) OVER (PARTITION BY field_id) AS m FROM x1),
+s1 AS (SELECT s.* FROM s0 s WHERE NOT EXISTS (SELECT 1 FROM x2 WHERE x2.field_id = s.field_id AND x2.b = CAST(floor(s.x + 0.5e0) AS BIGINT) AND k * ln(m) - m - k * (k - 1) / 2 < -20)),
+y1 AS (SELECT field_id, CAST(floor(y + 0.5e0) AS BIGINT) AS b, count(*) - 1 AS k FROM s1 GROUP BY 1, 2 HAVING count(*) > 1), y2 AS (SELECT *, avg(k) OVER (PARTITION BY field_id) AS m FROM y1),
+s2 AS (SELECT s.* FROM s1 s WHERE NOT EXISTS (SELECT 1 FROM y2 WHERE y2.field_id = s.field_id AND y2.b = CAST(floor(s.y + 0.5e0) AS BIGINT) AND k * ln(m) - m - k * (k - 1) / 2 < -20)),
+r AS (SELECT *, least(2 * row_number() OVER (PARTITION BY field_id ORDER BY flux DESC, id), 2 * row_number() OVER (PARTITION BY field_id ORDER BY both_ DESC, id) + 1) AS k FROM s2),
+o AS (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY k, flux DESC, id) - 1 AS p, min(x) OVER f AS x0, max(x) OVER f - min(x) OVER f AS w, min(y) OVER f AS y0, max(y) OVER f - min(y) OVER f AS h FROM r WINDOW f AS (PARTITION BY field_id)),
+c AS (SELECT DISTINCT field_id, w, h, unnest([greatest(1.0e0, floor(sqrt(10 * w / h))), greatest(1.0e0, ceil(sqrt(10 * w / h)))]) AS nx FROM o),
+g AS (SELECT field_id, arg_min({{'nx': nx, 'ny': greatest(1.0e0, floor(10 / nx + 0.5e0))}}, (abs(ln(w / nx) - ln(h / greatest(1.0e0, floor(10 / nx + 0.5e0)))), nx)) AS g FROM c GROUP BY 1),
+b AS (SELECT o.*, least(floor((y - y0) / h * g.ny), g.ny - 1) * g.nx + least(floor((x - x0) / w * g.nx), g.nx - 1) AS box FROM o JOIN g USING (field_id)),
+t AS (SELECT *, row_number() OVER (PARTITION BY field_id, box ORDER BY p) AS turn FROM b),
+e AS (SELECT field_id, id, row_number() OVER (PARTITION BY field_id ORDER BY turn, box) - 1 AS place FROM t)
+SELECT field_id, id, place FROM e WHERE place < 100"""
+)
+def prefiltered_fields(spark, d):
+    """Sources of all fields without lines, brightest first by two measures, in turns over boxes, a hundred a field."""
+    s = table(spark, d, "orders").select((F.col("o_custkey") % 12).alias("field_id"), F.col("o_orderkey").alias("id"), F.expr(CHAIN_X).alias("x"), F.expr(CHAIN_Y).alias("y"), F.col("o_totalprice").alias("flux"), (F.col("o_orderkey") % 1000 * 90).alias("sky"))
+    return prefilter(s, background="sky", cut=20.0, keep=100).select("field_id", "id", F.col("place").cast("long").alias("place"))
+
+
 @query(
     """WITH p AS (SELECT c_custkey AS id, CAST(c_custkey * 7919 % 2048 AS DOUBLE) AS x, CAST(c_custkey * 104729 % 2048 AS DOUBLE) AS y FROM customer UNION ALL SELECT i + 100000, i * 3.0e0 + 200, i * 3.0e0 + 400 FROM range(300) r(i)),
 v AS (SELECT id, i * (pi() / 180) AS t, CAST(floor(((x - 1024) * cos(i * (pi() / 180)) + (y - 1024) * sin(i * (pi() / 180))) / 4) AS BIGINT) AS r FROM p, range(180) a(i)), c AS (SELECT t, r, count(*) AS n, abs((r + 0.5e0) * 4) AS far FROM v GROUP BY t, r),
