@@ -208,10 +208,13 @@ def kepler_orbits(spark, d):
     return t.select("id", r6("big", "eccentric"), r6(F.col("big") - F.col("e") * F.sin("big") - F.col("m"), "residual"), r6("p.ra", "ra"), r6("p.dec", "dec"))
 
 
-@query("SELECT 1 AS job, CAST(unnest(list_concat([3], range(5, 9), [12])) AS BIGINT) AS field UNION ALL SELECT 2, CAST(unnest(range(1, 4)) AS BIGINT)")
+@query("SELECT job, CAST(unnest(list_concat(list_concat([job % 40], range(job % 11 + 50, job % 11 + 51 + job % 4)), range(job % 7 + 90, job % 5 + 93))) AS BIGINT) AS field FROM (SELECT c_custkey AS job FROM customer)")
 def range_list(spark, d):
-    jobs = spark.createDataFrame([(1, "3, 5-8,x,12"), (2, "1-3,-,9-4")], "job int, fields string")
-    return jobs.select("job", F.explode(ph.parse_ranges("fields")).alias("field"))
+    """Lists of numbers and ranges written as text, a job for each customer: blanks, other words and backward ranges are passed over."""
+    k = F.col("c_custkey")
+    part = lambda low, high: F.concat_ws("-", low.cast("string"), high.cast("string"))
+    written = F.concat((k % 40).cast("string"), F.lit(", "), part(k % 11 + 50, k % 11 + 50 + k % 4), F.lit(",x,,-,"), part(k % 7 + 90, k % 5 + 92))
+    return table(spark, d, "customer").select(k.alias("job"), F.explode(ph.parse_ranges(written)).alias("field"))
 
 
 @query("SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 10.0e0 * 3600 / 1000 WHEN 1 THEN 10.0e0 * 60 / 1000 WHEN 2 THEN 10.0e0 ELSE round(degrees(atan(36.0e0 / 20.0e0)) * 3600 / 1000, 6) END AS scale FROM supplier")
