@@ -20,7 +20,8 @@ of vectors of unequal length the trees see one more coordinate that completes ev
 turns the search into one by angle; scores are taken on the original vectors.
 
 Equal vectors are one class, searched once and filed once; a class keeps its ``k + 1`` smallest ids, which is all that
-any answer can name. So a hot vector costs no more than another.
+any answer can name. So a hot vector costs the search no more than another; rows meet their class in plain shuffle joins,
+which adaptive execution splits where one vector holds many rows.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with a
 null id or with a number of components other than the most frequent one (the smaller of equally frequent ones); rows

@@ -8,7 +8,8 @@ the logits are divided by. Prediction reads every whole text, map-side, in one p
 
 Edge cases: a null text, or one without any letter, is ``und`` with score 0; a table without learnable labels makes
 every prediction ``und``; repeated rows are predicted one by one; rows with a null id or language are predicted but
-teach only if they have a language; an empty table gives an empty result; of equally likely languages the first in order is given. Other columns are never inputs.
+teach only if they have a language; an empty table gives an empty result; of equally likely languages the first in order is given; very long
+texts are read whole. Other columns, whatever they are called, are never inputs.
 """
 
 from __future__ import annotations

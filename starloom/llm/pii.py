@@ -12,7 +12,8 @@ no digit precedes, a ``+``) and never rescans a run.
 
 Edge cases: null and empty texts have no spans; positions are code points, end exclusive; candidates that touch a base
 span or a better candidate of any kind are not added; of equally good ones the one that starts first is; repeated rows are scanned one by one; null ids are carried; an
-empty table gives an empty result.
+empty table gives an empty result; very long texts are scanned whole; further columns, also ones named like the results,
+are left out by ``find`` and kept by ``redact``.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ capped. Exact copies collapse into one fingerprint before any of this, and bucke
 
 Edge cases: a null or blank text has fingerprint zero and is linked like any other; fewer words than a shingle make
 one shingle of the whole sequence; rows with a null id take part, but only non-null ids name a component; repeated rows
-fall into one component; an empty table gives an empty result. Further columns of the input are ignored.
+fall into one component; an empty table gives an empty result; a very long text is read whole by one task, its shingles in
+blocks. Further columns of the input are ignored, whatever they are called.
 """
 
 from __future__ import annotations

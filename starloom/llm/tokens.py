@@ -6,7 +6,8 @@ of them; a pre-token among those counts one without any merging. Only the other
 are remembered up to a bound. Prediction is map-side over whole texts.
 
 Edge cases: null and empty texts have 0 bytes and 0 tokens; very long runs without a break are merged with a heap in
-n log n steps; repeated rows are counted one by one; a null id is carried; an empty table gives an empty result.
+n log n steps; repeated rows are counted one by one; a null id is carried; an empty table gives an empty result;
+further columns, also ones named like the results, are left out.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ added up and a logistic link, fitted on the sample weighted back to all labels,
 
 Edge cases: null, empty or wordless texts get the score of no evidence; several labels of one document are averaged;
 repeated rows are scored one by one; without labels of both kinds every score is the smoothed rate of toxic labels; an empty
-table gives an empty result. Labels, language, source and id are never inputs of a score.
+table gives an empty result; very long texts are scanned whole, in time linear in their length; further columns of either
+table, whatever they are called, are ignored. Labels, language, source and id are never inputs of a score.
 """
 
 from __future__ import annotations
