@@ -7,7 +7,14 @@ the shared checkpoint folder and read again, so a lost executor repeats a part o
 2. near_dedup: one document of each SimHash group (three-word shingles, three bits) stays, the one with the smallest id.
 3. decontamination: documents that hold any ten-word window of a benchmark item go.
 4. pii: every personal span in the text is replaced by its kind; n_chars follows the new text.
-5. mixing: documents are repeated, wholly and in part, to the capped target of their source; a row per repetition.
+5. mixing: documents are repeated to the capped target of their source; a row per repetition, one document a source cut.
+
+Edge cases: null and blank texts have no language and go in the first stage, as does every text without a letter; rows
+with a null id or source stay as long as their texts do, a null source being a source of its own; repeated rows fall into
+one SimHash group, of which one row stays, ties going to the smallest id; an empty table gives an empty result, and an
+empty benchmark leaves all documents clean; very long texts are read whole in every stage. Further columns are carried,
+whatever they are called, but for those that the last stage adds or replaces (size, source_size, target, taken,
+repetition, words).
 """
 
 from __future__ import annotations
