@@ -8,6 +8,7 @@ from starloom.functions import healpix as hp
 from starloom.functions import physics as ph
 from starloom.functions import sphere as sp
 from starloom.functions.wcs import Wcs
+from starloom.operators.growth import split_with_margin
 from starloom.plans.registry import query, r6, sky, sky_sql, table, xyz_sql
 
 SKY = sky_sql("customer")
@@ -194,6 +195,12 @@ def healpix_split_margin(spark, d):
     return sky(spark, d, "supplier").select("id", F.explode(hp.range_search(2, 5.0)("ra", "dec")).alias("cell"))
 
 
+@query()
+def sky_split_grown(spark, d):
+    """The same split of all customers by areas that are grown until the margin is covered."""
+    return split_with_margin(sky(spark, d, "customer"), 2, 8, 5.0).select("id", "area", "inside")
+
+
 @query(
     f"""WITH RECURSIVE o AS (SELECT s_suppkey AS id, 1.0e0 + s_suppkey % 7 AS a, s_suppkey % 9 / 10.0e0 AS e, s_suppkey % 5 * 0.1e0 AS i, CAST(s_suppkey % 6 AS DOUBLE) AS m FROM supplier),
 k AS (SELECT id, m + e * sin(m) AS b, m + e * sin(m) AS seen, 0 AS n FROM o UNION ALL
