@@ -95,7 +95,7 @@ def plant(left: DataFrame, right: DataFrame, left_pos: str, right_pos: str, dist
         sizes.append(n)
         share = min(1.0, 2.0 * sample_rows / max(1, n))
         some = df.where(F.col(pos).isNotNull()).select(F.col(pos).cast("array<double>").alias("v")).where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < share * (1 << 20))
-        drawn += [r["v"] for r in some.limit(sample_rows).collect()]
+        drawn += [r["v"] for r in some.take(sample_rows)]
     lengths = Counter(map(len, drawn))
     rows = np.array([v for v in drawn if None not in v and len(v) == max(lengths, key=lambda n: (lengths[n], n))], float)
     rows = rows[np.isfinite(rows).all(axis=1)] if len(rows) else rows

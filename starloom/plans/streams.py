@@ -94,17 +94,13 @@ def streaming_enhance(spark, d):
 FAILS = "({job} * 31 + {attempt} * 17) % 10 < 3"
 
 
-def succeeds(job: int, attempt: int) -> bool:
-    return not (job * 31 + attempt * 17) % 10 < 3
-
-
 def arrivals(s):
     return s.select((F.col("event_id") % 4).alias("queue"), F.col("event_id").alias("job"), (F.col("user_id") % 40).alias("user"), "ts")
 
 
 def _starts(spark, d):
     flushed = lambda s: arrivals(s.where("user_id >= 0")).unionByName(arrivals(s.where("user_id < 0")).withColumn("queue", F.lit(-1).cast("long")))
-    return _drained(spark, d, lambda s: sf.fair_queue(flushed(s), succeeds, slots=8, tick="1 hour", wait="3 hours", retries=2), "append", flush=True).where("queue >= 0")
+    return _drained(spark, d, lambda s: sf.fair_queue(flushed(s), lambda job, attempt: not (job * 31 + attempt * 17) % 10 < 3, slots=8, tick="1 hour", wait="3 hours", retries=2), "append", flush=True).where("queue >= 0")
 
 
 @query()

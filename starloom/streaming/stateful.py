@@ -7,15 +7,20 @@ the events in order, however they are dealt to files, batches and restarts.
 from __future__ import annotations
 
 import heapq
+import sys
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+# a stream is set up by a Python process that does not see the files sent to the workers, so the processors travel whole
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: timers and several states a key need a store that keeps them apart
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
