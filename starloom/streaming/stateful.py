@@ -163,6 +163,7 @@ class _Queue(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "ready long, arrived long, job long, user long, attempt int")
+        self.done = handle.getValueState("done", "ms long")
 
     def _next(self, ms: int) -> int:
         return -(-ms // self.tick) * self.tick
@@ -180,6 +181,9 @@ class _Queue(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # every tick before the watermark, as all that arrived up to it is here
         until = timerValues.getCurrentWatermarkInMs()
+        if self.done.exists() and self.done.get()[0] == until:
+            return  # another timer of this batch has done it
+        self.done.update((until,))
         future = [tuple(int(v) for v in f) for f in self.waiting.get()]
         heapq.heapify(future)
         out, turns = [], Turns(self.anonymous)
