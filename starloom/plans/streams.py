@@ -13,30 +13,31 @@ from starloom.streaming import stateful as sf
 CHUNKS = 4
 
 
-def _arrived(spark, d, folder: str, flush: bool) -> str:
-    """The events as files that arrive one after another, in the order of time; ``flush`` adds one event far ahead, which closes every window before it.
+def _arrivals(spark, d, folder: str, flush: bool, days: int = 400):
+    """The events as folders that arrive one after another, in the order of time, written one at each step; ``flush`` adds one event ``days`` ahead, which closes every window before it.
 
-    Each arrival is a folder of its own, written by as many tasks as its rows are read by.
+    A folder is written by as many tasks as its rows are read by; its files hold overlapping times, so they have to be taken together.
     """
     t = table(spark, d, "events")
     cuts = t.agg(F.percentile_approx("ts", F.array(*[F.lit(i / CHUNKS) for i in range(1, CHUNKS)]), F.lit(1000))).first()[0] or []
     arrival = sum((F.when(F.col("ts") > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
     for i in range(CHUNKS):
-        t.where(arrival == i).write.parquet(f"{folder}/in{i}")
+        yield t.where(arrival == i).write.parquet(f"{folder}/in{i}")
     if flush:
         last = t.orderBy(F.desc_nulls_last("ts")).limit(1)
-        last.withColumn("ts", (F.col("ts") + F.expr("INTERVAL 400 DAYS")).cast(t.schema["ts"].dataType)).withColumn("event_type", F.lit(FLUSH)).withColumn("user_id", F.lit(-1).cast(t.schema["user_id"].dataType)).write.parquet(f"{folder}/in{CHUNKS}")
-    return f"{folder}/in*"
+        yield last.withColumn("ts", (F.col("ts") + F.expr(f"INTERVAL {days} DAYS")).cast(t.schema["ts"].dataType)).withColumn("event_type", F.lit(FLUSH)).withColumn("user_id", F.lit(-1).cast(t.schema["user_id"].dataType)).write.parquet(f"{folder}/in{CHUNKS}")
 
 
 FLUSH = "(flush)"
 
 
-def _drained(spark, d, make, mode, keys=None, flush=False):
+def _drained(spark, d, make, mode, keys=None, flush=False, days=400):
+    """The stream's rows after it was run, from its checkpoint, over every arrival as a batch of its own."""
     folder = scratch_folder(spark, "stream")
-    arrived = _arrived(spark, d, folder, flush)
-    stream = make(jobs.events(spark, arrived, table(spark, d, "events").schema, glob="*.parquet"))
-    return jobs.drain(stream, folder, mode, keys)
+    for _ in _arrivals(spark, d, folder, flush, days):
+        stream = make(jobs.events(spark, f"{folder}/in*", table(spark, d, "events").schema, None, "*.parquet"))
+        out = jobs.drain(stream, folder, mode, keys)
+    return out
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -91,6 +92,7 @@ def streaming_enhance(spark, d):
 
 
 #: a job of four queues for each event; users are those of the events, the first of them anonymous
+SLOTS = 8
 FAILS = "({job} * 31 + {attempt} * 17) % 10 < 3"
 
 
@@ -100,7 +102,11 @@ def arrivals(s):
 
 def _starts(spark, d):
     flushed = lambda s: arrivals(s.where("user_id >= 0")).unionByName(arrivals(s.where("user_id < 0")).withColumn("queue", F.lit(-1).cast("long")))
-    return _drained(spark, d, lambda s: sf.fair_queue(flushed(s), lambda job, attempt: not (job * 31 + attempt * 17) % 10 < 3, slots=8, tick="1 hour", wait="3 hours", retries=2), "append", flush=True).where("queue >= 0")
+    # the last event comes after the longest queue has had hours enough for all its starts
+    bad = [FAILS.format(job="job", attempt=i) for i in range(2)]
+    starts = arrivals(table(spark, d, "events")).groupBy("queue").agg(F.sum(F.expr(f"1 + CASE WHEN {bad[0]} THEN 1 + CASE WHEN {bad[1]} THEN 1 ELSE 0 END ELSE 0 END")).alias("n"))
+    days = 400 + (starts.agg(F.max("n")).first()[0] or 0) // (SLOTS * 24)
+    return _drained(spark, d, lambda s: sf.fair_queue(flushed(s), lambda job, attempt: not (job * 31 + attempt * 17) % 10 < 3, slots=SLOTS, tick="1 hour", wait="3 hours", retries=2), "append", flush=True, days=days).where("queue >= 0")
 
 
 @query()

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def events(spark: SparkSession, folder: str, schema, max_files: int = 1, glob: str = "events.parquet") -> DataFrame:
-    """The events table as a file stream, ``max_files`` files a batch."""
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", glob).parquet(folder)
-    return s.withColumn("ts", F.col("ts").cast("timestamp"))
+def events(spark: SparkSession, folder: str, schema, max_files: int | None = 1, glob: str = "events.parquet") -> DataFrame:
+    """The events table as a file stream, ``max_files`` files a batch, or all that are there."""
+    s = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    s = s if max_files is None else s.option("maxFilesPerTrigger", max_files)
+    return s.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling(stream: DataFrame, width: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:

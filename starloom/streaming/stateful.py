@@ -7,6 +7,7 @@ the events in order, however they are dealt to files, batches and restarts.
 from __future__ import annotations
 
 import heapq
+import itertools
 import sys
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -34,6 +35,22 @@ def _millis(ts: pd.Series) -> np.ndarray:
     return ts.to_numpy("datetime64[ms]").astype(np.int64)
 
 
+#: rows of a block: lists of a state are kept in blocks of columns, as every element costs a message of its own
+BLOCK = 10_000
+
+
+def _packed(columns: list[list]) -> Iterator[tuple]:
+    """Columns of equal length as blocks for a list state."""
+    for i in range(0, len(columns[0]), BLOCK):
+        yield tuple(c[i : i + BLOCK] for c in columns)
+
+
+def _unpacked(state) -> Iterator[tuple]:
+    """The rows of a list state of blocks."""
+    for block in state.get():
+        yield from zip(*block, strict=True)
+
+
 # --- consensus images -------------------------------------------------------------------------------------------
 
 
@@ -65,27 +82,38 @@ class _Enhancer(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.image = handle.getValueState("image", "tones array<double>, weights array<double>, n int")
-        self.frames = handle.getListState("frames", "ms long, frame long, at array<int>, v array<double>, weight double")
+        self.frames = handle.getListState("frames", "ms array<bigint>, frame array<bigint>, at array<array<int>>, v array<array<double>>, weight array<double>")
+        self.done = handle.getValueState("done", "ms long")
+
+    def _end(self, ms: int) -> int:
+        return (ms // self.every + 1) * self.every
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         due = set()
         for pdf in rows:
-            for ms, r in zip(_millis(pdf["ts"]).tolist(), pdf.itertuples(), strict=True):
-                self.frames.appendValue((ms, int(r.frame), [int(i) for i in r.at], [float(v) for v in r.v], float(r.weight)))
-                due.add((ms // self.every + 1) * self.every)
+            ms = _millis(pdf["ts"]).tolist()
+            columns = [ms, pdf["frame"].tolist(), [[int(i) for i in at] for at in pdf["at"]], [[float(x) for x in v] for v in pdf["v"]], pdf["weight"].astype(float).tolist()]
+            for block in _packed(columns):
+                self.frames.appendValue(block)
+            due |= {self._end(m) for m in ms}
         for ms in due:
             self.handle.registerTimer(ms)
         yield pd.DataFrame(columns=["tile", "n", "tones", "weights"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs()
-        waiting = [(int(f[0]), int(f[1]), list(f[2]), list(f[3]), float(f[4])) for f in self.frames.get()]
-        now = sorted((f for f in waiting if f[0] < until), key=lambda f: f[:2])
+        # every period that ends before the watermark, so that the frames are read once a batch
+        until = timerValues.getCurrentWatermarkInMs()
+        if self.done.exists() and self.done.get()[0] == until:
+            return  # another timer of this batch has done it
+        self.done.update((until,))
+        until = max(until, expiredTimerInfo.getExpiryTimeInMs() + 1)
+        now, later = [], []
+        for f in _unpacked(self.frames):
+            (now if self._end(f[0]) < until else later).append(f)
         if not now:
             return
-        later = [f for f in waiting if f[0] >= until]
         if later:
-            self.frames.put(later)
+            self.frames.put(list(_packed([list(c) for c in zip(*later, strict=True)])))
         else:
             self.frames.clear()
         if self.image.exists():
@@ -93,11 +121,14 @@ class _Enhancer(StatefulProcessor):
             tones, weights = np.array(tones, float), np.array(weights, float)
         else:
             tones, weights, n = np.arange(self.pixels) / max(1, self.pixels - 1), np.full(self.pixels, self.start), 0
-        for _, _, at, v, weight in now:
-            blend(tones, weights, np.array(at), np.array(v), weight)
-        n = int(n) + len(now)
+        n, out = int(n), []
+        for _, period in itertools.groupby(sorted(now, key=lambda f: f[:2]), key=lambda f: self._end(f[0])):
+            for _, _, at, v, weight in period:
+                blend(tones, weights, np.array(at), np.array(v), weight)
+                n += 1
+            out.append({"tile": key[0], "n": n, "tones": tones.tolist(), "weights": weights.tolist()})
         self.image.update((tones.tolist(), weights.tolist(), n))
-        yield pd.DataFrame([{"tile": key[0], "n": n, "tones": tones.tolist(), "weights": weights.tolist()}])
+        yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
@@ -162,7 +193,7 @@ class _Queue(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ready long, arrived long, job long, user long, attempt int")
+        self.waiting = handle.getListState("waiting", "ready array<bigint>, arrived array<bigint>, job array<bigint>, user array<bigint>, attempt array<int>")
         self.done = handle.getValueState("done", "ms long")
 
     def _next(self, ms: int) -> int:
@@ -171,9 +202,10 @@ class _Queue(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for pdf in rows:
-            for ms, r in zip(_millis(pdf["ts"]).tolist(), pdf.itertuples(), strict=True):
-                self.waiting.appendValue((ms, ms, int(r.job), int(r.user), 0))
-                first = ms if first is None else min(first, ms)
+            ms = _millis(pdf["ts"]).tolist()
+            for block in _packed([ms, ms, pdf["job"].tolist(), pdf["user"].tolist(), [0] * len(ms)]):
+                self.waiting.appendValue(block)
+            first = min(ms if first is None else [first, *ms], default=first)
         if first is not None:
             self.handle.registerTimer(self._next(first))
         yield pd.DataFrame(columns=["queue", "started", "place", "job", "user", "attempt", "outcome"])
@@ -184,8 +216,9 @@ class _Queue(StatefulProcessor):
         if self.done.exists() and self.done.get()[0] == until:
             return  # another timer of this batch has done it
         self.done.update((until,))
-        future = [tuple(int(v) for v in f) for f in self.waiting.get()]
+        future = list(_unpacked(self.waiting))
         heapq.heapify(future)
+        names = ["queue", "started", "place", "job", "user", "attempt", "outcome"]
         out, turns = [], Turns(self.anonymous)
         at = self._next(future[0][0]) if future else until + 1
         while at < until:
@@ -202,6 +235,9 @@ class _Queue(StatefulProcessor):
                 out.append((key[0], at, place, job, user, attempt, outcome))
                 if outcome == "retry":
                     heapq.heappush(future, (at + self.wait, arrived, job, user, attempt + 1))
+            if len(out) >= BLOCK:
+                yield pd.DataFrame(out, columns=names)
+                out = []
             if turns.users:
                 at += self.tick
             elif future:
@@ -211,11 +247,11 @@ class _Queue(StatefulProcessor):
         # those whose turn has not come wait for the next tick
         left = future + [(at, arrived, job, user, attempt) for user, jobs in turns.jobs.items() for arrived, job, attempt in jobs]
         if left:
-            self.waiting.put(left)
+            self.waiting.put(list(_packed([list(c) for c in zip(*left, strict=True)])))
             self.handle.registerTimer(max(at, self._next(until + 1)))
         else:
             self.waiting.clear()
-        yield pd.DataFrame(out, columns=["queue", "started", "place", "job", "user", "attempt", "outcome"])
+        yield pd.DataFrame(out, columns=names)
 
     def close(self) -> None:
         pass

@@ -184,3 +184,60 @@ def test_registered_queries(spark, sf_dir="/root/testdata/sf0.001"):
         want += slow_queue(q, [(at_ms(ts), e, u % 40) for e, u, ts, _ in rows if e % 4 == q], lambda job, attempt: not (job * 31 + attempt * 17) % 10 < 3, 8, 3_600_000, 10_800_000, 2, 0, 17)
     got = catalogue.QUERIES["fair_queue"](spark, sf_dir)
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+class _Store:
+    """States of one key in memory, which count their messages."""
+
+    def __init__(self):
+        self.rows, self.reads, self.appends, self.timers = [], 0, 0, []
+
+    def getListState(self, name, schema):
+        return self
+
+    def getValueState(self, name, schema):
+        held = []
+        return type("Value", (), {"exists": lambda s: bool(held), "get": lambda s: held[0], "update": lambda s, v: held.__setitem__(slice(None), [v])})()
+
+    def appendValue(self, row):
+        self.appends += 1
+        self.rows.append(row)
+
+    def get(self):
+        self.reads += 1
+        return iter(list(self.rows))
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def clear(self):
+        self.rows = []
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+def test_states_are_read_once_a_batch_and_kept_in_blocks():
+    import pandas as pd
+
+    n, day = 3000, 86_400_000
+    ts = pd.Series(pd.to_datetime(np.arange(n) * (30 * day // n), unit="ms"))
+    frames = pd.DataFrame({"ts": ts, "frame": range(n), "at": [[0, 1]] * n, "v": [[0.1, 0.2]] * n, "weight": 1.0})
+    jobs_ = pd.DataFrame({"ts": ts, "job": range(n), "user": 1})
+    clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda s: 40 * day})()
+    for processor, rows, results in ((sf._Enhancer(4, 1e-3, day), frames, 30), (sf._Queue(lambda job, attempt: True, 3, day // 24, day, 2, 0, 17), jobs_, 40 * 24)):
+        store = _Store()
+        processor.init(store)
+        list(processor.handleInputRows((1,), iter([rows]), clock))
+        out = [pdf for ms in sorted(set(store.timers)) for pdf in processor.handleExpiredTimer((1,), clock, type("Timer", (), {"getExpiryTimeInMs": lambda s, ms=ms: ms})())]
+        assert store.appends == 1 and store.reads == 1
+        assert 0 < sum(map(len, out)) <= max(results, n)
+
+
+def test_a_long_backlog_is_started_whole(spark, tmp_path):
+    """More starts than 400 days have room for, as at six times the table of scale 0.1."""
+    n = 62_000
+    t = spark.range(n).select((F.col("id") * 4).alias("event_id"), (F.col("id") % 7).alias("user_id"), F.timestamp_seconds(1_704_067_200 + F.col("id") * 40).cast("timestamp_ntz").alias("ts"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"))
+    t.write.parquet(f"{tmp_path}/events.parquet")
+    got = catalogue.QUERIES["fair_queue_outcomes"](spark, str(tmp_path)).agg(F.sum(F.when(F.col("attempt") == 0, F.col("jobs")))).first()[0]
+    assert got == n
