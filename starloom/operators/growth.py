@@ -34,9 +34,7 @@ def margins(spark: SparkSession, area_nside: int, nside: int, margin_deg: float)
     def measured(batches):
         for pdf in batches:
             cells = pdf["cell"].to_numpy()
-            v = hp.np_cell_to_xyz(cells, nside)
-            ra, dec = np.degrees(np.arctan2(v[:, 1], v[:, 0])) % 360.0, np.degrees(np.arcsin(np.clip(v[:, 2], -1, 1)))
-            gap = np.array([hp.np_distance_deg(int(a), area_nside, float(r), float(d)) for a, r, d in zip(pdf["area"], ra, dec, strict=True)])
+            gap = hp.np_distances_deg(pdf["area"].to_numpy(), area_nside, hp.np_cell_to_xyz(cells, nside))
             reach = _reach(cells, nside)
             keep = gap - reach <= margin_deg
             yield pd.DataFrame({"area": pdf["area"], "cell": cells, "whole": gap + reach <= margin_deg})[keep]
@@ -61,7 +59,7 @@ def split_with_margin(stars: DataFrame, area_nside: int, nside: int, margin_deg:
     Stars join the grown areas by their fine cell; only those in cells that the margin cuts are measured one by one.
     """
     # the cell's long expression is worked out once
-    placed = reliable(stars.withColumn("_cell", hp.radec_to_cell("ra", "dec", nside)))
+    placed = reliable(dealt(stars).withColumn("_cell", hp.radec_to_cell("ra", "dec", nside)))
     own = placed.withColumn("area", hp.convert_nside("_cell", nside, area_nside)).drop("_cell").withColumn("inside", F.lit(True))
     grown = margins(stars.sparkSession, area_nside, nside, margin_deg)
     near = placed.join(grown, placed["_cell"] == grown["cell"]).drop("_cell", "cell").withColumn("inside", F.lit(False))
