@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,11 +74,12 @@ def line_intersection(p: tuple[C, C], q: tuple[C, C], r: tuple[C, C], s: tuple[C
     return F.when(det != 0, (a * (x3 - x4) - (x1 - x2) * b) / det), F.when(det != 0, (a * (y3 - y4) - (y1 - y2) * b) / det)
 
 
-def containing(points, polygons: list[tuple[str, np.ndarray]]):
+def containing(points, polygons: list[tuple[str, np.ndarray]], curved: Callable[[str, np.ndarray], np.ndarray] | None = None):
     """(id, name): for every position (id, ra, dec) the sky polygons, rows of (ra, dec) vertices, that hold it.
 
     Polygons are projected about the position; those that reach the far hemisphere are skipped. Their list is a
-    parameter of bounded size, not data.
+    parameter of bounded size, not data. Where the sides of polygons stand for curves, ``curved`` tells for a polygon's
+    name and unit vectors no farther from a vertex than the longest side whether the true outline holds them.
     """
     import pandas as pd
 
@@ -85,6 +88,7 @@ def containing(points, polygons: list[tuple[str, np.ndarray]]):
     if len(polygons) > 10_000:
         raise ValueError("more than 10,000 polygons: join by cells first")
     vertices = [(name, np_radec_to_xyz(p[:, 0], p[:, 1])) for name, p in polygons]
+    sides = [float(np.linalg.norm(p - np.roll(p, -1, axis=0), axis=1).max()) for _, p in vertices]
 
     def run(batches):
         for pdf in batches:
@@ -94,7 +98,7 @@ def containing(points, polygons: list[tuple[str, np.ndarray]]):
             east = np.where(size[:, None] > 1e-12, east / np.maximum(size, 1e-12)[:, None], np.array([1.0, 0.0, 0.0]))
             north = np.cross(v, east)
             rows = []
-            for name, p in vertices:
+            for (name, p), side in zip(vertices, sides, strict=True):
                 along, x, y = v @ p.T, east @ p.T, north @ p.T
                 near = (along > 0).all(axis=1)
                 with np.errstate(divide="ignore", invalid="ignore"):
@@ -102,6 +106,8 @@ def containing(points, polygons: list[tuple[str, np.ndarray]]):
                     x2, y2 = np.roll(x, -1, axis=1), np.roll(y, -1, axis=1)
                     cross = ((y > 0) != (y2 > 0)) & (0 < (x2 - x) * (0 - y) / (y2 - y) + x)
                 hit = near & (cross.sum(axis=1) % 2 == 1)
+                if curved is not None and (edge := along.max(axis=1, initial=-1.0) >= 1.0 - side * side / 2).any():
+                    hit[edge] = curved(name, v[edge])
                 rows += [(i, name) for i in pdf["id"].to_numpy()[hit]]
             yield pd.DataFrame(rows, columns=["id", "name"])
 
