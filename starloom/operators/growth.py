@@ -58,11 +58,11 @@ def split_with_margin(stars: DataFrame, area_nside: int, nside: int, margin_deg:
 
     Stars join the grown areas by their fine cell; only those in cells that the margin cuts are measured one by one.
     """
-    # the cell's long expression is worked out once
-    placed = reliable(dealt(stars).withColumn("_cell", hp.radec_to_cell("ra", "dec", nside)))
+    # the cell's long expression is worked out once; a small file is one partition, so its rows are dealt out first
+    placed = reliable(spread(stars).withColumn("_cell", hp.radec_to_cell("ra", "dec", nside)))
     own = placed.withColumn("area", hp.convert_nside("_cell", nside, area_nside)).drop("_cell").withColumn("inside", F.lit(True))
     grown = margins(stars.sparkSession, area_nside, nside, margin_deg)
     near = placed.join(grown, placed["_cell"] == grown["cell"]).drop("_cell", "cell").withColumn("inside", F.lit(False))
-    sure, cut = near.where("whole"), near.where("NOT whole").where(hp.distance(area_nside)("area", "ra", "dec") <= margin_deg)
+    sure, cut = near.where("whole"), near.where("NOT whole").where(hp.within(area_nside, margin_deg)("area", "ra", "dec"))
     sure, cut = sure.drop("whole"), cut.drop("whole")
     return own.unionByName(sure).unionByName(cut)

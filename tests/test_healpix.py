@@ -56,3 +56,20 @@ def test_udfs_and_resolution(spark):
     r = df.select(hp.neighbours(2)("cell").alias("n"), hp.range_search(4, 5.0)("ra", "dec").alias("c"), hp.distance(2)("cell", "ra", "dec").alias("d"), hp.convert_nside("cell", 2, 4).alias("fine")).first()
     assert r.n == hp.np_neighbours(5, 2) and r.c == hp.np_range_search(10.0, 20.0, 5.0, 4) and r.d > 0 and r.fine // 16 == 5 // 4
     assert F is not None
+
+
+@pytest.mark.parametrize(("nside", "radius"), [(1, 5.0), (2, 5.0), (8, 0.3), (3, 0.0), (2, 200.0)])
+def test_within_is_the_distance_compared(nside, radius):
+    """Also for points at the radius to a hair, which the points along the edges leave open."""
+    rng = np.random.default_rng(nside)
+    v = rng.normal(size=(600, 3))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    cell = rng.integers(0, 12 * nside * nside, 600)
+    cell[::2] = hp.np_xyz_to_cell(v[::2] + 0.05 / nside, nside)
+    assert hp.np_within_deg(cell, nside, v, radius).tolist() == (hp.np_distances_deg(cell, nside, v) <= radius).tolist()
+    gaps = hp.np_distances_deg(cell[:40], nside, v[:40])
+    for k, g in enumerate(gaps):
+        if g > 0:
+            assert hp.np_within_deg(cell[k : k + 1], nside, v[k : k + 1], g * (1 + 1e-9))[0]
+            assert not hp.np_within_deg(cell[k : k + 1], nside, v[k : k + 1], g * (1 - 1e-9))[0]
+    assert hp.np_within_deg(cell[:0], nside, v[:0], radius).tolist() == []
