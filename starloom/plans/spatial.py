@@ -35,7 +35,7 @@ def xmatch_notself(spark, d):
 
 @query(f"SELECT l_id, arg_min(r_id, (sep, r_id)) AS r_id, round(min(sep), 6) AS sep FROM {pairs_sql(CUST, SUPP, 5.0)} GROUP BY l_id")
 def xmatch_nearest(spark, d):
-    return sj.nearest(_pairs(spark, d, 5.0)).select("l_id", "r_id", r6("sep", "sep"))
+    return sj.k_nearest_within(sky(spark, d, "customer"), sky(spark, d, "supplier"), 5.0, 1, sj.nearest).select("l_id", "r_id", r6("sep", "sep"))
 
 
 @query(f"SELECT l_id, arg_min(r_id, (sep, r_id)) AS r_id, round(min(sep), 6) AS sep, count(*) AS n FROM {pairs_sql(CUST, SUPP, 8.0)} GROUP BY l_id")
