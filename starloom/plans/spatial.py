@@ -121,7 +121,8 @@ def bucket_pair_bounds(spark, d):
 
 @query(f"SELECT l_id, rank, r_id, round(sep, 6) AS sep FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_id ORDER BY sep, r_id) AS INT) AS rank FROM {pairs_sql(SUPP, CUST, 12.0)}) WHERE rank <= 5")
 def sky_knn(spark, d):
-    return sj.k_nearest(_pairs(spark, d, 12.0, "supplier", "customer"), 5).select("l_id", "rank", "r_id", r6("sep", "sep"))
+    best = lambda pairs: sj.k_nearest(pairs, 5)
+    return sj.k_nearest_within(sky(spark, d, "supplier"), sky(spark, d, "customer"), 12.0, 5, best).select("l_id", "rank", "r_id", r6("sep", "sep"))
 
 
 @query(f"SELECT id, round(sep, 6) AS sep FROM (SELECT a.id, {SEP} AS sep FROM {CUST} a, (SELECT cos(radians(37.0e0)) * cos(radians(72.0e0)) AS x, cos(radians(37.0e0)) * sin(radians(72.0e0)) AS y, sin(radians(37.0e0)) AS z) b) WHERE sep <= 25 ORDER BY sep, id LIMIT 20")
