@@ -40,7 +40,8 @@ def xmatch_nearest(spark, d):
 
 @query(f"SELECT l_id, arg_min(r_id, (sep, r_id)) AS r_id, round(min(sep), 6) AS sep, count(*) AS n FROM {pairs_sql(CUST, SUPP, 8.0)} GROUP BY l_id")
 def xmatch_count(spark, d):
-    return sj.nearest_and_count(_pairs(spark, d, 8.0)).select("l_id", "r_id", r6("sep", "sep"), "n")
+    near = sj.k_nearest_within(sky(spark, d, "customer"), sky(spark, d, "supplier"), 8.0, 1, sj.nearest)
+    return near.join(sj.count_within(sky(spark, d, "customer"), sky(spark, d, "supplier"), 8.0), "l_id").select("l_id", "r_id", r6("sep", "sep"), "n")
 
 
 @query(f"SELECT c.c_custkey AS l_id, p.ids FROM customer c LEFT JOIN (SELECT l_id, list(r_id ORDER BY r_id) AS ids FROM {pairs_sql(CUST, SUPP, 5.0)} GROUP BY l_id) p ON p.l_id = c.c_custkey")
