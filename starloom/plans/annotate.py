@@ -37,8 +37,9 @@ SEP = "degrees(2 * asin(least(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (
 @query(f"SELECT a.id AS target, b.id % 7 AS run, b.id % 5 AS camcol, b.id AS field FROM {SC} a JOIN {CC} b ON {SEP} <= 3")
 def sky_to_field(spark, d):
     """Survey fields (run, camera column, field) whose centre is near a position."""
-    p = sj.sky_join(sky(spark, d, "supplier"), sky(spark, d, "customer"), 3.0)
-    return p.select(F.col("l_id").alias("target"), (F.col("r_id") % 7).alias("run"), (F.col("r_id") % 5).alias("camcol"), F.col("r_id").alias("field"))
+    # the right side is the one that is copied to the buckets around
+    p = sj.sky_join(sky(spark, d, "customer"), sky(spark, d, "supplier"), 3.0)
+    return p.select(F.col("r_id").alias("target"), (F.col("l_id") % 7).alias("run"), (F.col("l_id") % 5).alias("camcol"), F.col("l_id").alias("field"))
 
 
 @query(f"SELECT t.id, round(px, 3) + 0 AS px, round(py, 3) + 0 AS py FROM {tan_sql()} t JOIN customer ON c_custkey = t.id WHERE px BETWEEN -49.5 AND 1074.5 AND py BETWEEN -49.5 AND 1074.5 AND (CAST(c_custkey AS BIGINT) & 4) <> 0")
