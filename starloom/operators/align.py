@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions.wcs import Wcs, with_inverse
+from starloom.operators.checkpoints import spread
 from starloom.operators.spatial import range_join
 
 
@@ -86,6 +87,49 @@ def pixel_distortion(wcs: Wcs, first: Mapping[int, float], second: Mapping[int,
     return with_inverse(out, order + 1, grid), float(error)
 
 
+def _plane_polynomials(u: np.ndarray, v: np.ndarray, first: list[dict], second: list[dict]) -> np.ndarray:
+    """``plane_polynomial`` of many headers, a row of points and two sets of coefficients each; (headers, points, 2)."""
+    radius = np.hypot(u, v)
+    out = np.zeros((*u.shape, 2))
+    for side, (given, own, other) in enumerate(((first, u, v), (second, v, u))):
+        given = [{1: 1.0} | g for g in given]
+        for k, term in enumerate(plane_terms(max(max(g) for g in given) + 1)):
+            c = np.array([g.get(k, 0.0) for g in given])
+            some = np.flatnonzero(c)
+            if len(some):
+                value = radius[some] ** term if isinstance(term, int) else own[some] ** term[0] * other[some] ** term[1]
+                out[some, :, side] += c[some, None] * value
+    return out
+
+
+#: headers that are fitted at once
+AT_ONCE = 256
+
+
+def _distortions(heads: pd.DataFrame, key: str, size_of: Wcs, order: int, grid: int = 25) -> pd.DataFrame:
+    """``pixel_distortion`` without the inverse of headers that differ in CD and coefficients only: one factored grid for all."""
+    xs, ys = (np.linspace(0.5, n + 0.5, grid) for n in (size_of.width, size_of.height))
+    x, y = (g.ravel() for g in np.meshgrid(xs, ys))
+    u, v = x - size_of.crpix[0], y - size_of.crpix[1]
+    cd = heads[["cd00", "cd01", "cd10", "cd11"]].to_numpy().reshape(-1, 2, 2)
+    at = cd @ np.stack([u, v])
+    plane = _plane_polynomials(at[:, 0], at[:, 1], *([dict(m) if m is not None else {} for m in heads[c]] for c in ("first", "second")))
+    size = max(np.abs(u).max(), np.abs(v).max())
+    powers = [(p, t - p) for t in range(order + 1) for p in range(t, -1, -1)]
+    design = np.stack([(u / size) ** p * (v / size) ** q for p, q in powers], axis=1)
+    q, r = np.linalg.qr(design)
+    found = np.linalg.solve(r, q.T @ plane)
+    scaled = found / np.array([size ** sum(pq) for pq in powers])[:, None]
+    linear = np.stack([scaled[:, powers.index((1, 0))], scaled[:, powers.index((0, 1))]], axis=2)
+    back = np.linalg.inv(linear)
+    rest = np.einsum("hij,hkj->hki", back, scaled)
+    off = np.einsum("hij,hkj->hki", back, plane - design @ found)
+    error = np.hypot(off[..., 0], off[..., 1]).max(axis=1)
+    kept = sorted((pq, k) for k, pq in enumerate(powers) if sum(pq) != 1)
+    listed = [[[{"p": p, "q": q_, "c": float(row[k, side])} for (p, q_), k in kept] for row in rest] for side in (0, 1)]
+    return pd.DataFrame({key: heads[key].to_numpy(), "a": listed[0], "b": listed[1], "cd": linear.reshape(-1, 4).tolist(), "error": error})
+
+
 def pixel_distortions(headers: DataFrame, key: str, order: int = 4) -> DataFrame:
     """(key, a, b, cd, error) from a table of headers: crpix0, crpix1, cd00 to cd11, width, height, and maps ``first`` and ``second`` of plane coefficients.
 
@@ -96,13 +140,12 @@ def pixel_distortions(headers: DataFrame, key: str, order: int = 4) -> DataFrame
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                w = Wcs((0.0, 0.0), (r.crpix0, r.crpix1), ((r.cd00, r.cd01), (r.cd10, r.cd11)), r.width, r.height)
-                out, error = pixel_distortion(w, dict(r.first or {}), dict(r.second or {}), order)
-                listed = [[{"p": p, "q": q, "c": c} for (p, q), c in sorted(poly.items())] for poly in (out.a, out.b)]
-                rows.append((getattr(r, key), *listed, [c for row in out.cd for c in row], error))
-            yield pd.DataFrame(rows, columns=[key, "a", "b", "cd", "error"])
+            parts = []
+            # headers of one image size share the grid and its fit
+            for (x0, y0, width, height), own in pdf.groupby(["crpix0", "crpix1", "width", "height"], dropna=False):
+                for k in range(0, len(own), AT_ONCE):
+                    parts.append(_distortions(own.iloc[k : k + AT_ONCE], key, Wcs((0.0, 0.0), (x0, y0), ((1.0, 0.0), (0.0, 1.0)), width, height), order))
+            yield pd.concat(parts) if parts else pd.DataFrame(columns=[key, "a", "b", "cd", "error"])
 
     names = ["crpix0", "crpix1", "cd00", "cd01", "cd10", "cd11", "width", "height"]
-    return headers.select(key, *[F.col(n).cast("double").alias(n) for n in names], "first", "second").mapInPandas(run, f"{key} {kind}, a {term}, b {term}, cd array<double>, error double")
+    return spread(headers.select(key, *[F.col(n).cast("double").alias(n) for n in names], "first", "second")).mapInPandas(run, f"{key} {kind}, a {term}, b {term}, cd array<double>, error double")

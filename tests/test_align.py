@@ -62,3 +62,35 @@ def test_odd_headers(spark):
     df = spark.createDataFrame([row], "id long, crpix0 double, crpix1 double, cd00 double, cd01 double, cd10 double, cd11 double, width double, height double, first map<int,double>, second map<int,double>")
     got = align.pixel_distortions(df, "id").first()
     assert got.error < 1e-9 and np.allclose(got.cd, [0.001, 0, 0, 0.001]) and all(abs(t.c) < 1e-9 for t in got.a + got.b)
+
+
+def test_headers_of_several_sizes_at_once(spark):
+    """The fit of many headers together is that of each alone, whatever their sizes, matrices and coefficients; without any there are none."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(30):
+        cd = rng.normal(size=4) * 1e-3 + [0.01, 0.0, 0.0, 0.012]
+        first = {int(k): float(c) for k, c in zip((0, 4, 5, 9), rng.normal(size=4) * 1e-3, strict=True)} if i % 5 else None
+        second = {1: 1.01, 3: 1e-4 * i} if i % 3 else {}
+        rows.append((i, 500.5 - i % 2, 400.5, *cd.tolist(), 1000.0 + 200 * (i % 3), 800.0, first, second))
+    names = ["crpix0", "crpix1", "cd00", "cd01", "cd10", "cd11", "width", "height"]
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"{n} double" for n in names) + ", first map<int,double>, second map<int,double>")
+    got = {r.id: r for r in align.pixel_distortions(df, "id", 3).collect()}
+    assert len(got) == 30 and align.pixel_distortions(df.limit(0), "id", 3).collect() == []
+    for i, x0, y0, a, b, c, d, width, height, first, second in rows:
+        w, error = align.pixel_distortion(Wcs((0.0, 0.0), (x0, y0), ((a, b), (c, d)), width, height), first or {}, second, 3)
+        r = got[i]
+        assert np.allclose(r.cd, np.ravel(w.cd), rtol=1e-9, atol=1e-15) and abs(r.error - error) < 1e-8
+        for poly, want in ((r.a, w.a), (r.b, w.b)):
+            assert [(t.p, t.q) for t in poly] == sorted(want)
+            for t in poly:
+                assert abs(t.c - want[t.p, t.q]) * 500.0 ** (t.p + t.q) < 1e-7
+
+
+def test_headers_are_not_fitted_one_by_one(spark, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("a header of its own")
+
+    monkeypatch.setattr(align, "pixel_distortion", refuse)
+    one = {"id": 1, "crpix0": 5.5, "crpix1": 5.5, "cd00": 0.01, "cd01": 0.0, "cd10": 0.0, "cd11": 0.01, "width": 10.0, "height": 10.0, "first": {4: 1e-3}, "second": {4: 1e-3}}
+    assert len(align.pixel_distortions(spark.createDataFrame([one]), "id", 3).collect()) == 1
