@@ -210,6 +210,33 @@ def box(ra: float, dec: float, width_deg: float, pixels: int) -> Wcs:
     return Wcs((ra, dec), (0.5 + pixels / 2.0, 0.5 + pixels / 2.0), ((-s, 0.0), (0.0, s)), pixels, pixels)
 
 
+def np_boxes_overlap(p: tuple[np.ndarray, np.ndarray], q: tuple[np.ndarray, np.ndarray], width_deg: float, pixels: int, step: float = 50.0) -> np.ndarray:
+    """``overlaps`` of the squares ``box(ra, dec, width_deg, pixels)`` about positions p and q, pair by pair."""
+    scale, edge = math.radians(width_deg / pixels), pixels / 2.0
+    line = np.linspace(-edge, edge, max(2, int(pixels / step) + 1))
+    near, far = np.full(len(line), -edge), np.full(len(line), edge)
+    # east and north of the outline and of the centre, which is the origin of its plane
+    u = -scale * np.concatenate([line, far, line[::-1], near, [0.0]])
+    w = scale * np.concatenate([near, line, far, line[::-1], [0.0]])
+
+    def basis(ra, dec):
+        a, d = np.radians(ra), np.radians(dec)
+        up = np.stack([np.cos(d) * np.cos(a), np.cos(d) * np.sin(a), np.sin(d)], axis=1)
+        return up, np.stack([-np.sin(a), np.cos(a), 0.0 * a], axis=1), np.stack([-np.sin(d) * np.cos(a), -np.sin(d) * np.sin(a), np.cos(d)], axis=1)
+
+    out, bases = np.zeros(len(p[0]), bool), (basis(*p), basis(*q))
+    reach = scale * edge
+    # most pairs that overlap hold each other's centre, so the outlines are for what that leaves open
+    for points in (slice(-1, None), slice(None, -1)):
+        for own, other in ((0, 1), (1, 0)):
+            left = np.flatnonzero(~out)
+            up, east, north = (b[left] for b in bases[own])
+            on = (b[left] for b in bases[other])
+            along, x, y = (np.einsum("ni,ni->n", o, up)[:, None] + u[points] * np.einsum("ni,ni->n", o, east)[:, None] + w[points] * np.einsum("ni,ni->n", o, north)[:, None] for o in on)
+            out[left] = ((along > 0) & (np.abs(x) <= along * reach) & (np.abs(y) <= along * reach)).any(axis=1)
+    return out
+
+
 def tpv_distort(u, v, pv1: list[float], pv2: list[float]):
     """TPV polynomial of intermediate coordinates; r = hypot(u, v); terms in the order of the convention."""
     r = (u * u + v * v) ** 0.5

@@ -10,7 +10,7 @@ from starloom.functions import healpix as hp
 from starloom.functions import physics as ph
 from starloom.functions import survey as sv
 from starloom.functions.base import let
-from starloom.functions.wcs import box
+from starloom.functions.wcs import box, np_boxes_overlap
 from starloom.operators import geohash as gh
 from starloom.operators import spatial as sj
 from starloom.operators import tables as tb
@@ -131,7 +131,7 @@ def footprint_overlaps(spark, d):
 
     def run(batches):
         for pdf in batches:
-            ok = [box(r.l_ra, r.l_dec, 6.0, 600).overlaps(box(r.r_ra, r.r_dec, 6.0, 600)) for r in pdf.itertuples()]
+            ok = np_boxes_overlap((pdf["l_ra"].to_numpy(), pdf["l_dec"].to_numpy()), (pdf["r_ra"].to_numpy(), pdf["r_dec"].to_numpy()), 6.0, 600)
             yield pdf.loc[ok, ["l_id", "r_id"]]
 
     return near.mapInPandas(run, "l_id long, r_id long")
