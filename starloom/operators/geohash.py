@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,13 +131,67 @@ def all_quads(stars: DataFrame, low_deg: float, high_deg: float, by: str) -> Dat
     )
 
 
+def first_quads(cells: np.ndarray, starts: np.ndarray, ids: np.ndarray, v: np.ndarray, known: list[set[tuple[int, ...]]], nside: int, lo2: float, hi2: float, step: int = 12) -> list[tuple[int, list[int], list[float]]]:
+    """The first quad of every cell that is not known there: (place of the cell, stars, code).
+
+    The stars of cell i are ``ids[starts[i]:starts[i + 1]]``, unit vectors ``v``, brightest first. Pairs are tried in the
+    order in which their fainter star comes in, those of all cells together: first the pairs of the ``step`` brightest
+    stars, then twice as many, and of those with their midpoint in the cell one a cell, then two, four and so on.
+    """
+    size, found, b0, b1 = np.diff(starts), [], 1, step
+    open_ = np.flatnonzero(size >= 4)
+    while len(open_):
+        top = np.minimum(size[open_], b1)
+        n = np.maximum((top * (top - 1) - b0 * (b0 - 1)) // 2, 0)
+        of = np.repeat(open_, n)
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + b0 * (b0 - 1) // 2
+        b = ((1 + np.sqrt(8.0 * k + 1)) / 2).astype(np.int64)  # pair number k is b (b - 1) / 2 + a
+        a = k - b * (b - 1) // 2
+        va, vb = v[starts[of] + a], v[starts[of] + b]
+        d2 = ((va - vb) ** 2).sum(axis=1)
+        wide = np.flatnonzero((d2 >= lo2) & (d2 <= hi2))
+        mid = va[wide] + vb[wide]
+        own = wide[hp.np_xyz_to_cell(mid / np.linalg.norm(mid, axis=1)[:, None], nside) == cells[of[wide]]] if len(wide) else wide
+        of, a, b, many, done = of[own], a[own], b[own], 1, np.zeros(len(size), bool)
+        while len(of):
+            first = np.searchsorted(of, of)
+            now = np.arange(len(of)) - first < many
+            pc, pa, pb = of[now], a[now], b[now]
+            around = size[pc] - 2
+            pair = np.repeat(np.arange(len(pc)), around)
+            s = np.arange(around.sum()) - np.repeat(np.cumsum(around) - around, around)
+            s = s + (s >= pa[pair])
+            s = s + (s >= pb[pair])
+            at = starts[pc][pair]
+            c = np_sky_code(np.stack([v[at + pa[pair]], v[at + pb[pair]], v[at + s]], axis=1))
+            ok = np.flatnonzero(c[:, 0] ** 2 - c[:, 0] + c[:, 1] ** 2 - c[:, 1] <= 0)
+            ends = np.searchsorted(pair[ok], np.arange(len(pc) + 1))
+            for i in np.flatnonzero(np.diff(ends) >= 2).tolist():
+                cell = int(pc[i])
+                if done[cell]:
+                    continue
+                use, at0 = ok[ends[i] : ends[i + 1]], int(starts[cell])
+                ab = ids[[at0 + pa[i], at0 + pb[i]]].tolist()
+                for (one, ci), (two, cj) in itertools.combinations(zip(ids[at0 + s[use]].tolist(), c[use].tolist(), strict=True), 2):
+                    stars_, code_ = enforce([*ab, one, two], [*ci, *cj])
+                    if tuple(sorted(stars_)) not in known[cell]:
+                        found.append((cell, stars_, code_))
+                        done[cell] = True
+                        break
+            rest = ~now & ~done[of]
+            of, a, b, many = of[rest], a[rest], b[rest], 2 * many
+        open_ = open_[~done[open_] & (size[open_] > b1)]
+        b0, b1 = b1, 2 * b1
+    return found
+
+
 def build_quads(stars: DataFrame, nside: int, low_deg: float, high_deg: float, passes: int = 3, reuse: int = 8, loosen: int = 0, mag: str = "mag") -> DataFrame:
     """One quad a cell a pass: (quad_id, stars, code).
 
-    Stars are dealt to the cells whose centre they are near; within a cell they are tried brightest first, the first
-    valid AB whose midpoint is in the cell and the first valid inner pair make the quad. A star leaves after ``reuse``
-    quads, and no quad is built twice. Counts are joined back between passes, so the cells of one pass see those of the
-    passes before. Cells that had stars but no quad are tried again with up to ``loosen`` uses.
+    Stars are dealt to the cells whose centre they are near, once, as one list a cell; within a cell they are tried
+    brightest first, the first valid AB whose midpoint is in the cell and the first valid inner pair make the quad. A star
+    leaves after ``reuse`` quads, and no quad is built twice. Counts are joined back between passes, so the cells of one
+    pass see those of the passes before. Cells that had stars but no quad are tried again with up to ``loosen`` uses.
     """
     side = math.radians(hp.side_length_arcmin(nside) / 60)
     reach = 1.01 * (side * math.sqrt(0.5) + 0.5 * 2 * math.sin(math.radians(high_deg) / 2))
@@ -150,53 +205,51 @@ def build_quads(stars: DataFrame, nside: int, low_deg: float, high_deg: float, p
 
     c = cells.mapInPandas(centres, "cell long, cx double, cy double, cz double")
     xyz = [F.cos(F.radians("dec")) * F.cos(F.radians("ra")), F.cos(F.radians("dec")) * F.sin(F.radians("ra")), F.sin(F.radians("dec"))]
-    pts = stars.select("id", F.col(mag).alias("mag"), *[v.alias(n) for v, n in zip(xyz, "xyz", strict=True)])
-    near = reliable(range_join(c, pts, reach, ["cx", "cy", "cz"], ["x", "y", "z"]).select("cell", "id", "mag", "x", "y", "z"))
+    pts = stars.select(F.col("id").cast("long").alias("id"), F.coalesce(F.col(mag).cast("double"), F.lit(math.nan)).alias("mag"), *[v.alias(n) for v, n in zip(xyz, "xyz", strict=True)])
+    # the side with fewer rows is the one that is copied to the buckets around
+    sides = (pts, c, reach, ["x", "y", "z"], ["cx", "cy", "cz"]) if 12 * nside * nside <= stars.count() else (c, pts, reach, ["cx", "cy", "cz"], ["x", "y", "z"])
+    near = spread(range_join(*sides).select("cell", "id", "mag", "x", "y", "z"), "cell")
+    held = reliable(near.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("mag", "id", "x", "y", "z"))).alias("s")))
     lo2, hi2 = ((2 * math.sin(math.radians(s) / 2)) ** 2 for s in (low_deg, high_deg))
 
-    def one_quad(pdf: pd.DataFrame, built: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"cell": pd.Series([], dtype="int64"), "stars": pd.Series([], dtype=object), "code": pd.Series([], dtype=object)})
-        if len(pdf) < 4:
-            return none
-        cell, known = int(pdf["cell"].iloc[0]), {tuple(k) for k in built["k"]}
-        pdf = pdf.sort_values(["mag", "id"])
-        v, ids = pdf[["x", "y", "z"]].to_numpy(), pdf["id"].tolist()
-        a, b = np.triu_indices(len(v), 1)
-        turn = np.lexsort((a, b))  # the faintest star of a pair comes in last
-        a, b = a[turn], b[turn]
-        d2 = ((v[a] - v[b]) ** 2).sum(axis=1)
-        wide = (d2 >= lo2) & (d2 <= hi2)
-        a, b = a[wide], b[wide]
-        mid = v[a] + v[b]
-        own = hp.np_xyz_to_cell(mid / np.linalg.norm(mid, axis=1)[:, None], nside) == cell if len(a) else np.zeros(0, bool)
-        for p, q in zip(a[own].tolist(), b[own].tolist(), strict=True):
-            others = np.array([i for i in range(len(v)) if i not in (p, q)])
-            codes = np_sky_code(np.stack([np.broadcast_to(v[p], (len(others), 3)), np.broadcast_to(v[q], (len(others), 3)), v[others]], axis=1))
-            ok = codes[:, 0] ** 2 - codes[:, 0] + codes[:, 1] ** 2 - codes[:, 1] <= 0
-            for (i, ci), (j, cj) in itertools.combinations(zip(others[ok].tolist(), codes[ok].tolist(), strict=True), 2):
-                stars_, k = enforce([ids[p], ids[q], ids[i], ids[j]], [*ci, *cj])
-                if tuple(sorted(stars_)) not in known:
-                    return pd.DataFrame({"cell": [cell], "stars": [stars_], "code": [k]})
-        return none
-
-    quads, missed = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                lists, flat = batch.column(1), batch.column(1).flatten()
+                size = np.diff(lists.offsets.to_numpy())
+                ids, v = flat.field(1).to_numpy(), np.stack([flat.field(i).to_numpy() for i in (2, 3, 4)], axis=1)
+                gone, known = batch.column(2), [{tuple(k) for k in ks or ()} for ks in batch.column(3).to_pylist()]
+                if gone.null_count < len(gone):
+                    keep, starts = np.ones(len(ids), bool), np.concatenate([[0], np.cumsum(size)])
+                    for i in np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                        keep[starts[i] : starts[i + 1]] = ~np.isin(ids[starts[i] : starts[i + 1]], gone[i].values.to_numpy())
+                        size[i] = keep[starts[i] : starts[i + 1]].sum()
+                    ids, v = ids[keep], v[keep]
+                cell = batch.column(0).to_numpy()
+                made = first_quads(cell, np.concatenate([[0], np.cumsum(size)]), ids, v, known, nside, lo2, hi2)
+                yield pa.RecordBatch.from_arrays([pa.array([int(cell[m[0]]) for m in made], pa.int64()), pa.array([m[1] for m in made], pa.list_(pa.int64())), pa.array([m[2] for m in made], pa.list_(pa.float64()))], names=["cell", "stars", "code"])
+
+    quads = None
     for turn in range(passes + (loosen > 0)):
         last = turn == passes
-        pool = near.join(missed, "cell", "left_semi") if last else near
-        if quads is not None:
-            used = quads.select(F.explode("stars").alias("id")).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= (loosen if last else reuse))
-            pool = pool.join(used, "id", "left_anti")
-        built = (quads if quads is not None else near.select("cell", F.array().cast("array<bigint>").alias("stars")).limit(0)).select("cell", F.array_sort("stars").alias("k"))
-        made = spread(pool, "cell").groupBy("cell").cogroup(spread(built, "cell").groupBy("cell")).applyInPandas(one_quad, "cell long, stars array<bigint>, code array<double>")
-        if quads is not None:
-            same = quads.select(F.array_sort("stars").alias("k"))
-            made = made.join(same, F.array_sort("stars") == F.col("k"), "left_anti")
-        made = reliable(made.withColumn("k", F.array_sort("stars")).groupBy("k").agg(F.min(F.struct("cell", "stars", "code")).alias("q")).select("q.cell", "q.stars", "q.code").withColumn("turn", F.lit(turn)))
-        quads = made if quads is None else quads.unionByName(made)
-        missed = near.select("cell").distinct().join(quads.select("cell"), "cell", "left_anti")
-        if turn >= passes - 1 and not (loosen and turn == passes - 1):
-            break
-    return quads.withColumn("quad_id", F.xxhash64(F.array_sort("stars"))).select("quad_id", "cell", "turn", "stars", "code")
+        if quads is None:
+            pool = held.select("cell", "s", F.lit(None).cast("array<bigint>").alias("gone"), F.lit(None).cast("array<array<bigint>>").alias("known"))
+        else:
+            used = reliable(quads.select(F.explode("stars").alias("id")).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= (loosen if last else reuse)).select("id"))
+            known = quads.groupBy("cell").agg(F.collect_list("k").alias("known"))
+            pool = held.join(known, "cell", "left_anti").withColumn("known", F.lit(None).cast("array<array<bigint>>")) if last else held.join(known, "cell", "left")
+            n_used = used.count()
+            if n_used:
+                here = held.select("cell", F.explode("s.id").alias("id")).distinct().join(F.broadcast(used) if n_used <= 100_000 else used, "id", "left_semi")
+                pool = pool.join(here.groupBy("cell").agg(F.collect_list("id").alias("gone")), "cell", "left").select("cell", "s", "gone", "known")
+            else:
+                pool = pool.select("cell", "s", F.lit(None).cast("array<bigint>").alias("gone"), "known")
+        made = pool.mapInArrow(run, "cell long, stars array<bigint>, code array<double>").withColumn("turn", F.lit(turn)).withColumn("k", F.array_sort("stars"))
+        every = made if quads is None else quads.unionByName(made)
+        # a quad that cells found twice stays where it came first
+        quads = reliable(every.groupBy("k").agg(F.min(F.struct("turn", "cell", "stars", "code")).alias("q")).select("q.cell", "q.stars", "q.code", "q.turn", "k"))
+    return quads.withColumn("quad_id", F.xxhash64("k")).select("quad_id", "cell", "turn", "stars", "code")
 
 
 def star_to_quads(quads: DataFrame) -> DataFrame:
