@@ -267,7 +267,14 @@ def best_hypotheses(hyps: DataFrame, sources: DataFrame, stars: DataFrame, width
     radius = largest_scale / 3600 * math.hypot(width, height) / 2 * 1.05
     nside = max(1, int(hp.side_length_arcmin(1) / 60 / radius))
     side = hp.side_length_arcmin(nside) / 60
-    hyps = hyps.withColumn("cell", hp.radec_to_cell("crval0", "crval1", nside))
+    names = list(hyps.columns)
+
+    def placed(batches):
+        for pdf in batches:
+            yield pdf.assign(cell=hp.np_xyz_to_cell(hp.np_radec_to_xyz(pdf["crval0"].to_numpy(), pdf["crval1"].to_numpy()), nside))
+
+    # the cell's expression is long, and generated code of it would stay in the driver
+    hyps = hyps.mapInPandas(placed, ", ".join(f"`{c}` {hyps.schema[c].dataType.simpleString()}" for c in names) + ", cell long")
 
     def centres(batches):
         for pdf in batches:
@@ -318,7 +325,8 @@ def solve(sources: DataFrame, stars: DataFrame, quads: DataFrame, width: float,
     low_px, high_px = quad_deg[0] * 3600 / scale[1] * 0.9, quad_deg[1] * 3600 / scale[0] * 1.1
     done: DataFrame | None = None
     for newest, depth in itertools.pairwise((0, *depths)):
-        left = sources if done is None else sources.join(done.where(F.col("logodds") >= rules.solve).select("field_id"), "field_id", "left_anti")
+        # written once: it is read three times, and the dealing of fields to tasks would be taken for that of the anti-join, which is merged
+        left = sources if done is None else reliable(sources.join(done.where(F.col("logodds") >= rules.solve).select("field_id"), "field_id", "left_anti"))
         found = match_codes(field_quads(left, low_px, high_px, depth, newest, 1.5 * tolerance), quads, tolerance)
         got = reliable(best_hypotheses(hypotheses(found, left, stars, width, height, scale, within), left, stars, width, height, scale[1], rules).withColumn("depth", F.lit(depth)))
         done = got if done is None else done.unionByName(got)

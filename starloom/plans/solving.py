@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from starloom.functions.wcs import Wcs, fit_sip, fit_tan
 from starloom.operators import geohash as gh
 from starloom.operators import verify as vf
+from starloom.operators.checkpoints import reliable, spread
 from starloom.operators.spatial import range_join
 from starloom.plans.registry import query, table, xyz_sql
 
@@ -115,9 +116,9 @@ def patches(spark, d) -> tuple[int, int, int]:
     return last, n, zoom
 
 
-def local_sky(spark, d):
-    """All customers, dealt by key to patches of 14 by 12 degrees or less that lie side by side on the sky."""
-    last, n, zoom = patches(spark, d)
+def local_sky(spark, d, size=None):
+    """All customers, dealt by key to patches of 14 by 12 degrees or less that lie side by side on the sky; ``size`` is what ``patches`` gives."""
+    last, n, zoom = size or patches(spark, d)
     k = F.col("c_custkey")
     spread = lambda seed, high: F.pmod(F.xxhash64(k, F.lit(seed)), F.lit(high * 100_000)) / 100_000.0
     t = table(spark, d, "customer").where(k.isNotNull()).select(k.cast("long").alias("id"), F.floor(k * n / (last + 1)).alias("patch"), spread(1, 14).alias("u"), spread(2, 12).alias("v"), (k * 37 % 701).cast("double").alias("mag"))
@@ -143,9 +144,10 @@ def patch_header(patch: int, h: int, zoom: int) -> Wcs:
     return Wcs(((ra + east / zoom) % 360.0, dec + (w.crval[1] - CENTRE[1]) / zoom), w.crpix, cd, w.width, w.height)
 
 
-def stars_in_fields(spark, d):
+def stars_in_fields(spark, d, size=None, stars=None):
     """Stars on the two fields of every patch, at their pixels: field 2 p + h has header h of patch p."""
-    zoom = patches(spark, d)[2]
+    size = size or patches(spark, d)
+    zoom = size[2]
 
     def run(batches):
         for pdf in batches:
@@ -156,13 +158,14 @@ def stars_in_fields(spark, d):
                     ok = (x >= 0.5) & (x <= w.width + 0.5) & (y >= 0.5) & (y <= w.height + 0.5)
                     yield own.assign(x=x, y=y, header=h, field_id=2 * int(p) + h)[ok]
 
-    return local_sky(spark, d).mapInPandas(run, "id long, ra double, dec double, mag double, patch long, x double, y double, header int, field_id long")
+    return (stars or local_sky(spark, d, size)).mapInPandas(run, "id long, ra double, dec double, mag double, patch long, x double, y double, header int, field_id long")
 
 
-def made_up_fields(spark, d):
+def made_up_fields(spark, d, size=None, stars=None):
     """Sources of two fields a patch: its stars with a little noise, brightest first, and a few false sources."""
-    n = patches(spark, d)[1]
-    seen = stars_in_fields(spark, d).select("field_id", (F.col("x") + (F.col("id") * 31 % 7 - 3) / 10).alias("x"), (F.col("y") + (F.col("id") * 17 % 5 - 2) / 10).alias("y"), "mag")
+    size = size or patches(spark, d)
+    n = size[1]
+    seen = stars_in_fields(spark, d, size, stars).select("field_id", (F.col("x") + (F.col("id") * 31 % 7 - 3) / 10).alias("x"), (F.col("y") + (F.col("id") * 17 % 5 - 2) / 10).alias("y"), "mag")
     i = F.col("id") % 3
     false = spark.range(6 * n).select((F.floor(F.col("id") / 3) + 1).alias("field_id"), (i * 311 % 1000 + 50.5).alias("x"), (i * 173 % 1000 + 77.5).alias("y"), (i * 3 + 2.5).alias("mag"))
     from pyspark.sql import Window
@@ -179,8 +182,9 @@ def all_correspondences(spark, d, radius_px: float):
 
 @query()
 def index_quads(spark, d):
-    zoom = patches(spark, d)[2]
-    return gh.build_quads(local_sky(spark, d), 30 * zoom, 0.8 / zoom, 1.8 / zoom).select(F.array_sort("stars").alias("stars"), "cell", "turn")
+    size = patches(spark, d)
+    zoom = size[2]
+    return gh.build_quads(local_sky(spark, d, size), 30 * zoom, 0.8 / zoom, 1.8 / zoom).select(F.array_sort("stars").alias("stars"), "cell", "turn")
 
 
 def field_rules(zoom: int) -> vf.Rules:
@@ -189,10 +193,15 @@ def field_rules(zoom: int) -> vf.Rules:
 
 @query()
 def solved_fields(spark, d):
-    """Blind solution of all made-up fields against the index of all patches."""
-    stars, zoom = local_sky(spark, d), patches(spark, d)[2]
+    """Blind solution of all made-up fields against the index of all patches.
+
+    Stars and sources are read by every step of every stage, so they are written once: plans stay short in the driver.
+    """
+    size = patches(spark, d)
+    zoom, stars = size[2], reliable(spread(local_sky(spark, d, size), "id"))
+    sources = reliable(made_up_fields(spark, d, size, stars))
     quads = gh.build_quads(stars, 30 * zoom, 0.8 / zoom, 1.8 / zoom, passes=6)
-    got = vf.solve(made_up_fields(spark, d), stars, quads, 1000, 1000, (12.0 / zoom, 18.0 / zoom), (0.8 / zoom, 1.8 / zoom), depths=(12, 24), rules=field_rules(zoom))
+    got = vf.solve(sources, stars, quads, 1000, 1000, (12.0 / zoom, 18.0 / zoom), (0.8 / zoom, 1.8 / zoom), depths=(12, 24), rules=field_rules(zoom))
     return got.select("field_id", "depth", F.round("scale", 2).alias("scale"), F.round("crval0", 2).alias("ra"), F.round("crval1", 2).alias("dec"), F.round("logodds", 3).alias("logodds"), "n_match", "n_distract", "n_conflict", F.round("rms", 2).alias("rms"), "tuned")
 
 

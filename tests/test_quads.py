@@ -5,9 +5,12 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from starloom.functions import healpix as hp
 from starloom.operators import geohash as gh
+from starloom.operators import verify as vf
+from starloom.plans import catalogue, solving
 
 LOW2, HIGH2 = ((2 * math.sin(math.radians(s) / 2)) ** 2 for s in (0.8, 1.8))
 
@@ -68,3 +71,24 @@ def test_uses_are_counted_between_passes(spark):
         for r in now:
             for s in r.stars:
                 used[s] = used.get(s, 0) + 1
+
+
+def test_sky_and_fields_are_made_once_and_a_stage_deals_its_fields_out(spark, tmp_path, monkeypatch):
+    spark.range(1, 1501).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    asked, tasks = [], []
+    for name in ("patches", "local_sky", "made_up_fields"):
+        plain_one = getattr(solving, name)
+        monkeypatch.setattr(solving, name, lambda *a, _f=plain_one, _n=name, **k: asked.append(_n) or _f(*a, **k))
+
+    def seen(sources, *a, **k):
+        plan = gh.field_quads(sources, *a, **k)
+        tasks.append(plan.rdd.getNumPartitions())
+        return plan
+
+    monkeypatch.setattr(vf, "field_quads", seen)
+    got = catalogue.QUERIES["solved_fields"](spark, str(tmp_path))
+    assert sorted(asked) == ["local_sky", "made_up_fields", "patches"]
+    assert tasks == [int(spark.conf.get("spark.sql.shuffle.partitions"))] * 2
+    centres = {2 * p + h: solving.patch_header(p, h, 1).crval for p in range(3) for h in (1, 2)}
+    rows = got.collect()
+    assert len(rows) >= 4 and all(abs(r.dec - centres[r.field_id][1]) < 0.05 and r.logodds > math.log(1e9) for r in rows)
