@@ -4,9 +4,13 @@ A few pivots give every row its distances from them. By the triangle inequality
 any of those coordinates differ, so rows are cut into nodes along the coordinates (medians of a sample, one coordinate
 after another), a node keeps the least and the greatest value of each, and two nodes whose intervals leave a gap of more
 than the radius in any coordinate never meet. Only pairs of nodes that may hold a pair are joined: every left row is
-sent once, to the block of its node, and a right row once to every left block that may hold a partner. A block holds a
+sent to the block of its node, and a right row once to every left block that may hold a partner. A block holds a
 bounded number of left rows, and right rows stream past it in batches, so neither side is ever held whole, whatever a
-node's size; a node that one vector fills is dealt to several blocks.
+node's size; a node that one vector fills is dealt to several blocks. The right rows that a block meets are dealt to
+segments, each with the block's left rows, so that a few blocks are many tasks.
+
+``metric_nearest`` keeps the best partner of each left row while right rows stream past, so its output grows with the
+rows and not with the pairs. Without structure in the vectors the distances themselves are still all pairs.
 
 The metric is given by name or as a function of two matrices that returns the matrix of distances and obeys the triangle
 inequality. Distances of pairs that come out are exact in double precision.
@@ -56,6 +60,11 @@ METRICS: dict[str, Metric] = {"euclidean": euclidean, "angular": angular, "manha
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of an array column as a matrix of doubles; rows that are null or hold a null become NaN."""
+    values = column.flatten()
+    if len(column) and not column.null_count and not values.null_count:
+        lengths = np.diff(column.offsets.to_numpy())
+        if (lengths == lengths[0]).all():
+            return values.to_numpy(zero_copy_only=False).astype(float).reshape(len(column), lengths[0])
     rows = column.to_pylist()
     width = max((len(r) for r in rows if r is not None), default=0)
     return np.array([[np.nan if v is None else v for v in r] if r is not None and len(r) == width else [np.nan] * width for r in rows], float).reshape(len(rows), width)
@@ -128,7 +137,7 @@ def _placed(df: DataFrame, pos: str, tree: Tree) -> DataFrame:
             good = np.flatnonzero(np.isfinite(at).all(axis=1))
             node = tree.nodes(at[good])
             kept = batch.take(pa.array(good))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(node), pa.array(at[good].tolist(), pa.list_(pa.float64()))], names=[*names, "_node", "_at"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(node), pa.ListArray.from_arrays(np.arange(len(good) + 1, dtype=np.int32) * at.shape[1], at[good].ravel())], names=[*names, "_node", "_at"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(run, f"{fields}, _node long, _at array<double>")
@@ -155,8 +164,42 @@ def node_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return met.select("l_node", "r_node", F.array_max(gaps).alias("nearest"), far.alias("farthest")).where(F.col("nearest") <= reach).dropDuplicates(["l_node", "r_node"])
 
 
+def _met(left: DataFrame, right: DataFrame, radius: float, left_pos: str, right_pos: str, distance: Metric, node_rows: int, segment_rows: int, n_pivots: int, sample_rows: int, broadcast_rows: int) -> DataFrame | None:
+    """(_to, _block, _segment, _side, l, r): the left rows of every block and segment, then the right rows that may be near; None if a side is empty."""
+    ours, theirs = list(left.columns), list(right.columns)
+    tree = plant(left, right, left_pos, right_pos, distance, node_rows, n_pivots, sample_rows)
+    if tree is None:
+        return None
+    a, b = _placed(left, left_pos, tree), _placed(right, right_pos, tree)
+    own, other = reliable(node_bounds(a, len(tree.pivots))), reliable(node_bounds(b, len(tree.pivots)))
+    pairs = reliable(node_pairs(own, other, radius))
+    load = pairs.join(other.select(F.col("node").alias("r_node"), F.col("n").alias("_load")), "r_node").groupBy(F.col("l_node").alias("node")).agg(F.ceil(F.sum("_load") / segment_rows).cast("long").alias("_segments"))
+    blocks = reliable(own.join(load, "node").select(F.col("node").alias("_node"), F.ceil(F.col("n") / node_rows).cast("long").alias("_blocks"), "_segments"))
+    targets = pairs.join(blocks, F.col("l_node") == F.col("_node")).select(F.col("r_node").alias("_node"), F.col("l_node").alias("_to"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block"), "_segments")
+    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+    payload = lambda df, names: F.struct(*[F.col(c) for c in names])
+    hashed = lambda df: F.xxhash64(*[F.col(c).cast("string") if "map" in t else F.col(c) for c, t in df.dtypes])
+    block = F.pmod(hashed(left), F.col("_blocks"))
+    standing = a.join(small(blocks), "_node").select(F.col("_node").alias("_to"), block.alias("_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_segments") - 1)).alias("_segment"), F.lit(0).alias("_side"), payload(a, ours).alias("l"), F.lit(None).alias("r"))
+    passing = b.join(small(targets), "_node").select("_to", "_block", F.pmod(hashed(right), F.col("_segments")).alias("_segment"), F.lit(1).alias("_side"), F.lit(None).alias("l"), payload(b, theirs).alias("r"))
+    kinds = {c: df.schema[c].dataType for df, cs in ((left, ours), (right, theirs)) for c in cs}
+    shape = lambda names: "struct<" + ", ".join(f"`{c}`: {kinds[c].simpleString()}" for c in names) + ">"
+    both = standing.withColumn("r", F.col("r").cast(shape(theirs))).unionByName(passing.withColumn("l", F.col("l").cast(shape(ours))))
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(tasks, "_to", "_block", "_segment").sortWithinPartitions("_to", "_block", "_segment", "_side")
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int, int], int, int, int]]:
+    """(block and segment, side, from, to) of the stretches of a sorted batch."""
+    keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)
+    ends = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1).tolist(), len(keys)]
+    for lo, hi in zip(ends, ends[1:], strict=False):
+        if lo < hi:
+            yield tuple(keys[lo, :3].tolist()), int(keys[lo, 3]), lo, hi
+
+
 def metric_join(
-    left: DataFrame, right: DataFrame, radius: float, left_pos: str, right_pos: str, metric: str | Metric = "euclidean", dist: str = "dist", node_rows: int = 8_192, n_pivots: int = 12, sample_rows: int = 4_000, broadcast_rows: int = 1_000_000
+    left: DataFrame, right: DataFrame, radius: float, left_pos: str, right_pos: str, metric: str | Metric = "euclidean", dist: str = "dist", node_rows: int = 8_192, segment_rows: int = 32_768, n_pivots: int = 12, sample_rows: int = 4_000, broadcast_rows: int = 1_000_000
 ) -> DataFrame:
     """All pairs of rows within ``radius`` (inclusive): the columns of both sides, which must differ in name, and the distance.
 
@@ -166,47 +209,28 @@ def metric_join(
     ours, theirs = list(left.columns), list(right.columns)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for df in (left, right) for f in df.schema.fields]
     schema = ", ".join([*fields, f"`{dist}` double"])
-    tree = plant(left, right, left_pos, right_pos, distance, node_rows, n_pivots, sample_rows)
-    if tree is None:
+    dealt = _met(left, right, radius, left_pos, right_pos, distance, node_rows, segment_rows, n_pivots, sample_rows, broadcast_rows)
+    if dealt is None:
         return left.sparkSession.createDataFrame([], schema)
-    a, b = _placed(left, left_pos, tree), _placed(right, right_pos, tree)
-    own = reliable(node_bounds(a, len(tree.pivots)))
-    blocks = own.select(F.col("node").alias("_node"), F.ceil(F.col("n") / node_rows).cast("long").alias("_blocks"))
-    pairs = reliable(node_pairs(own, node_bounds(b, len(tree.pivots)), radius))
-    targets = pairs.join(blocks, F.col("l_node") == F.col("_node")).select(F.col("r_node").alias("_node"), F.col("l_node").alias("_to"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block"))
-    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
-    payload = lambda df, names: F.struct(*[F.col(c) for c in names])
-    block = F.pmod(F.xxhash64(*[F.col(c).cast("string") if "map" in t else F.col(c) for c, t in left.dtypes]), F.col("_blocks"))
-    standing = a.join(small(blocks), "_node").select(F.col("_node").alias("_to"), block.alias("_block"), F.lit(0).alias("_side"), payload(a, ours).alias("l"), F.lit(None).alias("r"))
-    passing = b.join(small(targets), "_node").select("_to", "_block", F.lit(1).alias("_side"), F.lit(None).alias("l"), payload(b, theirs).alias("r"))
-    kinds = {c: df.schema[c].dataType for df, cs in ((left, ours), (right, theirs)) for c in cs}
-    shape = lambda names: "struct<" + ", ".join(f"`{c}`: {kinds[c].simpleString()}" for c in names) + ">"
-    both = standing.withColumn("r", F.col("r").cast(shape(theirs))).unionByName(passing.withColumn("l", F.col("l").cast(shape(ours))))
-    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = both.repartition(tasks, "_to", "_block").sortWithinPartitions("_to", "_block", "_side")
     li, ri = ours.index(left_pos), theirs.index(right_pos)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here: tuple[int, int] | None = None
+        here: tuple[int, int, int] | None = None
         held: list[pa.StructArray] = []
         x = np.zeros((0, 0))
         for batch in batches:
-            to, blk, side = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            change = np.flatnonzero((np.diff(to) != 0) | (np.diff(blk) != 0) | (np.diff(side) != 0)) + 1
-            for lo, hi in zip([0, *change.tolist()], [*change.tolist(), len(to)], strict=True):
-                if lo == hi:
-                    continue
-                if here != (to[lo], blk[lo]):
-                    here, held, x = (to[lo], blk[lo]), [], np.zeros((0, 0))
-                if side[lo] == 0:
-                    held.append(batch.column(3).slice(lo, hi - lo))
+            for place, side, lo, hi in _runs(batch):
+                if here != place:
+                    here, held, x = place, [], np.zeros((0, 0))
+                if side == 0:
+                    held.append(batch.column(4).slice(lo, hi - lo))
                     continue
                 if not held:
                     continue
                 if not len(x):
                     held = [pa.concat_arrays(held)]
                     x = _matrix(held[0].field(li))
-                rows = batch.column(4).slice(lo, hi - lo)
+                rows = batch.column(5).slice(lo, hi - lo)
                 y = _matrix(rows.field(ri))
                 for at in range(0, len(y), 256):
                     gap = distance(x, y[at : at + 256])
@@ -216,3 +240,93 @@ def metric_join(
                         yield pa.RecordBatch.from_arrays([*mine.flatten(), *other.flatten(), pa.array(gap[i, j])], names=[*ours, *theirs, dist])
 
     return dealt.mapInArrow(run, schema)
+
+
+class Best:
+    """The nearest partner of each held row so far, ties to the smaller id; partners with the row's own id do not count if ``differ``."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, radius: float, distance: Metric, differ: bool):
+        self.x, self.ids, self.distance, self.differ = x, ids, distance, differ
+        self.order = np.argsort(ids, kind="stable")
+        self.dist, self.other = np.full(len(x), radius), np.full(len(x), np.iinfo(np.int64).max)
+        self.found = np.zeros(len(x), bool)
+        self.size = (x**2).sum(axis=1)
+        self.wide = np.concatenate([-x, np.ones((len(x), 1))], axis=1)
+
+    def meet(self, y: np.ndarray, ids: np.ndarray) -> None:
+        if self.distance is euclidean:
+            # half the squared distance without the row's own part, in one product; whoever may be the best is measured again
+            half = (y**2).sum(axis=1) / 2
+            gap = self.wide @ np.concatenate([y, half[:, None]], axis=1).T
+            slack = 1e-11 * (self.size + 2 * half.max())
+            top = (self.dist**2 - self.size) / 2 + slack
+        else:
+            gap = self.distance(self.x, y)
+            slack, top = np.zeros(len(gap)), self.dist
+            gap[np.isnan(gap)] = np.inf
+        if self.differ:
+            own = self.ids[self.order]
+            low, high = np.searchsorted(own, ids, "left"), np.searchsorted(own, ids, "right")
+            for j in np.flatnonzero(high > low).tolist():
+                gap[self.order[low[j] : high[j]], j] = np.inf
+        least = gap.min(axis=1)
+        rows = np.flatnonzero(least <= top)
+        if not len(rows):
+            return
+        i, j = np.nonzero(gap[rows] <= np.minimum(top, least + 2 * slack)[rows, None])
+        i = rows[i]
+        if self.distance is euclidean:
+            d = np.sqrt(np.concatenate([((self.x[i[at : at + 65_536]] - y[j[at : at + 65_536]]) ** 2).sum(axis=1) for at in range(0, len(i), 65_536)]))
+        else:
+            d = gap[i, j]
+        better = (d < self.dist[i]) | ((d == self.dist[i]) & (ids[j] < self.other[i]))
+        i, j, d = i[better], j[better], d[better]
+        turn = np.lexsort((ids[j], d, i))
+        i, j, d = i[turn], j[turn], d[turn]
+        first = np.flatnonzero(np.diff(i, prepend=-1))
+        self.dist[i[first]], self.other[i[first]], self.found[i[first]] = d[first], ids[j[first]], True
+
+
+def metric_nearest(
+    left: DataFrame, right: DataFrame, radius: float, left_pos: str, right_pos: str, left_id: str, right_id: str, metric: str | Metric = "euclidean", dist: str = "dist", differ: bool = True, node_rows: int = 32_768, segment_rows: int = 16_384, n_pivots: int = 12, sample_rows: int = 4_000, broadcast_rows: int = 1_000_000
+) -> DataFrame:
+    """(left_id, right_id, dist): the nearest right row within ``radius`` of every left id that has one, ties to the smaller id.
+
+    Ids are longs; with ``differ`` rows of the same id are no partners. Rows that take no part are those of ``metric_join``.
+    """
+    distance = METRICS[metric] if isinstance(metric, str) else metric
+    schema = f"`{left_id}` long, `{right_id}` long, `{dist}` double"
+    sides = [df.where(F.col(i).isNotNull()).select(F.col(i).cast("long").alias(i), pos) for df, i, pos in ((left, left_id, left_pos), (right, right_id, right_pos))]
+    dealt = _met(*sides, radius, left_pos, right_pos, distance, node_rows, segment_rows, n_pivots, sample_rows, broadcast_rows)
+    if dealt is None:
+        return left.sparkSession.createDataFrame([], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here: tuple[int, int, int] | None = None
+        held: list[pa.StructArray] = []
+        best: Best | None = None
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if best is not None and best.found.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[best.found]) for c in (best.ids, best.other, best.dist)], names=[left_id, right_id, dist])
+
+        for batch in batches:
+            for place, side, lo, hi in _runs(batch):
+                if here != place:
+                    yield from told()
+                    here, held, best = place, [], None
+                rows = batch.column(4 + side).slice(lo, hi - lo)
+                if side == 0:
+                    held.append(rows)
+                    continue
+                if not held:
+                    continue
+                if best is None:
+                    mine = pa.concat_arrays(held)
+                    best = Best(_matrix(mine.field(1)), mine.field(0).to_numpy(), radius, distance, differ)
+                y, ids = _matrix(rows.field(1)), rows.field(0).to_numpy()
+                for at in range(0, len(y), 256):
+                    best.meet(y[at : at + 256], ids[at : at + 256])
+        yield from told()
+
+    return dealt.mapInArrow(run, schema).groupBy(left_id).agg(F.min(F.struct(dist, right_id)).alias("_b")).select(left_id, F.col(f"_b.{right_id}").alias(right_id), F.col(f"_b.{dist}").alias(dist))

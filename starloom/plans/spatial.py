@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from starloom.functions.sphere import radec_to_xyz, within_radius
 from starloom.operators import blocks as bl
 from starloom.operators import spatial as sj
-from starloom.operators.metric import metric_join
+from starloom.operators.metric import metric_join, metric_nearest
 from starloom.plans.registry import query, r6, sky, sky_sql, table, xyz_sql
 
 CUST, SUPP = xyz_sql(sky_sql("customer")), xyz_sql(sky_sql("supplier"))
@@ -88,8 +88,7 @@ def nd_range_join(spark, d):
 def nd_nearest(spark, d):
     e = table(spark, d, "embeddings")
     left, right = e.select(F.col("vec_id").alias("l_id"), F.col("embedding").alias("p")), e.select(F.col("vec_id").alias("r_id"), F.col("embedding").alias("q"))
-    pairs = metric_join(left, right, 1.2, "p", "q").where("l_id <> r_id").select("l_id", "r_id", "dist")
-    return sj.nearest(pairs, dist="dist").select("l_id", "r_id", F.round("dist", 5).alias("dist"))
+    return metric_nearest(left, right, 1.2, "p", "q", "l_id", "r_id").select("l_id", "r_id", F.round("dist", 5).alias("dist"))
 
 
 #: angle from the sum of the directions and their difference, which is as exact for small angles as for large ones
