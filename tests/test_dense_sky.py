@@ -90,3 +90,42 @@ def test_friends_of_friends_by_cells(spark, radius):
     assert {r.id: r.cluster for r in sj.friends_of_friends(df, radius).collect()} == want
     everyone = {r.id: r.cluster for r in sj.friends_of_friends(df, radius, singles=True).collect()}
     assert everyone == {int(i): int(r) for i, r in zip(ids, root, strict=True)}
+
+
+@pytest.mark.parametrize("together", [1000, 1 << 20])
+def test_pairs_in_the_order_of_distance(skies, monkeypatch, together):
+    """All pairs of small blocks, of rings and without equal ids, however many are sorted together."""
+    monkeypatch.setattr(bl, "LEFT", 16)
+    monkeypatch.setattr(bl, "RIGHT", 33)
+    monkeypatch.setattr(bl, "AT_ONCE", 100)
+    monkeypatch.setattr(bl, "SORTED", together)
+    monkeypatch.setattr(bl, "CODE", 7 if together == 1000 else 17)
+    (left, ids, p), (right, other, q) = skies
+    gap = np.linalg.norm(p[:, None] - q, axis=-1)
+    sep = np.degrees(2 * np.arcsin(np.minimum(gap / 2, 1)))
+    for low, differ in ((None, False), (None, True), (3.0, False)):
+        at = np.nonzero((sep <= RADIUS) & (sep >= (low or 0.0)) & ((ids[:, None] != other) | (not differ)))
+        want = sorted(zip(ids[at[0]].tolist(), other[at[1]].tolist(), sep[at].tolist(), strict=True))
+        rows = sorted(map(tuple, bl.sky_pairs(left, right, RADIUS, low, differ).collect()))
+        assert [r[:2] for r in rows] == [w[:2] for w in want]
+        assert all(abs(r[2] - w[2]) < 1e-6 and r[2] == round(r[2], 6) for r, w in zip(rows, want, strict=True))
+    assert bl.sky_pairs(left.limit(0), right, RADIUS).count() == 0
+
+
+def dense_stretch(spark, folder, name, key, n):
+    """Rows of a table whose keys lie side by side on the sky, as dense as 900,000 of them."""
+    k = np.arange(900_000)
+    k = k[np.abs(k * 0.6180339887498949 % 1.0 - 0.46) < n / 1_800_000]
+    spark.createDataFrame([(int(i),) for i in k], f"{key} long").repartition(1).write.parquet(f"{folder}/{name}.parquet")
+
+
+def bytes_a_row(spark, name, folder):
+    from starloom.plans import catalogue
+
+    catalogue.QUERIES[name](spark, str(folder)).write.parquet(f"{folder}/out")
+    return sum(f.stat().st_size for f in (folder / "out").glob("*.parquet")) / spark.read.parquet(f"{folder}/out").count()
+
+
+def test_pairs_with_oneself_take_little_disk(spark, tmp_path):
+    dense_stretch(spark, tmp_path, "customer", "c_custkey", 4_000)
+    assert bytes_a_row(spark, "xmatch_notself", tmp_path) < 7
