@@ -129,3 +129,10 @@ def bytes_a_row(spark, name, folder):
 def test_pairs_with_oneself_take_little_disk(spark, tmp_path):
     dense_stretch(spark, tmp_path, "customer", "c_custkey", 4_000)
     assert bytes_a_row(spark, "xmatch_notself", tmp_path) < 7
+
+
+@pytest.mark.parametrize("name", ["xmatch_radec"])
+def test_pairs_of_two_skies_take_little_disk(spark, tmp_path, name):
+    dense_stretch(spark, tmp_path, "customer", "c_custkey", 12_000)
+    dense_stretch(spark, tmp_path, "supplier", "s_suppkey", 1_500)
+    assert bytes_a_row(spark, name, tmp_path) < 7
