@@ -131,7 +131,7 @@ def test_pairs_with_oneself_take_little_disk(spark, tmp_path):
     assert bytes_a_row(spark, "xmatch_notself", tmp_path) < 7
 
 
-@pytest.mark.parametrize("name", ["xmatch_radec"])
+@pytest.mark.parametrize("name", ["xmatch_radec", "xmatch_annulus"])
 def test_pairs_of_two_skies_take_little_disk(spark, tmp_path, name):
     dense_stretch(spark, tmp_path, "customer", "c_custkey", 12_000)
     dense_stretch(spark, tmp_path, "supplier", "s_suppkey", 1_500)
