@@ -241,3 +241,46 @@ def test_a_long_backlog_is_started_whole(spark, tmp_path):
     t.write.parquet(f"{tmp_path}/events.parquet")
     got = catalogue.QUERIES["fair_queue_outcomes"](spark, str(tmp_path)).agg(F.sum(F.when(F.col("attempt") == 0, F.col("jobs")))).first()[0]
     assert got == n
+
+
+def test_draws_are_those_of_numpy():
+    for seed, tick in (([17, 0], 3_600_000), ([17, 5], 1), ([1 << 40, 3], 7), ([0, 1 << 33, 9], 1_800_000)):
+        ticks = sf.Ticks(seed, tick, most=64)
+        for at in [*range(0, 40 * tick, tick), (1 << 32) - tick, 1 << 32, *range(1_704_067_200_000, 1_704_067_200_000 + 300 * tick, tick), 3]:
+            rng, draws = np.random.default_rng([*seed, at]), ticks.at(at)
+            for n in (1, 2, 7, 41, 1, 1_000_003, 3_000_000_000, 3_000_000_000, 5):
+                assert draws.integers(n) == int(rng.integers(n))
+
+
+def test_narrow_columns():
+    rng = np.random.default_rng(0)
+    for n in (1, 1000):
+        columns = [rng.integers(low, high, n) for low, high in ((0, 1), (-(1 << 62), 1 << 62), (1 << 40, (1 << 40) + 70_000), (-5, 5), (0, 1 << 33))]
+        data = sf._narrow(columns)
+        assert all((a == b).all() for a, b in zip(columns, sf._widened(data, 5), strict=True))
+        assert len(data) <= 88 + n * (1 + 8 + 4 + 1 + 8)
+
+
+def test_half_a_million_waiting_jobs_take_seconds():
+    """One queue whose jobs all wait, at once and in five parts of time, starts the same jobs at the same time."""
+    import time
+
+    import pandas as pd
+
+    n, hour = 500_000, 3_600_000
+    ms = np.sort(np.random.default_rng(2).integers(0, 30 * 24 * hour, n))
+    jobs_ = pd.DataFrame({"ts": pd.to_datetime(ms, unit="ms"), "job": np.arange(n), "user": np.arange(n) * 7 % 40})
+    results = []
+    for parts in (1, 5):
+        store, done, began = _Store(), [], time.process_time()
+        processor = sf._Queue(lambda job, attempt: (job + attempt) % 4 > 0, 8, hour, 3 * hour, 2, 0, 17)
+        processor.init(store)
+        for some in np.array_split(np.arange(n), parts):
+            end = int(ms[some[-1]]) + 1 if some[-1] < n - 1 else 20 * n * hour
+            clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda s, end=end: end})()
+            list(processor.handleInputRows((1,), iter([jobs_.iloc[some]]), clock))
+            done += list(processor.handleExpiredTimer((1,), clock, None))
+        results.append(pd.concat([d for d in done if len(d)], ignore_index=True))
+        assert time.process_time() - began < 10
+        assert not store.rows and set(results[-1]["job"]) == set(range(n))
+    assert results[0].equals(results[1])
