@@ -31,12 +31,12 @@ def _arrivals(spark, d, folder: str, flush: bool, days: int = 400):
 FLUSH = "(flush)"
 
 
-def _drained(spark, d, make, mode, keys=None, flush=False, days=400):
+def _drained(spark, d, make, mode, keys=None, flush=False, days=400, tasks=None):
     """The stream's rows after it was run, from its checkpoint, over every arrival as a batch of its own."""
     folder = scratch_folder(spark, "stream")
     for _ in _arrivals(spark, d, folder, flush, days):
         stream = make(jobs.events(spark, f"{folder}/in*", table(spark, d, "events").schema, None, "*.parquet"))
-        out = jobs.drain(stream, folder, mode, keys)
+        out = jobs.drain(stream, folder, mode, keys, tasks)
     return out
 
 
@@ -93,6 +93,8 @@ def streaming_enhance(spark, d):
 
 #: a job of four queues for each event; users are those of the events, the first of them anonymous
 SLOTS = 8
+#: tasks that hold the four queues and that of the last event, each in a task of its own as keys are hashed
+TASKS = 10
 FAILS = "({job} * 31 + {attempt} * 17) % 10 < 3"
 
 
@@ -106,7 +108,7 @@ def _starts(spark, d):
     bad = [FAILS.format(job="job", attempt=i) for i in range(2)]
     starts = arrivals(table(spark, d, "events")).groupBy("queue").agg(F.sum(F.expr(f"1 + CASE WHEN {bad[0]} THEN 1 + CASE WHEN {bad[1]} THEN 1 ELSE 0 END ELSE 0 END")).alias("n"))
     days = 400 + (starts.agg(F.max("n")).first()[0] or 0) // (SLOTS * 24)
-    return _drained(spark, d, lambda s: sf.fair_queue(flushed(s), lambda job, attempt: not (job * 31 + attempt * 17) % 10 < 3, slots=SLOTS, tick="1 hour", wait="3 hours", retries=2), "append", flush=True, days=days).where("queue >= 0")
+    return _drained(spark, d, lambda s: sf.fair_queue(flushed(s), lambda job, attempt: not (job * 31 + attempt * 17) % 10 < 3, slots=SLOTS, tick="1 hour", wait="3 hours", retries=2), "append", flush=True, days=days, tasks=TASKS).where("queue >= 0")
 
 
 @query()

@@ -42,18 +42,26 @@ def poll_queue(stream: DataFrame, work: Callable[[DataFrame, int], None], checkp
     return w.trigger(availableNow=True).start() if once else w.trigger(processingTime=every).start()
 
 
-def drain(stream: DataFrame, folder: str, mode: str, keys: list[str] | None = None) -> DataFrame:
+def drain(stream: DataFrame, folder: str, mode: str, keys: list[str] | None = None, tasks: int | None = None) -> DataFrame:
     """Run a stream over all that is there into Parquet files under a shared ``folder``, each batch in a part of its own.
 
     In ``append`` mode every row is written once. In ``update`` mode a key's row is written whenever it changes, and the
     one of the last batch is read. Batches are written by the executors and written again whole if they are repeated.
+    ``tasks`` is for streams of few keys: over how many tasks their states are dealt, each of which takes time in every
+    batch, if not over all shuffle partitions.
     """
     spark = stream.sparkSession
 
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
 
-    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    name = "spark.sql.shuffle.partitions"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(usual), tasks or int(usual))))
+    try:
+        q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(name, usual)
     q.awaitTermination()
     got = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, batch long").parquet(f"{folder}/out")
     if keys is None:

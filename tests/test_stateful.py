@@ -284,3 +284,13 @@ def test_half_a_million_waiting_jobs_take_seconds():
         assert time.process_time() - began < 10
         assert not store.rows and set(results[-1]["job"]) == set(range(n))
     assert results[0].equals(results[1])
+
+
+def test_states_of_few_keys_are_dealt_to_few_tasks(spark, events, tmp_path):
+    write(spark, events[:60], tmp_path, 1)
+    close(spark, tmp_path)
+    queued = lambda s: s.select((F.when(F.col("user_id") < 0, -1).otherwise(0)).alias("queue"), F.col("event_id").alias("job"), F.col("user_id").alias("user"), "ts")
+    rows = jobs.drain(sf.fair_queue(queued(source(spark, tmp_path)), flaky, 2, "30 minutes", "5 hours"), str(tmp_path / "run"), "append", tasks=2)
+    assert rows.where("queue = 0 AND outcome = 'done'").count() == 60
+    held = [p.name for p in (tmp_path / "run/progress/state/0").iterdir() if p.name.isdigit()]
+    assert sorted(held) == ["0", "1"] and spark.conf.get("spark.sql.shuffle.partitions") == "4"
