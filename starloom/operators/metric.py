@@ -164,15 +164,18 @@ def node_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return met.select("l_node", "r_node", F.array_max(gaps).alias("nearest"), far.alias("farthest")).where(F.col("nearest") <= reach).dropDuplicates(["l_node", "r_node"])
 
 
-def _met(left: DataFrame, right: DataFrame, radius: float, left_pos: str, right_pos: str, distance: Metric, node_rows: int, segment_rows: int, n_pivots: int, sample_rows: int, broadcast_rows: int) -> DataFrame | None:
-    """(_to, _block, _segment, _side, l, r): the left rows of every block and segment, then the right rows that may be near; None if a side is empty."""
+def _met(left: DataFrame, right: DataFrame, radius: float, left_pos: str, right_pos: str, distance: Metric, node_rows: int, segment_rows: int, n_pivots: int, sample_rows: int, broadcast_rows: int, once: bool = False) -> DataFrame | None:
+    """(_to, _block, _segment, _side, l, r): the left rows of every block and segment, then the right rows that may be near; None if a side is empty.
+
+    If ``once``, two nodes meet once, the left one before the right one, and ``_side`` is 2 for right rows of another node.
+    """
     ours, theirs = list(left.columns), list(right.columns)
     tree = plant(left, right, left_pos, right_pos, distance, node_rows, n_pivots, sample_rows)
     if tree is None:
         return None
     a, b = _placed(left, left_pos, tree), _placed(right, right_pos, tree)
     own, other = reliable(node_bounds(a, len(tree.pivots))), reliable(node_bounds(b, len(tree.pivots)))
-    pairs = reliable(node_pairs(own, other, radius))
+    pairs = reliable(node_pairs(own, other, radius).where("l_node <= r_node" if once else "true"))
     load = pairs.join(other.select(F.col("node").alias("r_node"), F.col("n").alias("_load")), "r_node").groupBy(F.col("l_node").alias("node")).agg(F.ceil(F.sum("_load") / segment_rows).cast("long").alias("_segments"))
     blocks = reliable(own.join(load, "node").select(F.col("node").alias("_node"), F.ceil(F.col("n") / node_rows).cast("long").alias("_blocks"), "_segments"))
     targets = pairs.join(blocks, F.col("l_node") == F.col("_node")).select(F.col("r_node").alias("_node"), F.col("l_node").alias("_to"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block"), "_segments")
@@ -181,7 +184,7 @@ def _met(left: DataFrame, right: DataFrame, radius: float, left_pos: str, right_
     hashed = lambda df: F.xxhash64(*[F.col(c).cast("string") if "map" in t else F.col(c) for c, t in df.dtypes])
     block = F.pmod(hashed(left), F.col("_blocks"))
     standing = a.join(small(blocks), "_node").select(F.col("_node").alias("_to"), block.alias("_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_segments") - 1)).alias("_segment"), F.lit(0).alias("_side"), payload(a, ours).alias("l"), F.lit(None).alias("r"))
-    passing = b.join(small(targets), "_node").select("_to", "_block", F.pmod(hashed(right), F.col("_segments")).alias("_segment"), F.lit(1).alias("_side"), F.lit(None).alias("l"), payload(b, theirs).alias("r"))
+    passing = b.join(small(targets), "_node").select("_to", "_block", F.pmod(hashed(right), F.col("_segments")).alias("_segment"), (F.when(F.col("_node") != F.col("_to"), 2).otherwise(1) if once else F.lit(1)).alias("_side"), F.lit(None).alias("l"), payload(b, theirs).alias("r"))
     kinds = {c: df.schema[c].dataType for df, cs in ((left, ours), (right, theirs)) for c in cs}
     shape = lambda names: "struct<" + ", ".join(f"`{c}`: {kinds[c].simpleString()}" for c in names) + ">"
     both = standing.withColumn("r", F.col("r").cast(shape(theirs))).unionByName(passing.withColumn("l", F.col("l").cast(shape(ours))))
@@ -198,46 +201,87 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int, int], int, in
             yield tuple(keys[lo, :3].tolist()), int(keys[lo, 3]), lo, hi
 
 
+def _finder(x: np.ndarray, radius: float, distance: Metric) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A function of rows ``y``: the places i in ``x`` and j in ``y`` of the pairs within ``radius``, and their distances.
+
+    Angles are told from a product in single precision first, with more room than its error; only what passes is measured.
+    """
+    if distance is not angular:
+
+        def measured(y: np.ndarray):
+            gap = distance(x, y)
+            i, j = np.nonzero(gap <= radius)
+            return i, j, gap[i, j]
+
+        return measured
+    along = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    u = along(x)
+    single = u.astype(np.float32)
+    least = np.float32(np.cos(np.radians(min(radius, 180.0))) - (16 + x.shape[1]) * 1.2e-7)
+
+    def turned(y: np.ndarray):
+        v = along(y)
+        i, j = np.divmod(np.flatnonzero(single @ v.astype(np.float32).T >= least), max(1, len(v)))
+        chord = [np.sqrt(((u[i[k : k + 65_536]] - v[j[k : k + 65_536]]) ** 2).sum(axis=1)) for k in range(0, len(i), 65_536)]
+        d = np.degrees(2.0 * np.arcsin(np.minimum(np.concatenate([np.zeros(0), *chord]) / 2.0, 1.0)))
+        ok = d <= radius
+        return i[ok], j[ok], d[ok]
+
+    return turned
+
+
 def metric_join(
-    left: DataFrame, right: DataFrame, radius: float, left_pos: str, right_pos: str, metric: str | Metric = "euclidean", dist: str = "dist", node_rows: int = 8_192, segment_rows: int = 32_768, n_pivots: int = 12, sample_rows: int = 4_000, broadcast_rows: int = 1_000_000
-) -> DataFrame:
+    left: DataFrame, right: DataFrame, radius: float, left_pos: str, right_pos: str, metric: str | Metric = "euclidean", dist: str = "dist", node_rows: int = 8_192, segment_rows: int = 32_768, n_pivots: int = 12, sample_rows: int = 4_000, broadcast_rows: int = 1_000_000,
+    once: tuple[str, str] | None = None, columns: list[str] | None = None,
+) -> DataFrame:
     """All pairs of rows within ``radius`` (inclusive): the columns of both sides, which must differ in name, and the distance.
 
     Null vectors, vectors with nulls or of another length than most, and those whose distances are no numbers take no part.
+    ``once`` names a left and a right column of longs, for two sides that are the same rows and columns but for the names:
+    only the pairs whose left value is the smaller are returned, and nodes meet once instead of both ways.
+    ``columns`` are those that are returned besides the distance, if not all.
     """
     distance = METRICS[metric] if isinstance(metric, str) else metric
     ours, theirs = list(left.columns), list(right.columns)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for df in (left, right) for f in df.schema.fields]
-    schema = ", ".join([*fields, f"`{dist}` double"])
-    dealt = _met(left, right, radius, left_pos, right_pos, distance, node_rows, segment_rows, n_pivots, sample_rows, broadcast_rows)
+    kept = [c for c in (*ours, *theirs) if columns is None or c in columns]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for df in (left, right) for f in df.schema.fields if f.name in kept], f"`{dist}` double"])
+    if once:
+        left, right = left.where(F.col(once[0]).isNotNull()), right.where(F.col(once[1]).isNotNull())
+    dealt = _met(left, right, radius, left_pos, right_pos, distance, node_rows, segment_rows, n_pivots, sample_rows, broadcast_rows, once is not None)
     if dealt is None:
         return left.sparkSession.createDataFrame([], schema)
     li, ri = ours.index(left_pos), theirs.index(right_pos)
+    mine, other = ([k for k, c in enumerate(names) if c in kept] for names in (ours, theirs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here: tuple[int, int, int] | None = None
         held: list[pa.StructArray] = []
-        x = np.zeros((0, 0))
+        find, ids = None, None
         for batch in batches:
             for place, side, lo, hi in _runs(batch):
                 if here != place:
-                    here, held, x = place, [], np.zeros((0, 0))
+                    here, held, find = place, [], None
                 if side == 0:
                     held.append(batch.column(4).slice(lo, hi - lo))
                     continue
                 if not held:
                     continue
-                if not len(x):
+                if find is None:
                     held = [pa.concat_arrays(held)]
-                    x = _matrix(held[0].field(li))
+                    find = _finder(_matrix(held[0].field(li)), radius, distance)
+                    ids = held[0].field(ours.index(once[0])).to_numpy() if once else None
                 rows = batch.column(5).slice(lo, hi - lo)
-                y = _matrix(rows.field(ri))
+                y, its = _matrix(rows.field(ri)), rows.field(theirs.index(once[1])).to_numpy() if once else None
                 for at in range(0, len(y), 256):
-                    gap = distance(x, y[at : at + 256])
-                    i, j = np.nonzero(gap <= radius)
-                    if len(i):
-                        mine, other = held[0].take(pa.array(i)), rows.take(pa.array(j + at))
-                        yield pa.RecordBatch.from_arrays([*mine.flatten(), *other.flatten(), pa.array(gap[i, j])], names=[*ours, *theirs, dist])
+                    i, j, gap = find(y[at : at + 256])
+                    j = j + at
+                    turns = [(i, j, gap, held[0], rows)]
+                    if once:
+                        up, down = ids[i] < its[j], (ids[i] > its[j]) & (side == 2)
+                        turns = [(i[up], j[up], gap[up], held[0], rows), (j[down], i[down], gap[down], rows, held[0])]
+                    for a, b, d, p, q in turns:
+                        if len(a):
+                            yield pa.RecordBatch.from_arrays([*[p.field(k).take(pa.array(a)) for k in mine], *[q.field(k).take(pa.array(b)) for k in other], pa.array(d)], names=[*kept, dist])
 
     return dealt.mapInArrow(run, schema)
 

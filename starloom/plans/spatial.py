@@ -91,7 +91,7 @@ def nd_angle_join(spark, d):
     """Pairs of vectors whose directions are at most 70 degrees apart."""
     e = table(spark, d, "embeddings")
     left, right = e.select(F.col("vec_id").alias("l_id"), F.col("embedding").alias("p")), e.select(F.col("vec_id").alias("r_id"), F.col("embedding").alias("q"))
-    return metric_join(left, right, 70.0, "p", "q", "angular", "turn").where("l_id < r_id").select("l_id", "r_id", F.round("turn", 4).alias("turn"))
+    return metric_join(left, right, 70.0, "p", "q", "angular", "turn", once=("l_id", "r_id"), columns=["l_id", "r_id"]).select("l_id", "r_id", F.round("turn", 4).alias("turn"))
 
 
 GRID = lambda t: f"(SELECT CAST(floor(x * 2) AS BIGINT) AS cell0, CAST(floor(y * 2) AS BIGINT) AS cell1, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, count(*) AS n FROM {t} GROUP BY 1, 2)"

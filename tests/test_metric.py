@@ -92,3 +92,32 @@ def test_metrics_obey_the_triangle_inequality(dims, seed, name):
     d = mt.METRICS[name](p, p)
     assert (d[:, None, :] <= d[:, :, None] + d[None] + 1e-6).all()
     assert np.abs(np.diag(d)).max() < 1e-6
+
+
+@pytest.mark.parametrize(("metric", "radius"), [("euclidean", 0.7), ("angular", 3.0), ("angular", 180.0), ("angular", 0.0)])
+@pytest.mark.parametrize("node_rows", [40, 100_000])
+def test_pairs_of_the_same_rows_are_found_once(spark, metric, radius, node_rows):
+    a = clusters(7, 300)
+    a[:20], a[20:40] = a[5], 2.0 * a[5]
+    left, right = frame(spark, a, "p"), frame(spark, a, "q")
+    got = mt.metric_join(left, right, radius, "p", "q", metric, node_rows=node_rows, once=("p_id", "q_id"), columns=["p_id", "q_id"])
+    assert got.columns == ["p_id", "q_id", "dist"]
+    rows = got.collect()
+    exact = mt.METRICS[metric](a, a)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(exact <= radius + 1e-6), strict=True) if i < j}
+    sure = {(i, j) for i, j in want if exact[i, j] <= radius - 1e-6}
+    found = [(r.p_id, r.q_id) for r in rows]
+    assert len(set(found)) == len(found) and sure <= set(found) <= want
+    assert all(abs(r.dist - exact[r.p_id, r.q_id]) < 1e-6 for r in rows)
+
+
+def test_angles_send_ids_only_and_compare_pairs_once(spark, sf):
+    """What the query's kernel returns holds no vectors, and of two nodes only one stands."""
+    from starloom.plans import catalogue
+
+    plan = catalogue.QUERIES["nd_angle_join"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow run" in plan and "p#" not in next(line for line in plan.splitlines() if "MapInArrow run" in line).rsplit("[", 1)[-1]
+    a = clusters(8, 400)
+    dealt = mt._met(frame(spark, a, "p"), frame(spark, a, "q"), 50.0, "p", "q", mt.euclidean, 50, 32_768, 12, 4_000, 1_000_000, True)
+    both = mt._met(frame(spark, a, "p"), frame(spark, a, "q"), 50.0, "p", "q", mt.euclidean, 50, 32_768, 12, 4_000, 1_000_000)
+    assert dealt.where("_side > 0").count() < 0.7 * both.where("_side > 0").count()
