@@ -146,3 +146,25 @@ def test_pairs_of_a_ring_take_little_disk(spark, tmp_path):
         assert bytes_a_row(spark, "xmatch_annulus", tmp_path) < 7
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+def test_lists_of_all_rows(spark, skies, near, monkeypatch):
+    """Every left row has its list, those without position or partner a null one; ids that occur twice get what both find."""
+    monkeypatch.setattr(bl, "LEFT", 16)
+    monkeypatch.setattr(bl, "RIGHT", 33)
+    (left, ids, _), (right, _, _) = skies
+    want = {int(i): sorted(r for _, r in near[int(i)]) if int(i) in near else None for i in ids} | {501: None, 502: None}
+    rows = bl.all_sky_lists(left, right, RADIUS).collect()
+    assert len(rows) == 502 and {r.l_id: r.ids for r in rows} == want
+    alone = bl.all_sky_lists(left, right.limit(0), RADIUS).collect()
+    assert len(alone) == 502 and all(r.ids is None for r in alone)
+    twice = bl.all_sky_lists(left.unionByName(left), right, RADIUS).collect()
+    assert len(twice) == 1004 and all(r.ids == (want[r.l_id] and sorted(want[r.l_id] * 2)) for r in twice)
+
+
+def test_lists_are_not_shuffled(spark, sf):
+    """No exchange lies above the kernel that makes the lists."""
+    from starloom.plans import catalogue
+
+    plan = catalogue.QUERIES["xmatch_list"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert not [line for line in plan[: plan.index("MapInArrow run")].splitlines() if "Exchange" in line or "Join" in line or "Aggregate" in line]
