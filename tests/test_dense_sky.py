@@ -168,3 +168,16 @@ def test_lists_are_not_shuffled(spark, sf):
 
     plan = catalogue.QUERIES["xmatch_list"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
     assert not [line for line in plan[: plan.index("MapInArrow run")].splitlines() if "Exchange" in line or "Join" in line or "Aggregate" in line]
+
+
+@pytest.mark.parametrize("name", ["nearby_images"])
+def test_images_meet_a_crowded_cell_in_parts(spark, tmp_path, name):
+    """The partners of an image come in short lists, which come again for the next image."""
+    from starloom.plans import catalogue
+
+    k = np.arange(900_000)
+    k = k[(np.abs(k * 0.6180339887498949 % 1.0 - 0.46) < 0.0003) & (k % 3 == 2)]
+    spark.createDataFrame([(int(i),) for i in k], "c_custkey long").repartition(1).write.parquet(f"{tmp_path}/customer.parquet")
+    ids = np.array([r.id for r in catalogue.QUERIES[name](spark, str(tmp_path)).select("id").collect()])
+    runs = np.diff(np.flatnonzero(np.diff(ids, prepend=-1, append=-1)))
+    assert len(ids) > len(k) * 80 and runs.max() < 0.4 * np.bincount(ids).max()
