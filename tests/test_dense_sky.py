@@ -170,7 +170,7 @@ def test_lists_are_not_shuffled(spark, sf):
     assert not [line for line in plan[: plan.index("MapInArrow run")].splitlines() if "Exchange" in line or "Join" in line or "Aggregate" in line]
 
 
-@pytest.mark.parametrize("name", ["nearby_images"])
+@pytest.mark.parametrize("name", ["nearby_images", "nearby_images_by_level"])
 def test_images_meet_a_crowded_cell_in_parts(spark, tmp_path, name):
     """The partners of an image come in short lists, which come again for the next image."""
     from starloom.plans import catalogue
